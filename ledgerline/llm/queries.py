@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, token_files
+from . import bpe, lines, packing, simhash, token_files, topk
 from .common import new_path, table
 
 #: The folder of the public vocabularies; a parameter of the environment, never copied.
@@ -28,6 +28,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -41,8 +50,29 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op3_lines": op3_lines,
+    "op6_topk": op6_topk,
     "op7_token_files": op7_token_files,
     "op9_packing": op9_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_lines": """
+        with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents),
+        k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+        o as (select key, min(doc_id) as owner from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+        m as (select k.*, coalesce(o.owner <> k.doc_id, false) as gone from k left join o on o.key = k.key)
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+        from m group by doc_id""",
+    "op6_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+                   from embeddings where embedding is not null and list_aggregate(list_transform(embedding,
+                   lambda x: case when x is not null and isfinite(x) then 0 else 1 end), 'sum') = 0),
+        s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) as bigint) as score
+              from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
+}
