@@ -36,12 +36,15 @@ class QualityRules:
     #: Per cent of words in repeated windows of `window` words.
     most_repeated: int = 30
     window: int = 8
-    #: Character classes: from so many words on, so much distance at most.
+    #: Character classes: from so many words on, so much distance at most, and class_slack / n_words more (chance and
+    #: single numbers weigh more in a short text).
     class_words: int = 50
     class_distance: float = 0.155
+    class_slack: float = 4.0
     #: Frequent words: likewise.
     frequent_words: int = 120
-    frequent_distance: float = 0.36
+    frequent_distance: float = 0.28
+    frequent_slack: float = 5.0
     #: Frequency of the first word, and how it falls with the rank.
     first: float = 0.06
     slope: float = 0.75
@@ -84,7 +87,9 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, id_col: str = "d
     d = d.drop("hashes", "windows", "placed", "repeats", "twice").withColumn("lines", lines)
     # classes are counted on what is left of a text without its plain letters
     d = d.withColumn("rest", F.regexp_replace("text", r"[\p{Ll}\p{Lo}\p{M}]+", ""))
-    d = d.withColumn("common", F.array_sort(F.filter(F.transform("words", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?")))), lambda w: w.isin(*_all(r)))))
+    # a frequent word may have two bytes of marks around it; longer words needn't be looked at
+    short = F.filter("words", lambda w: F.octet_length(w) <= max(len(w.encode()) for w in _all(r)) + 2)
+    d = d.withColumn("common", F.array_sort(F.filter(F.transform(short, lambda w: F.lower(F.btrim(w, F.lit(".,;:!?")))), lambda w: w.isin(*_all(r)))))
     m = F.size("common")
     ends = F.when(m > 0, F.filter(F.sequence(F.lit(1), m), lambda i: ~F.coalesce(F.get(F.col("common"), i - 1) == F.get(F.col("common"), i), F.lit(False))))
     count = lambda pattern: (F.length("rest") - F.length(F.regexp_replace("rest", pattern, ""))).cast("double")
@@ -102,7 +107,9 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, id_col: str = "d
     d = d.withColumn("runs", F.coalesce(F.when(F.col("n_words") >= r.frequent_words, runs), F.array().cast("array<struct<w:string,c:double>>")))
     nearest = F.least(*[_frequent_distance(words, r) for words in r.frequent.values()], F.lit(1.0))
     d = d.withColumn("frequent_distance", F.when(F.col("n_words") >= r.frequent_words, nearest))
-    bad = F.coalesce(F.col("class_distance") > r.class_distance, F.lit(False)) | F.coalesce(F.col("frequent_distance") > r.frequent_distance, F.lit(False))
+    most = lambda limit, slack: limit + slack / F.col("n_words")
+    bad = F.coalesce(F.col("class_distance") > most(r.class_distance, r.class_slack), F.lit(False))
+    bad = bad | F.coalesce(F.col("frequent_distance") > most(r.frequent_distance, r.frequent_slack), F.lit(False))
     d = d.withColumn("kept", ~F.col("base_failed") & ~bad)
     if keep:
         return d.select("own.*", F.col("kept").alias("__kept"))
