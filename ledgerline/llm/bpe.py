@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import id_and_text, ship, steps
+from .common import id_and_text, ranges, ship, steps
 
 #: The published pattern that splits text before the merges (fixed value, public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class BytePairs:
-    #: Entries of the pair and piece memories; a full one starts anew.
-    PAIRS, PIECES = 400_000, 300_000
+    #: Entries of the pair and piece memories. A full pair memory starts anew; a full piece memory stays as it is, with
+    #: the pieces met first, which are the frequent ones.
+    PAIRS, PIECES = 400_000, 500_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
@@ -40,9 +41,12 @@ class BytePairs:
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.length = [len(b) for b in self.token]
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.shorter_: dict[int, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
+        #: The longest token that is a proper prefix of each, or -1.
+        self.shorter = [-1] * len(self.token)
+        for b, i in ranks.items():
+            self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1)
+        self.pieces: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Rank by rank, as defined; only for the few bytes of two neighbours."""
@@ -56,7 +60,7 @@ class BytePairs:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether right may follow left; left -1: whether right may begin a piece."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.PAIRS:
@@ -65,59 +69,57 @@ class BytePairs:
             self.pairs[key] = known
         return known
 
-    def shorter(self, t: int) -> int:
-        """The longest token that is a proper prefix of t, or -1."""
-        known = self.shorter_.get(t)
-        if known is None:
-            b = self.token[t]
-            known = self.shorter_[t] = next((self.ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.ranks), -1)
-        return known
-
     def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n, length = len(data), self.length
+        n, length, shorter, known, fits = len(data), self.length, self.shorter, self.pairs.get, self.fits
         longest = [-1] * n
         for end, t in self.automaton.iter(data.decode("latin-1")):
             longest[end + 1 - length[t]] = t  # a later end is a longer token
-        dead, out, at, t = bytearray(n + 1), [], 0, longest[0]
+        dead, out, at, t, last = bytearray(n + 1), [], 0, longest[0], -1
         while True:
-            last = out[-1] if out else -1
-            while t >= 0 and (dead[at + length[t]] or not self.fits(last, t)):
-                t = self.shorter(t)
+            while t >= 0:
+                if not dead[at + length[t]]:
+                    ok = known(last << 32 | t)
+                    if fits(last, t) if ok is None else ok:
+                        break
+                t = shorter[t]
             if t >= 0:
                 out.append(t)
                 at += length[t]
                 if at == n:
                     return out
-                t = longest[at]
+                last, t = t, longest[at]
             elif out:
                 dead[at] = 1
                 t = out.pop()
                 at -= length[t]
-                t = self.shorter(t)
+                last, t = out[-1] if out else -1, shorter[t]
             else:
                 raise ValueError("the vocabulary lacks single bytes of this text")
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different chunks (see chunks.Encode); each match of the pattern is a piece of its own."""
-        flat: list[int] = []
-        lens = np.zeros(len(words), np.int64)
-        pieces, find, before = self.pieces, self.find, 0
-        if len(pieces) > self.PIECES:
-            pieces.clear()
+        pieces, find = self.pieces, self.find
+        free = self.PIECES - len(pieces)
+        parts: list[bytes] = []
+        counts = np.zeros(len(words), np.int64)
         for k, w in enumerate(words):
-            for p in find(w):
+            found = find(w)
+            counts[k] = len(found)
+            for p in found:
                 ids = pieces.get(p)
                 if ids is None:
-                    ids = self.piece(p.encode())
-                    if len(p) < 100:
+                    ids = np.array(self.piece(p.encode()), "<i4").tobytes()
+                    if free > 0 and len(p) < 100:
                         pieces[p] = ids
-                flat += ids
-            lens[k] = len(flat) - before
-            before = len(flat)
-        return np.array(flat, np.int32), lens
+                        free -= 1
+                parts.append(ids)
+        lens = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        ends = np.concatenate(([0], np.cumsum(lens)))
+        at = np.concatenate(([0], np.cumsum(counts)))
+        return np.frombuffer(b"".join(parts), "<i4"), np.diff(ends[at])
 
 
 _built: dict[str, BytePairs] = {}
@@ -163,13 +165,21 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFram
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.value.splitlines())}
         table = [data.get(i, b"") for i in range(max(data, default=-1) + 1)]
+        lens = np.array([len(x) for x in table], np.int64)
+        begins, joined = np.cumsum(lens) - lens, np.frombuffer(b"".join(table), np.uint8)
         for b in batches:
-            col = b.column(ids)
-            at = np.asarray(col.offsets)
-            flat = np.asarray(col.values).tolist() if len(col) else []
-            cells = [b"".join([table[i] for i in flat[x:y]]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-            mask = np.asarray(col.is_null())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(cells, pa.binary(), mask=mask)], names=[*names, "decoded"])
+            for x in range(0, b.num_rows, 256):
+                own = b.slice(x, 256)
+                col = own.column(ids)
+                at = np.asarray(col.offsets, np.int64)
+                flat = np.asarray(col.flatten() if col.null_count else col.values[at[0] : at[-1]])
+                at = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0), np.int64))))
+                each = lens[flat]
+                ends = np.concatenate(([0], np.cumsum(each)))[at]
+                out = joined[ranges(begins[flat], each)].tobytes()
+                cells = [out[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                mask = np.asarray(col.is_null())
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(cells, pa.binary(), mask=mask)], names=[*names, "decoded"])
 
     return tokens.select(*names, ids).mapInArrow(decode, schema)
 
