@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, packing, quality, simhash, token_files, topk
+from . import bpe, chat, licenses, lines, packing, passages, quality, simhash, token_files, topk
 from .common import new_path, table
 
 #: The folder of the public vocabularies; a parameter of the environment, never copied.
@@ -33,6 +33,14 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -59,15 +67,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_lines": op3_lines,
+    "op4_passages": op4_passages,
+    "op5_licenses": op5_licenses,
     "op6_topk": op6_topk,
     "op7_token_files": op7_token_files,
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
