@@ -143,5 +143,10 @@ def _frequent_distance(words: str, r: QualityRules) -> Column:
 
 
 def keep_good(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    return quality(docs, rules, keep=True).filter("__kept").drop("__kept")
+    """The documents that pass, with all their columns.
+
+    A filter on the verdict would be pushed down, and the verdict's long chain of columns written out anew at each of its
+    uses. The row number beside it, which mustn't be made twice, holds the filter where it is.
+    """
+    judged = quality(docs, rules, keep=True).withColumn("__row", F.monotonically_increasing_id())
+    return judged.filter("__kept and __row >= 0").drop("__kept", "__row")
