@@ -193,7 +193,11 @@ def contained_quotes(claims: DataFrame, pages: DataFrame, words: int = 8) -> Dat
     q = q.withColumn("n", F.least(F.size(w), F.lit(words))).withColumn("h", F.xxhash64(F.array_join(F.slice(w, 1, F.col("n")), " ")))
     sizes = [r["n"] for r in q.select("n").distinct().collect()]  # at most `words` numbers
     p = pages.select("doc_id", normalized(F.col("text")).alias("page")).withColumn("w", F.split("page", " "))
-    grams = [F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.xxhash64(F.array_join(F.slice("w", i, n), " "))) for n in sizes]
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+
+    grams = [grams_of(n) for n in sizes]
     each = F.flatten(F.array(*[F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<bigint>")) for n, g in zip(sizes, grams)])) if sizes else F.array().cast("array<bigint>")
     hits = p.select("doc_id", F.explode(F.array_distinct(each)).alias("h")).join(q, "h").select("doc_id", "item_id", "quote")
     return hits.join(p.select("doc_id", "page"), "doc_id").filter(F.contains("page", "quote")).select("item_id", "doc_id").distinct()
@@ -253,9 +257,10 @@ CASES = [(1, ["red", "bolt"], "Brand#1", ["old"]), (2, ["small"], "Brand#25", []
     select case_id, count(*) as hits, case when count(*) = 1 then min(p_partkey) end as resolved from h group by 1""")
 def _(v):
     cases = F.broadcast(v.spark.createDataFrame(CASES, "case_id int, frags array<string>, place string, banned array<string>"))
-    name = v.part["p_name"]
+    part = v.part
+    name = part["p_name"]
     hit = F.contains("p_brand", "place") & F.forall("frags", lambda f: F.contains(name, f)) & ~F.exists("banned", lambda f: F.contains(name, f))
-    return v.part.join(cases, hit).groupBy("case_id").agg(F.count("*").alias("hits"), F.when(F.count("*") == 1, F.min("p_partkey")).alias("resolved"))
+    return part.join(cases, hit).groupBy("case_id").agg(F.count("*").alias("hits"), F.when(F.count("*") == 1, F.min("p_partkey")).alias("resolved"))
 
 
 @query("fuzzy_argmax", """with e as (select p_partkey as entry_id, p_brand as brand, p_name as name from part where p_partkey % 20 = 0),
