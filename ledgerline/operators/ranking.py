@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.segments import TARGET_SQL, target_population
 from ledgerline.plans.registry import query
+from ledgerline.plans.views import AS_OF, EVENTS_AS_OF
 
 
 def current_score(history: DataFrame) -> DataFrame:
@@ -17,3 +19,171 @@ def current_score(history: DataFrame) -> DataFrame:
 @query("current_score", "select id, rubric, total, hist_id, computed_at from current_score")
 def _(v):
     return current_score(v.score_history)
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
+    """The n first rows of each group in a full order; each task keeps its own n first before the shuffle."""
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= n)
+
+
+def address_tier(addr: Column) -> Column:
+    """0 a person's, 1 an office's, 3 none."""
+    return F.when(addr.isNull(), 3).when(addr.startswith("office"), 1).otherwise(0)
+
+
+@query("contact_dedupe", """select id, role, person, addr, captured_at from (select *, row_number() over (partition by id, role, lower(trim(person))
+    order by case when addr is null then 3 when starts_with(addr, 'office') then 1 else 0 end, captured_at desc, addr, l_orderkey, l_linenumber) as rn from contact) t where rn = 1""")
+def _(v):
+    c = v.contact.withColumns({"key": F.lower(F.trim("person")), "tier": address_tier(F.col("addr"))})
+    return top_per_group(c, ["id", "role", "key"], [F.asc("tier"), F.desc("captured_at"), F.asc("addr"), F.asc("l_orderkey"), F.asc("l_linenumber")]).select("id", "role", "person", "addr", "captured_at")
+
+
+@query("best_address", """select id, addr, owner from (select id, addr, role as owner, row_number() over (partition by id order by case role when 'teacher' then 0 when 'director' then 1 else 2 end, addr) as rn
+    from contact where addr is not null) t where rn = 1""")
+def _(v):
+    return best_address(v.contact)
+
+
+def best_address(contacts: DataFrame) -> DataFrame:
+    """The first address by role: teacher, director, office; with whose it is."""
+    rank = F.when(F.col("role") == "teacher", 0).when(F.col("role") == "director", 1).otherwise(2)
+    best = contacts.filter("addr is not null").groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "addr", "role")).alias("b"))
+    return best.select("id", "b.addr", F.col("b.role").alias("owner"))
+
+
+@query("work_queue", f"""with l as (select id, max(ts) as last_ts from activity_log group by id),
+    t as (select q.id, stage, total, next_action_date as due, cast(date_diff('day', cast(next_action_date as date), date '{AS_OF[:10]}') as bigint) as late, last_ts from queue q join scored s on s.id = q.id left join l on l.id = q.id
+      where stage not in ('won', 'lost')),
+    p as (select *, case when late > 0 then 0 when late = 0 then 1 when stage = 'not_contacted' then 2 else 3 end as prio from t),
+    o as (select *, row_number() over (order by prio, -coalesce(total, -1), case when prio in (0, 1) then -late when prio = 2 then id else coalesce(-cast(date_diff('day', cast(last_ts as date), date '{EVENTS_AS_OF[:10]}') as bigint), id) end, id) as pos from p)
+    select pos, id, prio, case prio when 0 then 'overdue by ' || late || case when late = 1 then ' day' else ' days' end when 1 then 'due today' when 2 then 'not contacted yet' else 'in progress' end as reason from o where pos <= 40""")
+def _(v):
+    return work_queue(v.queue, v.scored, v.activity_log, AS_OF, EVENTS_AS_OF, 40)
+
+
+def work_queue(queue: DataFrame, scored: DataFrame, log: DataFrame, as_of: str, log_as_of: str, n: int) -> DataFrame:
+    """The n next entities: overdue, due today, not contacted, the rest; then by score, then by date, id or idle days."""
+    t = queue.filter(~F.col("stage").isin("won", "lost")).join(scored.select("id", "total"), "id").join(log.groupBy("id").agg(F.max("ts").alias("last_ts")), "id", "left")
+    t = t.withColumn("late", F.date_diff(F.lit(as_of).cast("date"), F.col("next_action_date").cast("date")).cast("long"))
+    t = t.withColumn("prio", F.when(F.col("late") > 0, 0).when(F.col("late") == 0, 1).when(F.col("stage") == "not_contacted", 2).otherwise(3))
+    idle = F.date_diff(F.lit(log_as_of).cast("date"), F.col("last_ts").cast("date")).cast("long")
+    third = F.when(F.col("prio") < 2, -F.col("late")).when(F.col("prio") == 2, F.col("id")).otherwise(F.coalesce(-idle, F.col("id")))
+    key = [F.asc("prio"), (-F.coalesce("total", F.lit(-1))).asc(), third.asc(), F.asc("id")]
+    best = t.orderBy(*key).limit(n)  # a top-n; the numbering below sees these n rows only
+    late = F.concat(F.lit("overdue by "), F.col("late").cast("string"), F.when(F.col("late") == 1, " day").otherwise(" days"))
+    reason = F.when(F.col("prio") == 0, late).when(F.col("prio") == 1, "due today").when(F.col("prio") == 2, "not contacted yet").otherwise("in progress")
+    return best.select(F.row_number().over(Window.orderBy(*key)).alias("pos"), "id", "prio", reason.alias("reason"))
+
+
+@query("latest_event_per_entity", "select id, event_id, event_type, ts from (select *, row_number() over (partition by id order by ts desc, event_id desc) as rn from activity_log where value is not null) t where rn = 1")
+def _(v):
+    return latest_event(v.activity_log.filter("value is not null"))
+
+
+def latest_event(log: DataFrame) -> DataFrame:
+    best = log.groupBy("id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e"))
+    return best.select("id", "e.event_id", "e.event_type", "e.ts")
+
+
+@query("best_record_per_role", """select conv_id, role, turn, n from (select conv_id, role, turn, length(text) as n, row_number() over (partition by conv_id, role order by length(text) desc, md5(text), turn) as rn
+    from conversations) t where rn = 1""")
+def _(v):
+    c = v.conversations.withColumn("n", F.length("text").cast("long"))
+    return top_per_group(c, ["conv_id", "role"], [F.desc("n"), F.md5("text").asc(), F.asc("turn")]).select("conv_id", "role", "turn", "n")
+
+
+@query("best_office_address", """with c as (select id, addr, starts_with(addr, 'office') as office, regexp_extract(addr, '^[a-z]+([0-9]+)@', 1) as num, regexp_extract(addr, '@s([0-9]+)', 1) as dom from contact where addr is not null)
+    select id, addr from (select *, row_number() over (partition by id order by case when office then 0 else 1 end, case when num = dom then 0 else 1 end, case when length(num) > 2 then 1 else 0 end, addr) as rn from c) t where rn = 1""")
+def _(v):
+    c = v.contact.filter("addr is not null").select("id", "addr", F.regexp_extract("addr", "^[a-z]+([0-9]+)@", 1).alias("num"), F.regexp_extract("addr", "@s([0-9]+)", 1).alias("dom"))
+    keys = [F.when(F.col("addr").startswith("office"), 0).otherwise(1), F.when(F.col("num") == F.col("dom"), 0).otherwise(1), F.when(F.length("num") > 2, 1).otherwise(0), F.col("addr")]
+    best = c.groupBy("id").agg(F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).alias("b"))
+    return best.select("id", F.col(f"b.k{len(keys) - 1}").alias("addr"))
+
+
+@query("first_occurrence_dedupe", "select p_size as rnk, upper(p_name) as name, upper(p_type) as city, min(p_partkey) as pos from part group by 1, 2, 3")
+def _(v):
+    return v.part.groupBy(F.col("p_size").alias("rnk"), F.upper("p_name").alias("name"), F.upper("p_type").alias("city")).agg(F.min("p_partkey").alias("pos"))
+
+
+@query("latest_state_per_entity", """select id, event_type, value, event_id from (select *, row_number() over (partition by id, event_type order by event_id desc) as rn from activity_log where value > 5) t where rn = 1""")
+def _(v):
+    best = v.activity_log.filter("value > 5").groupBy("id", "event_type").agg(F.max(F.struct("event_id", "value")).alias("e"))
+    return best.select("id", "event_type", "e.value", "e.event_id")
+
+
+def disambiguated(rows: DataFrame, group: list[str], labels: list[Column]) -> DataFrame:
+    """In each group of more than one row, the first of the labels that makes the row distinct in it; else null."""
+    size = F.count("*").over(Window.partitionBy(*group))
+    d = rows.withColumns({f"l{i}": c for i, c in enumerate(labels)} | {"size": size})
+    d = d.withColumns({f"n{i}": F.count("*").over(Window.partitionBy(*group, f"l{i}")) for i in range(len(labels))})
+    pick = F.coalesce(*[F.when(F.col(f"l{i}").isNotNull() & (F.col(f"n{i}") == 1), F.col(f"l{i}")) for i in range(len(labels))])
+    return d.withColumn("label", F.when(F.col("size") > 1, pick))
+
+
+@query("name_disambiguator", """with d as (select s_suppkey as id, s_nationkey % 7 as grp, n_name as l0, n_name || ' ' || cast(s_suppkey % 3 as varchar) as l1, n_name || ' ' || cast(s_suppkey % 5 as varchar) as l2 from supplier join nation on n_nationkey = s_nationkey),
+    c as (select *, count(*) over (partition by grp) as size, count(*) over (partition by grp, l0) as n0, count(*) over (partition by grp, l1) as n1, count(*) over (partition by grp, l2) as n2 from d)
+    select id, grp, case when size > 1 then case when n0 = 1 then l0 when n1 = 1 then l1 when n2 = 1 then l2 end end as label from c""")
+def _(v):
+    d = v.supplier.join(v.nation, F.col("n_nationkey") == F.col("s_nationkey")).selectExpr("s_suppkey as id", "s_nationkey % 7 as grp", "n_name", "s_suppkey")
+    by = lambda n: F.concat("n_name", F.lit(" "), (F.col("s_suppkey") % n).cast("string"))
+    return disambiguated(d, ["grp"], [F.col("n_name"), by(3), by(5)]).select("id", "grp", "label")
+
+
+@query("roster_file_rank", r"""with l as (select page_id, html, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) as pos, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as href from pages),
+    c as (select page_id, pos, href, case when starts_with(href, '/') and length(href) <= 4 then 0 when starts_with(href, '/') then 1 else 2 end as cls from l)
+    select page_id, pos, href, cls from (select *, row_number() over (partition by page_id order by cls, pos) as rn from c) t where rn <= 3""")
+def _(v):
+    links = v.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("p", "href")).withColumn("pos", (F.col("p") + 1).cast("long"))
+    cls = F.when(F.col("href").startswith("/") & (F.length("href") <= 4), 0).when(F.col("href").startswith("/"), 1).otherwise(2)
+    return top_per_group(links.withColumn("cls", cls), ["page_id"], [F.asc("cls"), F.asc("pos")], 3).select("page_id", "pos", "href", "cls")
+
+
+def page_budget(pages: DataFrame, entity: str, page: str, tier: str, size: str, most_pages: int = 8, most_chars: int = 50_000) -> DataFrame:
+    """Pages by tier: one that would pass the budget is skipped, later smaller ones may still fit, the first always stays.
+
+    A skip-and-continue choice depends on all choices before it, so an entity's sizes are folded in order; only sizes and
+    ids are gathered, never texts, and a page list is as long as a site.
+    """
+    listed = pages.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(tier).alias("tier"), F.col(page).alias("page"), F.col(size).cast("long").alias("size")))).alias("p"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = (a["n"] == 0) | ((a["n"] < most_pages) & (a["used"] + x["size"] <= most_chars))
+        more = F.struct((a["n"] + 1).alias("n"), (a["used"] + x["size"]).alias("used"), F.array_append(a["kept"], x["page"]).alias("kept"))
+        return F.when(fits, more).otherwise(a)
+
+    return listed.select(entity, F.explode(F.aggregate("p", zero, step)["kept"]).alias(page))
+
+
+@query("page_budget", """with recursive p as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id % 3, doc_id) as i from documents),
+    w(source, i, doc_id, n, used, took) as (select source, i, doc_id, 1, n_chars, true from p where i = 1
+      union all select p.source, p.i, p.doc_id, w.n + case when w.n < 8 and w.used + p.n_chars <= 12000 then 1 else 0 end, w.used + case when w.n < 8 and w.used + p.n_chars <= 12000 then p.n_chars else 0 end,
+      w.n < 8 and w.used + p.n_chars <= 12000 from w join p on p.source = w.source and p.i = w.i + 1)
+    select source, doc_id from w where took""")
+def _(v):
+    return page_budget(v.documents.withColumn("tier", F.col("doc_id") % 3), "source", "doc_id", "tier", "n_chars", most_chars=12_000)
+
+
+@query("same_content_pages", """select doc_id, source, min(doc_id) over (partition by source, md5(text)) as first_id, doc_id <> min(doc_id) over (partition by source, md5(text)) as repeated from documents""")
+def _(v):
+    return same_content(v.documents)
+
+
+def same_content(pages: DataFrame) -> DataFrame:
+    """Whether the same text was on another page of the site before. First pages come by partial aggregation and are
+    joined back, so a text that a site repeats very often isn't gathered in one window."""
+    hashed = pages.select("doc_id", "source", F.md5("text").alias("h"))
+    first = hashed.groupBy("source", "h").agg(F.min("doc_id").alias("first_id"))
+    return hashed.join(first, ["source", "h"]).select("doc_id", "source", "first_id", (F.col("doc_id") != F.col("first_id")).alias("repeated"))
+
+
+@query("next_candidates", f"""select id, total from (select r.*, row_number() over (order by total desc nulls last, id) as n from scored r where {TARGET_SQL}
+    and id not in (select id from activity_log where event_type in ('purchase', 'error'))) t where n <= 25""")
+def _(v):
+    return next_candidates(v.scored, v.activity_log.filter("event_type in ('purchase', 'error')"), 25).select("id", "total")
+
+
+def next_candidates(scored: DataFrame, attempts: DataFrame, n: int) -> DataFrame:
+    """The best-scored targets that no attempt was made on."""
+    return scored.filter(target_population()).join(attempts.select("id"), "id", "left_anti").orderBy(F.desc_nulls_last("total"), "id").limit(n)

@@ -1 +1,245 @@
-"""."""
+"""State tables: snapshot in, snapshot out. Every transition returns the new state, and the log rows where it makes any.
+
+Nothing is updated in place: a transition joins the state with its change set and its result is written as a new version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.operators.joins import membership_split
+from ledgerline.plans.registry import query
+from ledgerline.plans.views import AS_OF
+
+
+def newest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Repeats in one file: the last row wins."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("r")).select(key, "r.*")
+
+
+def snapshot_upsert(current: DataFrame, snapshot: DataFrame, key: str, columns: list[str], protected: dict[str, Column] | None = None) -> DataFrame:
+    """current joined with a full snapshot: new keys come in, known ones take the snapshot's columns (but those protected
+    under their condition), keys that the snapshot lacks turn inactive and are never deleted."""
+    c, s = current.alias("c"), snapshot.alias("s")
+    there, had = F.col(f"s.{key}").isNotNull(), F.col(f"c.{key}").isNotNull()
+    keep = protected or {}
+
+    def value(name: str) -> Column:
+        new = F.when(there, F.col(f"s.{name}")).otherwise(F.col(f"c.{name}"))
+        return F.when(had & keep[name], F.col(f"c.{name}")).otherwise(new) if name in keep else new
+
+    change = F.when(~had, "inserted").when(there, "updated").otherwise("missing")
+    return c.join(s, F.col(f"c.{key}") == F.col(f"s.{key}"), "full_outer").select(F.coalesce(f"c.{key}", f"s.{key}").alias(key), *[value(n).alias(n) for n in columns], there.alias("is_active"), change.alias("change"))
+
+
+UPSERT_SQL = """with c as (select c_custkey as id, c_name as name, 'http://old' || cast(c_custkey as varchar) as site, case when c_custkey % 4 = 0 then 'manual' else 'registry' end as src from customer where c_custkey % 5 <> 0),
+    f as (select c_custkey as id, upper(c_name) as name, 'http://new' || cast(c_custkey as varchar) as site, 'registry' as src from customer where c_custkey % 7 <> 0),
+    u as (select coalesce(c.id, f.id) as id, case when f.id is not null then f.name else c.name end as name, case when c.id is not null and c.src = 'manual' then c.site when f.id is not null then f.site else c.site end as site,
+      case when c.id is not null and c.src = 'manual' then c.src when f.id is not null then f.src else c.src end as src, f.id is not null as is_active,
+      case when c.id is null then 'inserted' when f.id is not null then 'updated' else 'missing' end as change from c full join f on c.id = f.id)"""
+
+
+def upserted(v, protect: bool = True) -> DataFrame:
+    c = v.customer.filter("c_custkey % 5 <> 0").selectExpr("c_custkey as id", "c_name as name", "'http://old' || cast(c_custkey as string) as site", "case when c_custkey % 4 = 0 then 'manual' else 'registry' end as src")
+    f = v.customer.filter("c_custkey % 7 <> 0").selectExpr("c_custkey as id", "upper(c_name) as name", "'http://new' || cast(c_custkey as string) as site", "'registry' as src")
+    manual = F.col("c.src") == "manual"
+    return snapshot_upsert(c, f, "id", ["name", "site", "src"], {"site": manual, "src": manual} if protect else None)
+
+
+@query("snapshot_upsert", UPSERT_SQL + " select id, name, is_active, change from u")
+def _(v):
+    return upserted(v).select("id", "name", "is_active", "change")
+
+
+@query("protected_columns", UPSERT_SQL + " select id, site, src from u")
+def _(v):
+    return upserted(v).select("id", "site", "src")
+
+
+@query("soft_delete_missing", UPSERT_SQL + " select is_active, change, count(*) as n from u group by 1, 2")
+def _(v):
+    return upserted(v).groupBy("is_active", "change").agg(F.count("*").alias("n"))
+
+
+@query("append_score_history", """with n as (select id, max(hist_id) + 1000000000 as hist_id, rubric, max(total) as total from score_history group by id, rubric)
+    select id, rubric, count(*) as versions, max(hist_id) as current_id from (select id, hist_id, rubric from score_history union all select id, hist_id, rubric from n) t group by 1, 2""")
+def _(v):
+    new = v.score_history.groupBy("id", "rubric").agg((F.max("hist_id") + 1_000_000_000).alias("hist_id"))
+    grown = v.score_history.select("id", "rubric", "hist_id").unionByName(new)
+    return grown.groupBy("id", "rubric").agg(F.count("*").alias("versions"), F.max("hist_id").alias("current_id"))
+
+
+def log_rows(ids: DataFrame, kind: str, old: Column | None = None, new: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return ids.select("id", F.lit(kind).alias("event_type"), (none if old is None else old).alias("from_stage"), (none if new is None else new).alias("to_stage"))
+
+
+def pull_into_queue(queue: DataFrame, members: DataFrame, requested: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """New queue members (each id once, neither queued nor in a batch) and their log rows."""
+    new = membership_split(requested, queue, members).filter("outcome = 'new'").select("id")
+    rows = new.select("id", F.lit("not_contacted").alias("stage"), F.lit(as_of).cast("timestamp_ntz").alias("stage_updated_at"))
+    return queue.select("id", "stage", "stage_updated_at").unionByName(rows), log_rows(new, "pulled", new=F.lit("not_contacted"))
+
+
+REQ_SQL = "req as (select distinct o_custkey as id from orders where o_orderkey % 7 = 0)"
+
+
+def requested(v) -> DataFrame:
+    return v.orders.filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"))
+
+
+@query("pull_into_queue", f"""with {REQ_SQL}, n as (select id from req where id not in (select id from queue) and id not in (select id from batch_member))
+    select 'state' as part, id, stage as v from queue union all select 'state', id, 'not_contacted' from n union all select 'log', id, 'pulled' from n""")
+def _(v):
+    state, log = pull_into_queue(v.queue, v.batch_member, requested(v), AS_OF)
+    return state.select(F.lit("state").alias("part"), "id", F.col("stage").alias("v")).union(log.select(F.lit("log"), "id", "event_type"))
+
+
+@query("release_from_queue", f"""with {REQ_SQL} select 'state' as part, id, stage as v from queue where id not in (select id from req)
+    union all select 'log', id, stage from queue where id in (select id from req)""")
+def _(v):
+    req = requested(v)
+    log = log_rows(v.queue.join(req, "id", "left_semi"), "released", old=F.col("stage"))
+    return v.queue.join(req, "id", "left_anti").select(F.lit("state").alias("part"), "id", F.col("stage").alias("v")).union(log.select(F.lit("log"), "id", "from_stage"))
+
+
+def change_stage(queue: DataFrame, changes: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """New state and a log row for each change to a member, one that changes nothing included."""
+    j = queue.join(changes.select("id", "new_stage"), "id", "left")
+    changed = F.col("new_stage").isNotNull()
+    state = j.select("id", F.coalesce("new_stage", "stage").alias("stage"), F.when(changed, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("stage_updated_at")).alias("stage_updated_at"))
+    return state, log_rows(j.filter(changed), "stage_change", F.col("stage"), F.col("new_stage"))
+
+
+@query("change_stage", f"""with c as (select o_custkey as id, case when max(o_orderkey) % 2 = 0 then 'won' else 'contacted' end as new_stage from orders where o_orderkey % 9 = 0 group by 1)
+    select q.id, coalesce(c.new_stage, stage) as stage, case when c.id is not null then timestamp '{AS_OF}' else stage_updated_at end as stage_updated_at, case when c.id is not null then stage end as logged_from
+    from queue q left join c on c.id = q.id""")
+def _(v):
+    c = v.orders.filter("o_orderkey % 9 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.when(F.max("o_orderkey") % 2 == 0, "won").otherwise("contacted").alias("new_stage"))
+    state, log = change_stage(v.queue, c, AS_OF)
+    return state.join(log.select("id", F.col("from_stage").alias("logged_from")), "id", "left")
+
+
+def move_to_batch(queue: DataFrame, members: DataFrame, ids: DataFrame, batch_id: int, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queue without the moved, members with them (their stage kept), log rows, and the outcome of every requested id."""
+    req = ids.select("id").distinct()
+    taken = queue.join(req, "id", "left_semi")
+    moved = taken.select("id", F.lit(batch_id).cast("long").alias("batch_id"), F.lit(as_of).cast("timestamp_ntz").alias("added_at"), F.col("stage").alias("stage_at_move"))
+    out = req.join(queue.select("id", F.lit(True).alias("q")), "id", "left").join(members.select("id", F.lit(True).alias("m")), "id", "left")
+    outcome = out.select("id", F.when(F.col("m"), "already_in_campaign").when(F.col("q"), "moved").otherwise("not_in_pipeline").alias("outcome"))
+    return queue.join(req, "id", "left_anti"), members.select("id", "batch_id", "added_at", F.lit(None).cast("string").alias("stage_at_move")).unionByName(moved), log_rows(taken, "moved_to_batch", old=F.col("stage")), outcome
+
+
+@query("move_to_batch", f"""with {REQ_SQL} select 'queue' as part, id, stage as v from queue where id not in (select id from req)
+    union all select 'member', id, cast(batch_id as varchar) from batch_member union all select 'member', id, '99' from queue where id in (select id from req)
+    union all select 'outcome', id, case when id in (select id from batch_member) then 'already_in_campaign' when id in (select id from queue) then 'moved' else 'not_in_pipeline' end from req""")
+def _(v):
+    queue, members, _, outcome = move_to_batch(v.queue, v.batch_member, requested(v), 99, AS_OF)
+    rows = queue.select(F.lit("queue").alias("part"), "id", F.col("stage").alias("v")).union(members.select(F.lit("member"), "id", F.col("batch_id").cast("string")))
+    return rows.union(outcome.select(F.lit("outcome"), "id", "outcome"))
+
+
+STAGES = ["not_contacted", "contacted", "responded", "won", "lost"]
+
+
+@query("return_from_batch", """with m as (select id, batch_id, case id % 4 when 0 then 'contacted' when 1 then 'gone_stage' when 2 then 'won' end as stage_at_move from batch_member)
+    select id, case when stage_at_move in ('not_contacted', 'contacted', 'responded', 'won', 'lost') then stage_at_move else 'not_contacted' end as stage from m where batch_id = 3
+    union all select id, stage from queue""")
+def _(v):
+    m = v.batch_member.selectExpr("id", "batch_id", "case id % 4 when 0 then 'contacted' when 1 then 'gone_stage' when 2 then 'won' end as stage_at_move")
+    return return_from_batch(v.queue, m, 3)
+
+
+def return_from_batch(queue: DataFrame, members: DataFrame, batch_id: int) -> DataFrame:
+    """The queue with a batch's members back in the stage they had; an unknown stage becomes the first."""
+    back = F.when(F.col("stage_at_move").isin(STAGES), F.col("stage_at_move")).otherwise(F.lit(STAGES[0]))
+    return members.filter(F.col("batch_id") == batch_id).select("id", back.alias("stage")).union(queue.select("id", "stage"))
+
+
+@query("delete_batch", "select id, batch_id from batch_member where batch_id <> 3")
+def _(v):
+    return v.batch_member.join(v.spark.createDataFrame([(3,)], "batch_id long"), "batch_id", "left_anti").select("id", "batch_id")
+
+
+@query("clear_queue", "select event_type, count(*) as kept from activity_log where event_type not in ('click', 'view') group by 1")
+def _(v):
+    return v.activity_log.filter(~F.col("event_type").isin("click", "view")).groupBy("event_type").agg(F.count("*").alias("kept"))
+
+
+@query("reset_workflow", """select 'queue' as tbl, count(*) as removed, 0 as kept from queue union all select 'batch_member', count(*), 0 from batch_member
+    union all select 'activity_log', count(*), 0 from activity_log union all select 'register', 0, count(*) from register union all select 'score_history', 0, count(*) from score_history""")
+def _(v):
+    from functools import reduce
+
+    emptied, kept = ["queue", "batch_member", "activity_log"], ["register", "score_history"]
+    rows = [getattr(v, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), F.when(F.lit(t in emptied), F.col("n")).otherwise(0).alias("removed"), F.when(F.lit(t in kept), F.col("n")).otherwise(0).alias("kept")) for t in emptied + kept]
+    return reduce(DataFrame.union, rows)
+
+
+@query("retire_blocked", "select id, addr from contact where addr is null or not starts_with(addr, 'office1')")
+def _(v):
+    return v.contact.filter(F.col("addr").isNull() | ~F.col("addr").startswith("office1")).select("id", "addr")
+
+
+@query("hygiene_backfill", r"""with a as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+')) as old from documents), n as (select doc_id, old, case when regexp_matches(lower(old), '^[^@]+@[^@]+[.][a-z]{2,}$') then lower(old) end as new from a)
+    select doc_id, old, new, case when new is null then 'cleared' else 'lowered' end as kind from n where old is distinct from new""")
+def _(v):
+    a = v.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+"), 0)).alias("old"))
+    new = F.when(F.lower("old").rlike(r"^[^@]+@[^@]+[.][a-z]{2,}$"), F.lower("old"))
+    return a.withColumn("new", new).filter(~F.col("old").eqNullSafe(F.col("new"))).withColumn("kind", F.when(F.col("new").isNull(), "cleared").otherwise("lowered"))
+
+
+@query("bulk_tag", """with t as (select distinct o_custkey as id, o_orderpriority as tag from orders where o_orderkey % 3 = 0), n as (select distinct o_custkey as id, '1-URGENT' as tag from orders where o_orderkey % 11 = 0)
+    select id, tag, false as added from t union all select id, tag, true from n where not exists (select 1 from t where t.id = n.id and t.tag = n.tag)""")
+def _(v):
+    t = v.orders.filter("o_orderkey % 3 = 0").selectExpr("o_custkey as id", "o_orderpriority as tag").distinct()
+    n = v.orders.filter("o_orderkey % 11 = 0").selectExpr("o_custkey as id", "'1-URGENT' as tag").distinct()
+    return t.withColumn("added", F.lit(False)).union(n.join(t, ["id", "tag"], "left_anti").withColumn("added", F.lit(True)))
+
+
+@query("orphan_reap", f"""select event_id, case when event_type in ('view', 'click') then 'cancelled' else event_type end as status,
+    case when event_type in ('view', 'click') then coalesce(case when value > 10 then ts end, timestamp '{AS_OF}') else case when value > 10 then ts end end as finished from events""")
+def _(v):
+    jobs = v.events.select("event_id", F.col("event_type").alias("status"), F.when(F.col("value") > 10, F.col("ts")).alias("finished"))
+    open_ = F.col("status").isin("view", "click")
+    finished = F.when(open_, F.coalesce("finished", F.lit(AS_OF).cast("timestamp_ntz"))).otherwise(F.col("finished"))
+    return jobs.select("event_id", F.when(open_, "cancelled").otherwise(F.col("status")).alias("status"), finished.alias("finished"))
+
+
+@query("closed_to_lost", """select q.id, case when r.is_active then stage when stage in ('won', 'lost') then stage else 'lost' end as stage, (not r.is_active) and stage not in ('won', 'lost') as logged from queue q join register r on r.id = q.id""")
+def _(v):
+    closing = ~F.col("is_active") & ~F.col("stage").isin("won", "lost")
+    return v.queue.join(v.register.select("id", "is_active"), "id").select("id", F.when(closing, "lost").otherwise(F.col("stage")).alias("stage"), closing.alias("logged"))
+
+
+@query("follow_up_set", f"""with c as (select o_custkey as id, max(o_orderkey) as k from orders where o_orderkey % 13 = 0 group by 1)
+    select q.id, case when c.id is not null then timestamp '{AS_OF}' + interval 7 days else next_action_date end as next_action_date, case when c.id is not null then 'http://' || 'site' || cast(c.k as varchar) || '.example.com' end as site
+    from queue q left join c on c.id = q.id""")
+def _(v):
+    c = v.orders.filter("o_orderkey % 13 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.concat(F.lit("site"), F.max("o_orderkey").cast("string"), F.lit(".example.com")).alias("raw"))
+    site = F.when(F.col("raw").rlike("^https?://"), F.col("raw")).otherwise(F.concat(F.lit("http://"), F.col("raw")))
+    due = F.lit(AS_OF).cast("timestamp_ntz") + F.expr("interval 7 days")
+    return v.queue.join(c, "id", "left").select("id", F.when(F.col("raw").isNotNull(), due).otherwise(F.col("next_action_date")).alias("next_action_date"), site.alias("site"))
+
+
+@query("retryable_status", "select event_id, case when event_type = 'error' and value < 20 then 'cancelled' else 'success' end as status from events")
+def _(v):
+    throttled, found = F.col("event_type") == "error", F.col("value") >= 20
+    return v.events.select("event_id", F.when(throttled & ~found, "cancelled").otherwise("success").alias("status"))
+
+
+@query("registry_backfill", """select c_custkey as id, coalesce(case when c_custkey % 2 = 0 then c_name end, s_name) as name, c_custkey % 2 <> 0 and s_name is not null as filled from customer left join supplier on s_suppkey = c_custkey""")
+def _(v):
+    old = v.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"))
+    new = v.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("detail"))
+    return old.join(new, "id", "left").select("id", F.coalesce("name", "detail").alias("name"), (F.col("name").isNull() & F.col("detail").isNotNull()).alias("filled"))
+
+
+@query("issue_backfill", """with l as (select * from (select *, row_number() over (partition by id order by event_id desc) as rn from activity_log) t where rn = 1)
+    select id, coalesce(case when event_id % 2 = 0 then event_type end, case when value < 20 then 'site_unreachable' when value < 60 then 'no_contact_found' end) as issue from l""")
+def _(v):
+    last = v.activity_log.groupBy("id").agg(F.max(F.struct("event_id", "event_type", "value")).alias("e")).select("id", "e.*")
+    derived = F.when(F.col("value") < 20, "site_unreachable").when(F.col("value") < 60, "no_contact_found")
+    return last.select("id", F.coalesce(F.when(F.col("event_id") % 2 == 0, F.col("event_type")), derived).alias("issue"))
