@@ -1 +1,281 @@
-"""."""
+"""Text rules: folding, white space, patterns in context, page checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ledgerline.plans.registry import query
+
+#: Polish letters and what they fold to (fixed values).
+FOLD_FROM, FOLD_TO = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ"
+#: Letters of the other languages at hand.
+MORE_FROM, MORE_TO = "éèêçàäöüßñíúáÉÈÊÇÀÄÖÜÑÍÚÁ", "eeecaaousniuaEEECAAOUNIUA"
+
+
+def fold(c: Column) -> Column:
+    """Diacritics to plain letters, letter by letter."""
+    return F.translate(c, FOLD_FROM + MORE_FROM, FOLD_TO + MORE_TO)
+
+
+@query("fold_diacritics", f"select doc_id, md5(translate(text, '{FOLD_FROM + MORE_FROM}', '{FOLD_TO + MORE_TO}')) as folded from documents")
+def _(v):
+    return v.documents.select("doc_id", F.md5(fold(F.col("text"))).alias("folded"))
+
+
+#: Abbreviations of names, expanded before comparing.
+SHORT = [("NO", "NUMBER"), ("ST", "SAINT"), ("INT", "INTERNATIONAL")]
+
+
+def normalize_name(c: Column) -> Column:
+    """Upper case, folded, abbreviations expanded, only letters and digits, single spaces."""
+    c = F.upper(fold(c))
+    for a, b in SHORT:
+        c = F.regexp_replace(c, rf"(^|[^A-Z0-9]){a}([^A-Z0-9]|$)", f"$1{b}$2")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[^A-Z0-9 ]", " "), " +", " "))
+
+
+@query("normalize_name", r"""select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(upper(p_name || ' no. ' || p_brand), '(^|[^A-Z0-9])NO([^A-Z0-9]|$)', '\1NUMBER\2', 'g'), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as name from part""")
+def _(v):
+    return v.part.select("p_partkey", normalize_name(F.concat("p_name", F.lit(" no. "), "p_brand")).alias("name"))
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two short strings, row by row of the table, without Python."""
+    x, y = F.split(a, ""), F.split(b, "")
+    zero = F.array_repeat(F.lit(0), (F.length(b) + 1).cast("int"))
+
+    def row(prev: Column, ch: Column) -> Column:
+        def cell(acc: Column, j: Column) -> Column:
+            best = F.when(F.get(y, j - 1) == ch, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.element_at(acc, -1)))
+            return F.array_append(acc, best)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
+
+    full = F.element_at(F.aggregate(x, zero, row), -1)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(full)
+
+
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """200 * LCS / (m + n) of the sorted tokens: the exact ratio that the match thresholds are meant for."""
+    s = lambda c: F.array_join(F.array_sort(F.split(F.trim(c), " +")), " ")
+    x, y = s(a), s(b)
+    total = F.length(x) + F.length(y)
+    return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * lcs_length(x, y) / total)
+
+
+@query("token_sort_ratio", None)
+def _(v):
+    p = v.part.filter("p_partkey % 4 = 0").selectExpr("p_partkey as a", "p_partkey + 1 as b", "p_name as x")
+    q = v.part.selectExpr("p_partkey as b", "p_name as y")
+    return p.join(q, "b").select("a", "b", F.round(token_sort_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
+@query("normalize_whitespace", r"select doc_id, md5(trim(regexp_replace(text, '[\x09-\x0D\x20\x{00A0}]+', ' ', 'g'))) as h from documents")
+def _(v):
+    return v.documents.select("doc_id", F.md5(F.trim(F.regexp_replace("text", "[\\x09-\\x0D\\x20\\u00A0]+", " "))).alias("h"))
+
+
+@query("casefold_contains", "select doc_id from documents where contains(lower(text), lower('THE OF AND'))  or contains(lower(text), lower('Que De'))")
+def _(v):
+    hit = lambda q: F.contains(F.lower("text"), F.lower(F.lit(q)))
+    return v.documents.filter(hit("THE OF AND") | hit("Que De")).select("doc_id")
+
+
+@query("specialised_name", "select doc_id from documents where regexp_matches(substr(text, 1, 200), '(music|sport|license|hahaha)') ")
+def _(v):
+    return v.documents.filter(F.substring("text", 1, 200).rlike("(music|sport|license|hahaha)")).select("doc_id")
+
+
+@query("extract_phone", r"select doc_id, nullif(regexp_extract(text, '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'), '') as phone from documents")
+def _(v):
+    return v.documents.select("doc_id", F.nullif(F.regexp_extract("text", r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", 0), F.lit("")).alias("phone"))
+
+
+@query("subtype_from_name", """select p_partkey, case when contains(p_name, 'red') then 'international' when contains(p_name, 'small') and not contains(p_name, 'bolt') then 'community' else 'public' end as subtype,
+    contains(p_name, 'red') or (contains(p_name, 'small') and not contains(p_name, 'bolt')) as verified from part""")
+def _(v):
+    s = subtype(F.col("p_name"), "red", "small", "bolt")
+    return v.part.select("p_partkey", s["value"].alias("subtype"), s["verified"].alias("verified"))
+
+
+def subtype(name: Column, first: str, second: str, unless: str) -> Column:
+    a, b = name.rlike(first), name.contains(second) & ~name.contains(unless)
+    return F.struct(F.when(a, "international").when(b, "community").otherwise("public").alias("value"), (a | b).alias("verified"))
+
+
+@query("name_flag_regex", "select p_partkey, case when regexp_matches(p_name, '(?i)GIZMO') then true end as flag from part")
+def _(v):
+    return v.part.select("p_partkey", F.when(F.col("p_name").rlike("(?iu)GIZMO"), True).alias("flag"))
+
+
+@query("lenient_int", """with r as (select o_orderkey as k, case o_orderkey % 5 when 0 then '' when 1 then 'nan' when 2 then cast(o_orderkey as varchar) || '.0' when 3 then 'text' else ' 12 ' end as raw from orders)
+    select k, case when trim(raw) in ('', 'nan') then null else cast(try_cast(trim(raw) as double) as int) end as n from r""")
+def _(v):
+    raw = F.expr("case o_orderkey % 5 when 0 then '' when 1 then 'nan' when 2 then cast(o_orderkey as string) || '.0' when 3 then 'text' else ' 12 ' end")
+    return v.orders.select(F.col("o_orderkey").alias("k"), lenient_int(raw).alias("n"))
+
+
+def lenient_int(raw: Column) -> Column:
+    """'12.0' is 12; empty, nan and text are unknown."""
+    d = raw.try_cast("double")
+    return F.when(d.isNotNull() & ~F.isnan(d), d.try_cast("int"))
+
+
+@query("keyword_entry_pick", """with e as (select doc_id, unnest(string_split(text, chr(10))) as entry, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)
+    select doc_id, entry from (select *, row_number() over (partition by doc_id order by pos) as rn from e where contains(entry, 'License') and not contains(entry, 'GNU')) t where rn = 1""")
+def _(v):
+    entry = F.get(F.filter(F.split("text", "\n"), lambda x: x.contains("License") & ~x.contains("GNU")), F.lit(0))
+    return v.documents.select("doc_id", entry.alias("entry")).filter("entry is not null")
+
+
+def earliest(text: Column, words: list[str], guard: str, before: int = 30) -> Column:
+    """(word, place) of the word found first; not if the guard word is within so many characters before it."""
+    found = [F.struct(F.locate(w, text).alias("pos"), F.lit(w).alias("word")) for w in words]
+    first = F.array_min(F.filter(F.array(*found), lambda x: x["pos"] > 0))
+    start = F.greatest(first["pos"] - before, F.lit(1))
+    return F.when(~F.contains(F.substring(text, start, first["pos"] - start), F.lit(guard)), first)
+
+
+@query("earliest_match", """with p as (select doc_id, text, unnest(['License', 'that', 'que']) as word from documents), f as (select doc_id, word, strpos(text, word) as pos, text from p where strpos(text, word) > 0),
+    r as (select *, row_number() over (partition by doc_id order by pos, word) as rn from f)
+    select doc_id, word, pos from r where rn = 1 and not contains(substr(text, cast(greatest(pos - 30, 1) as bigint), cast(pos - greatest(pos - 30, 1) as bigint)), 'the')""")
+def _(v):
+    def one(d):
+        return d.select("doc_id", earliest(F.col("text"), ["License", "that", "que"], "the").alias("m")).filter("m is not null").select("doc_id", "m.word", F.col("m.pos").cast("long").alias("pos"))
+
+    return one(v.documents)
+
+
+@query("context_guard", """select doc_id, contains(substr(text, cast(greatest(strpos(text, 'License') - 160, 1) as bigint), cast(strpos(text, 'License') - greatest(strpos(text, 'License') - 160, 1) as bigint)), 'the')
+    or contains(substr(text, cast(strpos(text, 'License') + 7 as bigint), 60), 'the') as rejected from documents where contains(text, 'License')""")
+def _(v):
+    p = F.locate("License", F.col("text"))
+    start = F.greatest(p - 160, F.lit(1))
+    near = F.contains(F.substring(F.col("text"), start, p - start), F.lit("the")) | F.contains(F.substring(F.col("text"), p + 7, F.lit(60)), F.lit("the"))
+    return v.documents.filter("contains(text, 'License')").select("doc_id", near.alias("rejected"))
+
+
+@query("provable_pages", "select doc_id from documents where regexp_matches(text, '(License|hahaha|ononononon|schschsch)')")
+def _(v):
+    return v.documents.filter(F.col("text").rlike("(License|hahaha|ononononon|schschsch)")).select("doc_id")
+
+
+@query("keyword_windows", """select doc_id, unnest(list_slice(regexp_extract_all(text, '[^\\n]{0,60}License[^\\n]{0,60}'), 1, 6)) as win from documents""")
+def _(v):
+    wins = F.slice(F.regexp_extract_all("text", F.lit(r"[^\n]{0,60}License[^\n]{0,60}"), 0), 1, 6)
+    return v.documents.select("doc_id", F.explode(wins).alias("win"))
+
+
+@query("throttle_page_flag", "select doc_id, length(text) <= 400 and contains(text, 'the ') as throttled from documents")
+def _(v):
+    return v.documents.select("doc_id", ((F.length("text") <= 400) & F.contains("text", F.lit("the "))).alias("throttled"))
+
+
+@query("shell_page_flag", r"""with p as (select page_id, html, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\x09-\x0D\x20]+', '', 'g')) as n from pages)
+    select page_id, n < 1250 and (contains(html, '<div') or length(html) > 20000) as shell from p""")
+def _(v):
+    n = F.length(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", ""), r"[\x09-\x0D\x20]+", ""))
+    return v.pages.select("page_id", ((n < 1250) & (F.contains("html", F.lit("<div")) | (F.length("html") > 20000))).alias("shell"))
+
+
+def plain_text(html: Column) -> Column:
+    """Table cells as 'a | b', items as '- x', breaks as line feeds, scripts and tags away, blank lines collapsed."""
+    for pattern, to in ((r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"</t[dh]>\s*<t[dh][^>]*>", " | "), (r"<li[^>]*>", "\n- "), (r"<(br|p|h[1-6]|tr|div|ul)[^>]*>", "\n"), (r"<[^>]*>", "")):
+        html = F.regexp_replace(html, pattern, to)
+    for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        html = F.replace(html, F.lit(entity), F.lit(to))
+    return F.trim(F.regexp_replace(F.regexp_replace(html, "[ \\t]+", " "), r"( ?\n ?)+", "\n"))
+
+
+PLAIN_SQL = "html"
+for _pattern, _to in ((r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"</t[dh]>\s*<t[dh][^>]*>", " | "), (r"<li[^>]*>", "\n- "), (r"<(br|p|h[1-6]|tr|div|ul)[^>]*>", "\n"), (r"<[^>]*>", "")):
+    PLAIN_SQL = f"regexp_replace({PLAIN_SQL}, '{_pattern}', '{_to}', 'g')"
+for _entity, _to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    PLAIN_SQL = f"replace({PLAIN_SQL}, '{_entity}', '{_to}')"
+PLAIN_SQL = f"trim(regexp_replace(regexp_replace({PLAIN_SQL}, '[ \\t]+', ' ', 'g'), '( ?\\n ?)+', '\n', 'g'))"
+
+
+@query("page_to_text", f"select page_id, length({PLAIN_SQL}) as n, md5({PLAIN_SQL}) as h from pages")
+def _(v):
+    return v.pages.select("page_id", plain_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("h"))
+
+
+@query("page_entries", f"""select page_id, count(*) as n, sum(length(e)) as chars from (select page_id, unnest(string_split({PLAIN_SQL}, '\n')) as e from pages) t where trim(e) <> '' group by 1""")
+def _(v):
+    e = v.pages.select("page_id", F.explode(F.split(plain_text(F.col("html")), "\n")).alias("e")).filter("trim(e) <> ''")
+    return e.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("e")).alias("chars"))
+
+
+@query("site_verification", """with p as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, lower(substr(html, 1, 1500)) as head from pages)
+    select page_id, case when contains(title, 'the') then true when contains(title, 'der') then false else contains(head, 'the') or contains(head, 'la') end as ok from p""")
+def _(v):
+    title, head = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lower(F.substring("html", 1, 1500))
+    ok = F.when(title.contains("the"), True).when(title.contains("der"), False).otherwise(head.contains("the") | head.contains("la"))
+    return v.pages.select("page_id", ok.alias("ok"))
+
+
+@query("page_entity_match", """with t as (select page_id, html, string_split(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.') as tokens from pages)
+    select page_id, cast(list_aggregate(list_transform(tokens, lambda x: case when contains(html, x) then 1 else 0 end), 'sum') as bigint) as hits from t""")
+def _(v):
+    tokens = F.split(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), r"\.")
+    d = v.pages.withColumn("tokens", tokens)
+    return d.select("page_id", F.size(F.filter("tokens", lambda x: F.contains(F.col("html"), x))).cast("long").alias("hits"))
+
+
+@query("issue_ladder", """select event_id, case when event_type = 'error' and value < 10 then 'site_unreachable' when event_type = 'error' then 'site_error' when event_type = 'view' and value < 5 then 'no_pages'
+    when event_type = 'click' then 'no_name' when event_type = 'signup' and value > 30 then 'no_address' end as issue from events""")
+def _(v):
+    sources = F.array(F.struct(F.when(F.col("event_type") == "error", F.when(F.col("value") < 10, "down").otherwise("failed")).otherwise("ok").alias("status")))
+    pages = F.when((F.col("event_type") == "view") & (F.col("value") < 5), 0).otherwise(3)
+    person = F.when(F.col("event_type") != "click", F.lit("x"))
+    addr = F.when((F.col("event_type") != "signup") | (F.col("value") <= 30), F.lit("a@b"))
+    return v.events.select("event_id", issue_ladder(sources, pages, person, addr).alias("issue"))
+
+
+def issue_ladder(sources: Column, pages: Column, person: Column, addr: Column) -> Column:
+    """The first thing that went wrong, or null where nothing is missing."""
+    has = lambda s: F.exists(sources, lambda x: x["status"] == s)
+    return F.when(has("down"), "site_unreachable").when(has("failed"), "site_error").when(pages == 0, "no_pages").when(person.isNull(), "no_name").when(addr.isNull(), "no_address")
+
+
+@query("need_second_pass", """with t as (select l.doc_id, l.quality, l.toxic, d.n_chars from labels l join documents d on d.doc_id = l.doc_id) select doc_id, quality = 0 and (toxic = 1 or n_chars > 3000) as again from t""")
+def _(v):
+    t = v.labels.join(v.documents.select("doc_id", "n_chars"), "doc_id")
+    return t.select("doc_id", ((F.col("quality") == 0) & ((F.col("toxic") == 1) | (F.col("n_chars") > 3000))).alias("again"))
+
+
+@query("stage_label", "select event_id, case when event_type = 'error' then 'discovery' when value > 80 then 'pass' when value > 20 then 'partial' else 'gap' end as stage from events")
+def _(v):
+    ok = F.array(F.struct(F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status")))
+    label = F.when(~F.exists(ok, lambda x: x["status"] == "ok"), "discovery").when(F.col("value") > 80, "pass").when(F.col("value") > 20, "partial").otherwise("gap")
+    return v.events.select("event_id", label.alias("stage"))
+
+
+@query("relative_time_text", """select event_id, cast(floor(date_diff('second', ts, timestamp '2024-02-10 00:00:00') / 86400) as bigint) as days,
+    case when floor(date_diff('second', ts, timestamp '2024-02-10 00:00:00') / 86400) = 1 then '1 day ago' else cast(cast(floor(date_diff('second', ts, timestamp '2024-02-10 00:00:00') / 86400) as bigint) as varchar) || ' days ago' end as txt from events""")
+def _(v):
+    days = F.floor(F.timestamp_diff("SECOND", F.date_trunc("second", "ts").cast("timestamp_ntz"), F.lit("2024-02-10 00:00:00").cast("timestamp_ntz")) / 86400)
+    return v.events.select("event_id", days.alias("days"), F.when(days == 1, "1 day ago").otherwise(F.concat(days.cast("string"), F.lit(" days ago"))).alias("txt"))
+
+
+@query("nested_detail_flatten", """select event_id, cast(json_extract(props, '$.k') as bigint) as k, upper(event_type[1]) || substr(event_type, 2) as kind, cast(json_extract(props, '$.k') as bigint) > 50 as flag from events""")
+def _(v):
+    p = F.from_json("props", "k long")
+    return v.events.select("event_id", p["k"].alias("k"), F.initcap("event_type").alias("kind"), (p["k"] > 50).alias("flag"))
+
+
+@query("json_columns", "select cast(json_extract(props, '$.k') as bigint) % 10 as bucket, count(*) as n from events group by 1")
+def _(v):
+    k = F.variant_get(F.parse_json("props"), "$.k", "long")
+    return v.events.groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("grounded_confidence", """with c as (select conv_id, turn, text, case when turn % 3 = 0 then 'high' else 'medium' end as conf, case when turn % 2 = 0 then 'a@' || conv_id || '.example.com' else 'bad address' end as addr from conversations where text <> '')
+    select conv_id, turn, case when regexp_matches(addr, '^[^@ ]+@[^@ ]+[.][a-z]{2,}$') then addr end as addr, case when conf = 'high' and conv_id % 2 = 0 then 'high' when conf = 'high' then 'medium' else conf end as conf from c""")
+def _(v):
+    c = v.conversations.filter("text <> ''").withColumns({"conf": F.when(F.col("turn") % 3 == 0, "high").otherwise("medium"), "addr": F.when(F.col("turn") % 2 == 0, F.concat(F.lit("a@"), F.col("conv_id").cast("string"), F.lit(".example.com"))).otherwise("bad address")})
+    same_site = F.col("conv_id") % 2 == 0
+    return c.select("conv_id", "turn", F.when(F.col("addr").rlike("^[^@ ]+@[^@ ]+[.][a-z]{2,}$"), F.col("addr")).alias("addr"), F.when((F.col("conf") == "high") & ~same_site, "medium").otherwise(F.col("conf")).alias("conf"))
+
+
