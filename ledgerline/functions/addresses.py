@@ -1 +1,167 @@
-"""."""
+"""Mail addresses: extraction, priority, blocked and personal ones, and what a page hides of them."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.plans.registry import query
+
+ADDRESS = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
+
+
+def extract_addresses(text: Column) -> Column:
+    """All addresses in first-seen order, trailing marks off, repeats (letter case aside) out."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), 0), lambda a: F.rtrim(a, F.lit(".,;:)-")))
+    low = F.transform(found, lambda a: F.lower(a))
+    return F.filter(found, lambda a, i: F.array_position(low, F.lower(a)) == i + 1)
+
+
+@query("extract_addresses", f"""with a as (select doc_id, rtrim(unnest(regexp_extract_all(text, '{ADDRESS}')), '.,;:)-') as addr, generate_subscripts(regexp_extract_all(text, '{ADDRESS}'), 1) as pos from documents)
+    select doc_id, addr from (select *, row_number() over (partition by doc_id, lower(addr) order by pos) as rn from a) t where rn = 1""")
+def _(v):
+    return v.documents.select("doc_id", F.explode(extract_addresses(F.col("text"))).alias("addr"))
+
+
+def addresses(v) -> DataFrame:
+    """Addresses of the documents and of the contacts, each once."""
+    a = v.documents.select(F.explode(extract_addresses(F.col("text"))).alias("addr"))
+    return a.union(v.contact.filter("addr is not null").select("addr")).distinct()
+
+
+ADDR_SQL = f"""with a as (select distinct addr from (select rtrim(unnest(regexp_extract_all(text, '{ADDRESS}')), '.,;:)-') as addr, text from documents) t union select addr from contact where addr is not null),
+    l as (select addr, lower(split_part(addr, '@', 1)) as loc, lower(split_part(addr, '@', 2)) as dom from a)"""
+
+OFFICE, RECRUIT, BLOCKED = ["office", "info", "contact"], ["recruit", "jobs"], ["iod", "gdpr", "privacy", "dpo"]
+
+
+def local(addr: Column) -> Column:
+    return F.lower(F.split(addr, "@")[0])
+
+
+def domain(addr: Column) -> Column:
+    return F.lower(F.get(F.split(addr, "@"), F.lit(1)))
+
+
+def _starts(c: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(c, w))
+
+
+def blocked(addr: Column) -> Column:
+    """A data-protection address: the local part without separators begins with a marker, or has one as a whole token."""
+    plain, tokens = F.regexp_replace(local(addr), "[^a-z0-9]", ""), F.split(local(addr), "[^a-z0-9]+")
+    return _starts(plain, BLOCKED) | F.arrays_overlap(tokens, F.array(*[F.lit(b) for b in BLOCKED]))
+
+
+BLOCKED_SQL = "(regexp_matches(regexp_replace(loc, '[^a-z0-9]', '', 'g'), '^(iod|gdpr|privacy|dpo)') or list_has_any(regexp_split_to_array(loc, '[^a-z0-9]+'), ['iod', 'gdpr', 'privacy', 'dpo']))"
+
+
+@query("blocked_address", ADDR_SQL + f" select addr, {BLOCKED_SQL} as blocked from l")
+def _(v):
+    return addresses(v).select("addr", blocked(F.col("addr")).alias("blocked"))
+
+
+def priority(addr: Column) -> Column:
+    """0 other, 1 office, 2 recruitment, 3 blocked."""
+    return F.when(blocked(addr), 3).when(_starts(local(addr), RECRUIT), 2).when(_starts(local(addr), OFFICE), 1).otherwise(0)
+
+
+@query("address_priority", ADDR_SQL + f" select addr, case when {BLOCKED_SQL} then 3 when regexp_matches(loc, '^(recruit|jobs)') then 2 when regexp_matches(loc, '^(office|info|contact)') then 1 else 0 end as prio from l")
+def _(v):
+    return addresses(v).select("addr", priority(F.col("addr")).alias("prio"))
+
+
+@query("campaign_tier", ADDR_SQL + f" select addr, case when {BLOCKED_SQL} then 3 when regexp_matches(loc, '^(recruit|jobs)') then 2 when regexp_matches(loc, '^(office|info|contact)') then 0 else 1 end as tier from l")
+def _(v):
+    p = priority(F.col("addr"))
+    return addresses(v).select("addr", F.when(p == 1, 0).when(p == 0, 1).otherwise(p).alias("tier"))
+
+
+@query("level_hint", ADDR_SQL + " select addr, case when regexp_matches(loc, '^office') then 'primary' when regexp_matches(loc, '^p[0-9]*[02468]$') then 'secondary' end as hint from l")
+def _(v):
+    return addresses(v).select("addr", F.when(local(F.col("addr")).rlike("^office"), "primary").when(local(F.col("addr")).rlike("^p[0-9]*[02468]$"), "secondary").alias("hint"))
+
+
+def personal(addr: Column, first: Column, last: Column) -> Column:
+    """Whether the local part is this person's: two tokens, one the first name or its initial and another the last name;
+    or one token of both."""
+    tokens = F.split(local(addr), "[^a-z0-9]+")
+    initial = F.substring(first, 1, 1)
+    is_first = lambda t: (t == first) | (t == initial)
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    two = F.exists(placed, lambda a: is_first(a["t"]) & F.exists(placed, lambda b: (b["t"] == last) & (b["i"] != a["i"])))
+    plain = F.element_at(tokens, 1)
+    one = (F.size(tokens) == 1) & (F.length(last) >= 4) & plain.isin(F.concat(initial, last), F.concat(first, last), F.concat(last, initial))
+    return two | one
+
+
+@query("personal_address", """with p as (select c_custkey as id, 'anna' as f, 'k' || cast(c_custkey as varchar) as l, case c_custkey % 5 when 0 then 'anna.k' || c_custkey when 1 then 'a_k' || c_custkey when 2 then 'annak' || c_custkey when 3 then 'k' || c_custkey || 'a' else 'other.name' end as loc from customer)
+    select id, case id % 5 when 0 then true when 1 then true when 2 then length(l) >= 4 when 3 then length(l) >= 4 else false end as personal from p""")
+def _(v):
+    k = F.col("c_custkey").cast("string")
+    last = F.concat(F.lit("k"), k)
+    m = F.col("c_custkey") % 5
+    loc = F.when(m == 0, F.concat(F.lit("anna.k"), k)).when(m == 1, F.concat(F.lit("a_k"), k)).when(m == 2, F.concat(F.lit("annak"), k)).when(m == 3, F.concat(F.lit("k"), k, F.lit("a"))).otherwise("other.name")
+    d = v.customer.select(F.col("c_custkey").alias("id"), F.concat(loc, F.lit("@x.example.com")).alias("addr"), F.lit("anna").alias("f"), last.alias("l"))
+    return d.select("id", personal(F.col("addr"), F.col("f"), F.col("l")).alias("personal"))
+
+
+@query("contact_quality", "select l_orderkey, l_linenumber, role, case when person is null and addr is null then 'failed' when person is null or addr is null or starts_with(addr, 'office') then 'partial' else 'verified' end as quality from contact")
+def _(v):
+    q = F.when(F.col("person").isNull() & F.col("addr").isNull(), "failed").when(F.col("person").isNull() | F.col("addr").isNull() | F.col("addr").startswith("office"), "partial").otherwise("verified")
+    return v.contact.select("l_orderkey", "l_linenumber", "role", q.alias("quality"))
+
+
+@query("deliverable_shape", ADDR_SQL + " select addr, regexp_matches(addr, '^[^@ ]+@[^@ ]+[.][A-Za-z]{2,}$') as ok from l")
+def _(v):
+    return addresses(v).select("addr", F.col("addr").rlike("^[^@ ]+@[^@ ]+[.][A-Za-z]{2,}$").alias("ok"))
+
+
+FREEMAIL = ["mail1.example.com", "mail2.example.com", "mail3.example.com"]
+
+
+@query("website_from_address", ADDR_SQL + " select addr, case when dom not in ('mail1.example.com', 'mail2.example.com', 'mail3.example.com') then 'http://' || dom end as site from l")
+def _(v):
+    return addresses(v).select("addr", F.when(~domain(F.col("addr")).isin(FREEMAIL), F.concat(F.lit("http://"), domain(F.col("addr")))).alias("site"))
+
+
+@query("one_person_mailbox", ADDR_SQL + " select addr, regexp_matches(loc, '^[a-z]([.][a-z]+|[a-z]*[.][a-z]{3,})$') and not regexp_matches(loc, '^(office|info|contact)') as personal from l")
+def _(v):
+    loc = local(F.col("addr"))
+    return addresses(v).select("addr", (loc.rlike("^[a-z]([.][a-z]+|[a-z]*[.][a-z]{3,})$") & ~_starts(loc, OFFICE)).alias("personal"))
+
+
+def recovered(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, addr, method): addresses that a page hides, one row each. xor: a hex attribute whose first byte is the key
+    of the rest; spelled: 'name (at) host [dot] tld' and the like; joined: string pieces of a script put together."""
+
+    def find(batches: Iterator) -> Iterator:
+        import re
+
+        import pyarrow as pa
+
+        xor, cloak = re.compile(r'data-cfemail="([0-9a-fA-F]+)"'), re.compile(r"""addr\w*\s*=\s*((?:'[^']*'\s*\+?\s*)+)""")
+        spelled = re.compile(r"([\w.+-]+)\s*(?:\(at\)|\[at\]| at )\s*([\w-]+)((?:\s*(?:\(dot\)|\[dot\]| dot )\s*[\w-]+)+)")
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for m in xor.finditer(t or ""):
+                    raw = bytes.fromhex(m[1][: len(m[1]) // 2 * 2])
+                    rows.append((i, bytes(x ^ raw[0] for x in raw[1:]).decode("utf-8", "replace"), "xor")) if raw else None
+                for m in spelled.finditer(t or ""):
+                    rows.append((i, f"{m[1]}@{m[2]}" + "".join("." + x for x in re.findall(r"(?:dot[)\]]?)\s*([\w-]+)", m[3])), "spelled"))
+                for m in cloak.finditer(t or ""):
+                    joined = "".join(re.findall(r"'([^']*)'", m[1]))
+                    if "@" in joined:
+                        rows.append((i, joined, "joined"))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[page, "addr", "method"])
+
+    return pages.select(F.col(page).cast("long").alias(page), html).mapInArrow(find, f"{page} long, addr string, method string")
+
+
+@query("recover_hidden_addresses")
+def _(v):
+    return recovered(v.pages)

@@ -1 +1,92 @@
-"""."""
+"""People's and organisations' names: order, sameness, patrons, display names, rule-driven morphology."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.plans.registry import query
+
+WORDS = ["small", "red", "blue", "hot", "old"]
+
+
+@query("name_order", """with w as (select p_partkey, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b from (select p_partkey, case when p_partkey % 2 = 0 then p_name else split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) end as p_name from part) t)
+    select p_partkey, case when a in ('small', 'red', 'blue') then a || ' ' || b when b in ('small', 'red', 'blue') then b || ' ' || a end as name from w""")
+def _(v):
+    known = F.broadcast(v.spark.createDataFrame([("small",), ("red",), ("blue",)], "forename string"))
+    w = F.split("p_name", " ")
+    d = v.part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, w[0]).otherwise(w[1]).alias("a"), F.when(F.col("p_partkey") % 2 == 0, w[1]).otherwise(w[0]).alias("b"))
+    return name_order(d, known).select("p_partkey", "name")
+
+
+def name_order(people: DataFrame, forenames: DataFrame) -> DataFrame:
+    """a b: as it is if a is a known forename, swapped if only b is, else unknown."""
+    one = people.join(forenames.withColumnRenamed("forename", "fa"), F.col("a") == F.col("fa"), "left").join(forenames.withColumnRenamed("forename", "fb"), F.col("b") == F.col("fb"), "left")
+    name = F.when(F.col("fa").isNotNull(), F.concat_ws(" ", "a", "b")).when(F.col("fb").isNotNull(), F.concat_ws(" ", "b", "a"))
+    return one.withColumn("name", name).drop("fa", "fb")
+
+
+def sorted_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(F.lower(F.trim(c)), " +")), " ")
+
+
+@query("same_person", """with p as (select p_partkey as k, p_name, split_part(p_name, ' ', 2) || ' ' || upper(split_part(p_name, ' ', 1)) as other from part)
+    select k, true as same, p_name = 'small ring' as ring from p""")
+def _(v):
+    w = F.split("p_name", " ")
+    other = F.concat(w[1], F.lit(" "), F.upper(w[0]))
+    return v.part.select(F.col("p_partkey").alias("k"), (sorted_words(F.col("p_name")) == sorted_words(other)).alias("same"), (sorted_words(F.col("p_name")) == sorted_words(F.lit("RING small"))).alias("ring"))
+
+
+def stem_match(words: Column, tokens: Column) -> Column:
+    """Every word shares all but its last letter with a token's beginning."""
+    return F.forall(words, lambda w: F.exists(tokens, lambda t: F.startswith(t, F.substring(w, F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))))))
+
+
+@query("patron_match", """select p_partkey, starts_with(p_type, 'ECONOM') or starts_with(p_type, 'STANDAR') as hit from part""")
+def _(v):
+    tokens = F.array("p_type")
+    return v.part.select("p_partkey", (stem_match(F.array(F.lit("ECONOMX")), tokens) | stem_match(F.array(F.lit("STANDARD")), tokens)).alias("hit"))
+
+
+@query("display_name", None)
+def _(v):
+    return display_names(v.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("city")))
+
+
+def display_names(rows: DataFrame) -> DataFrame:
+    """id, display, repeated: words in title case (short ones and numerals kept), the city put after a name that several
+    rows share, and whether even that doesn't tell them apart. Counts come by aggregation and are joined back."""
+    keep = F.array(*[F.lit(w) for w in ("I", "II", "III", "IV", "V", "VI")])
+    words = F.transform(F.split(F.trim("name"), " +"), lambda w: F.when(F.array_contains(keep, w), w).when(F.length(w) <= 2, F.lower(w)).otherwise(F.initcap(w)))
+    d = rows.withColumn("short", F.array_join(words, " "))
+    n = d.groupBy("short").agg(F.count("*").alias("n"))
+    d = d.join(n, "short").withColumn("display", F.when(F.col("n") > 1, F.concat("short", F.lit(", "), "city")).otherwise(F.col("short")))
+    m = d.groupBy("display").agg(F.count("*").alias("m"))
+    return d.join(m, "display").select("id", "display", (F.col("m") > 1).alias("repeated"))
+
+
+#: Dictionary forms, suffix rules (longest wins) and role phrases: small configuration tables.
+DICTIONARY = [("small", "smalle", "dictionary"), ("red", "rede", "dictionary")]
+SUFFIXES = [("ot", "ote"), ("t", "ta"), ("e", "ego")]
+
+
+def inflected(names: DataFrame, dictionary: DataFrame, suffixes: DataFrame, role: Column) -> DataFrame:
+    """name, form, quality: the dictionary first, then the longest suffix rule, else the role's phrase; never a guess."""
+    d = F.broadcast(dictionary.toDF("d_name", "d_form"))
+    s = F.broadcast(suffixes.toDF("suffix", "ending"))
+    ruled = names.select("name").distinct().join(s, F.endswith("name", "suffix")).groupBy(F.col("name").alias("r_name")).agg(F.max_by(F.struct("suffix", "ending"), F.length("suffix")).alias("r"))
+    by_rule = F.concat(F.substring("name", F.lit(1), F.length("name") - F.length("r.suffix")), F.col("r.ending"))
+    j = names.join(d, F.col("name") == F.col("d_name"), "left").join(ruled, F.col("name") == F.col("r_name"), "left")
+    quality = F.when(F.col("d_form").isNotNull(), "dictionary").when(F.col("r").isNotNull(), "rule").otherwise("role")
+    return j.select(*names.columns, F.coalesce("d_form", by_rule, role).alias("form"), quality.alias("quality"))
+
+
+@query("morphology_export", """with w as (select p_partkey, split_part(p_name, ' ', 1) as name from part)
+    select p_partkey, name, case when name = 'small' then 'smalle' when name = 'red' then 'rede' when ends_with(name, 'ot') then left(name, length(name) - 2) || 'ote' when ends_with(name, 't') then left(name, length(name) - 1) || 'ta'
+      when ends_with(name, 'e') then left(name, length(name) - 1) || 'ego' else 'the head' end as form,
+      case when name in ('small', 'red') then 'dictionary' when ends_with(name, 't') or ends_with(name, 'e') then 'rule' else 'role' end as quality from w""")
+def _(v):
+    names = v.part.select("p_partkey", F.split("p_name", " ")[0].alias("name"))
+    dictionary = v.spark.createDataFrame([d[:2] for d in DICTIONARY], "name string, form string")
+    return inflected(names, dictionary, v.spark.createDataFrame(SUFFIXES, "suffix string, ending string"), F.lit("the head"))

@@ -1 +1,145 @@
-"""."""
+"""Urls and links: hosts, dedup keys, link tiers and choices."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerline.plans.registry import query
+
+HOST = "^[a-z]+://([^/:?#]+)"
+#: Second-level suffixes under which a third label is registered, and languages that lead a path (fixed values).
+SECOND_LEVEL = ["com", "org", "net", "edu", "gov", "co", "info", "waw", "edu"]
+LANGUAGES = ["en", "fr", "de", "es", "pl"]
+
+
+def host(url: Column) -> Column:
+    """The host in lower case without port and www."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), "^www[.]", "")
+
+
+HOST_SQL = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www[.]', '')"
+
+
+def registrable(h: Column) -> Column:
+    """The last two labels, or three if the second-last is a suffix that names are registered under."""
+    p = F.split(h, r"\.")
+    n = F.size(p)
+    take = F.when((n > 2) & F.get(p, n - 2).isin(SECOND_LEVEL), 3).otherwise(2)
+    return F.array_join(F.slice(p, F.greatest(n - take + 1, F.lit(1)), n), ".")
+
+
+@query("registrable_domain", f"""with h as (select page_id, string_split({HOST_SQL}, '.') as p from pages) select page_id, array_to_string(list_slice(p, greatest(len(p) - case when len(p) > 2 and p[len(p) - 1] in ('com', 'org', 'net', 'edu', 'gov', 'co', 'info', 'waw') then 3 else 2 end + 1, 1), len(p)), '.') as dom from h""")
+def _(v):
+    return v.pages.select("page_id", registrable(host(F.col("url"))).alias("dom"))
+
+
+def dedup_key(url: Column) -> Column:
+    """Scheme, www, fragment, language segment, trailing slash and tracking parameters off; the others sorted."""
+    bare = F.regexp_replace(url, "#.*$", "")
+    path = F.regexp_extract(bare, "^[a-z]+://[^/?]+([^?]*)", 1)
+    path = F.regexp_replace(F.regexp_replace(path, "^/(" + "|".join(LANGUAGES) + ")(/|$)", "/"), "/$", "")
+    params = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
+    kept = F.array_sort(F.filter(params, lambda p: (p != "") & ~p.startswith("utm_") & ~p.startswith("ref=")))
+    return F.concat(host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
+@query("url_dedup_key", f"""with b as (select page_id, url, regexp_replace(url, '#.*$', '') as bare from pages), p as (select page_id, {HOST_SQL} as h, regexp_replace(regexp_replace(regexp_extract(bare, '^[a-z]+://[^/?]+([^?]*)', 1), '^/(en|fr|de|es|pl)(/|$)', '/'), '/$', '') as path,
+      list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '' and not starts_with(x, 'utm_') and not starts_with(x, 'ref='))) as kept from b)
+    select page_id, h || path || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as key from p""")
+def _(v):
+    return v.pages.select("page_id", dedup_key(F.col("url")).alias("key"))
+
+
+@query("host_variant_match", """with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as h from pages), k as (select distinct 'www.' || h as known from h union select distinct h from h where h like 'm.%'),
+    x as (select page_id, h as cand from h union select page_id, 'www.' || h from h union select page_id, regexp_replace(h, '^www[.]', '') from h)
+    select distinct page_id, known from x join k on known = cand""")
+def _(v):
+    raw = F.lower(F.regexp_extract("url", HOST, 1))
+    h = v.pages.select("page_id", raw.alias("h"))
+    known = h.select(F.concat(F.lit("www."), "h").alias("known")).union(h.filter("h like 'm.%'").select("h")).distinct()
+    variants = F.array_distinct(F.array("h", F.concat(F.lit("www."), "h"), F.regexp_replace("h", "^www[.]", "")))
+    return h.select("page_id", F.explode(variants).alias("known")).join(known, "known", "left_semi").select("page_id", "known").distinct()
+
+
+@query("level_subdomain", f"select page_id, regexp_matches({HOST_SQL}, '^(m|shop|blog)[.][^.]+[.]') as coded, case when regexp_matches({HOST_SQL}, '^(m|shop|blog)[.]') then split_part({HOST_SQL}, '.', 1) end as code from pages")
+def _(v):
+    h = host(F.col("url"))
+    return v.pages.select("page_id", h.rlike("^(m|shop|blog)[.][^.]+[.]").alias("coded"), F.when(h.rlike("^(m|shop|blog)[.]"), F.split(h, r"\.")[0]).alias("code"))
+
+
+@query("city_stem_check", """with t as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, url, html from pages) select page_id, case when length(title) < 4 then true else contains(lower(url), substr(title, 1, 3)) or contains(lower(html), substr(title, 1, 4)) end as ok from t""")
+def _(v):
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return v.pages.select("page_id", F.when(F.length(title) < 4, True).otherwise(F.contains(F.lower("url"), F.substring(title, 1, 3)) | F.contains(F.lower("html"), F.substring(title, 1, 4))).alias("ok"))
+
+
+MEDIA = r"[.](jpg|jpeg|png|gif|pdf|mp4|svg)$"
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, href, label): all anchors in order."""
+    found = F.arrays_zip(F.regexp_extract_all("html", F.lit('<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>'), 1).alias("href"), F.regexp_extract_all("html", F.lit('<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>'), 2).alias("label"))
+    return pages.select("page_id", "url", F.posexplode(found).alias("p", "a")).select("page_id", "url", (F.col("p") + 1).cast("long").alias("pos"), F.col("a")["href"].alias("href"), F.col("a")["label"].alias("label"))
+
+
+LINKS_SQL = """with l as (select page_id, url, unnest(regexp_extract_all(html, '<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as label,
+      generate_subscripts(regexp_extract_all(html, '<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) as pos from pages)"""
+
+#: Keyword to tier of a link; the lowest tier of a link counts.
+TIERS = {"the": 0, "der": 0, "of": 1, "la": 1, "and": 2, "die": 2}
+
+
+@query("link_tiers", LINKS_SQL + r""", t as (select l.*, least(case when contains(lower(href || ' ' || label), 'the') or contains(lower(href || ' ' || label), 'der') then 0 end, case when contains(lower(href || ' ' || label), 'of') or contains(lower(href || ' ' || label), 'la') then 1 end,
+      case when contains(lower(href || ' ' || label), 'and') or contains(lower(href || ' ' || label), 'die') then 2 end) as tier from l where not regexp_matches(lower(href), '[.](jpg|jpeg|png|gif|pdf|mp4|svg)$'))
+    select page_id, href, min(tier) as tier, min(pos) as pos from t where tier is not null group by 1, 2""")
+def _(v):
+    table = F.broadcast(v.spark.createDataFrame(list(TIERS.items()), "word string, tier int"))
+    own = links(v.pages).filter(~F.lower("href").rlike(MEDIA)).withColumn("both", F.lower(F.concat("href", F.lit(" "), "label")))
+    return own.join(table, F.contains("both", "word")).groupBy("page_id", "href").agg(F.min("tier").alias("tier"), F.min("pos").alias("pos"))
+
+
+@query("candidate_links", LINKS_SQL + """, d as (select page_id, href, min(pos) as pos from l where not regexp_matches(lower(href), '[.](jpg|jpeg|png|gif|pdf|mp4|svg)$') and not contains(href, 'ad.') group by 1, 2)
+    select page_id, href from (select *, row_number() over (partition by page_id order by pos) as rn from d) t where rn <= 120""")
+def _(v):
+    return candidate_links(v.pages, 120)
+
+
+def candidate_links(pages: DataFrame, most: int) -> DataFrame:
+    """Each page's first links, media and noise hosts out, repeats out."""
+    own = links(pages).filter(~F.lower("href").rlike(MEDIA) & ~F.contains("href", F.lit("ad.")))
+    once = own.groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
+    return once.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("rn") <= most).select("page_id", "href")
+
+
+@query("hub_page", LINKS_SQL + """, c as (select page_id, count(*) as n from l group by 1) select c.page_id, n from c join pages p on p.page_id = c.page_id where n <= 6 and length(html) <= 3000""")
+def _(v):
+    n = links(v.pages).groupBy("page_id").agg(F.count("*").alias("n"))
+    return n.filter("n <= 6").join(v.pages.filter(F.length("html") <= 3000).select("page_id"), "page_id")
+
+
+@query("injected_picker", LINKS_SQL + """, o as (select distinct page_id, href from l) select o.page_id, o.href from o join (select page_id, min(href) as href from o group by 1) p on p.page_id = o.page_id and p.href = o.href""")
+def _(v):
+    offered = links(v.pages).select("page_id", "href").distinct()
+    answer = lambda d: d.groupBy("page_id").agg(F.min("href").alias("href")).union(d.sparkSession.createDataFrame([(0, "/not-offered")], "page_id long, href string"))
+    return picked(offered, answer)
+
+
+def picked(offered: DataFrame, picker) -> DataFrame:
+    """What the caller's picker (DataFrame to DataFrame) chose, cut to what it was offered."""
+    return offered.join(picker(offered).select("page_id", "href").distinct(), ["page_id", "href"], "left_semi")
+
+
+@query("media_links", LINKS_SQL + """, m as (select page_id, href, min(pos) as pos from l where strpos(href, '/') > 0 group by 1, 2) select page_id, string_agg(href, ' ' order by pos) as media from (select *, row_number() over (partition by page_id order by pos) as rn from m) t where rn <= 10 group by 1""")
+def _(v):
+    found = F.regexp_extract_all("html", F.lit('<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>'), 1)
+    first = F.slice(F.array_distinct(F.filter(found, lambda h: F.contains(h, F.lit("/")))), 1, 10)
+    return v.pages.select("page_id", F.array_join(first, " ").alias("media")).filter("media <> ''")
+
+
+def sitemap_select(sitemaps: DataFrame, keyword: str, most: int = 25) -> DataFrame:
+    """(site, url): the <loc> urls of the site's own domain, those with the keyword first, then in order."""
+    locs = sitemaps.select("site", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("pos", "url"))
+    own = locs.filter(registrable(host(F.col("url"))) == registrable(F.col("site")))
+    w = Window.partitionBy("site").orderBy(F.contains("url", F.lit(keyword)).desc(), "pos")
+    return own.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).select("site", "url", "rn")
