@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.plans.registry import query
@@ -279,3 +281,42 @@ def _(v):
     return c.select("conv_id", "turn", F.when(F.col("addr").rlike("^[^@ ]+@[^@ ]+[.][a-z]{2,}$"), F.col("addr")).alias("addr"), F.when((F.col("conf") == "high") & ~same_site, "medium").otherwise(F.col("conf")).alias("conf"))
 
 
+
+
+def role_windows(pages: DataFrame, words: list[str], key: str = "doc_id", text: str = "text", head: int = 6000, span: int = 500, most: int = 8000) -> DataFrame:
+    """(key, text): texts over `most` characters cut to their first `head` characters and windows of `span` around role
+    words, those that a capitalised word follows first, merged where they meet, until the budget is used."""
+
+    def cut(batches: Iterator) -> Iterator:
+        import re
+
+        import pyarrow as pa
+
+        role = re.compile("|".join(map(re.escape, words)))
+
+        def one(t: str | None) -> str | None:
+            if t is None or len(t) <= most:
+                return t
+            kept = [(0, head)]
+            marks = sorted((0 if re.match(r"\W{0,3}\w*\W{1,3}[A-Z]", t[m.end() : m.end() + 40]) else 1, m.start()) for m in role.finditer(t, head))
+            for _, at in marks:
+                spans = sorted([*kept, (max(0, at - span), min(len(t), at + span))])
+                merged = [spans[0]]
+                for a, z in spans[1:]:
+                    if a <= merged[-1][1]:
+                        merged[-1] = (merged[-1][0], max(merged[-1][1], z))
+                    else:
+                        merged.append((a, z))
+                if sum(z - a for a, z in merged) <= most:
+                    kept = merged
+            return "\n".join(t[a:z] for a, z in kept)
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in b.column(1).to_pylist()], pa.string())], names=[key, text])
+
+    return pages.select(F.col(key).cast("long").alias(key), text).mapInArrow(cut, f"{key} long, {text} string")
+
+
+@query("role_window_truncate", None)
+def _(v):
+    return role_windows(v.documents, ["License", "hahaha", "the the"]).select("doc_id", F.length("text").alias("n"))

@@ -1 +1,150 @@
-"""."""
+"""The append-only log as a stream, and what is kept up to date from it. Each stream ends in the state that its batch
+operator gives for the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ledgerline.operators.joins import last_activity, stale
+from ledgerline.operators.ranking import latest_event, next_candidates
+from ledgerline.plans.registry import query
+from ledgerline.plans.shipping import ship
+from ledgerline.plans.views import EVENTS_AS_OF
+from ledgerline.streaming.slots import FIELDS, SCHEMA, fold_iterator, slot_state
+
+LOG = "event_id long, id long, event_type string, ts timestamp, value double"
+
+
+def log_stream(spark: SparkSession, path: str, schema: str = LOG, files: int | None = None) -> DataFrame:
+    """New files of the log folder as a stream."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+def activity_state(log: DataFrame, late: str = "7 days") -> DataFrame:
+    """Latest event and last activity per entity, each event once, in update mode; batch: latest_event and last_activity."""
+    once = log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return once.groupBy("id").agg(F.max("ts").alias("last_ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+
+
+@query("activity_stream_state", """with l as (select id, event_type, ts, row_number() over (partition by id order by ts desc, event_id desc) as rn from activity_log) select id, event_type, ts as last_ts from l where rn = 1""")
+def _(v):
+    # the batch form of the stream's state
+    return latest_event(v.activity_log).join(last_activity(v.activity_log), "id").select("id", "event_type", "last_ts")
+
+
+class StaleTimer(StatefulProcessor):
+    """A row for an entity that had no event for so many days of event time; each event sets the timer anew."""
+
+    def __init__(self, days: int):
+        self.wait = days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(b["ts"].max().timestamp() * 1000) for b in rows)
+        if not self.last.exists() or self.last.get()[0] < newest:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.last.update((newest,))
+            self.handle.registerTimer(newest + self.wait)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"id": [key[0]], "last_ms": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_stream(log: DataFrame, days: int = 14, late: str = "1 hour") -> DataFrame:
+    """(id, last_ms) whenever an entity has been idle for so many days of event time."""
+    ship(log.sparkSession)
+    timed = log.select("id", "ts").withWatermark("ts", late)
+    return timed.groupBy("id").transformWithStateInPandas(StaleTimer(days), "id long, last_ms long", "Append", "EventTime")
+
+
+@query("stale_timer", f"""with l as (select id, max(ts) as last_ts from activity_log group by id) select q.id, l.last_ts from queue q left join l on l.id = q.id
+    where q.stage not in ('won', 'lost') and (l.last_ts is null or l.last_ts < timestamp '{EVENTS_AS_OF}' - interval 10 days)""")
+def _(v):
+    return stale(v.queue.filter(~F.col("stage").isin("won", "lost")), v.activity_log, EVENTS_AS_OF, 10)
+
+
+def interval_batch(ticks: DataFrame, scored: DataFrame, attempts: Callable[[], DataFrame], run: Callable[[DataFrame], None], n: int, enabled: Callable[[], bool], checkpoint: str) -> StreamingQuery:
+    """For each micro-batch of ticks the next n candidates go to `run`, unless disabled."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        if enabled() and not batch.isEmpty():
+            run(next_candidates(scored, attempts(), n))
+
+    return ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@query("interval_batch", """select id, total from (select r.*, row_number() over (order by total desc nulls last, id) as n from scored r where is_active and not is_adult and specialty is null and id not in (select id from activity_log)) t where n <= 10""")
+def _(v):
+    return next_candidates(v.scored, v.activity_log, 10).select("id", "total")
+
+
+@query("host_throttle", """with g as (select *, lag(ts) over (partition by id order by ts, event_id) as prev, sum(case when event_type = 'error' then 1 else 0 end) over (partition by id order by ts, event_id rows unbounded preceding) as strikes from activity_log),
+    e as (select *, case when event_type = 'error' then ts + to_seconds(cast(300 * power(2, least(strikes, 12) - 1) as bigint)) end as rest from g),
+    r as (select *, max(rest) over (partition by id order by ts, event_id rows between unbounded preceding and 1 preceding) as rest_until from e)
+    select event_id, id, coalesce(date_diff('second', prev, ts) < 60, false) as too_soon, strikes, coalesce(ts < rest_until, false) as suppressed from r""")
+def _(v):
+    return host_throttle(v.activity_log, 60)
+
+
+def host_throttle(log: DataFrame, gap: int = 1, base: int = 300) -> DataFrame:
+    """Per host (id): whether a request came too soon after the last, how often it was blocked so far, and whether it fell
+    into a rest, which is base * 2 ** (n - 1) seconds after the n-th block (from the 12th on as long as then)."""
+    by = Window.partitionBy("id").orderBy("ts", "event_id")
+    so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    d = log.withColumns({"prev": F.lag("ts").over(by), "strikes": F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(so_far)})
+    rest = F.when(F.col("event_type") == "error", F.timestamp_add("SECOND", (base * F.pow(F.lit(2.0), F.least("strikes", F.lit(12)) - 1)).cast("int"), F.col("ts")))
+    d = d.withColumn("rest", rest).withColumn("rest_until", F.max("rest").over(before))
+    sec = lambda c: F.date_trunc("second", c).cast("timestamp_ntz")
+    soon = F.timestamp_diff("SECOND", sec("prev"), sec("ts")) < gap
+    return d.select("event_id", "id", F.coalesce(soon, F.lit(False)).alias("too_soon"), "strikes", F.coalesce(F.col("ts") < F.col("rest_until"), F.lit(False)).alias("suppressed"))
+
+
+class SlotFold(StatefulProcessor):
+    """The slot rule over a stream: one state row for each (entity, role), emitted after every batch that touches it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = dict(zip(FIELDS, self.held.get())) if self.held.exists() else None
+        held = fold_iterator(rows, before)
+        self.held.update(tuple(held[k] for k in FIELDS))
+        yield pd.DataFrame([held], columns=FIELDS)
+
+    def close(self) -> None:
+        pass
+
+
+def slot_stream(records: DataFrame) -> DataFrame:
+    ship(records.sparkSession)
+    return records.select(*FIELDS).groupBy("id", "role").transformWithStateInPandas(SlotFold(), SCHEMA, "Update", "None")
+
+
+def slot_records(v) -> DataFrame:
+    return v.contact.select("id", "role", "person", "addr", F.unix_seconds(F.col("captured_at").cast("timestamp")).alias("seen"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+
+
+@query("slot_upsert")
+def _(v):
+    return slot_state(slot_records(v))
+
+
+@query("slot_fold_stream")
+def _(v):
+    return slot_state(slot_records(v)).groupBy("role").agg(F.count("*").alias("slots"), F.count("person").alias("named"), F.count("addr").alias("reachable"))
