@@ -33,23 +33,29 @@ from .graph import components, forest
 
 @dataclass(frozen=True)
 class SimHash:
-    """words: of a shingle. tables fingerprints of `bits` bits each; two link if one of them differs in at most
-    `radius` bits (even) and, where there is a check fingerprint of 64 bits, that differs in at most `check` bits."""
+    """words: of a shingle; with distinct, a shingle that a text repeats counts once. tables fingerprints of `bits` bits
+    each; two link if one of them differs in at most `radius` bits (even) and, where there are check words of 64 bits,
+    those differ in at most `check` bits altogether."""
 
     words: int = 5
-    tables: int = 8
+    distinct: bool = True
+    tables: int = 12
     bits: int = 40
     radius: int = 4
-    check: int | None = 17
-    #: Slices each table's variants are dealt into (a power of two), and variants made at a time within one.
-    slices: int = 4
+    check_words: int = 4
+    check: int = 60
+    #: Slices each table's variants are dealt into (a power of two), and variants made at a time within one. A slice
+    #: gets the fingerprints that have a variant in it: all of them while slices are few, the share
+    #: variants / slices once they are more than the variants of one fingerprint. Raise them with the corpus.
+    slices: int = 2
     block: int = 1 << 22
 
 
 #: One 64-bit fingerprint, linked at 4 bits or fewer.
-EXACT = SimHash(words=4, tables=1, bits=64, radius=4, check=None, slices=16)
+EXACT = SimHash(words=4, distinct=False, tables=1, bits=64, radius=4, check_words=0, slices=16)
 #: Five words and similarity 0.8: then fingerprints differ in 15 % of the bits on average, 6 of 40, with a spread that
-#: lets 26 % come within 4; of 8 tables at least one does in over nine of ten cases, and at 0.85 in 99 of 100.
+#: lets 26 % come within 4; of 12 tables at least one does in 97 of 100 cases, and at 0.85 in 999 of 1000. The check words
+#: then differ in 39 of 256 bits, give or take 6; 60 is what a similarity of 0.6 has on average.
 NEAR = SimHash()
 
 
@@ -67,13 +73,16 @@ def shingle_hashes(text: bytes, p: SimHash) -> np.ndarray:
     if p.tables == 1:
         h = xxhash.xxh64_intdigest
         return np.array([h(line[a:z], 42) for a, z in spans], "<u8").view(np.uint8).reshape(-1, 8)
-    h, seeds = xxhash.xxh3_128_digest, range(1, 1 + -(-(p.tables * p.bits + 64) // 128))
+    h, seeds = xxhash.xxh3_128_digest, range(1, 1 + -(-(p.tables * p.bits + 64 * p.check_words) // 128))
     data = b"".join([h(line[a:z], s) for a, z in spans for s in seeds])
-    return np.frombuffer(data, np.uint8).reshape(-1, 16 * len(seeds))
+    rows = np.frombuffer(data, np.uint8).reshape(-1, 16 * len(seeds))
+    if p.distinct:
+        rows = rows[np.unique(rows[:, :8].copy().view("<u8").ravel(), return_index=True)[1]]
+    return rows
 
 
 def fingerprint(text: bytes, p: SimHash) -> np.ndarray:
-    """tables words of 64 bits (and a check word): bit i is set if it is set in over half of the shingles' hashes."""
+    """tables words of 64 bits (and the check words): bit i is set if it is set in over half of the shingles' hashes."""
     h = shingle_hashes(text, p)
     width = h.shape[1] * 8
     ones = np.zeros(width, np.int64)
@@ -82,10 +91,11 @@ def fingerprint(text: bytes, p: SimHash) -> np.ndarray:
     bits = (ones * 2 > len(h)).astype(np.uint8)
     if p.tables == 1:
         return np.packbits(bits, bitorder="little").view("<u8")
-    key = np.zeros((p.tables + 1, 64), np.uint8)
+    key = np.zeros((p.tables + p.check_words, 64), np.uint8)
     if len(h):
-        key[: p.tables, : p.bits] = bits[: p.tables * p.bits].reshape(p.tables, p.bits)
-        key[p.tables] = bits[p.tables * p.bits : p.tables * p.bits + 64]
+        own, rest = p.tables * p.bits, 64 * p.check_words
+        key[: p.tables, : p.bits] = bits[:own].reshape(p.tables, p.bits)
+        key[p.tables :] = bits[own : own + rest].reshape(p.check_words, 64)
     return np.packbits(key, axis=1, bitorder="little").reshape(-1).view("<u8")
 
 
@@ -116,7 +126,7 @@ def code(v: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def collisions(keys: np.ndarray, checks: np.ndarray | None, target: int, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
+def collisions(keys: np.ndarray, checks: np.ndarray, target: int, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
     """Links (places of keys) whose common variant's code ends in `target`; each group as a star around its firsts."""
     n, masks = len(keys), flips(p.bits, p.radius // 2)
     low = p.slices.bit_length() - 1
@@ -150,7 +160,9 @@ def collisions(keys: np.ndarray, checks: np.ndarray | None, target: int, p: SimH
         while len(group):
             first = np.concatenate(([True], group[1:] != group[:-1]))
             pivot = member[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            near = np.ones(len(group), bool) if checks is None else np.bitwise_count(checks[pivot] ^ checks[member]) <= p.check
+            near = np.ones(len(group), bool)
+            if p.check_words:
+                near = np.bitwise_count(checks[pivot] ^ checks[member]).sum(axis=1, dtype=np.int64) <= p.check
             link = near & (pivot != member)
             pair = np.unique(pivot[link] * n + member[link])
             left.append(pair // n)
@@ -163,18 +175,24 @@ def collisions(keys: np.ndarray, checks: np.ndarray | None, target: int, p: SimH
 def links(nodes: DataFrame, p: SimHash) -> DataFrame:
     """Edges (a, b) between nodes(rep, fp) that join all that link, a forest from each slice."""
     ship(nodes.sparkSession)
-    total, words = p.tables * p.slices, 3 if p.check is not None else 2
+    total, words = p.tables * p.slices, 2 + p.check_words
+    reach = np.unique(code(flips(p.bits, p.radius // 2), p.slices.bit_length() - 1))  # codes of slices, as seen from code 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").reshape(b.num_rows, -1)
                 rep = np.asarray(b.column("rep")).astype("<i8").view("<u8")
-                cells = []
+                slices, cells = [], []
                 for t in range(p.tables):
-                    cols = [rep, fp[:, t]] + [fp[:, -1]] * (words == 3)
-                    cells += [np.stack(cols, axis=1).astype("<u8").tobytes()] * p.slices
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total, dtype=np.int32)), pa.array(cells, pa.binary())], names=["slice", "rows"])
+                    rows = np.column_stack([rep, fp[:, t], fp[:, p.tables :]]).astype("<u8")
+                    own = code(fp[:, t].astype(np.uint64), p.slices.bit_length() - 1)
+                    for s in range(p.slices):
+                        here = np.isin(own ^ s, reach)
+                        if here.any():
+                            slices.append(t * p.slices + s)
+                            cells.append(rows[here].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(cells, pa.binary())], names=["slice", "rows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -184,8 +202,7 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
         for s in sorted(held):
             rows = np.unique(np.frombuffer(b"".join(held.pop(s)), "<u8").reshape(-1, words), axis=0)
             reps, keys = rows[:, 0].astype("<u8").view("<i8"), rows[:, 1]
-            # equal keys of one table meet at their own variant too, but needn't: one of them stands for all
-            x, y = collisions(keys, rows[:, 2] if words == 3 else None, s % p.slices, p)
+            x, y = collisions(keys, rows[:, 2:], s % p.slices, p)
             a, z = forest(reps[x], reps[y])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
 
