@@ -104,6 +104,7 @@ def text_search(df: DataFrame, q: str, columns: Iterable[str], most: int | None
         return df.limit(0)
     hit = reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{q}%") for c in columns])
     found = df.filter(hit)
+    order = list(order) or [F.asc(c) for c in columns]
     return found.orderBy(*order).limit(most) if most else found
 
 
