@@ -87,6 +87,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+
+def quality_sql() -> str:
+    """The rules of op10 in SQL; the words and references come from the rules themselves."""
+    r = quality.QualityRules()
+    q = [(lang, w, r.first / (k + 1) ** r.slope) for lang, words in r.frequent.items() for k, w in enumerate(words.split())]
+    rows = ", ".join(f"('{lang}', '{w}', {x!r}::double)" for lang, w, x in q)
+    longest = max(len(w.encode()) for _, w, _ in q) + 2
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    half = lambda a, b: f"case when {a} > 0 then {a} * log2(2 * ({a}) / (({a}) + ({b}))) else 0 end"
+    names = ["white", "upper", "letters", "digits", "marks", "odd"]
+    classes = " + ".join(f"{half(f'({n} / chars)', repr(c))} + {half(repr(c), f'({n} / chars)')}" for n, c in zip(names, r.classes))
+    count = lambda pattern: f"(length(rest) - length(regexp_replace(rest, '{pattern}', '', 'g')))::double"
+    spaces, capitals, numbers, marks = r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{Nd}+", r"""[.,;:!?''"()\-]+"""
+    return rf"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        w as (select doc_id, t, case when trim(t, {white}) = '' then [] else regexp_split_to_array(trim(t, {white}), '{spaces}') end as words,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+                     regexp_replace(t, '[\p{{Ll}}\p{{Lo}}\p{{M}}]+', '', 'g') as rest from d),
+        win as (select doc_id, i, array_to_string(list_slice(words, i, i + {r.window - 1}), ' ') as x from (select doc_id, words, unnest(range(1, len(words) - {r.window - 2})) as i from w) u),
+        rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, x) as n from win) c where n > 1),
+        cov as (select doc_id, cast(sum(least({r.window}, coalesce(nxt - i, {r.window}))) as bigint) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from rep) z group by 1),
+        ref(lang, word, q) as (values {rows}),
+        lang as (select lang, sum(q) as total from ref group by 1),
+        own as (select doc_id, lower(trim(x, '.,;:!?')) as word, count(*)::double as c from (select doc_id, unnest(words) as x from w) u where strlen(x) <= {longest} group by 1, 2),
+        hit as (select o.doc_id, f.lang, sum(o.c / len(w.words)) as share, sum({half("(o.c / len(w.words))", "f.q")} + {half("f.q", "(o.c / len(w.words))")} - f.q) as part
+                from own o join ref f on f.word = o.word join w on w.doc_id = o.doc_id group by 1, 2),
+        far as (select w.doc_id, l.lang, coalesce(h.share, 0) as share, coalesce(h.part, 0) + l.total as part, l.total from w cross join lang l left join hit h on h.doc_id = w.doc_id and h.lang = l.lang),
+        freq as (select doc_id, least(1.0, min(sqrt(greatest(0, (part + {half("(1 - share)", "(1 - total)")} + {half("(1 - total)", "(1 - share)")}) / 2)))) as dist from far group by 1),
+        cls as (select doc_id, length(t)::double as chars, {count(spaces)} as white, {count(capitals)} as upper, (length(t) - length(rest))::double as letters, {count(numbers)} as digits,
+                       {count(marks)} as marks, length(rest)::double as other from w),
+        cd as (select doc_id, sqrt(greatest(0, ({classes}) / 2)) as dist from (select *, other - white - upper - digits - marks as odd from cls) k),
+        b as (select w.doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+                     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, cd.dist as cdist, freq.dist as fdist
+              from w left join cov on cov.doc_id = w.doc_id join cd on cd.doc_id = w.doc_id join freq on freq.doc_id = w.doc_id),
+        v as (select *, n_words < {r.least_words} or 100 * n_repeat_words > {r.most_repeated} * n_words as base_failed from b)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (n_words >= {r.class_words} and cdist > {r.class_distance} + {r.class_slack} / n_words)
+               and not (n_words >= {r.frequent_words} and fdist > {r.frequent_distance} + {r.frequent_slack} / n_words) as kept from v"""
+
+
 ORACLE: dict[str, str] = {
     "op8_chat": """
         with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -116,4 +155,5 @@ ORACLE: dict[str, str] = {
               from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op10_quality": quality_sql(),
 }

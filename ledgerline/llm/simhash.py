@@ -226,8 +226,9 @@ def near_duplicates(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
 def first_of_each(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
     """The documents without near duplicates: the one with the smallest id of each component stays, with all its columns.
 
-    Rows without a document id stay. Rows that repeat a document id stay together.
+    Rows without a document id stay. Rows that repeat a document id stay or go together; they go if all of them are in
+    components of smaller ids. Wordless texts are copies of each other.
     """
-    found = near_duplicates(docs, p)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = near_duplicates(docs, p).filter("doc_id is not null")
+    gone = found.groupBy(F.col("doc_id").alias("gone")).agg(F.bool_and(F.col("component_id") < F.col("doc_id")).alias("all")).filter("all")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
