@@ -143,3 +143,11 @@ def sitemap_select(sitemaps: DataFrame, keyword: str, most: int = 25) -> DataFra
     own = locs.filter(registrable(host(F.col("url"))) == registrable(F.col("site")))
     w = Window.partitionBy("site").orderBy(F.contains("url", F.lit(keyword)).desc(), "pos")
     return own.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).select("site", "url", "rn")
+
+
+@query("sitemap_select", f"""with h as (select page_id, url, {HOST_SQL} as site from pages where not contains(url, '&')), s as (select site, url, row_number() over (partition by site order by case when contains(url, '/en/') then 0 else 1 end, url) as rn from h)
+    select site, url, cast(rn as int) as rn from s where rn <= 25""")
+def _(v):
+    own = v.pages.filter(~F.contains("url", F.lit("&"))).select(host(F.col("url")).alias("site"), "url")
+    maps = own.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))), "\n").alias("xml"))
+    return sitemap_select(maps, "/en/")

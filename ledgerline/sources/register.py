@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +161,29 @@ def last_rows(rows: DataFrame, key: str, place: str) -> DataFrame:
     """In-file repeats: the last row of a key, by its place in the file."""
     w = Window.partitionBy(key).orderBy(F.desc(place))
     return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def spare_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("register_csv_scan", """select cast(c_custkey as varchar) as rspo_id, case when c_custkey % 6 = 0 then null else 'A "quoted", ' || c_name end as name, c_mktsegment as type, cast(c_nationkey as varchar) as region, cast(null as varchar) as website from customer""")
+def _(v):
+    own = v.customer.select(F.col("c_custkey").cast("string").alias("rspo_id"), F.when(F.col("c_custkey") % 6 != 0, F.concat(F.lit('A "quoted", '), "c_name")).alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_nationkey").cast("string").alias("region"))
+    path = spare_path(v.spark, "register-csv")
+    own.write.csv(path, header=True, quote='"', escape='"')
+    return csv_scan(v.spark, path, ["rspo_id", "name", "type", "region", "website"])
+
+
+@query("portal_csv_adapter", """select cast(c_custkey as varchar) as rspo_id, c_name as name, case c_nationkey % 4 when 0 then 'M' when 1 then 'W' when 2 then 'MW' else 'M' end as commune_type,
+    case when c_nationkey % 4 = 3 then 'district ' || c_mktsegment else 'commune ' || c_nationkey end as commune from customer where c_custkey % 8 <> 0""")
+def _(v):
+    k = F.col("c_custkey").cast("string")
+    digit = F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit("3"), F.lit("8")), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    own = v.customer.select(F.concat(F.lit('="'), k, F.lit('"')).alias("Numer RSPO"), F.col("c_name").alias("Nazwa"), F.concat(F.lit("district "), "c_mktsegment").alias("Powiat"), F.concat(F.lit("commune "), F.col("c_nationkey").cast("string")).alias("Gmina"),
+                            F.concat(F.lit("101201"), digit).alias("Kod terytorialny"), F.when(F.col("c_custkey") % 8 == 0, "2020-01-01").alias("Data likwidacji"))
+    path = spare_path(v.spark, "portal-csv")
+    own.write.csv(path, header=True, sep=";", quote='"', escape='"')
+    return portal_adapter(csv_scan(v.spark, path, own.columns, sep=";")).select("rspo_id", "name", "commune_type", "commune")
