@@ -271,7 +271,7 @@ def shared_shingles(pages: DataFrame, site: str, page: str, text: str, size: int
     pieces = pages.filter(F.length(text) >= size).select(site, page, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col(text), i * size + 1, F.lit(size))))).alias("shingle"))
     total = pages.groupBy(site).agg(F.count("*").alias("total")).filter(F.col("total") >= least_pages)
     counts = pieces.groupBy(site, "shingle").agg(F.count("*").alias("pages"))
-    return counts.join(F.broadcast(total), site).filter(F.col("pages") >= share * F.col("total")).select(site, "shingle", "pages")
+    return counts.join(total, site).filter(F.col("pages") >= share * F.col("total")).select(site, "shingle", "pages")
 
 
 @query("boilerplate_shingles", """with p as (select distinct lang, doc_id, substr(text, cast(i * 40 + 1 as bigint), 40) as shingle from (select lang, doc_id, text, unnest(range(cast(floor((length(text) - 1) / 40) as bigint) + 1)) as i from documents where length(text) >= 40) t),

@@ -29,7 +29,7 @@ class Views:
     @cached_property
     def register(self) -> DataFrame:
         places = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
-        return self.customer.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        return self.customer.join(places, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
             "c_custkey as id", "c_name as name", "n_name as city", "r_name as region", "c_mktsegment as level",
             "case when c_custkey % 3 = 0 then true when c_custkey % 3 = 1 then false end as is_private",
             "case when c_acctbal < 0 then null else cast(floor(c_acctbal / 10) as int) end as size_n",
