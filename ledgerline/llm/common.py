@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerline.plans.shipping import ship  # noqa: F401
 
 #: The texts of one step inside a task, in bytes; a longer text is a step of its own.
 STEP_BYTES = 6 << 20
@@ -43,26 +42,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, wherever the driver has it from; once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(top):
-        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "ledgerline_llm.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder in ("", "llm"):
-                for f in sorted(os.listdir(os.path.join(top, folder))):
-                    if f.endswith(".py"):
-                        z.write(os.path.join(top, folder, f), os.path.join("ledgerline", folder, f))
-        sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that no step holds more than `most` bytes of text, or else a single row."""
     for b in batches:
@@ -101,11 +80,3 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads; whatever else the table has, under whatever name, stays out of the plan."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-
-
-def word_class() -> str:
-    return r"[\x20\x09-\x0D]"
-
-
-def hex64(c: Column) -> Column:
-    return F.lower(F.lpad(F.hex(c), 16, "0"))
