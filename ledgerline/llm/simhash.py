@@ -3,8 +3,8 @@
 Two fingerprints that differ in at most r bits have a common variant within r / 2 bits of either. So every different
 fingerprint emits all its variants within half the radius, equal variants meet, and colliding pairs are checked.
 
-The variants themselves needn't travel. A linear code of the bits deals the space of variants into slices; which flips
-take a fingerprint into a slice depends on the fingerprint's own code only. So the fingerprints are sent to the slices,
+The variants themselves needn't travel. Their low bits, a linear code, deal them into slices; which flips take a
+fingerprint into a slice depends on the fingerprint's own low bits only. So the fingerprints are sent to the slices,
 each slice makes just the variants that fall in it, block by block, sorts them, and looks at the ones that repeat. The
 shuffle is a small constant times the fingerprints instead of thousands of variants each, memory holds one block, and
 nothing depends on how many copies a document has: equal fingerprints are one.
@@ -44,10 +44,11 @@ class SimHash:
     radius: int = 4
     check_words: int = 4
     check: int = 60
-    #: Slices each table's variants are dealt into (a power of two), and variants made at a time within one. A slice
-    #: gets the fingerprints that have a variant in it: all of them while slices are few, the share
-    #: variants / slices once they are more than the variants of one fingerprint. Raise them with the corpus.
+    #: Slices each table's variants are dealt into (a power of two). A slice gets the fingerprints that have a variant in
+    #: it: all of them for up to 4 slices, 34 % of them for 64, 14 % for 256, 2 % for 4096. A slice is one task, so raise
+    #: them with the corpus; the fingerprints then travel 22, 37, 79 times.
     slices: int = 2
+    #: Variants made at a time within a slice.
     block: int = 1 << 22
 
 
@@ -118,12 +119,8 @@ def flips(bits: int, most: int) -> np.ndarray:
 
 
 def code(v: np.ndarray, width: int) -> np.ndarray:
-    """A linear code of `width` bits: code(a ^ b) = code(a) ^ code(b). Each bit adds a column fixed by its place."""
-    columns = np.random.default_rng(7).integers(1, 1 << 24, 64) & ((1 << width) - 1)
-    out = np.zeros(len(v), np.int64)
-    for i in range(64):
-        out ^= np.where((v >> np.uint64(i)) & np.uint64(1), columns[i], 0)
-    return out
+    """A linear code of `width` bits, the lowest ones: code(a ^ b) = code(a) ^ code(b)."""
+    return (v & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 def collisions(keys: np.ndarray, checks: np.ndarray, target: int, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
