@@ -18,7 +18,6 @@ documents, in the order of their texts; a null document id sorts first; other co
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark import TaskContext
 
 from . import chunks, tokens
-from .common import id_and_text, ship, steps
+from .common import id_and_text, ship, steps, written
 from .elias_fano import EliasFano
 
+#: The shards' starts (16 bytes each) are broadcast up to so many; beyond, the blocks are shuffled to them.
+BROADCAST_SHARDS = 500_000
+
 BLOCK_SCHEMA = "shard int, block int, shard_start long, n_ids long, doc_ids array<long>, width int, ids binary, bounds binary"
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", pa.binary())])
 
@@ -102,7 +104,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 cells = [ids[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["base"] + r["shard_start"]), pa.array(ends - starts), pa.array(cells, pa.binary())], schema=out)
 
-    one = files.join(bases, files["shard"] == bases["s"]).drop("s")
+    bases = written(bases, "shards")
+    few = bases.count() <= BROADCAST_SHARDS
+    one = files.join(F.broadcast(bases) if few else bases, files["shard"] == bases["s"]).drop("s")
     return one.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
