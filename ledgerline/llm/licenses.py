@@ -13,10 +13,16 @@ of their size are passed over before their minima are made, with the same result
 Words are runs of letters and digits, A-Z in lower case; shingles have five words (a shorter template is one shingle).
 Defined results: null, empty and short texts have no hits; rows are scanned each on their own, whatever their document
 ids; templates without a word are left out; other columns aren't read.
+
+scan_licenses gives every hit of the templates it is handed. find_licenses scans for all known notices and whole bodies;
+there a hit gives way to a better one of a similar template over the same words, so that of several versions the one that
+stands in the text is kept.
 """
 
 from __future__ import annotations
 
+import math
+import os
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -45,6 +51,62 @@ TEMPLATES = {
     "no-warranty": "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
 }
 
+CC = {
+    "CC-BY": ("BY", "Attribution"),
+    "CC-BY-SA": ("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-NC": ("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-ND": ("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-SA": ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND": ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+}
+GNU = {"GPL": ("General", "1 2 3"), "LGPL": ("Lesser General", "2.1 3"), "AGPL": ("Affero General", "3")}
+SPDX = (
+    "MIT ISC 0BSD Zlib BSL-1.0 Unlicense CC0-1.0 Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 GPL-2.0-only"
+    " GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later"
+)
+
+
+def notices() -> dict[str, str]:
+    """The short notices beside TEMPLATES; each version is a template of its own."""
+    out = {
+        "MIT-licensed": "Licensed under the MIT License",
+        "ISC-notice": "Licensed under the ISC License",
+        "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License",
+        "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License",
+        "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0",
+        "MPL-1.1-notice": "Licensed under the Mozilla Public License, Version 1.1",
+        "EPL-1.0-notice": "Licensed under the Eclipse Public License, Version 1.0",
+        "EPL-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0",
+        "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0",
+        "Unlicense-notice": "This is free and unencumbered software released into the public domain",
+        "CC0-1.0-notice": "CC0 1.0 Universal",
+        "LGPL-2.0-header": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+        "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    }
+    for name, (short, long) in CC.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            kind = "International" if v == "4.0" else "Unported" if v == "3.0" else "Generic"
+            out[f"{name}-{v}-short"] = f"Licensed under CC {short} {v}"
+            out[f"{name}-{v}-notice"] = f"This work is licensed under a Creative Commons {long} {v} {kind} License"
+    for name, (kind, versions) in GNU.items():
+        out[f"{name}-notice"] = f"licensed under the GNU {kind} Public License"
+        for v in versions.split():
+            out[f"{name}-{v if '.' in v else v + '.0'}-notice"] = f"licensed under the GNU {kind} Public License, version {v}"
+    for x in SPDX.split():
+        out[f"{x}-spdx"] = f"SPDX-License-Identifier: {x}"
+    return {n: t for n, t in out.items() if n not in TEMPLATES}
+
+
+def bodies() -> dict[str, str]:
+    """Whole licenses, from the folder beside this file; only the driver reads it."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out[f"{name.removesuffix('.txt')}-text"] = f.read()
+    return out
+
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,10 +119,17 @@ class ScanRules:
     rows: int = 2
 
 
+def word_hashes(text: str) -> np.ndarray:
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(x) for x in WORD.findall(text.encode().lower())], np.uint64)
+
+
 def shingles(text: str, k: int) -> np.ndarray:
     """A hash for each k-word shingle in order; a text of fewer words has one, of all it has."""
-    h = xxhash.xxh3_64_intdigest
-    w = np.array([h(x) for x in WORD.findall(text.encode().lower())], np.uint64)
+    return shingles_of(word_hashes(text), k)
+
+
+def shingles_of(w: np.ndarray, k: int) -> np.ndarray:
     if not len(w):
         return w
     k = min(k, len(w))
@@ -96,17 +165,24 @@ class Scanner:
                 for b in range(r.bands):
                     table.setdefault((b, m[b].tobytes()), []).append(n)
             self.bands[size] = table, np.unique(np.concatenate([self.sets[n] for n in names]))
+        #: All templates' shingles by their words; a text without any of them is passed over at once.
+        self.known = {k: np.unique(np.concatenate([self.bands[s][1] for s in self.sizes if s[1] == k])) for _, k in self.sizes}
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(template, first word, end, share of its shingles) of each stretch of windows that hold it."""
-        r, hits, by_k = self.r, [], {}
+        r, hits, by_k, w = self.r, [], {}, word_hashes(text)
         for (n, k), names in self.sizes.items():
             if k not in by_k:
-                by_k[k] = shingles(text, k)
-            s = by_k[k]
+                s, known = shingles_of(w, k), self.known[k]
+                by_k[k] = s, bool((known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s).any())
+            s, some = by_k[k]
+            if not some:
+                continue
             table, known = self.bands[n, k]
             there = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
-            if not there.any():
+            # a window with fewer known shingles than the smallest template needs can hold none
+            need = max(1, math.ceil(r.contained * min(len(self.sets[c]) for c in names) - 1e-9))
+            if there.sum() < need:
                 continue
             m = n - k + 1
             stride = max(1, m // 4)
@@ -114,10 +190,11 @@ class Scanner:
             starts = np.arange(0, max(1, len(s) - long + stride), stride)
             starts = np.unique(np.minimum(starts, len(s) - long))
             total = np.concatenate(([0], np.cumsum(there)))
-            starts = starts[total[starts + long] > total[starts]]
+            starts = starts[total[starts + long] - total[starts] >= need]
             least: dict[str, list[tuple[int, int, float]]] = {}
-            for x in range(0, len(starts), 4096):
-                own = starts[x : x + 4096]
+            block = max(1, (1 << 18) // max(long, 1))
+            for x in range(0, len(starts), block):
+                own = starts[x : x + block]
                 rows = s[own[:, None] + np.arange(long)]
                 sketch = minima(rows, r).reshape(len(own), r.bands, r.rows)
                 for i, at in enumerate(own.tolist()):
@@ -139,9 +216,25 @@ class Scanner:
                 hits.append((c, begin, end, best))
         return sorted(hits)
 
+    def similar(self, a: str, b: str) -> bool:
+        """Whether two templates share at least half of the larger one's shingles."""
+        x, y = self.sets[a], self.sets[b]
+        if 2 * min(len(x), len(y)) < max(len(x), len(y)):
+            return False
+        return 2 * len(np.intersect1d(x, y, assume_unique=True)) >= max(len(x), len(y))
+
+    def best(self, hits: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """hits without those that overlap a better one of a similar template: a larger share, then more shingles."""
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, rules: ScanRules | None = None) -> DataFrame:
-    """doc_id, template, begin, end (words, end excluded), contained: every hit in every whole text.
+        def gives_way(a: tuple[str, int, int, float], b: tuple[str, int, int, float]) -> bool:
+            over = a[1] < b[2] and b[1] < a[2] and a[0] != b[0]
+            return over and (b[3], len(self.sets[b[0]])) > (a[3], len(self.sets[a[0]])) and self.similar(a[0], b[0])
+
+        return [a for a in hits if not any(gives_way(a, b) for b in hits)]
+
+
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, rules: ScanRules | None = None, best: bool = False) -> DataFrame:
+    """doc_id, template, begin, end (words, end excluded), contained: every hit in every whole text, or the best ones.
 
     The templates are a parameter of the job and go to every task; they don't grow with the corpus.
     """
@@ -152,14 +245,20 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, r
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, r)
+        found_in = (lambda t: scanner.best(scanner.scan(t))) if best else scanner.scan
         for b in steps(batches, "text"):
-            found = [(i, *h) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for h in scanner.scan(t)]
+            found = [(i, *h) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for h in found_in(t)]
             cols = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
     return id_and_text(docs).mapInArrow(scan, "doc_id long, template string, begin long, end long, contained double")
 
 
+def find_licenses(docs: DataFrame, rules: ScanRules | None = None) -> DataFrame:
+    """scan_licenses for all notices and whole bodies, with the best hits kept."""
+    return scan_licenses(docs, TEMPLATES | notices() | bodies(), rules, best=True)
+
+
 def licenses_of(docs: DataFrame, templates: Mapping[str, str] | None = None, rules: ScanRules | None = None) -> DataFrame:
     """doc_id, template, hits, contained (the best): one row for each document and template found in it."""
     found = scan_licenses(docs, templates, rules)

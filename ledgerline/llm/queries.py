@@ -38,7 +38,7 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

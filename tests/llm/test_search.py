@@ -63,3 +63,31 @@ def test_licenses(spark, odd, nothing):
     assert got == {i: w for i, t in enumerate(texts) if (w := windows_by_hand(t or "", r))}
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(nothing).count() == 0
     assert licenses.licenses_of(docs).filter("hits >= 1").count() >= len(licenses.TEMPLATES)
+
+
+def test_license_lines_of_documents(spark):
+    """Lines as they stand in the tables' documents and in the wild, not made from the templates."""
+    want = {
+        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0-short"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0-notice"},
+        "Licensed under the GNU General Public License, version 2.": {"GPL-2.0-notice"},
+        "Released under the MIT License.": {"MIT-notice"},
+        "Licensed under the Apache License, Version 2.0.": {"Apache-2.0-notice"},
+        "Licensed under CC BY-NC-ND 3.0": {"CC-BY-NC-ND-3.0-short"},
+        "// SPDX-License-Identifier: AGPL-3.0-only": {"AGPL-3.0-only-spdx"},
+        "licensed under the GNU Affero General Public License, version 3": {"AGPL-3.0-notice"},
+    }
+    docs = spark.createDataFrame([(i, f"Mit und enbe ter\n{t}\nEn erach ge") for i, t in enumerate(want)], "doc_id long, text string")
+    got = {}
+    for r in licenses.find_licenses(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["template"])
+    assert got == dict(enumerate(want.values()))
+
+
+def test_whole_licenses(spark):
+    texts = licenses.bodies()
+    docs = spark.createDataFrame([(i, f"Ein wort davor {t} und danach") for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {}
+    for r in licenses.find_licenses(docs).filter("template like '%-text' and contained = 1").collect():
+        got.setdefault(r["doc_id"], set()).add(r["template"])
+    assert got == {i: {n} for i, n in enumerate(texts)}
