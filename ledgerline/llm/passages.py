@@ -1,10 +1,12 @@
 """Substring dedup by collinear chaining: passages that documents share, word for word or with edits.
 
-1. Seeds. Each document's k-word shingles are thinned to minimizers: of every `window` shingles in a row, the least hash.
-   Two texts that share window + k - 1 words in a row share a seed.
-2. Owners. A seed's owner is the smallest document id that holds it (its first place there). Every other occurrence is
-   matched with the owner's only. So matches are as many as occurrences, however many documents share a passage, and a
-   frequent seed is counted down by partial aggregation.
+1. Seeds. Every place of a document has a key of eight words: four, one left out, four more. So a word changed in every
+   five hides nothing. Minimizers (of every `window`) of keys of `long` words come beside them, for passages whose short
+   phrases stand one by one in other documents.
+2. Owners. A key's owner is the smallest document id that holds it (its first place there). Every other occurrence is
+   matched with the owner's only. So matches are as many as occurrences, however many documents share a passage. Keys
+   travel packed, 40 bits and a place, to parts whose number follows from the corpus; a key of the wrong words that
+   agrees in those bits comes to nothing in the alignment.
 3. Chains. The matches of a document with one owner are chained in order of both texts. A match adds its weight, a step
    costs in proportion to the words left out on either side; as that cost is linear, the best predecessor is a prefix
    maximum, which a Fenwick tree over the owner's places gives in logarithmic time.
@@ -33,14 +35,18 @@ from .common import id_and_text, ship, steps, written
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Ids of the documents that chains concern are broadcast up to so many (8 bytes each); beyond, the texts are shuffled.
 BROADCAST_IDS = 4_000_000
+#: Keys that one task compares at a time, about.
+PART_KEYS = 3_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class PassageRules:
-    """k words of a seed, minimizer window; least words and least share of equal words of a passage."""
+    """k words on each side of the word a key leaves out; words of the long keys and their minimizer window; least words
+    and least share of equal words of a passage."""
 
-    k: int = 5
+    k: int = 4
+    long: int = 20
     window: int = 12
     least_words: int = 50
     least_alike: float = 0.8
@@ -61,42 +67,120 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter((h(w) for w in words), np.uint64, len(words))
 
 
-def seeds_of(words: np.ndarray, r: PassageRules) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the minimizers."""
-    n = len(words) - r.k + 1
+def rolled(words: np.ndarray, places: list[int]) -> np.ndarray:
+    """A hash of the words at the given places from each word on."""
+    n = len(words) - places[-1]
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for j in range(r.k):
+        return np.zeros(0, np.uint64)
+    h = np.full(n, len(places), np.uint64)
+    for j in places:
         h = h * ODD + words[j : j + n]
-    h ^= h >> np.uint64(29)
+        h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    w = min(r.window, n)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - w + 1))
-    return h[at], at
+    return h ^ (h >> np.uint64(32))
 
 
-def seeds(docs: DataFrame, r: PassageRules) -> DataFrame:
-    """h, doc_id, at, first: whether it is the hash's first place in the row."""
+def seeds_of(words: np.ndarray, r: PassageRules) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the keys; the lowest bit of a hash is set for long keys."""
+    one = np.uint64(1)
+    short = rolled(words, [*range(r.k), *range(r.k + 1, 2 * r.k + 1)]) & ~one
+    long = rolled(words, list(range(r.long)))
+    at = np.zeros(0, np.int64)
+    if len(long):
+        w = min(r.window, len(long))
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(long, w).argmin(axis=1) + np.arange(len(long) - w + 1))
+    return np.concatenate((short, long[at] | one)), np.concatenate((np.arange(len(short)), at))
+
+
+def planes(v: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each number, all first bytes, then all second ones: what is alike in them compresses."""
+    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+
+
+def unplaned(b: bytes, n: int) -> np.ndarray:
+    rows = np.zeros((len(b) // n, 8), np.uint8)
+    rows[:, :n] = np.frombuffer(b, np.uint8).reshape(n, -1).T
+    return rows.view("<u8").ravel()
+
+
+def met(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, owner, place, the owner's place, key of all occurrences in other documents than the key's owner."""
+    order = np.argsort(keys)
+    s = keys[order]
+    same = s[1:] == s[:-1]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    order = order[np.lexsort((at[order], docs[order], keys[order]))]
+    k, d, p = keys[order], docs[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    owner = np.repeat(first, np.diff(np.append(first, len(k))))
+    other = d != d[owner]
+    return d[other], d[owner][other], p[other], p[owner][other], k[other]
+
+
+def matches_of(docs: DataFrame, r: PassageRules) -> DataFrame:
+    """doc_id, owner, at, owner_at, step: places where two documents hold a key; its last k words begin `step` later."""
     ship(docs.sparkSession)
-    out = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("first", pa.bool_())])
+    texts = id_and_text(docs).filter("doc_id is not null")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // (5 * PART_KEYS)))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            hs, ats, firsts, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], []
-            for t in b.column(1).to_pylist():
-                h, at = seeds_of(word_hashes(t or ""), r)
-                first = np.zeros(len(h), bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                hs.append(h)
-                ats.append(at)
-                firsts.append(first)
-                ns.append(len(h))
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), ns)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), ids, pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(firsts))], schema=out)
+            got = [seeds_of(word_hashes(t or ""), r) for t in b.column(1).to_pylist()]
+            h = np.concatenate([g[0] for g in got])
+            at = np.concatenate([g[1] for g in got])
+            row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+            part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, at, row = h[order], at[order], row[order]
+            ids = np.asarray(b.column(0))
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            there = np.flatnonzero(np.diff(bounds))
+            cells: list[list] = [[], [], [], []]
+            for p in there.tolist():
+                x = slice(bounds[p], bounds[p + 1])
+                rows, n = np.unique(row[x], return_counts=True)
+                order = np.argsort(row[x], kind="stable")
+                for c, v in zip(cells, (planes(h[x][order], 5), planes(at[x][order], 4), ids[rows].astype("<i8").tobytes(), n.astype("<i4").tobytes())):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["part", "keys", "at", "ids", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                d, o, x, y, k = met(*(np.concatenate(c) for c in zip(*held)))
+                step = np.where(k & np.uint64(1), r.long - r.k, r.k + 1)
+                for i in range(0, len(d), 1 << 18):
+                    cut = slice(i, i + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(o[cut]), *(pa.array(v[cut].astype(np.int32)) for v in (x, y, step))], names=["doc_id", "owner", "at", "owner_at", "step"])
 
-    return id_and_text(docs).filter("doc_id is not null").mapInArrow(make, "h long, doc_id long, at int, first boolean")
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != part:
+                    yield from done()
+                    part, held = row[0], []
+                ids = np.repeat(np.frombuffer(row[3], "<i8"), np.frombuffer(row[4], "<i4"))
+                held.append((unplaned(row[1], 5), ids, unplaned(row[2], 4).astype(np.int64)))
+        yield from done()
+
+    dealt = texts.mapInArrow(deal, "part int, keys binary, at binary, ids binary, n binary")
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "doc_id long, owner long, at int, owner_at int, step int")
+
+
+def thinned(x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct matches of k words, of each run along one diagonal the first, the last and every eighth place: the
+    alignment compares all words between two matches anyway."""
+    d, x = np.concatenate((x - y, x - y)), np.concatenate((x, x + step))
+    order = np.lexsort((x, d))
+    d, x = d[order], x[order]
+    new = np.concatenate(([True], (np.diff(d) != 0) | (np.diff(x) != 0)))
+    d, x = d[new], x[new]
+    begins = np.concatenate(([True], (np.diff(d) != 0) | (np.diff(x) != 1)))
+    keep = begins | np.append(begins[1:], True) | (x % 8 == 0)
+    return x[keep], x[keep] - d[keep]
 
 
 def chains_of(x: np.ndarray, y: np.ndarray, r: PassageRules) -> list[np.ndarray]:
@@ -191,29 +275,23 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
     """doc_id, begin, end (words, end excluded), source_id, source_begin, source_end, equal_words: each passage of a
     document that an earlier document (smaller id) has too."""
     r = rules or PassageRules()
-    held = written(seeds(docs, r), "seeds")
-    mine = F.when(F.col("first"), F.col("doc_id"))
-    owners = held.groupBy("h").agg(F.min(mine).alias("owner"), F.max(mine).alias("last"), F.min_by("at", mine).alias("owner_at"))
-    owners = written(owners.filter("owner < last").select(F.col("h").alias("oh"), "owner", "owner_at"), "owners")
-    matches = held.join(owners, held["h"] == owners["oh"]).filter("doc_id <> owner").select("doc_id", "owner", "at", "owner_at")
+    matches = matches_of(docs, r)
     # chaining is heavy for its few bytes, so partitions aren't merged by size
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = matches.repartition(parts, "doc_id", "owner").sortWithinPartitions("doc_id", "owner", "at")
     chain_schema = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))])
-    # what a chain must span at least: edits and missing seeds may take up the rest of a passage
-    least = r.least_words - 3 * (r.window + 1)
+    # what a chain must span at least: a single key, as edits may take up the rest of a passage
+    least = 2 * r.k + 1
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-            d, o, x, y = cols
+            d, o, x, y, step = cols
             cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(o) != 0)) + 1
             rows: list[list] = [[], [], [], []]
             for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(d)]):
-                if z - a < 2 and least > r.k or x[a:z].max(initial=0) - x[a:z].min(initial=1 << 40) + r.k < least:
-                    continue
-                for px, py in chains_of(x[a:z], y[a:z], r):
+                for px, py in chains_of(*thinned(x[a:z], y[a:z], step[a:z]), r):
                     if px[-1] - px[0] + r.k >= least:
                         for col, v in zip(rows, (d[a], o[a], px, py)):
                             col.append(v)

@@ -216,3 +216,46 @@ def test_passages_by_shuffle(spark, monkeypatch):
     rows, truth = planted()
     monkeypatch.setattr(passages, "BROADCAST_IDS", -1)
     assert {r["doc_id"] for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(truth)
+
+
+def found_share(spark, texts):
+    """The share of pairs (2 i, 2 i + 1) of texts of which the later one is found to have the earlier one's passage."""
+    docs = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["source_id"]) for r in passages.passages(docs).collect()}
+    return sum((1001 + i, 1000 + i) in got for i in range(0, len(texts), 2)) / (len(texts) // 2)
+
+
+def test_passages_with_spread_edits(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    for n, every in ((60, 5), (60, 6), (60, 8), (60, 10)):
+        texts = []
+        for _ in range(40):
+            whole = fresh(n)
+            edited = [f"edit{rng.random()}" if i % every == every - 1 else w for i, w in enumerate(whole[:-1])] + whole[-1:]
+            texts += [" ".join(fresh(30) + whole + fresh(30)), " ".join(fresh(40) + edited + fresh(20))]
+        assert found_share(spark, texts) == 1, every
+
+
+def test_passages_with_random_edits(spark):
+    rng = random.Random(7)
+    fresh = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    for edits in (6, 9):
+        texts = []
+        for _ in range(100):
+            whole = fresh(60)
+            at = set(rng.sample(range(1, 59), edits))
+            texts += [" ".join(fresh(30) + whole + fresh(30)), " ".join(fresh(40) + [f"edit{i}{rng.random()}" if i in at else w for i, w in enumerate(whole)] + fresh(20))]
+        share = found_share(spark, texts)
+        print(edits, share)
+        assert share >= 0.97, edits
+
+
+def test_passages_of_phrases_that_smaller_documents_hold(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    whole = fresh(60)
+    rows = [(i, " ".join(fresh(20) + whole[i : i + n] + fresh(20))) for n in (5, 9, 12) for i in range(60 - n)]
+    docs = [(i, t) for i, (_, t) in enumerate(rows)] + [(500, " ".join(fresh(20) + whole + fresh(9))), (501, " ".join(fresh(7) + whole))]
+    found = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"], r["end"] - r["begin"]) for r in found} == {(501, 500, 60)}
