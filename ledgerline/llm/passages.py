@@ -170,9 +170,9 @@ def matches_of(docs: DataFrame, r: PassageRules) -> DataFrame:
     return dealt.mapInArrow(meet, "doc_id long, owner long, at int, owner_at int, step int")
 
 
-def thinned(x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct matches of k words, of each run along one diagonal the first, the last and every eighth place: the
-    alignment compares all words between two matches anyway."""
+def thinned(x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct matches of k words, of each run along one diagonal the first, the last and every eighth place (the
+    alignment compares all words between two matches anyway); and the runs' numbers."""
     d, x = np.concatenate((x - y, x - y)), np.concatenate((x, x + step))
     order = np.lexsort((x, d))
     d, x = d[order], x[order]
@@ -180,7 +180,43 @@ def thinned(x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray,
     d, x = d[new], x[new]
     begins = np.concatenate(([True], (np.diff(d) != 0) | (np.diff(x) != 1)))
     keep = begins | np.append(begins[1:], True) | (x % 8 == 0)
-    return x[keep], x[keep] - d[keep]
+    return x[keep], x[keep] - d[keep], np.cumsum(begins)[keep]
+
+
+def place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One number for a pair of places, in order of diagonals."""
+    return (x - y << 32) + x
+
+
+def sure(px: np.ndarray, py: np.ndarray, runs: np.ndarray, r: PassageRules) -> bool:
+    """Whether the matches of a chain make a passage by themselves; runs are those of its matches."""
+    gap = np.minimum(np.diff(px), np.diff(py))
+    equal = r.k + int(np.where(np.diff(runs) == 0, gap, np.minimum(gap, r.k)).sum())
+    long = max(px[-1] - px[0], py[-1] - py[0]) + r.k
+    return px[-1] - px[0] + r.k >= r.least_words and equal >= r.least_alike * long
+
+
+def chains_of_document(owners: np.ndarray, x: np.ndarray, y: np.ndarray, step: np.ndarray, least: int, r: PassageRules) -> list[tuple]:
+    """(owner, places, the owner's places) of a document's chains; owners ascend. A chain whose stretch of the document
+    lies in another's that is a passage for sure is not needed: so copies of copies don't report it once for each."""
+    found = []
+    cut = np.flatnonzero(np.diff(owners)) + 1
+    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(owners)]):
+        tx, ty, runs = thinned(x[a:z], y[a:z], step[a:z])
+        at = place(tx, ty)
+        for px, py in chains_of(tx, ty, r):
+            if px[-1] - px[0] + r.k >= least:
+                found.append((not sure(px, py, runs[np.searchsorted(at, place(px, py))], r), int(px[0] - px[-1]), int(owners[a]), px, py))
+    found.sort(key=lambda c: c[:3])
+    kept, begins, ends = [], [], []
+    for unsure, _, owner, px, py in found:
+        if begins and ((np.array(begins) <= px[0]) & (np.array(ends) >= px[-1])).any():
+            continue
+        kept.append((owner, px, py))
+        if not unsure:
+            begins.append(px[0])
+            ends.append(px[-1])
+    return kept
 
 
 def chains_of(x: np.ndarray, y: np.ndarray, r: PassageRules) -> list[np.ndarray]:
@@ -264,11 +300,14 @@ def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, r: Passa
             same += int((a[x[i] : x[i + 1]] == b[y[i] : y[i + 1]]).sum())
         else:
             same += common(a[x[i] : x[i + 1]], b[y[i] : y[i + 1]])
+    inner = int(x[0]), int(x[-1]) + r.k, int(y[0]), int(y[-1]) + r.k, same
     left = outward(a[: x[0]][::-1], b[: y[0]][::-1], r)
     right = outward(a[x[-1] + r.k :], b[y[-1] + r.k :], r)
     x0, x1, y0, y1 = int(x[0]) - left, int(x[-1]) + r.k + right, int(y[0]) - left, int(y[-1]) + r.k + right
     same += int((a[x0 : x[0]] == b[y0 : y[0]]).sum()) + int((a[x[-1] + r.k : x1] == b[y[-1] + r.k : y1]).sum())
-    return x0, x1, y0, y1, same
+    alike = lambda p: p[1] - p[0] >= r.least_words and p[4] >= r.least_alike * max(p[1] - p[0], p[3] - p[2])
+    whole = x0, x1, y0, y1, same
+    return inner if alike(inner) and not alike(whole) else whole
 
 
 def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
@@ -278,7 +317,7 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
     matches = matches_of(docs, r)
     # chaining is heavy for its few bytes, so partitions aren't merged by size
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = matches.repartition(parts, "doc_id", "owner").sortWithinPartitions("doc_id", "owner", "at")
+    dealt = matches.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "owner", "at")
     chain_schema = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))])
     # what a chain must span at least: a single key, as edits may take up the rest of a passage
     least = 2 * r.k + 1
@@ -288,21 +327,20 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
 
         def done(cols: list[np.ndarray]) -> pa.RecordBatch:
             d, o, x, y, step = cols
-            cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(o) != 0)) + 1
+            cut = np.flatnonzero(np.diff(d)) + 1
             rows: list[list] = [[], [], [], []]
             for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(d)]):
-                for px, py in chains_of(*thinned(x[a:z], y[a:z], step[a:z]), r):
-                    if px[-1] - px[0] + r.k >= least:
-                        for col, v in zip(rows, (d[a], o[a], px, py)):
-                            col.append(v)
+                for owner, px, py in chains_of_document(o[a:z], x[a:z], y[a:z], step[a:z], least, r):
+                    for col, v in zip(rows, (d[a], owner, px, py)):
+                        col.append(v)
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, chain_schema)], schema=chain_schema)
 
         for b in batches:
             cols = [np.asarray(c, np.int64) for c in b.columns]
             if rest is not None:
                 cols = [np.concatenate(p) for p in zip(rest, cols)]
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])) if len(cols[0]) else []
-            at = int(last[-1]) + 1 if len(last) else 0  # the last pair may go on in the next batch
+            last = np.flatnonzero(cols[0] != cols[0][-1]) if len(cols[0]) else []
+            at = int(last[-1]) + 1 if len(last) else 0  # the last document may go on in the next batch
             if at:
                 yield done([c[:at] for c in cols])
             rest = [c[at:] for c in cols]
@@ -346,7 +384,18 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
                     rows.append((b.column("doc_id")[i].as_py(), x0 + fx, x1 + fx, b.column("owner")[i].as_py(), y0 + fy, y1 + fy, same))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*rows) if rows else [[]] * 7)], names=names)
 
-    return two.mapInArrow(align, ", ".join(f"{n} long" for n in names))
+    types = ", ".join(f"{n} long" for n in names)
+
+    def once(key: tuple, rows: pa.Table) -> pa.Table:
+        """A document's passages but those that lie within a longer one (of the smaller source, if equal)."""
+        cols = rows.to_pydict()
+        kept: list[int] = []
+        for i in sorted(range(rows.num_rows), key=lambda i: (cols["begin"][i] - cols["end"][i], cols["source_id"][i], cols["source_begin"][i])):
+            if not any(cols["begin"][j] <= cols["begin"][i] and cols["end"][i] <= cols["end"][j] for j in kept):
+                kept.append(i)
+        return rows.take(pa.array(kept, pa.int64()))
+
+    return two.mapInArrow(align, types).groupBy("doc_id").applyInArrow(once, types)
 
 
 def drop_passages(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -259,3 +259,11 @@ def test_passages_of_phrases_that_smaller_documents_hold(spark):
     docs = [(i, t) for i, (_, t) in enumerate(rows)] + [(500, " ".join(fresh(20) + whole + fresh(9))), (501, " ".join(fresh(7) + whole))]
     found = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["source_id"], r["end"] - r["begin"]) for r in found} == {(501, 500, 60)}
+
+
+def test_near_copies_report_a_passage_once(spark):
+    rng = random.Random(9)
+    whole = [f"u{rng.randint(0, 10**7)}" for _ in range(200)]
+    rows = [(i, " ".join(rng.choice("abc") + w if rng.random() < 0.04 and 10 < n < 190 else w for n, w in enumerate(whole))) for i in range(60)]
+    found = Counter(r["doc_id"] for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == {i: 1 for i in range(1, 60)}
