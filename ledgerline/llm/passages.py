@@ -2,16 +2,18 @@
 
 1. Seeds. Every place of a document has a key of eight words: four, one left out, four more. So a word changed in every
    five hides nothing. Minimizers (of every `window`) of keys of `long` words come beside them, for passages whose short
-   phrases stand one by one in other documents.
+   phrases stand one by one in other documents. Of words said over and over, only the first and the last turn has keys.
 2. Owners. A key's owner is the smallest document id that holds it (its first place there). Every other occurrence is
    matched with the owner's only. So matches are as many as occurrences, however many documents share a passage. Keys
    travel packed, 40 bits and a place, to parts whose number follows from the corpus; a key of the wrong words that
-   agrees in those bits comes to nothing in the alignment.
+   agrees in those bits comes to nothing in the alignment. A key that many documents of one step hold is matched within
+   the step, and one occurrence travels: no task gets all holders of a frequent passage.
 3. Chains. The matches of a document with one owner are chained in order of both texts. A match adds its weight, a step
    costs in proportion to the words left out on either side; as that cost is linear, the best predecessor is a prefix
    maximum, which a Fenwick tree over the owner's places gives in logarithmic time.
-4. Alignment. Chains are aligned word by word between their matches and outwards as long as words agree; what is long
-   and alike enough is a passage.
+4. Alignment. Chains are aligned word by word between their matches and outwards as long as words agree, to the ends of
+   the texts if need be; what is long and alike enough is a passage. Of a document's passages the fewest that cover all
+   words of all of them are returned.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. Defined results: null, empty and short texts have no
 passages; rows without a document id take no part and stay as they are; rows with the same document id count as one
@@ -26,17 +28,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, steps, written
+from .common import id_and_text, ranges, ship, steps, strings, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Ids of the documents that chains concern are broadcast up to so many (8 bytes each); beyond, the texts are shuffled.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 500_000
 #: Keys that one task compares at a time, about.
 PART_KEYS = 3_000_000
+#: Documents of one step (see common.steps) that hold a key before it is matched within the step.
+HOT = 8
+KEY_BITS = np.uint64((1 << 40) - 1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,23 +55,35 @@ class PassageRules:
     k: int = 4
     long: int = 20
     window: int = 12
+    #: A key that stands again within so many words is one of words said over and over.
+    turn: int = 16
     least_words: int = 50
     least_alike: float = 0.8
     #: A match's weight, the cost of each word left out on either side, and the most words between two matches.
     weight: float = 20.0
     gap_cost: float = 0.2
     most_gap: int = 50
-    #: Words beyond a chain's ends that its alignment may go on over.
+    #: Words beyond a chain's ends that its alignment sees at first; where it goes on there it is made anew with 16 times as many.
     reach: int = 64
     #: Outward alignment: a word that differs costs so many equal ones, and ends at so much below the best.
     mismatch: float = 1.5
     drop: float = 8.0
 
 
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of each text, and where each text's words begin (one more at the end). Every different word
+    of the array is hashed once."""
+    parts = pc.ascii_split_whitespace(strings(texts))
+    at = np.asarray(parts.offsets, np.int64)
+    flat = parts.flatten().dictionary_encode()
+    words, code = flat.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(flat.indices, np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in words), np.uint64, len(words))
+    there = np.fromiter(map(len, words), np.int64, len(words))[code] > 0  # white space at an end leaves an empty piece
+    return h[code[there]], np.concatenate(([0], np.cumsum(there)))[at - at[0]]
+
+
 def word_hashes(text: str) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    words = text.encode().lower().split()
-    return np.fromiter((h(w) for w in words), np.uint64, len(words))
+    return hashed_words(pa.array([text], pa.string()))[0]
 
 
 def rolled(words: np.ndarray, places: list[int]) -> np.ndarray:
@@ -74,22 +93,60 @@ def rolled(words: np.ndarray, places: list[int]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.full(n, len(places), np.uint64)
     for j in places:
-        h = h * ODD + words[j : j + n]
+        h *= ODD
+        h += words[j : j + n]
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def seeds_of(words: np.ndarray, r: PassageRules) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the keys; the lowest bit of a hash is set for long keys."""
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def minimizers(h: np.ndarray, valid: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
+    """Places of h that are the least of a window of w valid places; where fewer stand together from a `first` place on,
+    of those. After valid places at least w - 1 others follow."""
+    n, most = len(h), np.uint64(0xFFFFFFFFFFFFFFFF)
+    low = np.concatenate((np.where(valid, h, most), np.full(w, most)))
+    whole = np.zeros(n, bool)
+    whole[: max(0, n - w + 1)] = valid[w - 1 :]
+    whole = (whole | first) & valid
+
+    def over(v: np.ndarray, reduce) -> np.ndarray:
+        """reduce over the w entries from each on."""
+        out, span = v, 1
+        while 2 * span <= w:
+            out = reduce(out[:-span], out[span:])
+            span *= 2
+        return reduce(out[: len(v) - w + 1], out[w - span : w - span + len(v) - w + 1])
+
+    least = over(low, np.minimum)[:n]
+    # a window's least, brought back to all its places: the greatest of them is reached where a place is the least of one
+    back = over(np.concatenate((np.zeros(w - 1, np.uint64), np.where(whole, least, np.uint64(0)))), np.maximum)
+    return np.flatnonzero(valid & (h == back))
+
+
+def seeds_of(words: np.ndarray, starts: np.ndarray, r: PassageRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the keys of several texts, their texts and places; the lowest bit of a hash is set for long keys."""
     one = np.uint64(1)
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    left = starts[1:][row] - np.arange(len(row))  # words from here to the text's end
     short = rolled(words, [*range(r.k), *range(r.k + 1, 2 * r.k + 1)]) & ~one
+    there = left[: len(short)] > 2 * r.k
+    # words said over and over: their keys come at the first and at the last turn only, the alignment goes over the rest
+    before, after = np.zeros(len(short), bool), np.zeros(len(short), bool)
+    for p in range(1, min(r.turn, len(short) - 1) + 1):
+        same = (short[p:] == short[:-p]) & (row[p : len(short)] == row[: len(short) - p]) & there[p:]
+        before[p:] |= same
+        after[:-p] |= same
+    a = np.flatnonzero(there & ~(before & after))
     long = rolled(words, list(range(r.long)))
-    at = np.zeros(0, np.int64)
+    b = np.zeros(0, np.int64)
     if len(long):
-        w = min(r.window, len(long))
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(long, w).argmin(axis=1) + np.arange(len(long) - w + 1))
-    return np.concatenate((short, long[at] | one)), np.concatenate((np.arange(len(short)), at))
+        n = len(long)
+        first = np.zeros(n + 1, bool)
+        first[np.minimum(starts[:-1], n)] = True
+        b = minimizers(long, left[:n] >= r.long, first[:n], min(r.window, r.long))
+    at = np.concatenate((a, b))
+    return np.concatenate((short[a], long[b] | one)), row[at], at - starts[row[at]]
 
 
 def planes(v: np.ndarray, n: int) -> bytes:
@@ -103,6 +160,10 @@ def unplaned(b: bytes, n: int) -> np.ndarray:
     return rows.view("<u8").ravel()
 
 
+#: A cell: part, keys, places; ids and how many keys each has. Of matches made already: keys, both places, both ids, none.
+CELL = ["part", "keys", "at", "ids", "n"]
+
+
 def met(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """doc, owner, place, the owner's place, key of all occurrences in other documents than the key's owner."""
     order = np.argsort(keys)
@@ -117,110 +178,195 @@ def met(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return d[other], d[owner][other], p[other], p[owner][other], k[other]
 
 
-def matches_of(docs: DataFrame, r: PassageRules) -> DataFrame:
-    """doc_id, owner, at, owner_at, step: places where two documents hold a key; its last k words begin `step` later."""
+def combined(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which occurrences still have to travel, and the matches made here: a key that HOT documents of one step hold is
+    matched with the smallest of them at once, and only that one's occurrence goes on. So however many documents hold a
+    passage, a task gets few rows of each step of it; a later document's source is then an earlier one, not always the
+    earliest."""
+    bucket = (keys >> np.uint64(20)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << 20)[bucket] >= HOT)
+    k, d = keys[maybe], docs[maybe]
+    order = maybe[np.lexsort((at[maybe], d, k))]
+    k, d, x = keys[order], docs[order], at[order]
+    rest = np.ones(len(keys), bool)
+    if not len(k):
+        return rest, (d, d, x, x, k)
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    size = np.diff(np.append(first, len(k)))
+    holders = np.add.reduceat(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))).astype(np.int64), first)
+    owner, hot = np.repeat(first, size), np.repeat(holders >= HOT, size)
+    rest[order[hot & (np.arange(len(k)) != owner)]] = False
+    other = hot & (d != d[owner])
+    return rest, (d[other], d[owner][other], x[other], x[owner][other], k[other])
+
+
+def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
+    """doc_id, owner, at, owner_at, step: places where two documents hold a key; its last k words begin `step` later. And
+    how many parts the corpus makes, none with more matches than PART_KEYS or so."""
     ship(docs.sparkSession)
     texts = id_and_text(docs).filter("doc_id is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (5 * PART_KEYS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for b in steps(batches, "text"):
-            got = [seeds_of(word_hashes(t or ""), r) for t in b.column(1).to_pylist()]
-            h = np.concatenate([g[0] for g in got])
-            at = np.concatenate([g[1] for g in got])
-            row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-            part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            h, row, at = seeds_of(*hashed_words(b.column(1)), r)
+            ids = np.asarray(b.column(0)).astype(np.int64)
+            rest, local = combined(h & KEY_BITS, ids[row], at)
+            h, row, at = h[rest], row[rest], at[rest]
+            part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+            order = np.argsort(row.astype(np.uint16) if len(ids) < 1 << 16 else row, kind="stable")
+            order = order[np.argsort(part[order], kind="stable")]
             h, at, row = h[order], at[order], row[order]
-            ids = np.asarray(b.column(0))
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             there = np.flatnonzero(np.diff(bounds))
             cells: list[list] = [[], [], [], []]
             for p in there.tolist():
                 x = slice(bounds[p], bounds[p + 1])
                 rows, n = np.unique(row[x], return_counts=True)
-                order = np.argsort(row[x], kind="stable")
-                for c, v in zip(cells, (planes(h[x][order], 5), planes(at[x][order], 4), ids[rows].astype("<i8").tobytes(), n.astype("<i4").tobytes())):
+                for c, v in zip(cells, (planes(h[x], 5), planes(at[x], 4), ids[rows].astype("<i8").tobytes(), n.astype("<i4").tobytes())):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["part", "keys", "at", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=CELL)
+            if len(local[0]):
+                turn += 1
+                yield pa.RecordBatch.from_arrays([pa.array([turn % parts], pa.int32()), *(pa.array([x], pa.binary()) for x in (planes(local[4], 5), planes(np.concatenate(local[2:4]), 4), np.concatenate(local[:2]).astype("<i8").tobytes(), b""))], names=CELL)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
 
+        def rows_of(d: np.ndarray, o: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+            step = np.where(k & np.uint64(1), r.long - r.k, r.k + 1)
+            for i in range(0, len(d), 1 << 18):
+                cut = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(o[cut]), *(pa.array(v[cut].astype(np.int32)) for v in (x, y, step))], names=["doc_id", "owner", "at", "owner_at", "step"])
+
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                d, o, x, y, k = met(*(np.concatenate(c) for c in zip(*held)))
-                step = np.where(k & np.uint64(1), r.long - r.k, r.k + 1)
-                for i in range(0, len(d), 1 << 18):
-                    cut = slice(i, i + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(o[cut]), *(pa.array(v[cut].astype(np.int32)) for v in (x, y, step))], names=["doc_id", "owner", "at", "owner_at", "step"])
+                yield from rows_of(*met(*(np.concatenate(c) for c in zip(*held))))
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != part:
                     yield from done()
                     part, held = row[0], []
+                if not row[4]:  # matches made where the texts were read
+                    k, at, ids = unplaned(row[1], 5), unplaned(row[2], 4).astype(np.int64), np.frombuffer(row[3], "<i8")
+                    yield from rows_of(ids[: len(k)], ids[len(k) :], at[: len(k)], at[len(k) :], k)
+                    continue
                 ids = np.repeat(np.frombuffer(row[3], "<i8"), np.frombuffer(row[4], "<i4"))
                 held.append((unplaned(row[1], 5), ids, unplaned(row[2], 4).astype(np.int64)))
         yield from done()
 
     dealt = texts.mapInArrow(deal, "part int, keys binary, at binary, ids binary, n binary")
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "doc_id long, owner long, at int, owner_at int, step int")
-
-
-def thinned(x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct matches of k words, of each run along one diagonal the first, the last and every eighth place (the
-    alignment compares all words between two matches anyway); and the runs' numbers."""
-    d, x = np.concatenate((x - y, x - y)), np.concatenate((x, x + step))
-    order = np.lexsort((x, d))
-    d, x = d[order], x[order]
-    new = np.concatenate(([True], (np.diff(d) != 0) | (np.diff(x) != 0)))
-    d, x = d[new], x[new]
-    begins = np.concatenate(([True], (np.diff(d) != 0) | (np.diff(x) != 1)))
+    return dealt.mapInArrow(meet, "doc_id long, owner long, at int, owner_at int, step int"), parts
+
+
+def thinned(group: np.ndarray, x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, ...]:
+    """group, x, y, run of the distinct matches of k words in order of group and diagonal: of each run along one diagonal
+    the first, the last and every eighth place (the alignment compares all words between two matches anyway)."""
+    g, d, x = np.concatenate((group, group)), np.concatenate((x - y, x - y)), np.concatenate((x, x + step))
+    order = np.lexsort((x, d, g))
+    g, d, x = g[order], d[order], x[order]
+    other = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
+    new = other | np.concatenate(([True], x[1:] != x[:-1]))
+    g, d, x, other = g[new], d[new], x[new], other[new]
+    begins = other | np.concatenate(([True], np.diff(x) != 1))
     keep = begins | np.append(begins[1:], True) | (x % 8 == 0)
-    return x[keep], x[keep] - d[keep], np.cumsum(begins)[keep]
-
-
-def place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """One number for a pair of places, in order of diagonals."""
-    return (x - y << 32) + x
-
-
-def sure(px: np.ndarray, py: np.ndarray, runs: np.ndarray, r: PassageRules) -> bool:
-    """Whether the matches of a chain make a passage by themselves; runs are those of its matches."""
-    gap = np.minimum(np.diff(px), np.diff(py))
-    equal = r.k + int(np.where(np.diff(runs) == 0, gap, np.minimum(gap, r.k)).sum())
-    long = max(px[-1] - px[0], py[-1] - py[0]) + r.k
-    return px[-1] - px[0] + r.k >= r.least_words and equal >= r.least_alike * long
-
-
-def chains_of_document(owners: np.ndarray, x: np.ndarray, y: np.ndarray, step: np.ndarray, least: int, r: PassageRules) -> list[tuple]:
-    """(owner, places, the owner's places) of a document's chains; owners ascend. A chain whose stretch of the document
-    lies in another's that is a passage for sure is not needed: so copies of copies don't report it once for each."""
-    found = []
-    cut = np.flatnonzero(np.diff(owners)) + 1
-    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(owners)]):
-        tx, ty, runs = thinned(x[a:z], y[a:z], step[a:z])
-        at = place(tx, ty)
-        for px, py in chains_of(tx, ty, r):
-            if px[-1] - px[0] + r.k >= least:
-                found.append((not sure(px, py, runs[np.searchsorted(at, place(px, py))], r), int(px[0] - px[-1]), int(owners[a]), px, py))
-    found.sort(key=lambda c: c[:3])
-    kept, begins, ends = [], [], []
-    for unsure, _, owner, px, py in found:
-        if begins and ((np.array(begins) <= px[0]) & (np.array(ends) >= px[-1])).any():
-            continue
-        kept.append((owner, px, py))
-        if not unsure:
-            begins.append(px[0])
-            ends.append(px[-1])
-    return kept
+    return g[keep], x[keep], x[keep] - d[keep], np.cumsum(begins)[keep]
+
+
+def chained(doc: np.ndarray, owner: np.ndarray, x: np.ndarray, y: np.ndarray, step: np.ndarray, r: PassageRules) -> tuple[np.ndarray, ...]:
+    """doc, owner, where each chain's matches begin (one more at the end), and the matches x, y of all chains. The rows
+    come sorted by document and owner. Matches of a pair on one diagonal are a chain as they are (a step within most_gap
+    costs no more than a match weighs), the others are chained by the tree."""
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])))
+    at = np.flatnonzero(new)
+    g, x, y, run = thinned(np.cumsum(new) - 1, x, y, step)
+    bounds = np.searchsorted(g, np.arange(len(at) + 1))
+    d = x - y
+    crooked = d[bounds[:-1]] != d[bounds[1:] - 1]
+    straight = ~crooked[g]
+    sx, sy, sg, sr = x[straight], y[straight], g[straight], run[straight]
+    cut = np.concatenate(([True], (sg[1:] != sg[:-1]) | (np.diff(sx) > r.most_gap))) if len(sx) else np.zeros(0, bool)
+    xs, ys, runs, of, lens = [sx], [sy], [sr], [sg[cut]], [np.diff(np.append(np.flatnonzero(cut), len(sx)))]
+    for i in np.flatnonzero(crooked).tolist():
+        own = slice(bounds[i], bounds[i + 1])
+        inside, own_lens = chain_indices(x[own], y[own], r)
+        inside += bounds[i]
+        xs.append(x[inside])
+        ys.append(y[inside])
+        runs.append(run[inside])
+        of.append(np.full(len(own_lens), i))
+        lens.append(own_lens)
+    of, lens = np.concatenate(of).astype(np.int64), np.concatenate(lens).astype(np.int64)
+    keep, starts = needed(doc[at][of], owner[at][of], np.concatenate(xs), np.concatenate(ys), np.concatenate(runs), lens, r)
+    xs, ys = (np.concatenate(v)[ranges(starts[:-1][keep], lens[keep])] for v in (xs, ys))
+    return doc[at][of[keep]], owner[at][of[keep]], np.concatenate(([0], np.cumsum(lens[keep]))), xs, ys
+
+
+def needed(doc: np.ndarray, owner: np.ndarray, x: np.ndarray, y: np.ndarray, run: np.ndarray, lens: np.ndarray, r: PassageRules) -> tuple[np.ndarray, np.ndarray]:
+    """Which chains are aligned, in order of documents, and where each begins. Of a document's chains that are passages by
+    their matches alone (sure) a least cover is, and no other whose stretch lies within a sure one: so copies of copies
+    don't report a stretch once for each. Of several chains that hold nearly the same stretch of one owner at places that
+    overlap, as a text that repeats a few words over and over has them at every turn, a least cover is aligned too."""
+    starts = np.concatenate(([0], np.cumsum(lens)))
+    a, z = starts[:-1], starts[1:] - 1
+    gap = np.minimum(np.diff(x), np.diff(y))
+    equal = np.concatenate(([0], np.cumsum(np.where(np.diff(run) == 0, gap, np.minimum(gap, r.k)))))
+    x0, x1, y0, y1 = x[a], x[z] + r.k, y[a], y[z] + r.k
+    sure = (x1 - x0 >= r.least_words) & (equal[z] - equal[a] + r.k >= r.least_alike * np.maximum(x1 - x0, y1 - y0))
+    # a chain has a whole key at least: no more, as edits may take up the rest of a passage; half a key is another's rest
+    order = np.flatnonzero(x1 - x0 > 2 * r.k)
+    order = order[np.lexsort((x0[order], doc[order]))]
+    cuts = np.flatnonzero(np.diff(doc[order])) + 1
+    alone = np.diff(np.concatenate(([0], cuts, [len(order)]))) == 1 if len(order) else np.zeros(0, bool)
+    kept = [order[np.concatenate(([0], cuts))[alone]]] if len(order) else []
+    for own in (c for c, one in zip(np.split(order, cuts), alone) if not one):
+        mine = own[sure[own]]
+        mine = mine[least_cover(x0[mine], x1[mine])]
+        rest = own[~sure[own]]
+        if len(mine):  # their ends rise with their begins
+            last = np.searchsorted(x0[mine], x0[rest], side="right") - 1
+            rest = rest[(last < 0) | (x1[mine][last] < x1[rest])]
+        kept.append(mine)
+        rest = rest[np.lexsort((y0[rest], owner[rest]))]
+        if len(rest):
+            apart = np.flatnonzero((np.diff(owner[rest]) != 0) | (np.diff(y0[rest]) > r.k)) + 1
+            for near in np.split(rest, apart):
+                near = near[np.argsort(x0[near], kind="stable")]
+                kept.append(near[least_cover(x0[near], x1[near])])
+    keep = np.concatenate(kept).astype(np.int64) if kept else np.zeros(0, np.int64)
+    return keep[np.argsort(doc[keep], kind="stable")], starts
+
+
+def least_cover(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places of the fewest of the stretches (sorted by begin) that cover all that any covers; both ends rise in them."""
+    out: list[int] = []
+    i, n, covered = 0, len(begin), -1
+    while i < n:
+        if begin[i] > covered:  # a gap: the next group
+            covered = begin[i]
+        best = -1
+        while i < n and begin[i] <= covered:
+            if end[i] > (end[best] if best >= 0 else covered):
+                best = i
+            i += 1
+        if best >= 0:
+            out.append(best)
+            covered = end[best]
+    return np.array(out, np.int64)
 
 
 def chains_of(x: np.ndarray, y: np.ndarray, r: PassageRules) -> list[np.ndarray]:
     """Chains (places in x and y, rising in both) of one pair of documents, best first; each match is in one chain."""
+    at, lens = chain_indices(x, y, r)
+    return [np.stack((x[own], y[own])) for own in np.split(at, np.cumsum(lens)[:-1])]
+
+
+def chain_indices(x: np.ndarray, y: np.ndarray, r: PassageRules) -> tuple[np.ndarray, list[int]]:
+    """The chains' matches as indices of x and y, one chain after the other, and the chains' lengths."""
     order = np.lexsort((-y, x))
     xs, ys = x[order].tolist(), y[order].tolist()
     ranks = (np.unique(y, return_inverse=True)[1][order] + 1).tolist()
@@ -243,37 +389,36 @@ def chains_of(x: np.ndarray, y: np.ndarray, r: PassageRules) -> list[np.ndarray]
             if value > tree[k]:
                 tree[k], who[k] = value, i
             k += k & -k
-    used, out = bytearray(n), []
+    used, out, lens = bytearray(n), [], []
     for i in sorted(range(n), key=score.__getitem__, reverse=True):
-        chain = []
+        chain, last = [], -1
         while i >= 0 and not used[i]:
+            if last >= 0 and (xs[last] - xs[i] > r.most_gap or ys[last] - ys[i] > r.most_gap):
+                out += chain[::-1]
+                lens.append(len(chain))
+                chain = []
             used[i] = 1
             chain.append(i)
-            i = before[i]
+            last, i = i, before[i]
         if chain:
-            out.append(np.array(chain[::-1]))
-    pieces = []
-    for c in out:
-        cx, cy = np.array([xs[i] for i in c]), np.array([ys[i] for i in c])
-        far = np.flatnonzero((np.diff(cx) > r.most_gap) | (np.diff(cy) > r.most_gap)) + 1
-        for px, py in zip(np.split(cx, far), np.split(cy, far)):
-            pieces.append(np.stack((px, py)))
-    return pieces
-
-
-def outward(a: np.ndarray, b: np.ndarray, r: PassageRules) -> int:
-    """How many words of a and b go on alike from their beginnings."""
+            out += chain[::-1]
+            lens.append(len(chain))
+    return order[out], lens
+
+
+def outward(a: np.ndarray, b: np.ndarray, r: PassageRules) -> tuple[int, bool]:
+    """How many words of a and b go on alike from their beginnings; whether that was still open where one of them ended."""
     n = min(len(a), len(b))
     if not n:
-        return 0
+        return 0, True
     total = np.cumsum(np.where(a[:n] == b[:n], 1.0, -r.mismatch))
     best = np.maximum(np.maximum.accumulate(total), 0)
     stop = np.flatnonzero(best - total > r.drop)
     upto = int(stop[0]) if len(stop) else n
     if not upto:
-        return 0
+        return 0, False
     k = int(np.argmax(total[:upto]))
-    return k + 1 if total[k] > 0 else 0
+    return (k + 1 if total[k] > 0 else 0), not len(stop)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -290,50 +435,41 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, r: PassageRules) -> tuple[int, int, int, int, int]:
-    """Begin and end in a, begin and end in b, and equal words, of the passage around the matches x, y."""
-    same = 0
-    for i in range(len(x)):
-        if i + 1 == len(x):
-            same += r.k
-        elif x[i + 1] - x[i] == y[i + 1] - y[i]:
-            same += int((a[x[i] : x[i + 1]] == b[y[i] : y[i + 1]]).sum())
-        else:
-            same += common(a[x[i] : x[i + 1]], b[y[i] : y[i + 1]])
+def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, r: PassageRules) -> tuple[int, int, int, int, int, bool, bool]:
+    """Begin and end in a, begin and end in b, and equal words, of the passage around the matches x, y; whether its left
+    and its right end might lie beyond a and b."""
+    same, turns = r.k, np.flatnonzero(np.diff(x - y))
+    for i, j in zip([0, *(turns + 1).tolist()], [*turns.tolist(), len(x) - 1]):  # stretches along one diagonal
+        same += int((a[x[i] : x[j]] == b[y[i] : y[j]]).sum())
+        if j + 1 < len(x):
+            same += common(a[x[j] : x[j + 1]], b[y[j] : y[j + 1]])
     inner = int(x[0]), int(x[-1]) + r.k, int(y[0]), int(y[-1]) + r.k, same
-    left = outward(a[: x[0]][::-1], b[: y[0]][::-1], r)
-    right = outward(a[x[-1] + r.k :], b[y[-1] + r.k :], r)
+    left, on_left = outward(a[: x[0]][::-1], b[: y[0]][::-1], r)
+    right, on_right = outward(a[x[-1] + r.k :], b[y[-1] + r.k :], r)
     x0, x1, y0, y1 = int(x[0]) - left, int(x[-1]) + r.k + right, int(y[0]) - left, int(y[-1]) + r.k + right
     same += int((a[x0 : x[0]] == b[y0 : y[0]]).sum()) + int((a[x[-1] + r.k : x1] == b[y[-1] + r.k : y1]).sum())
     alike = lambda p: p[1] - p[0] >= r.least_words and p[4] >= r.least_alike * max(p[1] - p[0], p[3] - p[2])
     whole = x0, x1, y0, y1, same
-    return inner if alike(inner) and not alike(whole) else whole
+    return *(inner if alike(inner) and not alike(whole) else whole), on_left, on_right
 
 
 def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
     """doc_id, begin, end (words, end excluded), source_id, source_begin, source_end, equal_words: each passage of a
     document that an earlier document (smaller id) has too."""
     r = rules or PassageRules()
-    matches = matches_of(docs, r)
+    matches, parts = matches_of(docs, r)
     # chaining is heavy for its few bytes, so partitions aren't merged by size
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = matches.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "owner", "at")
     chain_schema = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))])
-    # what a chain must span at least: a single key, as edits may take up the rest of a passage
-    least = 2 * r.k + 1
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-            d, o, x, y, step = cols
-            cut = np.flatnonzero(np.diff(d)) + 1
-            rows: list[list] = [[], [], [], []]
-            for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(d)]):
-                for owner, px, py in chains_of_document(o[a:z], x[a:z], y[a:z], step[a:z], least, r):
-                    for col, v in zip(rows, (d[a], owner, px, py)):
-                        col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, chain_schema)], schema=chain_schema)
+            d, o, at, x, y = chained(*cols, r)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.astype(np.int32))) for v in (x, y)]
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(o), *lists], schema=chain_schema)
 
         for b in batches:
             cols = [np.asarray(c, np.int64) for c in b.columns]
@@ -356,46 +492,88 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            cells = [word_hashes(t or "").view(np.int64).astype(np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.int32()))], names=["id", "words"])
+            h, at = hashed_words(b.column(1))
+            cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), cells], names=["id", "words"])
 
     words = written(texts.mapInArrow(hashed, "id long, words array<int>"), "words")
+    found, left, reach = None, chains, r.reach
+    while True:
+        tried = written(_aligned(left, words, r, reach), "aligned")
+        ended = tried.filter("not more").select(*FOUND)
+        found = ended if found is None else found.union(ended)
+        left = tried.filter("more").select("doc_id", F.col("source_id").alias("owner"), "x", "y")
+        if left.isEmpty():
+            break
+        reach *= 16
+    found = found.filter(f"end - begin >= {r.least_words}")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The fewest of each document's passages that cover all of them; of equal ones that of the smallest source."""
+        held: list[pa.RecordBatch] = []
+
+        def of(t: pa.Table) -> list[pa.RecordBatch]:
+            doc, begin, end = (np.asarray(t[c]) for c in ("doc_id", "begin", "end"))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
+            kept = [a + least_cover(begin[a:z], end[a:z]) if z - a > 1 else [a] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            return t.take(pa.array(np.concatenate(kept).astype(np.int64))).to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc = np.asarray(b.column(0))
+            last = np.flatnonzero(doc != doc[-1])
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at or held and held[-1].column(0)[-1].as_py() != doc[0]:
+                yield from of(pa.Table.from_batches([*held, b.slice(0, at)]))
+                held = []
+            held.append(b.slice(at))
+        if held:
+            yield from of(pa.Table.from_batches(held))
+
+    dealt = found.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "begin", "source_id", "source_begin")
+    return dealt.mapInArrow(once, FOUND_TYPES)
+
+
+FOUND = ["doc_id", "begin", "end", "source_id", "source_begin", "source_end", "equal_words"]
+FOUND_TYPES = ", ".join(f"{n} long" for n in FOUND)
+
+
+def _aligned(chains: DataFrame, words: DataFrame, r: PassageRules, reach: int) -> DataFrame:
+    """The chains' passages (FOUND; those that are none are left out), each with `more` and its matches x, y if the alignment
+    was still going on where the words of `reach` around the chain ended, but the text didn't."""
 
     def around(side: str, name: str):
-        begin = F.greatest(F.lit(0), F.get(F.col(side), F.lit(0)) - r.reach)
-        end = F.element_at(F.col(side), -1) + r.k + r.reach
-        return begin.alias(f"{name}_from"), F.slice("words", begin + 1, end - begin).alias(name)
+        begin = F.greatest(F.lit(0), F.get(F.col(side), F.lit(0)) - reach)
+        end = F.element_at(F.col(side), -1) + r.k + reach
+        return begin.alias(f"{name}_from"), F.slice("words", begin + 1, end - begin).alias(name), F.size("words").alias(f"{name}_words")
 
     one = chains.join(words, chains["doc_id"] == words["id"]).select("doc_id", "owner", "x", "y", *around("x", "a"))
     one = written(one, "chains")
-    two = one.join(words, one["owner"] == words["id"]).select("doc_id", "owner", "x", "y", "a", "a_from", *around("y", "b"))
-    names = ["doc_id", "begin", "end", "source_id", "source_begin", "source_end", "equal_words"]
+    two = one.join(words, one["owner"] == words["id"]).select(*one.columns, *around("y", "b"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
+            cols = {n: b.column(n) for n in ("x", "y", "a", "b")}
+            offsets = {n: np.asarray(c.offsets) for n, c in cols.items()}
+            values = {n: np.asarray(c.values) for n, c in cols.items()}
+            plain = {n: b.column(n).to_pylist() for n in ("doc_id", "owner", "a_from", "b_from", "a_words", "b_words")}
             for i in range(b.num_rows):
-                x, y, a, c = (np.asarray(b.column(n)[i].values) for n in ("x", "y", "a", "b"))
-                fx, fy = b.column("a_from")[i].as_py(), b.column("b_from")[i].as_py()
+                x, y, a, c = (values[n][offsets[n][i] : offsets[n][i + 1]] for n in ("x", "y", "a", "b"))
+                fx, fy = plain["a_from"][i], plain["b_from"][i]
                 if x[-1] - fx + r.k > len(a) or y[-1] - fy + r.k > len(c):
                     continue  # another row with the same document id
-                x0, x1, y0, y1, same = aligned(a, c, x - fx, y - fy, r)
-                if x1 - x0 >= r.least_words and same >= r.least_alike * max(x1 - x0, y1 - y0):
-                    rows.append((b.column("doc_id")[i].as_py(), x0 + fx, x1 + fx, b.column("owner")[i].as_py(), y0 + fy, y1 + fy, same))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*rows) if rows else [[]] * 7)], names=names)
-
-    types = ", ".join(f"{n} long" for n in names)
-
-    def once(key: tuple, rows: pa.Table) -> pa.Table:
-        """A document's passages but those that lie within a longer one (of the smaller source, if equal)."""
-        cols = rows.to_pydict()
-        kept: list[int] = []
-        for i in sorted(range(rows.num_rows), key=lambda i: (cols["begin"][i] - cols["end"][i], cols["source_id"][i], cols["source_begin"][i])):
-            if not any(cols["begin"][j] <= cols["begin"][i] and cols["end"][i] <= cols["end"][j] for j in kept):
-                kept.append(i)
-        return rows.take(pa.array(kept, pa.int64()))
-
-    return two.mapInArrow(align, types).groupBy("doc_id").applyInArrow(once, types)
+                x0, x1, y0, y1, same, on_left, on_right = aligned(a, c, x - fx, y - fy, r)
+                # the slices end `reach` words out, or where a text does
+                more = on_left and min(x[0], y[0]) > reach
+                more = more or on_right and min(plain["a_words"][i] - x[-1], plain["b_words"][i] - y[-1]) - r.k > reach
+                if more or x1 - x0 >= r.least_words and same >= r.least_alike * max(x1 - x0, y1 - y0):
+                    rows.append((plain["doc_id"][i], x0 + fx, x1 + fx, plain["owner"][i], y0 + fy, y1 + fy, same, bool(more), x if more else None, y if more else None))
+            types = [pa.int64()] * 7 + [pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 10, types)], names=[*FOUND, "more", "x", "y"])
+
+    return two.mapInArrow(align, FOUND_TYPES + ", more boolean, x array<int>, y array<int>")
 
 
 def drop_passages(docs: DataFrame, found: DataFrame) -> DataFrame:

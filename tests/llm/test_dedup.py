@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -267,3 +268,74 @@ def test_near_copies_report_a_passage_once(spark):
     rows = [(i, " ".join(rng.choice("abc") + w if rng.random() < 0.04 and 10 < n < 190 else w for n, w in enumerate(whole))) for i in range(60)]
     found = Counter(r["doc_id"] for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert found == {i: 1 for i in range(1, 60)}
+
+
+def test_words_of_slices():
+    texts = pa.array(["Aa  b", None, " C\td\x1ce ", "", "f"] * 5, pa.string())
+    for own in (texts, texts.slice(3, 11), texts.slice(24)):
+        h, at = passages.hashed_words(own)
+        want = [[xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().lower().split()] for t in own.to_pylist()]
+        assert [h[a:z].tolist() for a, z in zip(at[:-1], at[1:])] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 50), max_size=60), min_size=1, max_size=5))
+def test_seeds_equal_those_of_each_text(texts):
+    r = passages.PassageRules()
+    words = [np.array(t, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for t in texts]
+    starts = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    h, row, at = passages.seeds_of(np.concatenate(words), starts, r)
+    got = Counter(zip(h.tolist(), row.tolist(), at.tolist()))
+    want = Counter()
+    for i, w in enumerate(words):
+        short = (passages.rolled(w, [0, 1, 2, 3, 5, 6, 7, 8]) & ~np.uint64(1)).tolist()
+        for j, k in enumerate(short):
+            if k not in short[max(0, j - r.turn) : j] or k not in short[j + 1 : j + 1 + r.turn]:
+                want[k, i, j] += 1
+        long = passages.rolled(w, list(range(20)))
+        for j in {j for a in range(max(1, len(long) - 11)) for j in range(a, min(a + 12, len(long))) if long[j] == long[a : a + 12].min()}:
+            want[int(long[j]) | 1, i, j] += 1
+    assert got == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), max_size=25))
+def test_least_cover(spans):
+    spans = sorted((a, a + n) for a, n in spans)
+    kept = [spans[i] for i in passages.least_cover(np.array([a for a, _ in spans]), np.array([z for _, z in spans]))]
+    cells = lambda s: {i for a, z in s for i in range(a, z)}
+    assert cells(kept) == cells(spans) and all(sum(a <= i < z for a, z in kept) <= 2 for i in cells(spans))
+
+
+def test_passages_of_words_said_over_and_over(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    turns = lambda n: ["to", "fro"] * n
+    rows = [(i, " ".join(fresh(30) + turns(60 + 7 * i) + fresh(30))) for i in range(12)]
+    found = Counter()
+    for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["begin"] <= 32 or r["end"] >= 28 + 2 * (60 + 7 * r["doc_id"])
+        found[r["doc_id"]] += 1
+    assert set(found) == set(range(1, 12)) and max(found.values()) <= 3
+
+
+def test_a_passage_of_many_documents_of_one_step(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    whole = fresh(60)
+    rows = [(i, " ".join(fresh(10 + i % 7) + whole + fresh(8))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in passages.passages(docs).collect()}
+    assert set(found) == set(range(1, 400))
+    assert all(r["source_id"] < i and (r["begin"], r["end"]) == (10 + i % 7, 70 + i % 7) for i, r in found.items())
+
+
+def test_alignment_goes_on_as_far_as_the_texts_agree(spark):
+    rng = random.Random(14)
+    fresh = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    whole = fresh(3000)
+    # all keys but a few in the middle belong to smaller documents that hold 15 words each
+    rows = [(i, " ".join(fresh(5) + whole[5 * i : 5 * i + 15] + fresh(5))) for i in range(600) if not 290 < i < 310]
+    rows += [(1000, " ".join(whole)), (1001, " ".join(fresh(9) + whole))]
+    found = [r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string"), passages.PassageRules(window=10**6, long=3000)).collect() if r["doc_id"] == 1001]
+    assert [(r["source_id"], r["begin"], r["end"]) for r in found] == [(1000, 9, 3009)]
