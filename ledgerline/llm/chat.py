@@ -64,11 +64,18 @@ def part_tokens(part: Column, t: Template) -> Column:
     return F.when(part["kind"] == "image", image).when(part["kind"] == "audio", F.ceil(a * t.audio_rate)).otherwise(F.ceil(a) * t.page_tokens).cast("long")
 
 
-def visited(part: Column) -> Column:
-    """A part as formatted text: escaped text, or the placeholder of its kind."""
-    name = F.when(part["kind"].isin("image", "audio"), part["kind"]).otherwise(F.lit("document"))
-    text = escaped(F.coalesce(part["text"], F.lit("")))
-    return F.when(F.coalesce(part["kind"], F.lit("text")) == "text", text).otherwise(F.concat(F.lit("<|"), name, F.lit("|>")))
+def visited(parts: Column) -> Column:
+    """A turn's parts as formatted text: escaped text and the placeholders of their kinds. Text parts that stand side by
+    side are escaped as one string, so that no control string comes about where two of them meet."""
+
+    def visit(state: Column, part: Column) -> Column:
+        name = F.when(part["kind"].isin("image", "audio"), part["kind"]).otherwise(F.lit("document"))
+        more = F.concat(state["open"], F.coalesce(part["text"], F.lit("")))
+        closed = F.concat(state["done"], escaped(state["open"]), F.lit("<|"), name, F.lit("|>"))
+        is_text = F.coalesce(part["kind"], F.lit("text")) == "text"
+        return F.struct(F.when(is_text, state["done"]).otherwise(closed).alias("done"), F.when(is_text, more).otherwise(F.lit("")).alias("open"))
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("done"), F.lit("").alias("open")), visit, lambda s: F.concat(s["done"], escaped(s["open"])))
 
 
 def format_conversations(turns: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None) -> DataFrame:
@@ -81,7 +88,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
     one = F.array(F.struct(F.lit("text").alias("kind"), F.col(text).cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("array<double>").alias("size")))
     content = one if parts is None else F.coalesce(F.col(parts).cast(PARTS), F.array().cast(PARTS))
     d = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), content.alias("parts"))
-    d = d.withColumn("body", F.concat_ws("", F.transform("parts", visited)))
+    # without a column of parts a turn is its text, and needs no visit
+    d = d.withColumn("body", visited(F.col("parts")) if parts is not None else escaped(F.coalesce(F.get("parts", F.lit(0))["text"], F.lit(""))))
     d = d.withColumn("head", F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n")))
     d = d.withColumn("segment", F.concat("head", "body", F.lit(END)))
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")

@@ -5,8 +5,9 @@ that language's references by Jensen-Shannon distance (the square root of the di
 A histogram says little about a short text, so each comparison begins at a minimum length; shorter texts are judged by
 the base rules alone. The language is the one whose frequent words are nearest; the table's own label isn't trusted.
 
-References: frequent words follow a rank law, first / rank ** slope, which is near the published counts of the four
-languages; character classes are those of running prose.
+References: frequent words follow a rank law, first / rank ** slope, which is near the published counts of these
+languages; character classes are those of running prose. Both are parameters of QualityRules. A long text in a language
+that has no list there is far from all references and goes; hand in the list of any other language of the corpus.
 
 Defined results: a null, empty or wordless text has zeros and fails the base rules; repeated rows are judged each on
 their own; other columns stay (keep_good) or aren't read (quality).
@@ -25,6 +26,10 @@ FREQUENT = {
     "fr": "de la le et les des en un du une que pour est dans qui par sur au pas plus",
     "de": "der die und in den von zu das sich mit des auf ist im dem nicht ein eine als für",
     "es": "de la que el en y los se las del un por con no una su para es al lo",
+    "it": "di e il la che in a per un è del non si da i una le con della sono",
+    "pt": "de a o que e do da em um para com não uma os no se na por mais as",
+    "nl": "de van een het en in is dat op te zijn met voor niet aan er om ook als dan",
+    "ru": "и в не на что с он как по это но из у за от к его для так все",
 }
 #: Shares of prose: white space, upper case, other letters and marks, digits, sentence marks, anything else (fixed values).
 CLASSES = (0.16, 0.03, 0.775, 0.005, 0.025, 0.005)

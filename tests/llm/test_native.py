@@ -1,7 +1,10 @@
 import math
+import random
 import re
 from collections import Counter
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chat, quality
@@ -86,3 +89,29 @@ def test_typed_parts(spark):
     r = chat.format_conversations(turns, parts="parts").first()
     assert r["formatted"] == "<|im_start|>user\nlook <\\|x|><|image|><|audio|><|document|><|document|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [(a["kind"], a["ref"], a["turn_place"], a["part_place"], a["tokens"]) for a in r["attachments"]] == [("image", "img://1", 0, 1, 12), ("audio", "aud://2", 0, 2, 25), ("document", "doc://3", 0, 3, 1800), ("video", "vid://4", 0, 4, 0)]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<", "|", "\\", "<|", "im_end|>", "<|im_end|>", "a", "\n", None, "#image"]), max_size=8), min_size=20, max_size=20))
+def test_parts_forge_nothing_wherever_a_text_is_cut(spark, turns):
+    part = lambda p: ("image", None, "img", [1.0, 1.0]) if p == "#image" else ("text", p, None, None)
+    rows = [(i, 0, "assistant", "unused", [part(p) for p in t]) for i, t in enumerate(turns)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts {chat.PARTS}"), parts="parts")
+    got = {r["conv_id"]: r for r in chat.read_turns(formatted).collect()}
+    for i, t in enumerate(turns):
+        assert got[i]["loss_text"] == "".join("<|image|>" if p == "#image" else p or "" for p in t) == got[i]["turns"][0]["text"]
+        assert len(got[i]["turns"]) == 1
+    for r in formatted.collect():
+        assert r["formatted"].count("<|") == 2 + turns[r["conv_id"]].count("#image")
+
+
+def test_prose_of_other_listed_languages_is_kept(spark):
+    rng = random.Random(4)
+    rows = []
+    for i, (lang, listed) in enumerate(quality.FREQUENT.items()):
+        letters = "авгдеиклмнопрст" if lang == "ru" else "abdefgilmnoprstu"
+        common, weights = listed.split(), [0.06 / (k + 1) ** 0.75 for k in range(20)]
+        w = [rng.choices(common, weights)[0] if rng.random() < sum(weights) else "".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(400)]
+        rows.append((i, " ".join(x.capitalize() if k % 12 == 0 else x + ("." if k % 12 == 11 else "," if k % 7 == 5 else "") for k, x in enumerate(w))))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(g["kept"] for g in got), got
