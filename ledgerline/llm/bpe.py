@@ -16,14 +16,15 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
 from .common import id_and_text, ranges, ship, steps
 
-#: The published pattern that splits text before the merges (fixed value, public_tokenizers.PATTERN).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Ids decoded at a time.
+STEP_IDS = 300_000
 
 
 class BytePairs:
@@ -168,16 +169,19 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFram
         lens = np.array([len(x) for x in table], np.int64)
         begins, joined = np.cumsum(lens) - lens, np.frombuffer(b"".join(table), np.uint8)
         for b in batches:
-            for x in range(0, b.num_rows, 256):
-                own = b.slice(x, 256)
+            ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(b.column(ids)), 0), np.int64))
+            x = 0
+            while x < b.num_rows:  # steps of so many ids, or a single row
+                to = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + STEP_IDS, side="right")))
+                own, x = b.slice(x, to - x), to
                 col = own.column(ids)
                 at = np.asarray(col.offsets, np.int64)
                 flat = np.asarray(col.flatten() if col.null_count else col.values[at[0] : at[-1]])
                 at = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0), np.int64))))
                 each = lens[flat]
-                ends = np.concatenate(([0], np.cumsum(each)))[at]
+                cut = np.concatenate(([0], np.cumsum(each)))[at]
                 out = joined[ranges(begins[flat], each)].tobytes()
-                cells = [out[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                cells = [out[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 mask = np.asarray(col.is_null())
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(cells, pa.binary(), mask=mask)], names=[*names, "decoded"])
 

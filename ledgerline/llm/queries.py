@@ -5,18 +5,18 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, licenses, lines, packing, passages, quality, simhash, token_files, topk
 from .common import new_path, table
 
-#: The folder of the public vocabularies; a parameter of the environment, never copied.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 
 def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """A public vocabulary's place; they are never copied. TOKENIZERS_DIR can name another folder."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

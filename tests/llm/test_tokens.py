@@ -142,3 +142,25 @@ def test_packing(spark, odd, nothing, vocabularies, data):
     assert len({r["sequence_id"] for r in rows}) == len(best_fit([r["length"] for r in rows], 256))
     assert packing.sequences(packing.pack_documents(odd, where, capacity=256, with_ids=True)).count() == len({r["sequence_id"] for r in rows})
     assert packing.pack_documents(nothing, where).count() == 0
+
+
+def test_decoding_keeps_nulls_and_other_columns(spark, vocabularies, library, monkeypatch):
+    path = f"{vocabularies}/byte_bpe_multi_50k.tiktoken"
+    texts = ["a few words", "", None, "more words than a step of three ids holds", "x"]
+    rows = [(k, None if t is None else library.encode_ordinary(t), f"o{k}") for k, t in enumerate(texts)]
+    monkeypatch.setattr(bpe, "STEP_IDS", 3)
+    got = bpe.bpe_decode(spark.createDataFrame(rows, "decoding int, ids array<int>, other string"), path).collect()
+    assert [(r["decoding"], r["other"], None if r["decoded"] is None else bytes(r["decoded"]).decode()) for r in got] == [(k, f"o{k}", t) for k, t in enumerate(texts)]
+
+
+def test_single_documents_of_any_block(spark, vocabularies, data, tmp_path):
+    t = tokens.load(data)
+    rows = [(i, " ".join(f"word{k}" for k in range(i % 17))) for i in range(200)]
+    where = str(tmp_path / "files")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), where, f"{vocabularies}/byte_bpe_50k.json", block_ids=300)
+    blocks = spark.read.parquet(where).select("shard", "block", "doc_ids").collect()
+    assert len(blocks) > 3 and sum(len(b["doc_ids"]) for b in blocks) == 200
+    for b in blocks[:: max(1, len(blocks) // 4)]:
+        for place in (0, len(b["doc_ids"]) // 2, len(b["doc_ids"]) - 1):
+            want = [*t.encode(rows[b["doc_ids"][place]][1], add_special_tokens=False).ids, 0]
+            assert token_files.document_ids(spark, where, place, b["shard"], b["block"]) == want
