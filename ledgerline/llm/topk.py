@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
+#: Candidates of a shard and queries of a tile, at most about.
+SHARD_ROWS, TILE_QUERIES = 200_000, 4_000
 
 class Shard:
     """Posting lists of a block of candidates."""
@@ -60,11 +62,12 @@ class Shard:
         return self.ids[alive[order]], score[order]
 
 
-def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, shards: int = 16, block: int = 2048) -> DataFrame:
+def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, shards: int | None = None, tiles: int | None = None, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score of the rows that is_query (a Column) holds for, against all rows.
 
-    Components become floor(scale * x). Every query goes to every shard in blocks of rows; a shard's candidates are read
-    in blocks too, so that a task holds the queries' best and one block. Raise shards with the table.
+    Components become floor(scale * x). Candidates are dealt into shards and queries into tiles, whose numbers follow from
+    the table's rows; each tile meets each shard in one task, which reads the shard's candidates in blocks and holds the
+    tile's queries with their best and one block.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -72,10 +75,16 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
     finite = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & finite)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), whole.alias("v"))
-    # candidates once, to the shard of their id; queries to every shard
-    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "id", "v")
-    asked = rows.filter("query").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    dealt = candidates.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    if shards is None or tiles is None:
+        n = rows.agg(F.count("*").alias("rows"), F.count_if("query").alias("queries")).first()
+        shards, tiles = shards or max(16, -(-n["rows"] // SHARD_ROWS)), tiles or max(1, -(-n["queries"] // TILE_QUERIES))
+    # candidates to every tile of the shard of their id; queries to every shard of their tile
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = rows.select(own(shards).alias("s"), every(tiles).alias("t"), F.lit(1).alias("kind"), "id", "v")
+    asked = rows.filter("query").select(every(shards).alias("s"), own(tiles).alias("t"), F.lit(0).alias("kind"), "id", "v")
+    dealt = candidates.union(asked).select((F.col("s") * tiles + F.col("t")).alias("shard"), "kind", "id", "v")
+    dealt = dealt.repartition(shards * tiles, "shard").sortWithinPartitions("shard", "kind", "id")
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def matrix(col: pa.ListArray) -> np.ndarray:

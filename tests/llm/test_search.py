@@ -91,3 +91,23 @@ def test_whole_licenses(spark):
     for r in licenses.find_licenses(docs).filter("template like '%-text' and contained = 1").collect():
         got.setdefault(r["doc_id"], set()).add(r["template"])
     assert got == {i: {n} for i, n in enumerate(texts)}
+
+
+def test_top_k_tiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 6)]) for i in range(80)]
+    got = topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 3 == 0, shards=3, tiles=4, block=9)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 5)
+
+
+def test_bands_alone_find_templates_with_the_claimed_probability():
+    r, rng = licenses.ScanRules(), np.random.default_rng(6)
+    for m in (40, 200):
+        stride, found = m // 4, 0
+        for _ in range(300):
+            template = rng.integers(0, 2**63, m, dtype=np.uint64)
+            held = rng.permutation(template)[: math.ceil(r.contained * m)]
+            window = np.concatenate((held, rng.integers(0, 2**63, m + stride - len(held), dtype=np.uint64)))
+            a, b = (licenses.minima(v[None, :], r)[0].reshape(r.bands, r.rows) for v in (template, window))
+            found += (a == b).all(axis=1).any()
+        assert found >= 299, (m, found)
