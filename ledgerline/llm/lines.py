@@ -30,8 +30,11 @@ from .common import id_and_text, ship, steps, written
 #: Least code points of a key.
 LEAST = 10
 SPACE = b" \t\n\x0b\x0c\r"
-#: The filters are sent to the tasks only if they take no more bytes than this; else every key goes to the exact join.
+#: The filters are sent to the tasks only if they take no more bytes than this; else filters and keys meet by shard.
 BROADCAST_BYTES = 64 << 20
+#: Keys of a shard's filter, about; parts that a shard's keys are dealt into on their way to its filter.
+SHARD_KEYS = 400_000
+SALTS = 8
 
 
 def key_of(line: bytes, least: int = LEAST) -> bytes | None:
@@ -154,10 +157,11 @@ def _filters(keys: DataFrame, shards: int) -> DataFrame:
     return keys.select(index.shard().alias("shard"), "h1").groupBy("shard").applyInPandas(fill, "shard int, slots binary")
 
 
-def build(docs: DataFrame, shards: int = 64, least: int = LEAST) -> LineIndex:
-    """The index of a corpus. A shard's filter is made in one task from 8 bytes a shared key; raise shards with the corpus."""
+def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> LineIndex:
+    """The index of a corpus. A shard's filter is made in one task; their number follows from that of the shared keys."""
     postings = written(line_keys(docs, least), "postings")
     shared = written(counted(postings), "shared")
+    shards = shards or max(64, -(-shared.count() // SHARD_KEYS))
     return LineIndex(postings, shared, written(_filters(shared, shards), "filters"), shards)
 
 
@@ -225,14 +229,46 @@ def lost_lines(index: LineIndex, probe: DataFrame | None = None) -> DataFrame:
                 yield b.filter(pa.array(hit))
 
         probe = probe.mapInArrow(maybe, "doc_id long, h1 long, h2 long")
+    else:
+        probe = _met_by_shard(index, probe)
     owner = index.shared.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "owner")
     exact = probe.join(owner, (probe["h1"] == owner["k1"]) & (probe["h2"] == owner["k2"])).filter("doc_id <> owner")
     return exact.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
 
 
+def _met_by_shard(index: LineIndex, probe: DataFrame) -> DataFrame:
+    """The rows of probe whose key may be in its shard's filter. Keys and filters go to the same tasks, a shard's filter
+    before its keys, which stream by; a shard's keys are dealt by document as well, so a frequent line is no task's alone."""
+    empty = lambda t, *names: [F.lit(None).cast(t).alias(n) for n in names]
+    filters = index.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "slots", *empty("long", "doc_id", "h1", "h2"))
+    keys = probe.select(index.shard().alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), *empty("binary", "slots"), "doc_id", "h1", "h2")
+    dealt = filters.union(keys).repartition(index.shards * SALTS, "shard", "salt")
+    dealt = dealt.sortWithinPartitions("shard", "salt", F.col("slots").isNull())
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for b in batches:
+            places = list(zip(b.column("shard").to_pylist(), b.column("salt").to_pylist()))
+            cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                part = b.slice(a, z - a)
+                if places[a] != now:
+                    now, own = places[a], None
+                if part.column("slots")[0].is_valid:
+                    own, part = Cuckoo.from_bytes(part.column("slots")[0].as_py()), part.slice(1)
+                if own is not None and part.num_rows:
+                    part = part.select(["doc_id", "h1", "h2"])
+                    yield part.filter(pa.array(own.contains(np.asarray(part.column("h1")).view("<u8"))))
+
+    return dealt.mapInArrow(maybe, "doc_id long, h1 long, h2 long")
+
+
 def drop_lines(docs: DataFrame, lost: DataFrame, least: int = LEAST, counts: bool = True) -> DataFrame:
-    """docs with the lost lines taken out of `text`; with counts also n_lines (before) and n_dropped."""
-    names = docs.columns
+    """docs with the lost lines taken out of `text`; with counts also n_lines (before) and n_dropped, instead of columns
+    of these names."""
+    names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     gone = lost.select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
     joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").select(*[docs[c] for c in names], "__keys")
     types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
