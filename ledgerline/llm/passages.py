@@ -28,23 +28,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ranges, ship, steps, strings, written
+from .common import few, hashed_words, id_and_text, ranges, rolled, ship, steps, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
-#: Ids of the documents that chains concern are broadcast up to so many (8 bytes each); beyond, the texts are shuffled.
-BROADCAST_IDS = 500_000
 #: Keys that one task compares at a time, about.
 PART_KEYS = 3_000_000
 #: Documents of one step (see common.steps) that hold a key before it is matched within the step.
 HOT = 8
 KEY_BITS = np.uint64((1 << 40) - 1)
-ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -70,37 +65,6 @@ class PassageRules:
     drop: float = 8.0
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of each text, and where each text's words begin (one more at the end). Every different word
-    of the array is hashed once."""
-    parts = pc.ascii_split_whitespace(strings(texts))
-    at = np.asarray(parts.offsets, np.int64)
-    flat = parts.flatten().dictionary_encode()
-    words, code = flat.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(flat.indices, np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in words), np.uint64, len(words))
-    there = np.fromiter(map(len, words), np.int64, len(words))[code] > 0  # white space at an end leaves an empty piece
-    return h[code[there]], np.concatenate(([0], np.cumsum(there)))[at - at[0]]
-
-
-def word_hashes(text: str) -> np.ndarray:
-    return hashed_words(pa.array([text], pa.string()))[0]
-
-
-def rolled(words: np.ndarray, places: list[int]) -> np.ndarray:
-    """A hash of the words at the given places from each word on."""
-    n = len(words) - places[-1]
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, len(places), np.uint64)
-    for j in places:
-        h *= ODD
-        h += words[j : j + n]
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def minimizers(h: np.ndarray, valid: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
     """Places of h that are the least of a window of w valid places; where fewer stand together from a `first` place on,
     of those. After valid places at least w - 1 others follow."""
@@ -486,9 +450,7 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
     chains = written(dealt.mapInArrow(chain, "doc_id long, owner long, x array<int>, y array<int>"), "chains")
     # the words of documents that a chain concerns, as hashes; the slices around a chain are cut before they move on
     concerned = written(chains.select("doc_id").union(chains.select("owner")).distinct().withColumnRenamed("doc_id", "id"), "concerned")
-    texts = id_and_text(docs)
-    few = concerned.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(concerned) if few else concerned, texts["doc_id"] == concerned["id"], "left_semi")
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(few(concerned), "id", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
@@ -496,16 +458,19 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
             cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), cells], names=["id", "words"])
 
-    words = written(texts.mapInArrow(hashed, "id long, words array<int>"), "words")
+    hashes = written(texts.mapInArrow(hashed, "id long, words array<int>"), "words")
+    words = hashes
     found, left, reach = None, chains, r.reach
     while True:
         tried = written(_aligned(left, words, r, reach), "aligned")
         ended = tried.filter("not more").select(*FOUND)
         found = ended if found is None else found.union(ended)
         left = tried.filter("more").select("doc_id", F.col("source_id").alias("owner"), "x", "y")
-        if left.isEmpty():
+        again = written(left.select("doc_id").union(left.select("owner")).distinct().withColumnRenamed("doc_id", "id"), "concerned")
+        if again.isEmpty():
             break
         reach *= 16
+        words = hashes.join(few(again), "id", "left_semi")  # only the words of what is made anew travel
     found = found.filter(f"end - begin >= {r.least_words}")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
