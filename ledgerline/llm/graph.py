@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spent, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,6 +28,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges of a least spanning forest: in each round every component takes its lightest edge."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    order = np.lexsort((b, a, weight))
+    x, y = at[: len(a)][order], at[len(a) :][order]
+    label, left, taken = np.arange(len(nodes)), np.arange(len(order)), []
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, label[x[left]], left)
+        np.minimum.at(best, label[y[left]], left)
+        own = np.unique(best[best < len(order)])
+        taken.append(own)
+        far, near = forest(label[x[own]], label[y[own]])
+        to = np.arange(len(nodes))
+        to[far] = near
+        label = to[label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node it can reach) for every node of edges(a, b).
 
@@ -47,7 +68,9 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = written(hooked, "labels")
         up = hooked.select(F.col("node").alias("n"), F.col("label").alias("up"))
         jumped = hooked.join(up, hooked["label"] == up["n"]).select("node", F.col("up").alias("label"), (F.col("moved") | (F.col("up") < F.col("label"))).alias("moved"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("node", "label")
-        if jumped.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        spent(labels, near)
+        labels, old = written(jumped, "labels"), hooked
+        spent(old)
+        if labels.filter("moved").isEmpty():
+            spent(pairs, both)
+            return labels.drop("moved").withColumnRenamed("label", "component")

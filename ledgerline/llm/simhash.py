@@ -6,19 +6,25 @@ fingerprint emits all its variants within half the radius, equal variants meet,
 The variants themselves needn't travel. Their low bits, a linear code, deal them into slices; which flips take a
 fingerprint into a slice depends on the fingerprint's own low bits only. So the fingerprints are sent to the slices,
 each slice makes just the variants that fall in it, block by block, sorts them, and looks at the ones that repeat. The
-shuffle is a small constant times the fingerprints instead of thousands of variants each, memory holds one block, and
-nothing depends on how many copies a document has: equal fingerprints are one.
+shuffle is a small constant times the fingerprints instead of thousands of variants each, memory holds a slice's
+fingerprints and one block, and nothing depends on how many copies a document has: equal fingerprints are one.
 
 Several tables (independent fingerprints of a document) raise the recall for similarities whose expected distance is
-over the radius; then a check fingerprint settles the colliding pairs. A collision group is compared with its first
-member, what doesn't match with the next, and so on until none is left: never all pairs.
+over the radius. Colliding pairs whose check words are near enough are candidates. A collision group isn't paired all
+with all: its first member is paired with all that are near it, the nearest leave, each of the others is paired with the
+nearest of those that left, and so on with the next member until none is left. So whoever was near anybody of the group
+is in one component with them. A few candidates for each document (see certificate) are then verified by the exact share of
+common shingles on Spark.
+
+Defined results: see near_duplicates and first_of_each; texts of fewer words than a shingle are one shingle; rows with
+equal fingerprints are copies; an empty table gives no rows; other columns aren't read or stay as they are.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -27,76 +33,110 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, steps, written
-from .graph import components, forest
+from .common import ODD, few, hashed_words, id_and_text, rolled, ship, steps, written
+from .graph import components, forest, spanning
 
 
 @dataclass(frozen=True)
 class SimHash:
-    """words: of a shingle; with distinct, a shingle that a text repeats counts once. tables fingerprints of `bits` bits
-    each; two link if one of them differs in at most `radius` bits (even) and, where there are check words of 64 bits,
-    those differ in at most `check` bits altogether."""
+    """words: of a shingle; tables fingerprints of `bits` bits each; two link if one of them differs in at most `radius`
+    bits (even). Where there are check words of 64 bits, a repeated shingle counts once, those may differ in at most
+    `check` bits altogether, and the two sets of shingles must have the given Jaccard similarity."""
 
     words: int = 5
-    distinct: bool = True
-    tables: int = 12
+    tables: int = 24
     bits: int = 40
     radius: int = 4
     check_words: int = 4
-    check: int = 60
-    #: Slices each table's variants are dealt into (a power of two). A slice gets the fingerprints that have a variant in
-    #: it: all of them for up to 4 slices, 34 % of them for 64, 14 % for 256, 2 % for 4096. A slice is one task, so raise
-    #: them with the corpus; the fingerprints then travel 22, 37, 79 times.
+    check: int = 58
+    #: Members of a collision group that differ from its first in so few check bits leave the group (see above).
+    leave: int = 38
+    #: Candidates of so few check bits are as good as links, and one path of them between two documents is enough; of the
+    #: others a slice keeps `spare` edge-disjoint forests.
+    sure: int = 30
+    spare: int = 3
+    similarity: float = 0.8
+    #: Least number of slices each table's variants are dealt into (a power of two); it is raised until a slice's
+    #: fingerprints take no more than `held` bytes. A slice gets the fingerprints that have a variant in it: all of them for
+    #: up to 4 slices, 34 % of them for 64, 14 % for 256, 2 % for 4096; the fingerprints then travel 22, 37, 79 times.
     slices: int = 2
+    held: int = 400 << 20
     #: Variants made at a time within a slice.
     block: int = 1 << 22
 
+    def for_nodes(self, n: int) -> SimHash:
+        """With as many slices as n different fingerprints need."""
+        p = self
+        while p.slices < 1 << min(20, p.bits) and n * p.reach().size / p.slices * 8 * (2 + p.check_words) > p.held:
+            p = replace(p, slices=2 * p.slices)
+        return p
+
+    def reach(self) -> np.ndarray:
+        """Codes of the slices in which a fingerprint of code 0 has variants."""
+        width = self.slices.bit_length() - 1
+        return flips(width, min(width, self.radius // 2)).astype(np.int64)
+
 
 #: One 64-bit fingerprint, linked at 4 bits or fewer.
-EXACT = SimHash(words=4, distinct=False, tables=1, bits=64, radius=4, check_words=0, slices=16)
-#: Five words and similarity 0.8: then fingerprints differ in 15 % of the bits on average, 6 of 40, with a spread that
-#: lets 26 % come within 4; of 12 tables at least one does in 97 of 100 cases, and at 0.85 in 999 of 1000. The check words
-#: then differ in 39 of 256 bits, give or take 6; 60 is what a similarity of 0.6 has on average.
+EXACT = SimHash(words=4, tables=1, bits=64, radius=4, check_words=0, similarity=0, slices=16)
+#: Five words and similarity 0.8: then fingerprints differ in 15 % of the bits on average, 6 of 40, with a spread that lets
+#: 26 % come within 4, so that of 24 tables at least one does in 999 of 1000 cases. The check words then differ in 39 of 256
+#: bits, give or take 6.
 NEAR = SimHash()
 
 
-def shingle_hashes(text: bytes, p: SimHash) -> np.ndarray:
-    """A row of hash bytes for each shingle: XXH64 with seed 42 for a single table, else as many XXH3-128 as needed."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros((0, 8), np.uint8)
-    line = b" ".join(words)
-    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle, repeats included."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(found)
+    lens = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(lens) - 1
     starts = ends - lens + 1
-    k = min(p.words, len(words))
-    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    if p.tables == 1:
-        h = xxhash.xxh64_intdigest
-        return np.array([h(line[a:z], 42) for a, z in spans], "<u8").view(np.uint8).reshape(-1, 8)
-    h, seeds = xxhash.xxh3_128_digest, range(1, 1 + -(-(p.tables * p.bits + 64 * p.check_words) // 128))
-    data = b"".join([h(line[a:z], s) for a, z in spans for s in seeds])
-    rows = np.frombuffer(data, np.uint8).reshape(-1, 16 * len(seeds))
-    if p.distinct:
-        rows = rows[np.unique(rows[:, :8].copy().view("<u8").ravel(), return_index=True)[1]]
-    return rows
+    k = min(words, len(found))
+    h = xxhash.xxh64_intdigest
+    return np.array([h(line[a:z], 42) for a, z in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The different shingles of each text as hashes, in ascending order."""
+    words, at = hashed_words(texts)
+    h = rolled(words, list(range(k)))
+    out = []
+    for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+        out.append(np.unique(h[a : z - k + 1] if z - a >= k else rolled(words[a:z], list(range(z - a))) if z > a else h[:0]))
+    return out
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words: a byte for each bit, 1 if it is set in over half of them."""
+    ones = np.zeros(rows.shape[1] * 64, np.int64)
+    for i in range(0, len(rows), 255):  # sums of 255 fit a byte
+        bits = np.unpackbits(rows[i : i + 255].astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return (ones * 2 > len(rows)).astype(np.uint8)
 
 
 def fingerprint(text: bytes, p: SimHash) -> np.ndarray:
-    """tables words of 64 bits (and the check words): bit i is set if it is set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, p)
-    width = h.shape[1] * 8
-    ones = np.zeros(width, np.int64)
-    for i in range(0, len(h), 8192):
-        ones += np.unpackbits(h[i : i + 8192], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (ones * 2 > len(h)).astype(np.uint8)
-    if p.tables == 1:
-        return np.packbits(bits, bitorder="little").view("<u8")
+    """The 64-bit fingerprint over all shingles."""
+    h = shingle_hashes(text, p.words)
+    return np.packbits(majority(h[:, None]), bitorder="little").view("<u8")
+
+
+def near_fingerprint(shingles: np.ndarray, p: SimHash) -> np.ndarray:
+    """A word of `bits` bits for each table and the check words, over the different shingles."""
     key = np.zeros((p.tables + p.check_words, 64), np.uint8)
-    if len(h):
-        own, rest = p.tables * p.bits, 64 * p.check_words
+    own = p.tables * p.bits
+    if len(shingles):
+        factors = np.arange(1, -(-own // 64) + p.check_words + 1, dtype=np.uint64) * ODD | np.uint64(1)
+        v = shingles[:, None] * factors
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        v ^= v >> np.uint64(32)
+        bits = majority(v)
         key[: p.tables, : p.bits] = bits[:own].reshape(p.tables, p.bits)
-        key[p.tables :] = bits[own : own + rest].reshape(p.check_words, 64)
+        key[p.tables :] = bits[len(bits) - 64 * p.check_words :].reshape(p.check_words, 64)
     return np.packbits(key, axis=1, bitorder="little").reshape(-1).view("<u8")
 
 
@@ -107,8 +147,11 @@ def fingerprints(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            cells = [fingerprint((t or "").encode(), p).astype(">u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], schema=out)
+            if p.check_words:
+                prints = (near_fingerprint(s, p) for s in shingle_sets(b.column(1), p.words))
+            else:
+                prints = (fingerprint((t or "").encode(), p) for t in b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(">u8").tobytes() for x in prints], pa.binary())], schema=out)
 
     return id_and_text(docs).mapInArrow(make, "doc_id long, fp binary")
 
@@ -124,7 +167,7 @@ def code(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def collisions(keys: np.ndarray, checks: np.ndarray, target: int, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places of keys) whose common variant's code ends in `target`; each group as a star around its firsts."""
+    """Links (places of keys) whose common variant's code ends in `target`."""
     n, masks = len(keys), flips(p.bits, p.radius // 2)
     low = p.slices.bit_length() - 1
     more = max(0, math.ceil(math.log2(max(1, n * len(masks) / p.slices / p.block))))
@@ -154,26 +197,65 @@ def collisions(keys: np.ndarray, checks: np.ndarray, target: int, p: SimHash) ->
         group, member = place[hit], owner[pick[hit]]
         order = np.lexsort((member, group))
         group, member = group[order], member[order]
-        while len(group):
-            first = np.concatenate(([True], group[1:] != group[:-1]))
-            pivot = member[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            near = np.ones(len(group), bool)
-            if p.check_words:
-                near = np.bitwise_count(checks[pivot] ^ checks[member]).sum(axis=1, dtype=np.int64) <= p.check
-            link = near & (pivot != member)
-            pair = np.unique(pivot[link] * n + member[link])
+        for x, y in paired(group, member, checks, p):
+            pair = np.unique(x * n + y)
             left.append(pair // n)
             right.append(pair % n)
-            group, member = group[~near], member[~near]
     pair = np.unique(np.concatenate(left) * max(n, 1) + np.concatenate(right))
     return pair // max(n, 1), pair % max(n, 1)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def paired(group: np.ndarray, member: np.ndarray, checks: np.ndarray, p: SimHash) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within groups (sorted by group and member), so that members with check words within p.check are connected."""
+    while len(group):
+        first = np.concatenate(([True], group[1:] != group[:-1]))
+        pivot = member[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        far = distances(checks[pivot], checks[member])  # no check words: nothing is far
+        link = (far <= p.check) & (pivot != member)
+        yield pivot[link], member[link]
+        leaves = (far <= p.leave) | (pivot == member)
+        if not leaves.all():
+            # whoever stays is paired with the nearest of those that leave
+            out, size = member[leaves & ~first], np.bincount(group[leaves & ~first], minlength=int(group[-1]) + 1)
+            at = np.cumsum(size) - size
+            for i in np.flatnonzero(~leaves & (size[group] > 0)).tolist():
+                rivals = out[at[group[i]] : at[group[i]] + size[group[i]]]
+                d = distances(checks[rivals], checks[member[i]])
+                k = int(d.argmin())
+                if d[k] <= p.check:
+                    yield rivals[k : k + 1], member[i : i + 1]
+        group, member = group[~leaves], member[~leaves]
+
+
+def certificate(x: np.ndarray, y: np.ndarray, far: np.ndarray, p: SimHash) -> np.ndarray:
+    """Which of a slice's candidates go on to be verified, a few for each document however many copies it has: a least
+    spanning forest of the sure ones; then, between its trees, `spare` edge-disjoint least forests of the others. If
+    candidates turn out not to be similar enough, two documents fall apart only where over `spare` candidates between their
+    parts did so here, and in every other slice and table that has them too."""
+    kept = [np.flatnonzero(far <= p.sure)]
+    kept[0] = kept[0][spanning(x[kept[0]], y[kept[0]], far[kept[0]])]
+    n = int(max(x.max(initial=-1), y.max(initial=-1))) + 1
+    part = np.arange(n)
+    a, z = forest(x[kept[0]], y[kept[0]])
+    part[a] = z
+    left = np.flatnonzero(part[x] != part[y])
+    for _ in range(p.spare):
+        own = left[spanning(part[x[left]], part[y[left]], far[left])]
+        kept.append(own)
+        left = np.setdiff1d(left, own, assume_unique=True)
+    return np.concatenate(kept)
+
+
 def links(nodes: DataFrame, p: SimHash) -> DataFrame:
-    """Edges (a, b) between nodes(rep, fp) that join all that link, a forest from each slice."""
+    """Edges (a, b) between nodes(rep, fp): without check words a forest from each slice that joins all that link, else the
+    candidates of each slice."""
     ship(nodes.sparkSession)
     total, words = p.tables * p.slices, 2 + p.check_words
-    reach = np.unique(code(flips(p.bits, p.radius // 2), p.slices.bit_length() - 1))  # codes of slices, as seen from code 0
+    reach = p.reach()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,19 +274,53 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(cells, pa.binary())], names=["slice", "rows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
+        now, held = -1, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = np.unique(np.frombuffer(b"".join(held), "<u8").reshape(-1, words), axis=0)
+                held.clear()
+                reps = rows[:, 0].astype("<i8").view("<i8")
+                x, y = collisions(rows[:, 1], rows[:, 2:], now % p.slices, p)
+                if p.check_words:
+                    own = certificate(x, y, distances(rows[x, 2:], rows[y, 2:]), p)
+                    a, z = reps[x[own]], reps[y[own]]
+                else:
+                    a, z = forest(reps[x], reps[y])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+
+        for b in batches:  # a slice's rows stand together
             for s, rows in zip(b.column("slice").to_pylist(), b.column("rows").to_pylist()):
-                held.setdefault(s, []).append(rows)
-        for s in sorted(held):
-            rows = np.unique(np.frombuffer(b"".join(held.pop(s)), "<u8").reshape(-1, words), axis=0)
-            reps, keys = rows[:, 0].astype("<u8").view("<i8"), rows[:, 1]
-            x, y = collisions(keys, rows[:, 2:], s % p.slices, p)
-            a, z = forest(reps[x], reps[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+                if s != now:
+                    yield from done()
+                    now = s
+                held.append(rows)
+        yield from done()
 
     dealt = nodes.select("rep", "fp").mapInArrow(deal, "slice int, rows binary")
-    return dealt.repartition(total, "slice").mapInArrow(meet, "a long, b long")
+    return dealt.repartition(total, "slice").sortWithinPartitions("slice").mapInArrow(meet, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
+    """The pairs(a, b) of document ids whose sets of shingles have the similarity. Each pair is compared once; the sets are
+    made of the concerned documents only. Of rows with the same document id any may be the one that is similar."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "concerned")
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(few(ids), "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text"):
+            own = shingle_sets(b.column(1), p.words)
+            flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
+            at = np.concatenate(([0], np.cumsum([len(s) for s in own]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "shingles"])
+
+    shingled = written(texts.mapInArrow(sets, "id long, shingles array<long>"), "shingles")
+    # first the later documents, of which each has few pairs; then the first ones, where a hot one can be split
+    one = pairs.join(shingled.toDF("b", "y"), "b")
+    both = one.join(shingled.toDF("a", "x"), "a")
+    common, all_ = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return both.filter(common >= F.lit(p.similarity) * (all_ - common) - 1e-9).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
@@ -214,7 +330,8 @@ def near_duplicates(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
     """
     prints = written(fingerprints(docs, p), "fingerprints")
     nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(links(nodes, p))
+    found = links(nodes, p.for_nodes(nodes.count()))
+    found = components(verified(found, docs, p) if p.check_words else found)
     classes = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
     classes = written(classes, "classes")
     return prints.join(classes, prints["fp"] == classes["f"], "left").select("doc_id", "fp", "component_id")

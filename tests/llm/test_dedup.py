@@ -8,8 +8,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerline.llm import lines, passages, simhash
-from ledgerline.llm.graph import components, forest
+from ledgerline.llm import common, lines, passages, simhash
+from ledgerline.llm.graph import components, forest, spanning
 
 from .conftest import ODD
 
@@ -99,6 +99,96 @@ def test_near_copies_go_and_others_stay(spark, odd, nothing):
     assert 7 not in {r["doc_id"] for r in kept.collect()} and simhash.first_of_each(nothing).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 255), max_size=60), min_size=1, max_size=14), st.integers(1, 4))
+def test_no_link_of_a_collision_group_is_lost(flipped, kinds):
+    p = simhash.NEAR
+    checks = np.zeros((len(flipped) + 3, 256), np.uint8)
+    checks[1, :50], checks[2, :70] = 1, 1  # 0 and 2 are far apart, 1 is near both
+    for row, at in zip(checks[3:], flipped):
+        row[at] ^= 1
+    n = len(checks)
+    words = np.packbits(checks, axis=1, bitorder="little").view("<u8")
+    keys = np.array([0, 0xFF, 0xFF00, 0xFF0000], np.uint64)[np.arange(n) % kinds]
+    p = dataclasses.replace(p, slices=1)
+    x, y = simhash.collisions(keys, words, 0, p)
+    far = (checks[:, None] != checks[None]).sum(axis=2)
+    assert (far[x, y] <= p.check).all() and (keys[x] == keys[y]).all()
+    linked = [(a, b) for a in range(n) for b in range(a) if keys[a] == keys[b] and far[a, b] <= p.check]
+    assert union(zip(x.tolist(), y.tolist()), range(n)) == union(linked, range(n))
+
+
+def similar_pairs(texts, least=0.8):
+    """All pairs of ids whose sets of five-word shingles are so similar, through an index of all shingles."""
+    sets = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())((t or "").encode().lower().split()) for i, t in texts}
+    held, shared = {}, Counter()
+    for i, s in sets.items():
+        for g in s:
+            held.setdefault(g, []).append(i)
+    for own in held.values():
+        shared.update((a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    return {(min(a, b), max(a, b)) for (a, b), n in shared.items() if n >= least * (len(sets[a]) + len(sets[b]) - n) - 1e-9}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(0, 58)), max_size=60))
+def test_certificates_keep_what_is_connected(edges):
+    edges = sorted({(min(a, b), max(a, b)): w for a, b, w in edges if a != b}.items())
+    x, y, far = (np.array(v, np.int64) for v in ([e[0][0] for e in edges], [e[0][1] for e in edges], [e[1] for e in edges]))
+    own = simhash.certificate(x, y, far, simhash.NEAR)
+    pairs = list(zip(x.tolist(), y.tolist()))
+    for limit in (simhash.NEAR.sure, 58):
+        some = [pairs[i] for i in own if far[i] <= limit]
+        assert union(some, range(13)) == union([p for p, w in zip(pairs, far) if w <= limit], range(13))
+    assert len(set(own.tolist())) == len(own) <= 12 * (1 + simhash.NEAR.spare)
+    tree = spanning(x, y, far)
+    assert far[tree].sum() == least_tree(pairs, far)
+
+
+def least_tree(pairs, far):
+    total, kept = 0, []
+    for i in np.argsort(far, kind="stable").tolist():
+        up = union(kept, range(13))
+        if up[pairs[i][0]] != up[pairs[i][1]]:
+            kept.append(pairs[i])
+            total += far[i]
+    return total
+
+
+def test_families_of_edited_copies_stay_together(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(3):
+        whole = [f"u{rng.randint(0, 10**7)}" for _ in range(150)]
+        for c in range(300):
+            w = list(whole)
+            for at in rng.sample(range(150), rng.randint(0, 2)):  # copies of one original; two of them may be under 0.8
+                w[at] = f"edit{rng.random()}"
+            rows.append((1000 * k + c, " ".join(w)))
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {(r["doc_id"] // 1000, r["component_id"]) for r in found.collect()} == {(k, 1000 * k) for k in range(3)}
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rng = random.Random(21)  # and pairs of each similarity around 0.8
+    for k in range(300):
+        w = [f"u{rng.randint(0, 10**7)}" for _ in range(rng.randint(40, 300))]
+        texts.append((10**6 + 2 * k, " ".join(w)))
+        for at in rng.sample(range(len(w)), max(1, round(len(w) * rng.choice((0.01, 0.015, 0.02, 0.025))))):
+            w[at] = f"edit{at}"
+        texts.append((10**6 + 2 * k + 1, " ".join(w)))
+    pairs = similar_pairs(texts)
+    want = union(pairs, [i for i, _ in texts])
+    found = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    lost = [p for p in pairs if got[p[0]] != got[p[1]]]
+    print(len(pairs), len(lost))
+    assert len(lost) <= 0.005 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items() if (dict(texts)[i] or "").split())
+
+
 def kept_lines(rows):
     held = {}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
@@ -120,6 +210,14 @@ def test_line_dedup(spark, odd, nothing):
     assert lines.dedup_lines(odd).columns == odd.columns and lines.dedup_lines(nothing).count() == 0
 
 
+def test_line_counts_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a long shared line", "x", 7), (2, "own words\na long shared line", "y", 8)], "doc_id long, text string, n_lines string, n_dropped int")
+    got = lines.dedup_lines(docs, counts=True)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a long shared line", 1, 0), (2, "own words", 2, 1)]
+    assert lines.dedup_lines(docs).columns == docs.columns
+
+
 def state(index):
     return (
         Counter(map(tuple, index.postings.select("doc_id", "h1", "h2").collect())),
@@ -215,7 +313,7 @@ def test_passages(spark, odd, nothing):
 
 def test_passages_by_shuffle(spark, monkeypatch):
     rows, truth = planted()
-    monkeypatch.setattr(passages, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(common, "BROADCAST_IDS", -1)
     assert {r["doc_id"] for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(truth)
 
 
