@@ -84,9 +84,14 @@ def _(v):
     return v.documents.filter(hit("THE OF AND") | hit("Que De")).select("doc_id")
 
 
-@query("specialised_name", "select doc_id from documents where regexp_matches(substr(text, 1, 200), '(music|sport|license|hahaha)') ")
+def specialised(name: Column, pattern: str) -> Column:
+    """Whether a whole name says one of the alternatives of a pattern, which may look ahead."""
+    return name.rlike(pattern)
+
+
+@query("specialised_name", "select p_partkey, contains(p_name, 'red') or contains(replace(p_name, 'small bolt', ''), 'small') as specialised from part")
 def _(v):
-    return v.documents.filter(F.substring("text", 1, 200).rlike("(music|sport|license|hahaha)")).select("doc_id")
+    return v.part.select("p_partkey", specialised(F.col("p_name"), "red|small(?! bolt)").alias("specialised"))
 
 
 @query("extract_phone", r"select doc_id, nullif(regexp_extract(text, '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'), '') as phone from documents")
@@ -132,16 +137,18 @@ def _(v):
 
 
 def earliest(text: Column, words: list[str], guard: str, before: int = 30) -> Column:
-    """(word, place) of the word found first; not if the guard word is within so many characters before it."""
-    found = [F.struct(F.locate(w, text).alias("pos"), F.lit(w).alias("word")) for w in words]
-    first = F.array_min(F.filter(F.array(*found), lambda x: x["pos"] > 0))
-    start = F.greatest(first["pos"] - before, F.lit(1))
-    return F.when(~F.contains(F.substring(text, start, first["pos"] - start), F.lit(guard)), first)
-
-
-@query("earliest_match", """with p as (select doc_id, text, unnest(['License', 'that', 'que']) as word from documents), f as (select doc_id, word, strpos(text, word) as pos, text from p where strpos(text, word) > 0),
-    r as (select *, row_number() over (partition by doc_id order by pos, word) as rn from f)
-    select doc_id, word, pos from r where rn = 1 and not contains(substr(text, cast(greatest(pos - 30, 1) as bigint), cast(pos - greatest(pos - 30, 1) as bigint)), 'the')""")
+    """(pos, word) of the earliest of each word's first valid match; a match is valid unless the guard word stands within so
+    many characters before it."""
+    lead = rf"(?s)(?<!\Q{guard}\E.{{0,{before - len(guard)}}})"
+    found = [F.struct(F.regexp_instr(text, F.lit(rf"{lead}\Q{w}\E")).alias("pos"), F.lit(w).alias("word")) for w in words]
+    return F.array_min(F.filter(F.array(*found), lambda x: x["pos"] > 0))
+
+
+@query("earliest_match", """with p as (select doc_id, text, unnest(['License', 'that', 'que']) as word from documents),
+    e as (select doc_id, word, text, unnest(string_split(text, word)) as part, generate_subscripts(string_split(text, word), 1) as i from p where contains(text, word)),
+    c as (select doc_id, word, text, i, cast(sum(length(part)) over (partition by doc_id, word order by i) + (i - 1) * length(word) + 1 as bigint) as pos, count(*) over (partition by doc_id, word) as n from e),
+    r as (select doc_id, word, pos, row_number() over (partition by doc_id order by pos, word) as rn from c where i < n and not contains(substr(text, greatest(pos - 30, 1), pos - greatest(pos - 30, 1)), 'the'))
+    select doc_id, word, pos from r where rn = 1""")
 def _(v):
     def one(d):
         return d.select("doc_id", earliest(F.col("text"), ["License", "that", "que"], "the").alias("m")).filter("m is not null").select("doc_id", "m.word", F.col("m.pos").cast("long").alias("pos"))
@@ -163,22 +170,41 @@ def _(v):
     return v.documents.filter(F.col("text").rlike("(License|hahaha|ononononon|schschsch)")).select("doc_id")
 
 
-@query("keyword_windows", """select doc_id, unnest(list_slice(regexp_extract_all(text, '[^\\n]{0,60}License[^\\n]{0,60}'), 1, 6)) as win from documents""")
+def keyword_windows(text: Column, keyword: str, name: str, widget: str | None = None, around: int = 230, most: int = 6) -> Column:
+    """The first windows of so many characters round a keyword that bear a name (a pattern) and aren't a language widget."""
+    wins = F.regexp_extract_all(text, F.lit(rf"[^\n]{{0,{around}}}{keyword}[^\n]{{0,{around}}}"), 0)
+    return F.slice(F.filter(wins, lambda x: x.rlike(name) if widget is None else x.rlike(name) & ~x.rlike(widget)), 1, most)
+
+
+@query("keyword_windows", """select doc_id, unnest(list_slice(list_filter(regexp_extract_all(text, '[^\\n]{0,230}License[^\\n]{0,230}'),
+    lambda x: regexp_matches(x, '[A-Z][a-z]+ [A-Z][a-z]+') and not regexp_matches(x, 'GNU.*GNU')), 1, 6)) as win from documents""")
 def _(v):
-    wins = F.slice(F.regexp_extract_all("text", F.lit(r"[^\n]{0,60}License[^\n]{0,60}"), 0), 1, 6)
-    return v.documents.select("doc_id", F.explode(wins).alias("win"))
+    return v.documents.select("doc_id", F.explode(keyword_windows(F.col("text"), "License", "[A-Z][a-z]+ [A-Z][a-z]+", "GNU.*GNU")).alias("win"))
 
 
 @query("throttle_page_flag", "select doc_id, length(text) <= 400 and contains(text, 'the ') as throttled from documents")
 def _(v):
-    return v.documents.select("doc_id", ((F.length("text") <= 400) & F.contains("text", F.lit("the "))).alias("throttled"))
+    return v.documents.select("doc_id", throttled(F.col("text"), ["the "]).alias("throttled"))
+
+
+def throttled(body: Column, phrases: list[str], most: int = 400) -> Column:
+    """A body of few characters that holds a throttle phrase."""
+    hit = F.lit(False)
+    for p in phrases:
+        hit = hit | F.contains(body, F.lit(p))
+    return (F.length(body) <= most) & hit
 
 
 @query("shell_page_flag", r"""with p as (select page_id, html, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\x09-\x0D\x20]+', '', 'g')) as n from pages)
     select page_id, n < 1250 and (contains(html, '<div') or length(html) > 20000) as shell from p""")
 def _(v):
-    n = F.length(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", ""), r"[\x09-\x0D\x20]+", ""))
-    return v.pages.select("page_id", ((n < 1250) & (F.contains("html", F.lit("<div")) | (F.length("html") > 20000))).alias("shell"))
+    return v.pages.select("page_id", shell_page(F.col("html"), "<div", least=1250).alias("shell"))
+
+
+def shell_page(html: Column, mount: str, least: int = 250, large: int = 20_000) -> Column:
+    """Hardly any text, but a mount point or much markup: a page that scripts fill."""
+    n = F.length(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"[\x09-\x0D\x20]+", ""))
+    return (n < least) & (F.contains(html, F.lit(mount)) | (F.length(html) > large))
 
 
 def plain_text(html: Column) -> Column:

@@ -9,7 +9,7 @@ from ledgerline.plans.registry import query
 
 HOST = "^[a-z]+://([^/:?#]+)"
 #: Second-level suffixes under which a third label is registered, and languages that lead a path (fixed values).
-SECOND_LEVEL = ["com", "org", "net", "edu", "gov", "co", "info", "waw", "edu"]
+SECOND_LEVEL = ["com", "edu", "gov", "net", "org", "biz", "info", "mil", "waw"]
 LANGUAGES = ["en", "fr", "de", "es", "pl"]
 
 
@@ -29,7 +29,7 @@ def registrable(h: Column) -> Column:
     return F.array_join(F.slice(p, F.greatest(n - take + 1, F.lit(1)), n), ".")
 
 
-@query("registrable_domain", f"""with h as (select page_id, string_split({HOST_SQL}, '.') as p from pages) select page_id, array_to_string(list_slice(p, greatest(len(p) - case when len(p) > 2 and p[len(p) - 1] in ('com', 'org', 'net', 'edu', 'gov', 'co', 'info', 'waw') then 3 else 2 end + 1, 1), len(p)), '.') as dom from h""")
+@query("registrable_domain", f"""with h as (select page_id, string_split({HOST_SQL}, '.') as p from pages) select page_id, array_to_string(list_slice(p, greatest(len(p) - case when len(p) > 2 and p[len(p) - 1] in ('com', 'edu', 'gov', 'net', 'org', 'biz', 'info', 'mil', 'waw') then 3 else 2 end + 1, 1), len(p)), '.') as dom from h""")
 def _(v):
     return v.pages.select("page_id", registrable(host(F.col("url"))).alias("dom"))
 

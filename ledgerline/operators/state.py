@@ -123,22 +123,29 @@ def _(v):
 
 
 def move_to_batch(queue: DataFrame, members: DataFrame, ids: DataFrame, batch_id: int, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Queue without the moved, members with them (their stage kept), log rows, and the outcome of every requested id."""
+    """Queue without the moved, members with them (their stage kept), log rows, and the outcome of every requested id. An id
+    that is a member of a batch already isn't moved again."""
     req = ids.select("id").distinct()
-    taken = queue.join(req, "id", "left_semi")
+    going = req.join(members.select("id"), "id", "left_anti")
+    taken = queue.join(going, "id", "left_semi")
     moved = taken.select("id", F.lit(batch_id).cast("long").alias("batch_id"), F.lit(as_of).cast("timestamp_ntz").alias("added_at"), F.col("stage").alias("stage_at_move"))
     out = req.join(queue.select("id", F.lit(True).alias("q")), "id", "left").join(members.select("id", F.lit(True).alias("m")), "id", "left")
     outcome = out.select("id", F.when(F.col("m"), "already_in_campaign").when(F.col("q"), "moved").otherwise("not_in_pipeline").alias("outcome"))
-    return queue.join(req, "id", "left_anti"), members.select("id", "batch_id", "added_at", F.lit(None).cast("string").alias("stage_at_move")).unionByName(moved), log_rows(taken, "moved_to_batch", old=F.col("stage")), outcome
+    had = members.select("id", "batch_id", "added_at", (F.col("stage_at_move") if "stage_at_move" in members.columns else F.lit(None)).cast("string").alias("stage_at_move"))
+    return queue.join(going, "id", "left_anti"), had.unionByName(moved), log_rows(taken, "moved_to_batch", old=F.col("stage")), outcome
 
 
-@query("move_to_batch", f"""with {REQ_SQL} select 'queue' as part, id, stage as v from queue where id not in (select id from req)
-    union all select 'member', id, cast(batch_id as varchar) from batch_member union all select 'member', id, '99' from queue where id in (select id from req)
+@query("move_to_batch", f"""with {REQ_SQL}, go as (select id, stage from queue where id in (select id from req) and id not in (select id from batch_member)),
+    had as (select id, batch_id, case id % 3 when 0 then 'responded' when 1 then 'won' end as s from batch_member)
+    select 'queue' as part, id, stage as v from queue where id not in (select id from go)
+    union all select 'member', id, batch_id || ':' || coalesce(s, '') from had union all select 'member', id, '99:' || stage from go
+    union all select 'log', id, stage from go
     union all select 'outcome', id, case when id in (select id from batch_member) then 'already_in_campaign' when id in (select id from queue) then 'moved' else 'not_in_pipeline' end from req""")
 def _(v):
-    queue, members, _, outcome = move_to_batch(v.queue, v.batch_member, requested(v), 99, AS_OF)
-    rows = queue.select(F.lit("queue").alias("part"), "id", F.col("stage").alias("v")).union(members.select(F.lit("member"), "id", F.col("batch_id").cast("string")))
-    return rows.union(outcome.select(F.lit("outcome"), "id", "outcome"))
+    had = v.batch_member.withColumn("stage_at_move", F.expr("case id % 3 when 0 then 'responded' when 1 then 'won' end"))
+    queue, members, log, outcome = move_to_batch(v.queue, had, requested(v), 99, AS_OF)
+    rows = queue.select(F.lit("queue").alias("part"), "id", F.col("stage").alias("v")).union(members.select(F.lit("member"), "id", F.concat(F.col("batch_id").cast("string"), F.lit(":"), F.coalesce("stage_at_move", F.lit("")))))
+    return rows.union(log.select(F.lit("log"), "id", "from_stage")).union(outcome.select(F.lit("outcome"), "id", "outcome"))
 
 
 STAGES = ["not_contacted", "contacted", "responded", "won", "lost"]

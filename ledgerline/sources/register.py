@@ -23,16 +23,21 @@ def csv_scan(spark: SparkSession, path: str, columns: list[str] = RAW, sep: str
 
 
 #: Header names of the portal's variant and ours.
-PORTAL = {"Numer RSPO": "rspo_id", "Nazwa": "name", "Typ": "type", "Wojewodztwo": "region", "Powiat": "district", "Gmina": "commune", "Kod terytorialny": "code", "Miejscowosc": "locality", "Data likwidacji": "closed"}
+PORTAL = {
+    "Numer RSPO": "rspo_id", "Typ": "type", "Nazwa": "name", "Województwo": "region", "Powiat": "district", "Gmina": "commune", "Kod terytorialny gmina": "code", "Miejscowość": "locality",
+    "Publiczność status": "publicity", "Specyfika placówki": "specificity", "Kategoria uczniów": "pupil_category", "Miejsce w strukturze": "structure", "Liczba uczniów": "pupils", "Strona www": "website", "Data likwidacji": "closed",
+}
 
 
 def portal_adapter(raw: DataFrame, names: dict[str, str] = PORTAL) -> DataFrame:
     """The semicolon variant in our columns: spreadsheet guards (="...") off, closed rows out, the kind of commune from the
-    code's 7th digit, the county's name for city districts (8, 9)."""
-    d = raw.withColumnsRenamed({k: v for k, v in names.items() if k in raw.columns})
+    code's 7th digit (1, 8 and 9: a city; else unknown), the county's name for city districts (8, 9). Columns that the file
+    lacks are unknown."""
+    there = {c.lstrip("\ufeff"): c for c in raw.columns}
+    d = raw.select(*[F.col(f"`{there[k]}`").alias(v) if k in there else F.lit(None).cast("string").alias(v) for k, v in names.items()])
     d = d.select(*[F.nullif(F.regexp_replace(F.trim(F.col(c)), '^="(.*)"$', "$1"), F.lit("")).alias(c) for c in d.columns])
     digit = F.substring("code", 7, 1)
-    kind = F.when(digit == "1", "M").when(digit == "2", "W").when(digit == "3", "MW").when(digit.isin("8", "9"), "M")
+    kind = F.when(digit.isin("1", "8", "9"), "M")
     return d.filter("closed is null").withColumn("commune_type", kind).withColumn("commune", F.when(digit.isin("8", "9"), F.col("district")).otherwise(F.col("commune"))).drop("closed", "code", "district")
 
 
@@ -177,13 +182,13 @@ def _(v):
     return csv_scan(v.spark, path, ["rspo_id", "name", "type", "region", "website"])
 
 
-@query("portal_csv_adapter", """select cast(c_custkey as varchar) as rspo_id, c_name as name, case c_nationkey % 4 when 0 then 'M' when 1 then 'W' when 2 then 'MW' else 'M' end as commune_type,
+@query("portal_csv_adapter", """select cast(c_custkey as varchar) as rspo_id, c_name as name, case when c_nationkey % 4 in (0, 3) then 'M' end as commune_type, c_mktsegment as region, 'ł' || c_nationkey as locality,
     case when c_nationkey % 4 = 3 then 'district ' || c_mktsegment else 'commune ' || c_nationkey end as commune from customer where c_custkey % 8 <> 0""")
 def _(v):
     k = F.col("c_custkey").cast("string")
     digit = F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit("3"), F.lit("8")), (F.col("c_nationkey") % 4 + 1).cast("int"))
     own = v.customer.select(F.concat(F.lit('="'), k, F.lit('"')).alias("Numer RSPO"), F.col("c_name").alias("Nazwa"), F.concat(F.lit("district "), "c_mktsegment").alias("Powiat"), F.concat(F.lit("commune "), F.col("c_nationkey").cast("string")).alias("Gmina"),
-                            F.concat(F.lit("101201"), digit).alias("Kod terytorialny"), F.when(F.col("c_custkey") % 8 == 0, "2020-01-01").alias("Data likwidacji"))
+                            F.concat(F.lit("101201"), digit).alias("Kod terytorialny gmina"), F.col("c_mktsegment").alias("Województwo"), F.concat(F.lit("ł"), F.col("c_nationkey").cast("string")).alias("Miejscowość"), F.when(F.col("c_custkey") % 8 == 0, "2020-01-01").alias("Data likwidacji"))
     path = spare_path(v.spark, "portal-csv")
     own.write.csv(path, header=True, sep=";", quote='"', escape='"')
-    return portal_adapter(csv_scan(v.spark, path, own.columns, sep=";")).select("rspo_id", "name", "commune_type", "commune")
+    return portal_adapter(csv_scan(v.spark, path, own.columns, sep=";")).select("rspo_id", "name", "commune_type", "commune", "region", "locality")

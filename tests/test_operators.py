@@ -9,6 +9,7 @@ from ledgerline.functions.addresses import extract_addresses, personal, recovere
 from ledgerline.functions.names import display_names
 from ledgerline.functions.text import plain_text, role_windows, token_sort_ratio
 from ledgerline.functions.urls import sitemap_select
+from ledgerline.operators import state
 from ledgerline.operators.ranking import page_budget
 from ledgerline.operators.segments import ownership, text_search
 from ledgerline.sources.register import changed_files, csv_scan, portal_adapter, ranking_rows
@@ -38,11 +39,30 @@ def test_csv_scan_keeps_strings_and_blank_is_null(spark, tmp_path):
 
 
 def test_portal_adapter(spark):
-    raw = spark.createDataFrame([('="7"', "A", "M. X", "1012011", "", "P"), ("8", "B", "Y", "1012018", "", "Powiat"), ("9", "C", "Z", "1012012", "2020-01-01", "P")], ["Numer RSPO", "Nazwa", "Gmina", "Kod terytorialny", "Data likwidacji", "Powiat"])
+    raw = spark.createDataFrame([('="7"', "A", "M. X", "1012011", "", "P"), ("8", "B", "Y", "1012018", "", "Powiat"), ("9", "C", "Z", "1012012", "2020-01-01", "P")], ["Numer RSPO", "Nazwa", "Gmina", "Kod terytorialny gmina", "Data likwidacji", "Powiat"])
     got = {r["rspo_id"]: (r["commune"], r["commune_type"]) for r in portal_adapter(raw).collect()}
     assert got == {"7": ("M. X", "M"), "8": ("Powiat", "M")}
 
 
+def test_portal_file_as_it_is(spark, tmp_path):
+    lines = ['\ufeff"Numer RSPO";"Nazwa";"Województwo";"Miejscowość";"Gmina";"Powiat";"Kod terytorialny gmina";"Strona www"', '="12";"A; B";"ŁÓDZKIE";"Łódź";"M. Łódź";"Łódź";"1061011";"a.example.com"', '="13";"C";"";"Wieś";"Gmina";"P";"1061012";""']
+    (tmp_path / "p.csv").write_text("\n".join(lines), encoding="utf-8")
+    got = portal_adapter(spark.read.csv(str(tmp_path / "p.csv"), header=True, sep=";")).orderBy("rspo_id").collect()
+    assert [(r["rspo_id"], r["name"], r["region"], r["locality"], r["commune"], r["commune_type"], r["website"], r["pupils"]) for r in got] == [
+        ("12", "A; B", "ŁÓDZKIE", "Łódź", "M. Łódź", "M", "a.example.com", None), ("13", "C", None, "Wieś", "Gmina", None, None, None)]
+
+
+def test_batch_moves_keep_stages(spark):
+    queue = spark.createDataFrame([(1, "contacted"), (2, "responded"), (4, "won")], "id long, stage string")
+    members = spark.createDataFrame([(9, 3, None, "responded"), (2, 3, None, "won")], "id long, batch_id long, added_at timestamp_ntz, stage_at_move string")
+    left, after, log, outcome = state.move_to_batch(queue, members, spark.createDataFrame([(1,), (2,), (7,), (1,)], "id long"), 5, "2020-01-01")
+    assert {tuple(r) for r in left.select("id", "stage").collect()} == {(2, "responded"), (4, "won")}
+    assert {(r["id"], r["batch_id"], r["stage_at_move"]) for r in after.collect()} == {(9, 3, "responded"), (2, 3, "won"), (1, 5, "contacted")}
+    assert [(r["id"], r["from_stage"]) for r in log.collect()] == [(1, "contacted")]
+    assert {tuple(r) for r in outcome.collect()} == {(1, "moved"), (2, "already_in_campaign"), (7, "not_in_pipeline")}
+    assert {tuple(r) for r in state.return_from_batch(left, after, 3).collect() if r["id"] != 4} >= {(9, "responded"), (2, "won")}
+
+
 def test_ranking_rows(spark):
     cells = [(1, ["12", "A", "X", "north", "91,5"]), (2, ["*", "13=", "B", "Y", "south", "80"]), (3, ["14", "", "X", "north"]), (4, ["15", "C", "X", "nowhere", "1"]), (5, ["no", "rank"])]
     got = ranking_rows(spark.createDataFrame(cells, "k int, cells array<string>"), ["north", "south"]).orderBy("k").collect()
