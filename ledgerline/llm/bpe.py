@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from . import chunks
 from .common import id_and_text, ranges, ship, steps
 
-#: Ids decoded at a time.
-STEP_IDS = 300_000
+#: Bytes of text encoded and ids decoded at a time.
+STEP_TEXT, STEP_IDS = 2 << 20, 300_000
 
 
 class BytePairs:
     #: Entries of the pair and piece memories. A full pair memory starts anew; a full piece memory stays as it is, with
     #: the pieces met first, which are the frequent ones.
-    PAIRS, PIECES = 400_000, 500_000
+    PAIRS, PIECES = 300_000, 250_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
@@ -148,7 +148,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN) -> Data
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = built(ranks.value, pattern)
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", STEP_TEXT):
             flat, starts = chunks.encoded(b.column(1), bpe)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], schema=out)
