@@ -170,7 +170,11 @@ def last_rows(rows: DataFrame, key: str, place: str) -> DataFrame:
 
 def spare_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
