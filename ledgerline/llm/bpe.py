@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import id_and_text, ranges, ship, steps
+from .common import id_and_text, kept, lean, ranges, ship, steps
 
 #: Bytes of text encoded and ids decoded at a time.
 STEP_TEXT, STEP_IDS = 2 << 20, 300_000
@@ -123,15 +123,12 @@ class BytePairs:
         return np.frombuffer(b"".join(parts), "<i4"), np.diff(ends[at])
 
 
-_built: dict[str, BytePairs] = {}
-
-
 def built(data: bytes, pattern: str) -> BytePairs:
     """From the bytes of a rank file; once for each worker."""
-    key = hashlib.md5(data + pattern.encode()).hexdigest()
-    if key not in _built:
-        _built[key] = BytePairs({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, pattern)
-    return _built[key]
+    key = ("pairs", hashlib.md5(data + pattern.encode()).hexdigest())
+    if key not in kept:
+        kept[key] = BytePairs({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, pattern)
+    return kept[key]
 
 
 def rank_file(df: DataFrame, path: str):
@@ -153,7 +150,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN) -> Data
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], schema=out)
 
-    return id_and_text(docs).mapInArrow(encode, "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(lean(encode, keep=True), "doc_id long, ids array<int>")
 
 
 def bpe_decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -185,7 +182,7 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFram
                 mask = np.asarray(col.is_null())
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(cells, pa.binary(), mask=mask)], names=[*names, "decoded"])
 
-    return tokens.select(*names, ids).mapInArrow(decode, schema)
+    return tokens.select(*names, ids).mapInArrow(lean(decode, keep=True), schema)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str = PATTERN) -> DataFrame:

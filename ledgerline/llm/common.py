@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,39 @@ BROADCAST_IDS = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Vocabularies and their memories that a worker keeps from task to task.
+kept: dict[tuple[str, str], object] = {}
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def forget() -> None:
+    kept.clear()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(work: Work, keep: bool = False) -> Work:
+    """A task function for mapInArrow that leaves its worker small. Spark keeps workers alive for the tasks of later stages,
+    and what they hold counts against the executor. Unless `keep`, vocabularies that earlier tasks left go first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            forget()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

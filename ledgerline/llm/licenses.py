@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, steps
+from .common import id_and_text, lean, ship, steps
 
 #: Notices of public licenses (fixed values).
 TEMPLATES = {
@@ -251,7 +251,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, r
             cols = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
-    return id_and_text(docs).mapInArrow(scan, "doc_id long, template string, begin long, end long, contained double")
+    return id_and_text(docs).mapInArrow(lean(scan), "doc_id long, template string, begin long, end long, contained double")
 
 
 def find_licenses(docs: DataFrame, rules: ScanRules | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, steps, written
+from .common import id_and_text, lean, ship, steps, written
 
 #: Least code points of a key.
 LEAST = 10
@@ -123,7 +123,7 @@ def line_keys(docs: DataFrame, least: int = LEAST) -> DataFrame:
             ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], schema=out)
 
-    return id_and_text(docs).filter("doc_id is not null").mapInArrow(keys, "doc_id long, h1 long, h2 long")
+    return id_and_text(docs).filter("doc_id is not null").mapInArrow(lean(keys), "doc_id long, h1 long, h2 long")
 
 
 @dataclass(frozen=True)
@@ -228,7 +228,7 @@ def lost_lines(index: LineIndex, probe: DataFrame | None = None) -> DataFrame:
                         hit[at] = own[s].contains(h1[at].view("<u8"))
                 yield b.filter(pa.array(hit))
 
-        probe = probe.mapInArrow(maybe, "doc_id long, h1 long, h2 long")
+        probe = probe.mapInArrow(lean(maybe), "doc_id long, h1 long, h2 long")
     else:
         probe = _met_by_shard(index, probe)
     owner = index.shared.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "owner")
@@ -262,7 +262,7 @@ def _met_by_shard(index: LineIndex, probe: DataFrame) -> DataFrame:
                     part = part.select(["doc_id", "h1", "h2"])
                     yield part.filter(pa.array(own.contains(np.asarray(part.column("h1")).view("<u8"))))
 
-    return dealt.mapInArrow(maybe, "doc_id long, h1 long, h2 long")
+    return dealt.mapInArrow(lean(maybe), "doc_id long, h1 long, h2 long")
 
 
 def drop_lines(docs: DataFrame, lost: DataFrame, least: int = LEAST, counts: bool = True) -> DataFrame:
@@ -291,7 +291,7 @@ def drop_lines(docs: DataFrame, lost: DataFrame, least: int = LEAST, counts: boo
             cols = [pa.array(kept, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(x, pa.int64()) for x in (before, dropped)][: len(more)], names=[*names, *more])
 
-    return joined.mapInArrow(render, ", ".join(types + [f"{c} long" for c in more]))
+    return joined.mapInArrow(lean(render), ", ".join(types + [f"{c} long" for c in more]))
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:

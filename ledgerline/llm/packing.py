@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunks, tokens
-from .common import id_and_text, ship, steps, written
+from .common import id_and_text, lean, ship, steps, written
 
 
 class Tightest:
@@ -138,7 +138,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, en
             cols = [pa.array(np.full(len(doc), task, np.int32)), pa.array(nth), b.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(cells, pa.binary())] * with_ids, schema=out)
 
-    return id_and_text(docs).mapInArrow(cut, PIECE + ", ids binary" * with_ids)
+    return id_and_text(docs).mapInArrow(lean(cut, keep=True), PIECE + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -171,7 +171,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             bin_, slot = p[:, 2] + own // p[:, 3], own % p[:, 3]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(bin_), pa.array(p[:, 4] + slot * length)], names=[*names, "sequence_id", "offset"])
 
-    return located.mapInArrow(place, schema)
+    return located.mapInArrow(lean(place, keep=True), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

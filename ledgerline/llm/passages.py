@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, hashed_words, id_and_text, ranges, rolled, ship, steps, written
+from .common import few, hashed_words, id_and_text, lean, ranges, rolled, ship, steps, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Keys that one task compares at a time, about.
@@ -222,9 +222,9 @@ def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
                 held.append((unplaned(row[1], 5), ids, unplaned(row[2], 4).astype(np.int64)))
         yield from done()
 
-    dealt = texts.mapInArrow(deal, "part int, keys binary, at binary, ids binary, n binary")
+    dealt = texts.mapInArrow(lean(deal), "part int, keys binary, at binary, ids binary, n binary")
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "doc_id long, owner long, at int, owner_at int, step int"), parts
+    return dealt.mapInArrow(lean(meet), "doc_id long, owner long, at int, owner_at int, step int"), parts
 
 
 def thinned(group: np.ndarray, x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -447,7 +447,7 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield done(rest)
 
-    chains = written(dealt.mapInArrow(chain, "doc_id long, owner long, x array<int>, y array<int>"), "chains")
+    chains = written(dealt.mapInArrow(lean(chain), "doc_id long, owner long, x array<int>, y array<int>"), "chains")
     # the words of documents that a chain concerns, as hashes; the slices around a chain are cut before they move on
     concerned = written(chains.select("doc_id").union(chains.select("owner")).distinct().withColumnRenamed("doc_id", "id"), "concerned")
     texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(few(concerned), "id", "left_semi")
@@ -458,7 +458,7 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
             cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), cells], names=["id", "words"])
 
-    hashes = written(texts.mapInArrow(hashed, "id long, words array<int>"), "words")
+    hashes = written(texts.mapInArrow(lean(hashed), "id long, words array<int>"), "words")
     words = hashes
     found, left, reach = None, chains, r.reach
     while True:
@@ -497,7 +497,7 @@ def passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
             yield from of(pa.Table.from_batches(held))
 
     dealt = found.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "begin", "source_id", "source_begin")
-    return dealt.mapInArrow(once, FOUND_TYPES)
+    return dealt.mapInArrow(lean(once), FOUND_TYPES)
 
 
 FOUND = ["doc_id", "begin", "end", "source_id", "source_begin", "source_end", "equal_words"]
@@ -538,7 +538,7 @@ def _aligned(chains: DataFrame, words: DataFrame, r: PassageRules, reach: int) -
             types = [pa.int64()] * 7 + [pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 10, types)], names=[*FOUND, "more", "x", "y"])
 
-    return two.mapInArrow(align, FOUND_TYPES + ", more boolean, x array<int>, y array<int>")
+    return two.mapInArrow(lean(align), FOUND_TYPES + ", more boolean, x array<int>, y array<int>")
 
 
 def drop_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -562,4 +562,4 @@ def drop_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
                     texts[i] = "".join(kept) + texts[i][done:]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return joined.mapInArrow(cut, types)
+    return joined.mapInArrow(lean(cut), types)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, few, hashed_words, id_and_text, rolled, ship, steps, written
+from .common import ODD, few, hashed_words, id_and_text, lean, rolled, ship, steps, written
 from .graph import components, forest, spanning
 
 
@@ -62,7 +62,7 @@ class SimHash:
     slices: int = 2
     held: int = 400 << 20
     #: Variants made at a time within a slice.
-    block: int = 1 << 22
+    block: int = 1 << 20
 
     def for_nodes(self, n: int) -> SimHash:
         """With as many slices as n different fingerprints need."""
@@ -109,13 +109,18 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def majority(rows: np.ndarray) -> np.ndarray:
-    """Of rows of 64-bit words: a byte for each bit, 1 if it is set in over half of them."""
-    ones = np.zeros(rows.shape[1] * 64, np.int64)
+def ones(rows: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words: for each bit, in how many it is set."""
+    n = np.zeros(rows.shape[1] * 64, np.int64)
     for i in range(0, len(rows), 255):  # sums of 255 fit a byte
         bits = np.unpackbits(rows[i : i + 255].astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return (ones * 2 > len(rows)).astype(np.uint8)
+        n += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return n
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words: a byte for each bit, 1 if it is set in over half of them."""
+    return (ones(rows) * 2 > len(rows)).astype(np.uint8)
 
 
 def fingerprint(text: bytes, p: SimHash) -> np.ndarray:
@@ -130,11 +135,14 @@ def near_fingerprint(shingles: np.ndarray, p: SimHash) -> np.ndarray:
     own = p.tables * p.bits
     if len(shingles):
         factors = np.arange(1, -(-own // 64) + p.check_words + 1, dtype=np.uint64) * ODD | np.uint64(1)
-        v = shingles[:, None] * factors
-        v ^= v >> np.uint64(29)
-        v *= np.uint64(0xBF58476D1CE4E5B9)
-        v ^= v >> np.uint64(32)
-        bits = majority(v)
+        n = np.zeros(64 * len(factors), np.int64)
+        for i in range(0, len(shingles), 255 * 32):  # however long the text, a few MB at a time
+            v = shingles[i : i + 255 * 32, None] * factors
+            v ^= v >> np.uint64(29)
+            v *= np.uint64(0xBF58476D1CE4E5B9)
+            v ^= v >> np.uint64(32)
+            n += ones(v)
+        bits = (n * 2 > len(shingles)).astype(np.uint8)
         key[: p.tables, : p.bits] = bits[:own].reshape(p.tables, p.bits)
         key[p.tables :] = bits[len(bits) - 64 * p.check_words :].reshape(p.check_words, 64)
     return np.packbits(key, axis=1, bitorder="little").reshape(-1).view("<u8")
@@ -153,7 +161,7 @@ def fingerprints(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
                 prints = (fingerprint((t or "").encode(), p) for t in b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(">u8").tobytes() for x in prints], pa.binary())], schema=out)
 
-    return id_and_text(docs).mapInArrow(make, "doc_id long, fp binary")
+    return id_and_text(docs).mapInArrow(lean(make), "doc_id long, fp binary")
 
 
 def flips(bits: int, most: int) -> np.ndarray:
@@ -297,8 +305,8 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
                 held.append(rows)
         yield from done()
 
-    dealt = nodes.select("rep", "fp").mapInArrow(deal, "slice int, rows binary")
-    return dealt.repartition(total, "slice").sortWithinPartitions("slice").mapInArrow(meet, "a long, b long")
+    dealt = nodes.select("rep", "fp").mapInArrow(lean(deal), "slice int, rows binary")
+    return dealt.repartition(total, "slice").sortWithinPartitions("slice").mapInArrow(lean(meet), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
@@ -315,7 +323,7 @@ def verified(pairs: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
             at = np.concatenate(([0], np.cumsum([len(s) for s in own]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "shingles"])
 
-    shingled = written(texts.mapInArrow(sets, "id long, shingles array<long>"), "shingles")
+    shingled = written(texts.mapInArrow(lean(sets), "id long, shingles array<long>"), "shingles")
     # first the later documents, of which each has few pairs; then the first ones, where a hot one can be split
     one = pairs.join(shingled.toDF("b", "y"), "b")
     both = one.join(shingled.toDF("a", "x"), "a")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark import TaskContext
 
 from . import chunks, tokens
-from .common import id_and_text, ship, steps, written
+from .common import id_and_text, lean, ship, steps, written
 from .elias_fano import EliasFano
 
 #: The shards' starts (16 bytes each) are broadcast up to so many; beyond, the blocks are shuffled to them.
@@ -82,7 +82,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
             yield close()
 
     ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(lean(blocks, keep=True), BLOCK_SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -107,7 +107,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     bases = written(bases, "shards")
     few = bases.count() <= BROADCAST_SHARDS
     one = files.join(F.broadcast(bases) if few else bases, files["shard"] == bases["s"]).drop("s")
-    return one.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    return one.mapInArrow(lean(documents, keep=True), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def document_ids(spark: SparkSession, path: str, place: int, shard: int = 0, block: int = 0) -> list[int]:

@@ -8,9 +8,7 @@ import os
 import numpy as np
 from pyspark.sql import SparkSession
 
-from .common import ranges
-
-_loaded: dict[str, object] = {}
+from .common import kept, ranges
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -21,16 +19,16 @@ def vocabulary(spark: SparkSession, path: str):
 
 def load(data: bytes):
     """The tokenizer; each worker builds it once."""
-    key = hashlib.md5(data).hexdigest()
-    if key not in _loaded:
+    key = ("tokenizer", hashlib.md5(data).hexdigest())
+    if key not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(data.decode())
         t.encode_special_tokens = True
-        _loaded[key] = t
-    return _loaded[key]
+        kept[key] = t
+    return kept[key]
 
 
 class Encoder:
@@ -88,12 +86,9 @@ class Encoder:
         return all_ids[ranges(begins[known], each)], each
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(data: bytes) -> Encoder:
     """One for each worker and vocabulary."""
-    key = hashlib.md5(data).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = Encoder(data)
-    return _encoders[key]
+    key = ("encoder", hashlib.md5(data).hexdigest())
+    if key not in kept:
+        kept[key] = Encoder(data)
+    return kept[key]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 
 #: Candidates of a shard and queries of a tile, at most about.
 SHARD_ROWS, TILE_QUERIES = 200_000, 4_000
@@ -129,6 +129,6 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
         if best:
             yield close()
 
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(lean(search), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
