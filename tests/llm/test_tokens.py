@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerline.llm import bpe, chunks, packing, token_files, tokens
+from ledgerline.llm import bpe, chunks, common, packing, token_files, tokens
 from ledgerline.llm.elias_fano import EliasFano
 
 from .conftest import ODD
@@ -164,3 +164,12 @@ def test_single_documents_of_any_block(spark, vocabularies, data, tmp_path):
         for place in (0, len(b["doc_ids"]) // 2, len(b["doc_ids"]) - 1):
             want = [*t.encode(rows[b["doc_ids"][place]][1], add_special_tokens=False).ids, 0]
             assert token_files.document_ids(spark, where, place, b["shard"], b["block"]) == want
+
+
+def test_workers_keep_vocabularies_only_where_asked():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["x"])
+    for keep in (True, False):
+        common.kept["tokenizer", "some"] = object()
+        assert list(common.lean(iter, keep=keep)([batch])) == [batch]
+        assert (("tokenizer", "some") in common.kept) == keep
+    common.forget()
