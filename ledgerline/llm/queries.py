@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, lines, packing, passages, quality, simhash, token_files, topk
+from . import bpe, chat, collocations, fim, licenses, lines, packing, passages, quality, secrets, simhash, token_files, topk
 from .common import new_path, table
 
 
@@ -67,6 +67,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_fim": op11_fim,
+    "op12_collocations": op12_collocations,
+    "op13_secrets": op13_secrets,
     "pipeline": pipeline,
 }
 
@@ -156,4 +171,31 @@ ORACLE: dict[str, str] = {
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
     "op10_quality": quality_sql(),
+    "op11_fim": r"""
+        with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        u as (select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w,
+                     cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+                     cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+        c as (select *, cast(len(w) as bigint) as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as lo, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as hi,
+                     case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+        p as (select *, coalesce(array_to_string(w[1:lo], ''), '') as pre, coalesce(array_to_string(w[lo + 1:hi], ''), '') as mid, coalesce(array_to_string(w[hi + 1:], ''), '') as suf from c)
+        select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+               sha256(case form when 'plain' then t else pre || mid || suf end) as restored_sha256 from p""",
+    "op12_collocations": r"""
+        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+        g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, (values (1), (2), (3)) s(k) where len(w) >= k),
+        f as (select lang, k, phrase, count(*) as f from g group by all),
+        n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by 1),
+        c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10),
+        x as (select c.*, j, array_to_string(w[1:j], ' ') as head, array_to_string(w[j + 1:], ' ') as tail from c, (values (1), (2)) s(j) where j < k),
+        y as (select x.*, h.f as l, t.f as r, cast(1000000::hugeint * a * a // (h.f::hugeint * t.f) as bigint) as score
+              from x join f h on h.lang = x.lang and h.phrase = head join f t on t.lang = x.lang and t.phrase = tail),
+        b as (select *, row_number() over (partition by lang, phrase order by score, j) as pick from y),
+        o as (select b.lang, b.phrase, max(c.a) as longer from (select lang, phrase from b where k = 2 and pick = 1) b
+              join (select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as inner_ from c where k = 3) c on c.lang = b.lang and c.inner_ = b.phrase group by all),
+        r as (select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, score
+              from b left join o on o.lang = b.lang and o.phrase = b.phrase where pick = 1 and not coalesce(100 * longer >= 50 * a, false))
+        select r.lang, rank, r.phrase, a, l, r.r, n, score from r join n on n.lang = r.lang where rank <= 2000""",
 }
