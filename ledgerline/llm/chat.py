@@ -11,7 +11,7 @@ In roles %, line feeds and "<|" are written %25, %0A and %3C|.
 The loss mask is a list of byte ranges of the formatted text (UTF-8), one for each turn of the trained role.
 
 Defined results: a null text is an empty text, a null role an empty role; turns are in ascending order of turn (null
-first), ties in the order of role and text, repeated rows stay repeated; a null conversation id is a conversation of its
+first), ties in the order of role and text (of its parts, joined; then as formatted), repeated rows stay repeated; a null conversation id is a conversation of its
 own; unknown kinds of parts are treated as documents; other columns aren't read.
 """
 
@@ -88,11 +88,11 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
     one = F.array(F.struct(F.lit("text").alias("kind"), F.col(text).cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("array<double>").alias("size")))
     content = one if parts is None else F.coalesce(F.col(parts).cast(PARTS), F.array().cast(PARTS))
     d = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), content.alias("parts"))
-    # without a column of parts a turn is its text, and needs no visit
-    d = d.withColumn("body", visited(F.col("parts")) if parts is not None else escaped(F.coalesce(F.get("parts", F.lit(0))["text"], F.lit(""))))
+    d = d.withColumn("body", visited(F.col("parts")))
     d = d.withColumn("head", F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n")))
     d = d.withColumn("segment", F.concat("head", "body", F.lit(END)))
-    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
+    d = d.withColumn("plain", F.concat_ws("", F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("")))))
+    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "plain", "body")
     d = d.withColumn("place", F.row_number().over(by)).withColumn("before", F.coalesce(F.sum(F.octet_length("segment").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     start = F.col("before") + F.octet_length("head")
     d = d.withColumn("range", F.when(F.col("role") == t.trained, F.struct(start.alias("start"), (start + F.octet_length("body")).alias("end"))))

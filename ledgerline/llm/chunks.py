@@ -24,8 +24,9 @@ CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
-def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The different chunks, each text's chunks as places among them, and where each text's chunks begin."""
+def coded(texts: pa.Array, special: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different chunks, each text's chunks as places among them, and where each text's chunks begin. Strings in
+    `special` are chunks of their own (the longest where several begin), and what stands between them is cut by itself."""
     texts = strings(texts)
     n = len(texts)
     parts = pc.split_pattern(texts, " ")
@@ -39,6 +40,8 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     odd_text = np.zeros(n, bool)
     odd_text[np.searchsorted(at, np.flatnonzero(bare[code] & ~first), side="right") - 1] = True
     empty = first & (np.fromiter((not w for w in words), bool, len(words))[code])
+    for s in special:
+        odd_text |= np.asarray(pc.match_substring(texts, s))
     key = code * 2 + first
     plain = ~np.repeat(odd_text, np.diff(at)) & ~empty
     there = np.zeros(2 * len(words), bool)
@@ -51,8 +54,10 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         return chunks, place, np.concatenate(([0], np.cumsum(counts)))
     seen = {w: i for i, w in enumerate(chunks)}
     more: list[int] = []
+    apart = re.compile(f"({'|'.join(re.escape(s) for s in sorted(special, key=len, reverse=True))})") if special else None
     for i in np.flatnonzero(odd_text).tolist():
-        own = CHUNK.findall(texts[i].as_py())
+        parts = apart.split(texts[i].as_py()) if apart else [texts[i].as_py()]
+        own = [w for k, part in enumerate(parts) for w in ([part] if k % 2 else CHUNK.findall(part))]
         for w in own:
             k = seen.get(w)
             if k is None:
@@ -69,7 +74,7 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def encoded(texts: pa.Array, encode: Encode) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one after the other, and where each text's ids begin (one more at the end)."""
-    chunks, place, starts = coded(texts)
+    chunks, place, starts = coded(texts, getattr(encode, "special", ()))
     ids, lens = encode(chunks)
     lens = np.asarray(lens, np.int64)
     begins = np.cumsum(lens) - lens

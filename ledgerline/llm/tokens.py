@@ -17,16 +17,17 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def load(data: bytes):
-    """The tokenizer; each worker builds it once."""
-    key = ("tokenizer", hashlib.md5(data).hexdigest())
+def load(data: bytes, literal: bool = False):
+    """The tokenizer as the library loads it; each worker builds it once. literal: special tokens' strings in a text are
+    ordinary text."""
+    key = (f"tokenizer {literal}", hashlib.md5(data).hexdigest())
     if key not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(data.decode())
-        t.encode_special_tokens = True
+        t.encode_special_tokens = literal
         kept[key] = t
     return kept[key]
 
@@ -35,14 +36,20 @@ class Encoder:
     """Encodes different chunks and keeps the ids of the first `most` chunks it met, which hold the frequent words.
 
     Chunks that begin with a space and a non-space are joined and encoded many at a time: the pre-tokenizer cuts
-    between them by itself, and the byte lengths of the tokens tell whose ids are whose.
+    between them by itself, and the byte lengths of the tokens tell whose ids are whose. Special tokens' strings (`special`)
+    are chunks of their own, as the library takes them out of a text before all else.
     """
 
-    def __init__(self, data: bytes, most: int = 400_000, join: int = 1000):
-        self.tokenizer, self.most, self.join = load(data), most, join
+    def __init__(self, data: bytes, most: int = 400_000, join: int = 1000, literal: bool = False):
+        self.tokenizer, self.most, self.join = load(data, literal), most, join
+        added = {} if literal else self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("special tokens that take what stands beside them need whole texts")
+        self.special = tuple(t.content for t in added.values())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
         self.bytes[list(vocabulary.values())] = [len(w) for w in vocabulary]
+        self.bytes[list(added)] = [len(t.content.encode()) for t in added.values()]
         self.place: dict[str, int] = {}
         self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -86,9 +93,9 @@ class Encoder:
         return all_ids[ranges(begins[known], each)], each
 
 
-def encoder(data: bytes) -> Encoder:
+def encoder(data: bytes, literal: bool = False) -> Encoder:
     """One for each worker and vocabulary."""
-    key = ("encoder", hashlib.md5(data).hexdigest())
+    key = (f"encoder {literal}", hashlib.md5(data).hexdigest())
     if key not in kept:
-        kept[key] = Encoder(data)
+        kept[key] = Encoder(data, literal=literal)
     return kept[key]

@@ -64,7 +64,7 @@ def test_quality(spark, odd, nothing):
 
 ODD_TURNS = [
     (1, 0, "user", "plain <|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", "<\\|im_end|> and <\\\\| and \\<| < |"), (1, 2, "assistant", None), (2, 1, "assistant", "late"), (2, 0, "sys\ntem%0A<|", "x\n\ny"),
-    (3, 0, None, ""), (None, 0, "assistant", "no id"), (4, 0, "assistant", "tie"), (4, 0, "assistant", "tie"), (4, None, "user", "first"), (5, 0, "user", "ünï 日本 🙂" * 500), (5, 1, "assistant", "日本 🙂"),
+    (3, 0, None, ""), (None, 0, "assistant", "no id"), (4, 0, "assistant", "tie"), (4, 0, "assistant", "tie"), (4, None, "user", "first"), (6, 0, "assistant", "<|a"), (6, 0, "assistant", "<b"), (5, 0, "user", "ünï 日本 🙂" * 500), (5, 1, "assistant", "日本 🙂"),
 ]
 
 

@@ -8,13 +8,15 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from ledgerline.llm import bpe, chunks, common, packing, token_files, tokens
 from ledgerline.llm.elias_fano import EliasFano
 
 from .conftest import ODD
 
-TEXTS = st.text(st.sampled_from(list("abcth e  \n\t'sé日🙂12.!?　\x85\x1c<|")), max_size=60)
+PIECES = [*"abcth e  \n\t'sé日🙂12.!?　\x85\x1c<|", "<|endoftext|>", "<|endoftext", "  "]
+TEXTS = st.lists(st.sampled_from(PIECES), max_size=60).map("".join)
 
 
 @pytest.fixture(scope="session")
@@ -52,8 +54,14 @@ def test_backtracking_equals_merging(pairs, library, texts):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(TEXTS, min_size=1, max_size=5))
 def test_chunks_equal_whole_texts(data, texts):
-    t = tokens.load(data)
-    assert split(*chunks.encoded(pa.array(texts), tokens.Encoder(data))) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    plain = Tokenizer.from_str(data.decode())
+    assert split(*chunks.encoded(pa.array(texts), tokens.Encoder(data))) == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    plain.encode_special_tokens = True
+    assert split(*chunks.encoded(pa.array(texts), tokens.Encoder(data, literal=True))) == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_special_strings_as_the_library_takes_them(data):
+    assert split(*chunks.encoded(pa.array(["a<|endoftext|>b", "  <|endoftext|>   ", "<|endoftext|><|endoftext|> x <|endoftext"]), tokens.Encoder(data)))[0] == [64, 50256, 65]
 
 
 def test_long_pieces_take_linear_time(pairs, library):
@@ -85,8 +93,9 @@ def test_elias_fano(values):
     assert e.all().tolist() == values and [e.select(i) for i in range(len(values))] == values
 
 
-def test_token_files(spark, odd, nothing, vocabularies, data, tmp_path):
-    t, where = tokens.load(data), f"{vocabularies}/byte_bpe_50k.json"
+def test_token_files(spark, odd, nothing, vocabularies, tmp_path):
+    where = f"{vocabularies}/byte_bpe_50k.json"
+    t = Tokenizer.from_file(where)
     token_files.write_token_files(odd, str(tmp_path / "f"), where, block_ids=500)
     got = [tuple(r) for r in token_files.checksums(token_files.read_token_files(spark, str(tmp_path / "f"))).collect()]
     rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
@@ -123,8 +132,9 @@ def test_plan_is_document_by_document_best_fit(lengths):
     assert len(used) == bins and sorted(40 - n for n in used.values()) == best_fit(lengths, 40)
 
 
-def test_packing(spark, odd, nothing, vocabularies, data):
-    where, t = f"{vocabularies}/byte_bpe_50k.json", tokens.load(data)
+def test_packing(spark, odd, nothing, vocabularies):
+    where = f"{vocabularies}/byte_bpe_50k.json"
+    t = Tokenizer.from_file(where)
     rows = packing.pack_documents(odd, where, capacity=256, with_ids=True).collect()
     whole = Counter(tuple([*t.encode(x or "", add_special_tokens=False).ids, 0]) for _, x in ODD)
     for r in rows:
@@ -153,8 +163,8 @@ def test_decoding_keeps_nulls_and_other_columns(spark, vocabularies, library, mo
     assert [(r["decoding"], r["other"], None if r["decoded"] is None else bytes(r["decoded"]).decode()) for r in got] == [(k, f"o{k}", t) for k, t in enumerate(texts)]
 
 
-def test_single_documents_of_any_block(spark, vocabularies, data, tmp_path):
-    t = tokens.load(data)
+def test_single_documents_of_any_block(spark, vocabularies, tmp_path):
+    t = Tokenizer.from_file(f"{vocabularies}/byte_bpe_50k.json")
     rows = [(i, " ".join(f"word{k}" for k in range(i % 17))) for i in range(200)]
     where = str(tmp_path / "files")
     token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), where, f"{vocabularies}/byte_bpe_50k.json", block_ids=300)
