@@ -9,70 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans.registry import query
 
-#: Polish letters and what they fold to (fixed values).
-FOLD_FROM, FOLD_TO = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ"
-#: Letters of the other languages at hand.
-MORE_FROM, MORE_TO = "éèêçàäöüßñíúáÉÈÊÇÀÄÖÜÑÍÚÁ", "eeecaaousniuaEEECAAOUNIUA"
-
-
-def fold(c: Column) -> Column:
-    """Diacritics to plain letters, letter by letter."""
-    return F.translate(c, FOLD_FROM + MORE_FROM, FOLD_TO + MORE_TO)
-
-
-@query("fold_diacritics", f"select doc_id, md5(translate(text, '{FOLD_FROM + MORE_FROM}', '{FOLD_TO + MORE_TO}')) as folded from documents")
-def _(v):
-    return v.documents.select("doc_id", F.md5(fold(F.col("text"))).alias("folded"))
-
-
-#: Abbreviations of names, expanded before comparing.
-SHORT = [("NO", "NUMBER"), ("ST", "SAINT"), ("INT", "INTERNATIONAL")]
-
-
-def normalize_name(c: Column) -> Column:
-    """Upper case, folded, abbreviations expanded, only letters and digits, single spaces."""
-    c = F.upper(fold(c))
-    for a, b in SHORT:
-        c = F.regexp_replace(c, rf"(^|[^A-Z0-9]){a}([^A-Z0-9]|$)", f"$1{b}$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[^A-Z0-9 ]", " "), " +", " "))
-
-
-@query("normalize_name", r"""select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(upper(p_name || ' no. ' || p_brand), '(^|[^A-Z0-9])NO([^A-Z0-9]|$)', '\1NUMBER\2', 'g'), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as name from part""")
-def _(v):
-    return v.part.select("p_partkey", normalize_name(F.concat("p_name", F.lit(" no. "), "p_brand")).alias("name"))
-
-
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short strings, row by row of the table, without Python."""
-    x, y = F.split(a, ""), F.split(b, "")
-    zero = F.array_repeat(F.lit(0), (F.length(b) + 1).cast("int"))
-
-    def row(prev: Column, ch: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            best = F.when(F.get(y, j - 1) == ch, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.element_at(acc, -1)))
-            return F.array_append(acc, best)
-
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
-
-    full = F.element_at(F.aggregate(x, zero, row), -1)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(full)
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """200 * LCS / (m + n) of the sorted tokens: the exact ratio that the match thresholds are meant for."""
-    s = lambda c: F.array_join(F.array_sort(F.split(F.trim(c), " +")), " ")
-    x, y = s(a), s(b)
-    total = F.length(x) + F.length(y)
-    return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * lcs_length(x, y) / total)
-
-
-@query("token_sort_ratio", None)
-def _(v):
-    p = v.part.filter("p_partkey % 4 = 0").selectExpr("p_partkey as a", "p_partkey + 1 as b", "p_name as x")
-    q = v.part.selectExpr("p_partkey as b", "p_name as y")
-    return p.join(q, "b").select("a", "b", F.round(token_sort_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
-
-
 @query("normalize_whitespace", r"select doc_id, md5(trim(regexp_replace(text, '[\x09-\x0D\x20\x{00A0}]+', ' ', 'g'))) as h from documents")
 def _(v):
     return v.documents.select("doc_id", F.md5(F.trim(F.regexp_replace("text", "[\\x09-\\x0D\\x20\\u00A0]+", " "))).alias("h"))

@@ -82,47 +82,6 @@ def _(v):
     return lookup(v.register, table, "city", "tier", "smaller_town").select("id", "city", "tier")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """100 times one less the edit distance over the longer length: a built-in stand-in, not the token-sort ratio."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(100.0)).otherwise(100.0 * (longest - F.levenshtein(a, b)) / longest)
-
-
-def match_blocked(entries: DataFrame, candidates: DataFrame, blocks: list[str], ratio, sure: float = 90, likely: float = 80) -> DataFrame:
-    """Each entry's best candidate of its block: confirmed, auto, or none. Candidates are compared within blocks only, the
-    best is kept by partial aggregation (ties to the smallest id), and adaptive execution splits large blocks."""
-    e = entries.select(*blocks, F.col("entry_id"), F.col("name").alias("entry_name"))
-    c = candidates.select(*blocks, F.col("cand_id"), F.col("name").alias("cand_name"))
-    pairs = e.join(c, blocks).withColumn("score", ratio(F.col("entry_name"), F.col("cand_name")))
-    best = pairs.groupBy("entry_id").agg(F.max(F.struct("score", (-F.col("cand_id")).alias("neg"))).alias("b"))
-    status = F.when(F.col("b.score") >= sure, "confirmed").when(F.col("b.score") >= likely, "auto")
-    return best.select("entry_id", (-F.col("b.neg")).alias("cand_id"), F.round("b.score", 6).alias("score"), status.alias("status")).filter("status is not null")
-
-
-FUZZY_SQL = """with e as (select p_partkey as entry_id, p_brand as brand, p_type as type, p_name as name from part where p_partkey % 10 = 0),
-    c as (select p_partkey as cand_id, p_brand as brand, p_type as type, p_name as name from part where p_partkey % 10 <> 0),
-    s as (select entry_id, cand_id, 100.0 * (greatest(length(e.name), length(c.name)) - levenshtein(e.name, c.name)) / greatest(length(e.name), length(c.name)) as score
-          from e join c using (brand, type)),
-    b as (select *, row_number() over (partition by entry_id order by score desc, cand_id) as rn from s),
-    m as (select entry_id, cand_id, round(score, 6) as score, case when score >= 90 then 'confirmed' when score >= 80 then 'auto' end as status from b where rn = 1)"""
-
-
-def fuzzy(v) -> DataFrame:
-    p = v.part.selectExpr("p_partkey as k", "p_brand as brand", "p_type as type", "p_name as name")
-    return match_blocked(p.filter("k % 10 = 0").withColumnRenamed("k", "entry_id"), p.filter("k % 10 <> 0").withColumnRenamed("k", "cand_id"), ["brand", "type"], similarity)
-
-
-@query("fuzzy_blocked_join", FUZZY_SQL + " select * from m where status is not null")
-def _(v):
-    return fuzzy(v)
-
-
-@query("match_counters", FUZZY_SQL + """ select coalesce(status, 'discarded') as status, count(*) as n from e left join m using (entry_id) group by 1""")
-def _(v):
-    entries = v.part.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("entry_id"))
-    return entries.join(fuzzy(v), "entry_id", "left").groupBy(F.coalesce("status", F.lit("discarded")).alias("status")).agg(F.count("*").alias("n"))
-
-
 def membership_split(requested: DataFrame, queue: DataFrame, members: DataFrame) -> DataFrame:
     """Each requested id once: in_campaign, in_pipeline or new."""
     return with_status(requested.select("id").distinct(), queue, members).select("id", F.when(F.col("status") == "campaign", "in_campaign").when(F.col("status") == "pipeline", "in_pipeline").otherwise("new").alias("outcome"))
@@ -263,17 +222,6 @@ def _(v):
     return part.join(cases, hit).groupBy("case_id").agg(F.count("*").alias("hits"), F.when(F.count("*") == 1, F.min("p_partkey")).alias("resolved"))
 
 
-@query("fuzzy_argmax", """with e as (select p_partkey as entry_id, p_brand as brand, p_name as name from part where p_partkey % 20 = 0),
-    s as (select e.entry_id, p_partkey as cand_id, levenshtein(e.name, p_name) as dist from e join part on p_brand = e.brand and p_partkey <> e.entry_id)
-    select entry_id, cand_id, dist from (select *, row_number() over (partition by entry_id order by dist, cand_id) as rn from s) t where rn = 1""")
-def _(v):
-    p = v.part.selectExpr("p_partkey as k", "p_brand as brand", "p_name as name")
-    e = p.filter("k % 20 = 0").selectExpr("k as entry_id", "brand", "name as entry_name")
-    pairs = e.join(p, "brand").filter("k <> entry_id").withColumn("dist", F.levenshtein("entry_name", "name"))
-    best = pairs.groupBy("entry_id").agg(F.min(F.struct("dist", "k")).alias("b"))
-    return best.select("entry_id", F.col("b.k").alias("cand_id"), "b.dist")
-
-
 def resolve_addresses(people: DataFrame, addresses: DataFrame) -> DataFrame:
     """Every unclaimed address of an entity with every named person of it, where the address has the person's name."""
     local = F.lower(F.split("addr", "@")[0])

@@ -14,8 +14,8 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
 MODULES = [
-    "operators.segments", "operators.joins", "operators.reports", "operators.ranking", "operators.state",
-    "functions.scoring", "functions.text", "functions.addresses", "functions.urls", "functions.names", "sources.register", "streaming.streams",
+    "operators.segments", "operators.joins", "operators.matching", "operators.reports", "operators.ranking", "operators.state",
+    "functions.scoring", "functions.folding", "functions.text", "functions.addresses", "functions.urls", "functions.names", "sources.register", "streaming.streams",
 ]
 
 

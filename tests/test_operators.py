@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.addresses import extract_addresses, personal, recovered
 from ledgerline.functions.names import display_names
-from ledgerline.functions.text import plain_text, role_windows, token_sort_ratio
+from ledgerline.functions.text import plain_text, role_windows
 from ledgerline.functions.urls import sitemap_select
 from ledgerline.operators import state
 from ledgerline.operators.ranking import page_budget
@@ -17,21 +17,6 @@ from ledgerline.streaming import streams
 from ledgerline.streaming.slots import fold, slot_state
 
 
-def lcs_ratio(a, b):
-    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-    return 200 * t[-1][-1] / (len(a) + len(b)) if a or b else 100.0
-
-
-def test_token_sort_ratio(spark):
-    pairs = [("high school no 5", "no 5 high school"), ("abc", "abd"), ("", ""), ("a", ""), ("liceum im x", "im liceum y"), ("kitten", "sitting")]
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", token_sort_ratio(F.col("a"), F.col("b")).alias("r")).collect()
-    assert [round(r["r"], 6) for r in got] == [round(lcs_ratio(a, b), 6) for a, b in pairs]
-
-
 def test_csv_scan_keeps_strings_and_blank_is_null(spark, tmp_path):
     (tmp_path / "r.csv").write_bytes("﻿rspo_id,name,pupils\n007,\"A, B\",12.0\n8,,\n".encode())
     got = csv_scan(spark, str(tmp_path / "r.csv"), ["rspo_id", "name", "pupils", "website"]).collect()
