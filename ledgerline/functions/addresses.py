@@ -114,9 +114,18 @@ def _(v):
     return v.contact.select("l_orderkey", "l_linenumber", "role", q.alias("quality"))
 
 
+def office_like(addr: Column) -> Column:
+    """An address of an office, recruitment or data protection, not of a person."""
+    return F.coalesce(priority(addr) >= 1, F.lit(False))
+
+
+def deliverable(addr: Column) -> Column:
+    return addr.rlike("^[^@ ]+@[^@ ]+[.][A-Za-z]{2,}$")
+
+
 @query("deliverable_shape", ADDR_SQL + " select addr, regexp_matches(addr, '^[^@ ]+@[^@ ]+[.][A-Za-z]{2,}$') as ok from l")
 def _(v):
-    return addresses(v).select("addr", F.col("addr").rlike("^[^@ ]+@[^@ ]+[.][A-Za-z]{2,}$").alias("ok"))
+    return addresses(v).select("addr", deliverable(F.col("addr")).alias("ok"))
 
 
 FREEMAIL = ["mail1.example.com", "mail2.example.com", "mail3.example.com"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.segments import TARGET_SQL, target_population
 from ledgerline.plans.registry import query
+from ledgerline.plans.storage import written
 from ledgerline.plans.views import AS_OF, EVENTS_AS_OF
 
 
@@ -142,18 +143,23 @@ def _(v):
 def page_budget(pages: DataFrame, entity: str, page: str, tier: str, size: str, most_pages: int = 8, most_chars: int = 50_000) -> DataFrame:
     """Pages by tier: one that would pass the budget is skipped, later smaller ones may still fit, the first always stays.
 
-    A skip-and-continue choice depends on all choices before it, so an entity's sizes are folded in order; only sizes and
-    ids are gathered, never texts, and a page list is as long as a site.
+    What doesn't fit once never fits later, so the next page is the least one behind the last that fits. Each round finds
+    it for all entities at once by partial aggregation; a site with very many pages is never gathered. Null sizes count as
+    nothing, pages of a null entity belong together.
     """
-    listed = pages.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(tier).alias("tier"), F.col(page).alias("page"), F.col(size).cast("long").alias("size")))).alias("p"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["n"] == 0) | ((a["n"] < most_pages) & (a["used"] + x["size"] <= most_chars))
-        more = F.struct((a["n"] + 1).alias("n"), (a["used"] + x["size"]).alias("used"), F.array_append(a["kept"], x["page"]).alias("kept"))
-        return F.when(fits, more).otherwise(a)
-
-    return listed.select(entity, F.explode(F.aggregate("p", zero, step)["kept"]).alias(page))
+    p = pages.select(F.col(entity).alias("e"), F.struct(F.col(tier).alias("tier"), F.col(page).alias("page"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")).alias("p"))
+    p = written(p, "pages")
+    kept = written(p.groupBy("e").agg(F.min("p").alias("p")).withColumn("used", F.col("p.size")), "kept")
+    all_kept = kept
+    for _ in range(most_pages - 1):
+        so_far = kept.select(F.col("e").alias("of"), F.col("p").alias("last"), "used")
+        fits = p.join(so_far, F.col("e").eqNullSafe(F.col("of"))).filter((F.col("p") > F.col("last")) & (F.col("used") + F.col("p.size") <= most_chars))
+        kept = fits.groupBy("e").agg(F.min("p").alias("p"), F.first("used").alias("used")).withColumn("used", F.col("used") + F.col("p.size"))
+        kept = written(kept, "kept")
+        if kept.isEmpty():
+            break
+        all_kept = all_kept.unionByName(kept)
+    return all_kept.select(F.col("e").alias(entity), F.col("p.page").alias(page))
 
 
 @query("page_budget", """with recursive p as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id % 3, doc_id) as i from documents),

@@ -35,14 +35,15 @@ def query(name: str, sql: str | None = None):
 
 def with_views(sql: str) -> str:
     """The statement with the views it names put before it."""
-    body, own = sql.strip(), ""
-    if body.lower().startswith("with "):
-        own, body = body[5:], ""
+    body, own, kind = sql.strip(), "", "with "
+    for opening in ("with recursive ", "with "):
+        if body.lower().startswith(opening):
+            own, body, kind = body[len(opening) :], "", opening
     named = [v for v in SQL if re.search(rf"\b{v}\b", sql)]
     wanted = [v for v in SQL if v in named or any(v in NEEDS.get(n, []) for n in named)]
     parts = [f"{v} as ({SQL[v]})" for v in wanted]
     if own:
-        return "with " + ", ".join([*parts, own])
+        return kind + ", ".join([*parts, own])
     return ("with " + ", ".join(parts) + " " if parts else "") + body
 
 

@@ -1,8 +1,5 @@
 """Cases that the star tables don't hold, and streams against their batch forms."""
 
-import datetime as dt
-
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.addresses import extract_addresses, personal, recovered
@@ -13,8 +10,6 @@ from ledgerline.operators import state
 from ledgerline.operators.ranking import page_budget
 from ledgerline.operators.segments import ownership, text_search
 from ledgerline.sources.register import changed_files, csv_scan, portal_adapter, ranking_rows
-from ledgerline.streaming import streams
-from ledgerline.streaming.slots import fold, slot_state
 
 
 def test_csv_scan_keeps_strings_and_blank_is_null(spark, tmp_path):
@@ -114,74 +109,3 @@ def test_sitemap_and_display(spark):
     assert {r["id"]: r["display"] for r in display_names(names).collect()} == {1: "School no II, x", 2: "School no II, y", 3: "Other"}
 
 
-SLOTS = [
-    (1, "teacher", "Ann Lee", "p1@s", 1, 1), (1, "teacher", "lee ann", None, 2, 2), (1, "teacher", "Bob", None, 3, 3), (1, "teacher", "Bob", "p2@s", 4, 4),
-    (2, "office", None, None, 1, 5), (2, "office", "Cid", "office@s", 2, 6), (2, "office", "Dan", "p3@s", 3, 7), (3, "head", None, None, 1, 8),
-]
-SLOT_SCHEMA = "id long, role string, person string, addr string, seen long, place long"
-
-
-def test_slot_fold(spark):
-    got = {(r["id"], r["person"], r["addr"]) for r in slot_state(spark.createDataFrame(SLOTS, SLOT_SCHEMA)).collect()}
-    assert got == {(1, "lee ann", "p1@s"), (2, "Dan", "p3@s"), (3, None, None)}
-    assert fold(None, {"person": "a", "addr": None}) == {"person": "a", "addr": None}
-
-
-@pytest.fixture()
-def log_folder(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id as id", "event_type", "cast(ts as timestamp) as ts", "value")
-    path = str(tmp_path / "log")
-    events.coalesce(1).write.parquet(path)
-    events.limit(50).coalesce(1).write.mode("append").parquet(path)  # some events come twice
-    return path, events
-
-
-def run(df, spark, tmp_path, mode):
-    name = f"t{abs(hash(str(tmp_path))) % 10**8}"
-    out = str(tmp_path / name)
-
-    def keep(batch, n):
-        batch.write.mode("append").parquet(f"{out}/n={n}")
-
-    df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    return spark.read.parquet(out)
-
-
-def test_activity_stream_equals_batch(spark, log_folder, tmp_path):
-    path, events = log_folder
-    got = run(streams.activity_state(streams.log_stream(spark, path), "60 days"), spark, tmp_path, "update")
-    last = {r["id"]: (r["last_ts"], r["event_type"]) for r in got.groupBy("id").agg(F.max(F.struct("n", "last_ts", "event_type")).alias("s")).select("id", "s.*").collect()}
-    want = {r["id"]: (r["ts"], r["event_type"]) for r in streams.latest_event(events).collect()}
-    assert last == want
-
-
-def test_slot_stream_equals_batch(spark, tmp_path):
-    path = str(tmp_path / "in")
-    for r in SLOTS:  # one file for each record, in order
-        spark.createDataFrame([r], SLOT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(SLOT_SCHEMA).parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = run(streams.slot_stream(stream), spark, tmp_path, "update")
-    last = {(r["id"], r["person"], r["addr"]) for r in got.groupBy("id", "role").agg(F.max(F.struct("n", "person", "addr")).alias("s")).select("id", "s.*").collect()}
-    assert last == {(r["id"], r["person"], r["addr"]) for r in slot_state(spark.createDataFrame(SLOTS, SLOT_SCHEMA)).collect()}
-
-
-def test_stale_stream(spark, tmp_path):
-    path, day = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
-    rows = [(1, 1, "view", day, 1.0), (2, 2, "view", day + dt.timedelta(days=10), 1.0), (3, 3, "view", day + dt.timedelta(days=20), 1.0)]
-    for r in rows:
-        spark.createDataFrame([r], streams.LOG).coalesce(1).write.mode("append").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = run(streams.stale_stream(streams.log_stream(spark, path, files=1), 14), spark, tmp_path, "append")
-    assert [r["id"] for r in got.collect()] == [1]
-
-
-def test_interval_batch(spark, tmp_path):
-    path = str(tmp_path / "ticks")
-    spark.range(1).write.parquet(path)
-    scored = spark.createDataFrame([(i, True, False, None, i) for i in range(5)], "id long, is_active boolean, is_adult boolean, specialty string, total int")
-    tried, seen = spark.createDataFrame([(4,)], "id long"), []
-    for on in (True, False):
-        q = streams.interval_batch(spark.readStream.schema("id long").parquet(path), scored, lambda: tried, lambda d: seen.append([r["id"] for r in d.collect()]), 2, lambda on=on: on, str(tmp_path / f"cp{on}"))
-        q.awaitTermination(60)
-    assert seen == [[3, 2]]
