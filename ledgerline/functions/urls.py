@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans.registry import query
 
-HOST = "^[a-z]+://([^/:?#]+)"
+HOST = "^[A-Za-z]+://([^/:?#]+)"
 #: Second-level suffixes under which a third label is registered, and languages that lead a path (fixed values).
 SECOND_LEVEL = ["com", "edu", "gov", "net", "org", "biz", "info", "mil", "waw"]
-LANGUAGES = ["en", "fr", "de", "es", "pl"]
+LANGUAGES = ["en", "pl", "de", "ua", "uk", "ru", "fr", "es", "it", "cs"]
+#: Parameters that name a campaign or a language, not a page; so do all that begin with utm_ (fixed values).
+TRACKING = ["fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "ref", "source", "yclid", "igshid", "lang", "language", "lng", "l"]
 
 
 def host(url: Column) -> Column:
@@ -18,7 +20,11 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), "^www[.]", "")
 
 
-HOST_SQL = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www[.]', '')"
+def host_sql(url: str) -> str:
+    return f"regexp_replace(lower(regexp_extract({url}, '{HOST}', 1)), '^www[.]', '')"
+
+
+HOST_SQL = host_sql("url")
 
 
 def registrable(h: Column) -> Column:
@@ -29,24 +35,41 @@ def registrable(h: Column) -> Column:
     return F.array_join(F.slice(p, F.greatest(n - take + 1, F.lit(1)), n), ".")
 
 
-@query("registrable_domain", f"""with h as (select page_id, string_split({HOST_SQL}, '.') as p from pages) select page_id, array_to_string(list_slice(p, greatest(len(p) - case when len(p) > 2 and p[len(p) - 1] in ('com', 'edu', 'gov', 'net', 'org', 'biz', 'info', 'mil', 'waw') then 3 else 2 end + 1, 1), len(p)), '.') as dom from h""")
+def registrable_sql(h: str) -> str:
+    suffixes = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
+    return f"(select array_to_string(list_slice(p, greatest(len(p) - case when len(p) > 2 and p[len(p) - 1] in ({suffixes}) then 3 else 2 end + 1, 1), len(p)), '.') from (select string_split({h}, '.') as p) t)"
+
+
+@query("registrable_domain", f"select page_id, {registrable_sql(HOST_SQL)} as dom from pages")
 def _(v):
     return v.pages.select("page_id", registrable(host(F.col("url"))).alias("dom"))
 
 
+PATH = "^[A-Za-z]+://[^/?#]+([^?#]*)"
+
+
 def dedup_key(url: Column) -> Column:
-    """Scheme, www, fragment, language segment, trailing slash and tracking parameters off; the others sorted."""
+    """Scheme, www, fragment, language segment, trailing slashes and tracking parameters off; the others sorted. A parameter
+    without a value has an empty one."""
     bare = F.regexp_replace(url, "#.*$", "")
-    path = F.regexp_extract(bare, "^[a-z]+://[^/?]+([^?]*)", 1)
-    path = F.regexp_replace(F.regexp_replace(path, "^/(" + "|".join(LANGUAGES) + ")(/|$)", "/"), "/$", "")
-    params = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
-    kept = F.array_sort(F.filter(params, lambda p: (p != "") & ~p.startswith("utm_") & ~p.startswith("ref=")))
+    path = F.regexp_replace(F.regexp_extract(bare, PATH, 1), "/+$", "")
+    path = F.regexp_replace(path, "(?i)^/+(" + "|".join(LANGUAGES) + ")$", "")
+    path = F.regexp_replace(path, "(?i)^/+(" + "|".join(LANGUAGES) + ")/", "/")
+    pairs = F.transform(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: p != ""), lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
+    name = lambda p: F.lower(F.substring_index(p, "=", 1))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~name(p).isin(TRACKING) & ~name(p).startswith("utm_")))
     return F.concat(host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
-@query("url_dedup_key", f"""with b as (select page_id, url, regexp_replace(url, '#.*$', '') as bare from pages), p as (select page_id, {HOST_SQL} as h, regexp_replace(regexp_replace(regexp_extract(bare, '^[a-z]+://[^/?]+([^?]*)', 1), '^/(en|fr|de|es|pl)(/|$)', '/'), '/$', '') as path,
-      list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '' and not starts_with(x, 'utm_') and not starts_with(x, 'ref='))) as kept from b)
-    select page_id, h || path || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as key from p""")
+def dedup_key_sql(url: str) -> str:
+    tracking, langs = ", ".join(f"'{t}'" for t in TRACKING), "|".join(LANGUAGES)
+    path = f"regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '{PATH}', 1), '/+$', ''), '(?i)^/+({langs})$', ''), '(?i)^/+({langs})/', '/')"
+    return f"""(select {host_sql("bare")} || path || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end from (select bare, {path} as path, list_sort(list_filter(list_transform(list_filter(
+        string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> ''), lambda x: case when contains(x, '=') then x else x || '=' end), lambda x: lower(split_part(x, '=', 1)) not in ({tracking}) and not starts_with(lower(x), 'utm_'))) as kept
+        from (select regexp_replace({url}, '#.*$', '') as bare) b) k)"""
+
+
+@query("url_dedup_key", f"select page_id, {dedup_key_sql('url')} as key from pages")
 def _(v):
     return v.pages.select("page_id", dedup_key(F.col("url")).alias("key"))
 
@@ -86,38 +109,6 @@ def links(pages: DataFrame) -> DataFrame:
 LINKS_SQL = """with l as (select page_id, url, unnest(regexp_extract_all(html, '<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as label,
       generate_subscripts(regexp_extract_all(html, '<a[^>]* href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) as pos from pages)"""
 
-#: Keyword to tier of a link; the lowest tier of a link counts.
-TIERS = {"the": 0, "der": 0, "of": 1, "la": 1, "and": 2, "die": 2}
-
-
-@query("link_tiers", LINKS_SQL + r""", t as (select l.*, least(case when contains(lower(href || ' ' || label), 'the') or contains(lower(href || ' ' || label), 'der') then 0 end, case when contains(lower(href || ' ' || label), 'of') or contains(lower(href || ' ' || label), 'la') then 1 end,
-      case when contains(lower(href || ' ' || label), 'and') or contains(lower(href || ' ' || label), 'die') then 2 end) as tier from l where not regexp_matches(lower(href), '[.](jpg|jpeg|png|gif|pdf|mp4|svg)$'))
-    select page_id, href, min(tier) as tier, min(pos) as pos from t where tier is not null group by 1, 2""")
-def _(v):
-    table = F.broadcast(v.spark.createDataFrame(list(TIERS.items()), "word string, tier int"))
-    own = links(v.pages).filter(~F.lower("href").rlike(MEDIA)).withColumn("both", F.lower(F.concat("href", F.lit(" "), "label")))
-    return own.join(table, F.contains("both", "word")).groupBy("page_id", "href").agg(F.min("tier").alias("tier"), F.min("pos").alias("pos"))
-
-
-@query("candidate_links", LINKS_SQL + """, d as (select page_id, href, min(pos) as pos from l where not regexp_matches(lower(href), '[.](jpg|jpeg|png|gif|pdf|mp4|svg)$') and not contains(href, 'ad.') group by 1, 2)
-    select page_id, href from (select *, row_number() over (partition by page_id order by pos) as rn from d) t where rn <= 120""")
-def _(v):
-    return candidate_links(v.pages, 120)
-
-
-def candidate_links(pages: DataFrame, most: int) -> DataFrame:
-    """Each page's first links, media and noise hosts out, repeats out."""
-    own = links(pages).filter(~F.lower("href").rlike(MEDIA) & ~F.contains("href", F.lit("ad.")))
-    once = own.groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
-    return once.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("rn") <= most).select("page_id", "href")
-
-
-@query("hub_page", LINKS_SQL + """, c as (select page_id, count(*) as n from l group by 1) select c.page_id, n from c join pages p on p.page_id = c.page_id where n <= 6 and length(html) <= 3000""")
-def _(v):
-    n = links(v.pages).groupBy("page_id").agg(F.count("*").alias("n"))
-    return n.filter("n <= 6").join(v.pages.filter(F.length("html") <= 3000).select("page_id"), "page_id")
-
-
 @query("injected_picker", LINKS_SQL + """, o as (select distinct page_id, href from l) select o.page_id, o.href from o join (select page_id, min(href) as href from o group by 1) p on p.page_id = o.page_id and p.href = o.href""")
 def _(v):
     offered = links(v.pages).select("page_id", "href").distinct()
