@@ -114,7 +114,7 @@ def unescaped(c: Column) -> Column:
 
 
 def spaced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\u00A0]+", " "))
 
 
 def anchors(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -191,7 +191,7 @@ def candidate_links(pages: DataFrame, most: int = 120, noise: list[str] = NOISE)
 
 def hub_links(pages: DataFrame, most_chars: int = 600, most_links: int = 6, most: int = 3) -> DataFrame:
     """page_id, url, rn: the first links to other hosts of pages with little text and few links."""
-    text = F.regexp_replace(unescaped(F.regexp_replace(F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>", ""), r"(?s)<[^>]*>", "")), r"[\s ]+", "")
+    text = F.regexp_replace(unescaped(F.regexp_replace(F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>", ""), r"(?s)<[^>]*>", "")), r"[\s\u00A0]+", "")
     small = pages.filter(F.length(text) <= most_chars)
     a = anchors(small).filter((F.col("href") != "") & F.col("full").rlike("^https?://"))
     a = a.withColumn("n", F.count("*").over(Window.partitionBy("page_id"))).filter(F.col("n") <= most_links)

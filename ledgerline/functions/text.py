@@ -235,16 +235,6 @@ def _(v):
     return v.events.groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("grounded_confidence", """with c as (select conv_id, turn, text, case when turn % 3 = 0 then 'high' else 'medium' end as conf, case when turn % 2 = 0 then 'a@' || conv_id || '.example.com' else 'bad address' end as addr from conversations where text <> '')
-    select conv_id, turn, case when regexp_matches(addr, '^[^@ ]+@[^@ ]+[.][a-z]{2,}$') then addr end as addr, case when conf = 'high' and conv_id % 2 = 0 then 'high' when conf = 'high' then 'medium' else conf end as conf from c""")
-def _(v):
-    c = v.conversations.filter("text <> ''").withColumns({"conf": F.when(F.col("turn") % 3 == 0, "high").otherwise("medium"), "addr": F.when(F.col("turn") % 2 == 0, F.concat(F.lit("a@"), F.col("conv_id").cast("string"), F.lit(".example.com"))).otherwise("bad address")})
-    same_site = F.col("conv_id") % 2 == 0
-    return c.select("conv_id", "turn", F.when(F.col("addr").rlike("^[^@ ]+@[^@ ]+[.][a-z]{2,}$"), F.col("addr")).alias("addr"), F.when((F.col("conf") == "high") & ~same_site, "medium").otherwise(F.col("conf")).alias("conf"))
-
-
-
-
 def role_windows(pages: DataFrame, words: list[str], key: str = "doc_id", text: str = "text", head: int = 6000, span: int = 500, most: int = 8000) -> DataFrame:
     """(key, text): texts over `most` characters cut to their first `head` characters and windows of `span` around role
     words, those that a capitalised word follows first, merged where they meet, until the budget is used."""

@@ -139,36 +139,6 @@ def _(v):
     return two_sources(r, s)
 
 
-def normalized(text: Column) -> Column:
-    """No-break spaces are spaces, white space is collapsed, letter case aside."""
-    return F.lower(F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20 ]+", " ")))
-
-
-def contained_quotes(claims: DataFrame, pages: DataFrame, words: int = 8) -> DataFrame:
-    """(item_id, doc_id) where the whole quote occurs in the page. Quotes and pages meet on the hash of the quote's first
-    words, so only pages that hold those are compared; quotes shorter than that meet on all their words."""
-    q = claims.select("item_id", normalized(F.col("text")).alias("quote")).filter("quote <> ''")
-    w = F.split("quote", " ")
-    q = q.withColumn("n", F.least(F.size(w), F.lit(words))).withColumn("h", F.xxhash64(F.array_join(F.slice(w, 1, F.col("n")), " ")))
-    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # at most `words` numbers
-    p = pages.select("doc_id", normalized(F.col("text")).alias("page")).withColumn("w", F.split("page", " "))
-
-    def grams_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
-
-    grams = [grams_of(n) for n in sizes]
-    each = F.flatten(F.array(*[F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<bigint>")) for n, g in zip(sizes, grams)])) if sizes else F.array().cast("array<bigint>")
-    hits = p.select("doc_id", F.explode(F.array_distinct(each)).alias("h")).join(q, "h").select("doc_id", "item_id", "quote")
-    return hits.join(p.select("doc_id", "page"), "doc_id").filter(F.contains("page", "quote")).select("item_id", "doc_id").distinct()
-
-
-@query("evidence_containment", r"""with q as (select item_id, lower(trim(regexp_replace(text, '[\x09-\x0D\x20\x{00A0}]+', ' ', 'g'))) as quote from benchmark),
-    p as (select doc_id, lower(trim(regexp_replace(text, '[\x09-\x0D\x20\x{00A0}]+', ' ', 'g'))) as page from documents)
-    select item_id, doc_id from q join p on contains(page, quote) where quote <> ''""")
-def _(v):
-    return contained_quotes(v.benchmark, v.documents)
-
-
 def domain_suffixes(domain: Column) -> Column:
     """a.b.c: a.b.c, b.c, c."""
     parts = F.split(domain, r"\.")
