@@ -71,15 +71,30 @@ SUMMARY_SQL = f"""with t as (select s.*, q.stage, q.id is not null as queued, b.
     where {TARGET_SQL})"""
 
 
-@query("dashboard_summary", SUMMARY_SQL + """ select count(*) as n_target, count(*) filter (total is not null) as n_scored, count(*) filter (queued) as n_queued, count(*) filter (member) as n_members,
-    count(*) filter (not queued and not member) as n_available, count(*) filter (total >= 70 and not queued) as n_high_not_queued, count(*) filter (stage = 'won') as n_won,
-    count(*) filter (level = 'BUILDING') as n_building, round(avg(total), 6) as avg_score from t""")
+def counted_by(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """One row with value=count pairs of a column that has few values."""
+    n = rows.groupBy(column).agg(F.count("*").alias("n")).filter(F.col(column).isNotNull())
+    return n.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col(column), F.lit("="), F.col("n").cast("string")))), ",").alias(name))
+
+
+def dashboard_summary(scored: DataFrame, queue: DataFrame, members: DataFrame, high: int = 70) -> DataFrame:
+    """One row: seven numbers and two histograms. Entities are those of the target population; queue and batches count
+    whole."""
+    t = scored.filter(target_population())
+    free = t.join(queue.select("id"), "id", "left_anti")
+    rows = [
+        t.agg(F.count("*").alias("n_target"), n_if("total is not null", "n_scored"), n_if("total is null", "n_unscored")), queue.agg(F.count("*").alias("n_queued")), members.agg(F.count("*").alias("n_members")),
+        free.join(members.select("id"), "id", "left_anti").agg(F.count("*").alias("n_available")), free.agg(n_if(f"total >= {high}", "n_high_not_queued")), counted_by(t, "level", "by_level"), counted_by(queue, "stage", "by_stage"),
+    ]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), rows)  # one row each
+
+
+@query("dashboard_summary", f"""with t as (select * from scored where {TARGET_SQL}), f as (select * from t where id not in (select id from queue))
+    select (select count(*) from t) as n_target, (select count(total) from t) as n_scored, (select count(*) - count(total) from t) as n_unscored, (select count(*) from queue) as n_queued, (select count(*) from batch_member) as n_members,
+    (select count(*) from f where id not in (select id from batch_member)) as n_available, (select count(*) from f where total >= 70) as n_high_not_queued,
+    (select string_agg(level || '=' || n, ',' order by level) from (select level, count(*) as n from t group by 1) x) as by_level, (select string_agg(stage || '=' || n, ',' order by stage) from (select stage, count(*) as n from queue group by 1) x) as by_stage""")
 def _(v):
-    q = v.queue.select("id", "stage", F.lit(True).alias("queued"))
-    b = v.batch_member.select("id", F.lit(True).alias("member"))
-    t = v.scored.filter(target_population()).join(q, "id", "left").join(b, "id", "left").withColumns({"queued": F.coalesce("queued", F.lit(False)), "member": F.coalesce("member", F.lit(False))})
-    return t.agg(F.count("*").alias("n_target"), n_if("total is not null", "n_scored"), n_if("queued", "n_queued"), n_if("member", "n_members"), n_if("not queued and not member", "n_available"),
-                 n_if("total >= 70 and not queued", "n_high_not_queued"), n_if("stage = 'won'", "n_won"), n_if("level = 'BUILDING'", "n_building"), F.round(F.avg("total"), 6).alias("avg_score"))
+    return dashboard_summary(v.scored, v.queue, v.batch_member)
 
 
 @query("distinct_entity_counts", """select (select count(distinct id) from score_history) as scored, (select count(distinct id) from contact) as attempted,
@@ -133,20 +148,37 @@ def _(v):
     return rows.select(F.explode(names).alias("name"), "id")  # all predicates in one pass
 
 
-@query("data_quality_report", LADDER_SQL + f""", l2 as (select id, max(ts) as last_ts from activity_log group by id)
-    select count(*) as n, count(*) filter (r.size_n is null) as no_size, count(*) filter (r.is_private is null) as no_owner, count(*) filter (s.total is null) as no_score,
-    count(*) filter (l.ladder = 'not_enriched') as never_tried, count(*) filter (l.ladder = 'partial') as partial_only, count(*) filter (q.id is not null and q.next_action_date is null) as no_follow_up,
-    count(*) filter (q.id is not null and (l2.last_ts is null or l2.last_ts < timestamp '{EVENTS_AS_OF}' - interval 14 days)) as stale_14d,
-    round(count(*) filter (l.ladder = 'complete') / nullif(count(*) filter (l.ladder <> 'not_enriched'), 0), 6) as success_rate
-    from register r join l on l.id = r.id join scored s on s.id = r.id left join queue q on q.id = r.id left join l2 on l2.id = r.id""")
+CLOSED = ["won", "lost"]
+
+
+def data_quality_report(register: DataFrame, contacts: DataFrame, queue: DataFrame, log: DataFrame, items: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+    """One row of 16 numbers on coverage: the target population, the queue, and the runs. contacts: id, quality (verified,
+    partial or failed; each entity counts with its best); items: status (success or failed). The rate of success is null
+    without items. A contact of any quality is an attempt."""
+    best = contacts.groupBy("id").agg(F.bool_or(F.col("quality") == "verified").alias("verified"), F.bool_or(F.col("quality") == "partial").alias("partial"))
+    t = register.filter(target_population()).join(best, "id", "left")
+    a = t.agg(F.count("*").alias("n_target"), n_if("verified is not null", "n_attempted"), n_if("verified is null", "n_never_attempted"), n_if("verified", "n_verified"), n_if("partial and not verified", "n_partial"))
+    cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days")
+    q = queue.join(best, "id", "left").join(last_activity(log), "id", "left")
+    q = q.withColumns({"active": ~F.col("stage").isin(CLOSED), "old": F.col("last_ts").isNull() | (F.col("last_ts") < cutoff)})
+    b = q.agg(F.count("*").alias("q_total"), n_if("active", "q_active"), n_if("not coalesce(verified, false)", "q_missing_verified"), n_if("partial and not verified", "q_partial"), n_if("verified is null", "q_never_attempted"),
+              n_if("active and next_action_date is null", "q_no_follow_up"), n_if("active and old", "q_stale"))
+    c = items.agg(n_if("status in ('success', 'failed')", "items"), n_if("status = 'success'", "items_success"), n_if("status = 'failed'", "items_failed"), F.round(F.try_divide(F.count_if(F.col("status") == "success"), F.count_if(F.col("status").isin("success", "failed"))), 6).alias("success_rate"))
+    return a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+
+
+@query("data_quality_report", f"""with c as (select id, case when person is null and addr is null then 'failed' when person is null or addr is null or starts_with(addr, 'office') then 'partial' else 'verified' end as quality from contact),
+    b as (select id, bool_or(quality = 'verified') as verified, bool_or(quality = 'partial') as partial from c group by 1), l as (select id, max(ts) as last_ts from activity_log group by id),
+    t as (select * from register left join b using (id) where {TARGET_SQL}), q as (select queue.*, verified, partial, stage not in ('won', 'lost') as active, last_ts is null or last_ts < timestamp '{EVENTS_AS_OF}' - interval 14 days as old from queue left join b using (id) left join l using (id))
+    select * from (select count(*) as n_target, count(verified) as n_attempted, count(*) - count(verified) as n_never_attempted, count(*) filter (verified) as n_verified, count(*) filter (partial and not verified) as n_partial from t) x,
+    (select count(*) as q_total, count(*) filter (active) as q_active, count(*) filter (not coalesce(verified, false)) as q_missing_verified, count(*) filter (partial and not verified) as q_partial, count(*) filter (verified is null) as q_never_attempted,
+      count(*) filter (active and next_action_date is null) as q_no_follow_up, count(*) filter (active and old) as q_stale from q) y,
+    (select count(*) filter (event_type in ('purchase', 'error')) as items, count(*) filter (event_type = 'purchase') as items_success, count(*) filter (event_type = 'error') as items_failed,
+      round(count(*) filter (event_type = 'purchase') / nullif(count(*) filter (event_type in ('purchase', 'error')), 0), 6) as success_rate from activity_log) z""")
 def _(v):
-    q = v.queue.select("id", F.lit(True).alias("queued"), "next_action_date")
-    t = contact_ladder(v.scored, v.contact).join(q, "id", "left").join(last_activity(v.activity_log), "id", "left")
-    cutoff = F.lit(EVENTS_AS_OF).cast("timestamp_ntz") - F.expr("interval 14 days")
-    old = F.col("queued") & (F.col("last_ts").isNull() | (F.col("last_ts") < cutoff))
-    complete, tried = F.count_if(F.col("ladder") == "complete"), F.count_if(F.col("ladder") != "not_enriched")
-    return t.agg(F.count("*").alias("n"), n_if("size_n is null", "no_size"), n_if("is_private is null", "no_owner"), n_if("total is null", "no_score"), n_if("ladder = 'not_enriched'", "never_tried"),
-                 n_if("ladder = 'partial'", "partial_only"), n_if("queued and next_action_date is null", "no_follow_up"), n_if(old, "stale_14d"), F.round(F.try_divide(complete, tried), 6).alias("success_rate"))
+    quality = F.when(F.col("person").isNull() & F.col("addr").isNull(), "failed").when(F.col("person").isNull() | F.col("addr").isNull() | F.col("addr").startswith("office"), "partial").otherwise("verified")
+    items = v.activity_log.select(F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").alias("status"))
+    return data_quality_report(v.register, v.contact.select("id", quality.alias("quality")), v.queue, v.activity_log, items, EVENTS_AS_OF)
 
 
 #: Which event types stand for which stage in the log.
@@ -305,10 +337,19 @@ def _(v):
 OUTCOME = "case when id % 17 = 0 then 'inactive' when level = 'MACHINERY' then 'other_type' when id % 19 = 0 then 'online' when size_n is null then 'no_size' when id % 23 = 0 then 'adult' else 'imported' end"
 
 
-@query("import_counters", f"""select case when o = 'online' then 'other_type' else o end as outcome, count(*) as n from (select {OUTCOME} as o from register) t group by 1""")
+def import_counters(rows: DataFrame, usable: Column, samples: int = 20) -> tuple[DataFrame, DataFrame]:
+    """rows(id, outcome): how many came to each outcome (online ones count as another type, imported rows that can't be used as
+    errors), and the errors with the smallest ids as samples."""
+    bad = (F.col("outcome") == "imported") & ~F.coalesce(usable, F.lit(False))
+    o = rows.withColumn("outcome", F.when(bad, "error").when(F.col("outcome") == "online", "other_type").otherwise(F.col("outcome")))
+    return o.groupBy("outcome").agg(F.count("*").alias("n")), o.filter("outcome = 'error'").orderBy("id").limit(samples)
+
+
+@query("import_counters", f"""with o as (select id, case when o = 'imported' and not coalesce(size_n >= 20, false) then 'error' when o = 'online' then 'other_type' else o end as outcome from (select *, {OUTCOME} as o from register) t)
+    select outcome, count(*) as n from o group by 1 union all select 'sample', id from (select id from o where outcome = 'error' order by id limit 20) s""")
 def _(v):
-    o = v.register.select(F.expr(OUTCOME).alias("o"))
-    return o.groupBy(F.when(F.col("o") == "online", "other_type").otherwise(F.col("o")).alias("outcome")).agg(F.count("*").alias("n"))
+    counts, samples = import_counters(v.register.select("id", "size_n", F.expr(OUTCOME).alias("outcome")), F.col("size_n") >= 20)
+    return counts.union(samples.select(F.lit("sample"), "id"))
 
 
 @query("rescore_counters", "select coalesce(case when total is null then 'unscored' when level in ('BUILDING', 'FURNITURE') then 'secondary' else 'primary' end) as rubric, count(*) as n from scored group by 1")
@@ -317,7 +358,23 @@ def _(v):
     return v.scored.groupBy(rubric.alias("rubric")).agg(F.count("*").alias("n"))
 
 
-@query("run_cost_totals", """select count(*) filter (event_type = 'purchase') as found, count(*) filter (event_type = 'view') as missing, count(*) filter (event_type = 'error') as errors,
-    round(sum(value), 2) as tokens, round(avg(value), 6) as mean_seconds, count(distinct user_id) as calls from events""")
+def run_cost_totals(before: DataFrame, after: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row: entities that a run found, still lacks, lost (there before, not now) and failed on; its calls, tokens and
+    mean seconds. before: id, found; after: id, found, failed; calls: tokens, seconds."""
+    j = before.select("id", F.col("found").alias("had")).join(after, "id", "full_outer")
+    had, has = F.coalesce("had", F.lit(False)), F.coalesce("found", F.lit(False))
+    a = j.agg(F.count_if(has & ~had).alias("found"), F.count_if(~has & ~had).alias("missing"), F.count_if(had & ~has).alias("lost"), F.count_if("failed").alias("errors"))
+    b = calls.agg(F.count("*").alias("calls"), F.round(F.sum("tokens"), 2).alias("tokens"), F.round(F.avg("seconds"), 6).alias("mean_seconds"))
+    return a.join(F.broadcast(b))
+
+
+@query("run_cost_totals", """with h as (select user_id as id, bool_or(event_type = 'purchase' and value > 60) as had from events where event_id % 2 = 0 group by 1),
+    a as (select user_id as id, bool_or(event_type = 'purchase' and value > 60) as found, bool_or(event_type = 'error' and value > 80) as failed from events where event_id % 2 = 1 group by 1),
+    j as (select coalesce(had, false) as had, coalesce(found, false) as has, coalesce(failed, false) as failed from h full join a on a.id = h.id)
+    select * from (select count(*) filter (has and not had) as found, count(*) filter (not has and not had) as missing, count(*) filter (had and not has) as lost, count(*) filter (failed) as errors from j) x,
+    (select count(*) as calls, round(sum(value), 2) as tokens, round(avg(value), 6) as mean_seconds from events where event_id % 2 = 1) y""")
 def _(v):
-    return v.events.agg(n_if("event_type = 'purchase'", "found"), n_if("event_type = 'view'", "missing"), n_if("event_type = 'error'", "errors"), F.round(F.sum("value"), 2).alias("tokens"), F.round(F.avg("value"), 6).alias("mean_seconds"), F.count_distinct("user_id").alias("calls"))
+    found, failed = F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 60)), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 80))
+    e = v.events.withColumnRenamed("user_id", "id")
+    runs = e.filter("event_id % 2 = 1")
+    return run_cost_totals(e.filter("event_id % 2 = 0").groupBy("id").agg(found.alias("found")), runs.groupBy("id").agg(found.alias("found"), failed.alias("failed")), runs.select(F.col("value").alias("tokens"), F.col("value").alias("seconds")))
