@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.addresses import domain_suffixes
 from ledgerline.operators.segments import TARGET_SQL, target_population, with_status
 from ledgerline.plans.registry import query
 from ledgerline.plans.views import EVENTS_AS_OF
@@ -139,27 +140,36 @@ def _(v):
     return two_sources(r, s)
 
 
-def domain_suffixes(domain: Column) -> Column:
-    """a.b.c: a.b.c, b.c, c."""
-    parts = F.split(domain, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def vendor_addresses(rows: DataFrame, vendors: DataFrame, addr: str = "addr") -> DataFrame:
+    """rows whose address is of one of vendors(domain) or of a subdomain, with that domain: an equi-join on the suffixes."""
+    d = rows.withColumn("domain", F.explode(domain_suffixes(F.rtrim(F.lower(F.element_at(F.split(addr, "@"), -1)), F.lit(".")))))
+    return d.join(vendors.select("domain").distinct(), "domain")
 
 
-@query("domain_suffix_join", """with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host from pages)
-    select page_id, host, d.domain from h join (values ('example.com'), ('example.net')) d(domain) on host = d.domain or ends_with(host, '.' || d.domain)""")
+#: Stored addresses: the contacts', some of them at a vendor's.
+STORED_SQL = "s as (select id, case when l_orderkey % 6 = 0 then 'x@sub.librus.pl' when l_orderkey % 6 = 1 then 'y@cke.gov.pl' when l_orderkey % 6 = 2 then 'z@notlibrus.pl' else addr end as addr from contact)"
+VENDORS = ["librus.pl", "cke.gov.pl", "vulcan.pl"]
+
+
+def stored(v) -> DataFrame:
+    k = F.col("l_orderkey") % 6
+    return v.contact.select("id", F.when(k == 0, "x@sub.librus.pl").when(k == 1, "y@cke.gov.pl").when(k == 2, "z@notlibrus.pl").otherwise(F.col("addr")).alias("addr"))
+
+
+@query("domain_suffix_join", f"with {STORED_SQL}, h as (select id, addr, lower(split_part(addr, '@', 2)) as dom from s) select id, addr, d.domain from h join (values ('librus.pl'), ('cke.gov.pl'), ('vulcan.pl')) d(domain) on dom = d.domain or ends_with(dom, '.' || d.domain)")
 def _(v):
-    h = v.pages.select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"))
-    vendors = v.spark.createDataFrame([("example.com",), ("example.net",)], "domain string")
-    return h.withColumn("domain", F.explode(domain_suffixes(F.col("host")))).join(F.broadcast(vendors), "domain").select("page_id", "host", "domain")
+    return vendor_addresses(stored(v), v.spark.createDataFrame([(d,) for d in VENDORS], "domain string")).select("id", "addr", "domain")
+
+
+def leak_audit(rows: DataFrame, vendors: DataFrame) -> DataFrame:
+    """How many stored addresses each domain has that should have none, and of how many entities."""
+    n = vendor_addresses(rows, vendors).groupBy("domain").agg(F.count("*").alias("c"), F.count_distinct("id").alias("e"))
+    return vendors.join(n, "domain", "left").select("domain", F.coalesce("c", F.lit(0)).alias("n"), F.coalesce("e", F.lit(0)).alias("entities"))
 
 
-@query("leak_audit", """with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host from pages)
-    select d.domain, count(h.page_id) as n from (values ('example.com'), ('example.net'), ('example.invalid')) d(domain) left join h on host = d.domain or ends_with(host, '.' || d.domain) group by 1""")
+@query("leak_audit", f"with {STORED_SQL}, h as (select id, lower(split_part(addr, '@', 2)) as dom from s) select d.domain, count(id) as n, count(distinct id) as entities from (values ('librus.pl'), ('cke.gov.pl'), ('vulcan.pl')) d(domain) left join h on dom = d.domain or ends_with(dom, '.' || d.domain) group by 1")
 def _(v):
-    h = v.pages.select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"))
-    found = h.select(F.explode(domain_suffixes(F.col("host"))).alias("domain")).groupBy("domain").agg(F.count("*").alias("c"))
-    blocked = v.spark.createDataFrame([("example.com",), ("example.net",), ("example.invalid",)], "domain string")
-    return blocked.join(found, "domain", "left").select("domain", F.coalesce("c", F.lit(0)).alias("n"))
+    return leak_audit(stored(v), v.spark.createDataFrame([(d,) for d in VENDORS], "domain string"))
 
 
 SNAP_SQL = """with a as (select o_custkey as id, max(o_totalprice) as p, count(*) as n from orders where o_orderdate < '1998-01-01' group by 1),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.addresses import DELIVERABLE, HINT_SQL, NAMES, PERSON_SQL, RULES, TIER_SQL, AddressRules, campaign_tier, deliverable, level_hint, one_person
+from ledgerline.functions.urls import registrable, registrable_sql
 from ledgerline.operators.segments import TARGET_SQL, target_population
 from ledgerline.plans.registry import query
 from ledgerline.plans.storage import written
@@ -86,20 +88,90 @@ def latest_event(log: DataFrame) -> DataFrame:
     return best.select("id", "e.event_id", "e.event_type", "e.ts")
 
 
-@query("best_record_per_role", """select conv_id, role, turn, n from (select conv_id, role, turn, length(text) as n, row_number() over (partition by conv_id, role order by length(text) desc, md5(text), turn) as rn
-    from conversations) t where rn = 1""")
-def _(v):
-    c = v.conversations.withColumn("n", F.length("text").cast("long"))
-    return top_per_group(c, ["conv_id", "role"], [F.desc("n"), F.md5("text").asc(), F.asc("turn")]).select("conv_id", "role", "turn", "n")
+#: Ranks of confidence (fixed values); others come last, as do pages without a tier.
+CONFIDENCE = {"high": 0, "medium": 1, "low": 2}
+
+
+def best_record_per_role(claims: DataFrame, tiers: DataFrame, roles: list[str], entity: str = "id") -> DataFrame:
+    """Each entity's best claim among roles (in order of preference): by role, confidence, tier of the page, name and url.
+    claims: entity, role, confidence, name, url, ...; tiers: entity, url, tier. Repeated rows are one claim."""
+    place = F.element_at(F.create_map(*[F.lit(x) for p in zip(roles, range(len(roles))) for x in p]), F.col("role"))
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in CONFIDENCE.items() for x in p]), F.col("confidence")), F.lit(9))
+    tier = tiers.groupBy(entity, "url").agg(F.min("tier").alias("tier"))
+    d = claims.filter(F.col("role").isin(*roles)).join(tier, [entity, "url"], "left")
+    key = F.struct(place.alias("k0"), rank.alias("k1"), F.coalesce("tier", F.lit(99)).alias("k2"), F.col("name").alias("k3"), F.col("url").alias("k4"))
+    return d.groupBy(entity).agg(F.min(F.struct(key.alias("key"), F.col("role"), F.col("confidence"))).alias("b")).select(entity, "b.role", "b.confidence", F.col("b.key.k2").alias("tier"), F.col("b.key.k3").alias("name"), F.col("b.key.k4").alias("url"))
 
 
-@query("best_office_address", """with c as (select id, addr, starts_with(addr, 'office') as office, regexp_extract(addr, '^[a-z]+([0-9]+)@', 1) as num, regexp_extract(addr, '@s([0-9]+)', 1) as dom from contact where addr is not null)
-    select id, addr from (select *, row_number() over (partition by id order by case when office then 0 else 1 end, case when num = dom then 0 else 1 end, case when length(num) > 2 then 1 else 0 end, addr) as rn from c) t where rn = 1""")
+CLAIM_SQL = """with c as (select conv_id as id, ['director', 'deputy', 'teacher', 'other'][(conv_id + turn) % 4 + 1] as role, ['high', 'medium', 'low', 'odd'][length(text) % 4 + 1] as confidence, 'n' || md5(text) as name, 'u' || turn % 3 as url from conversations),
+    t as (select distinct conv_id as id, 'u' || turn % 3 as url, (conv_id + turn) % 3 as tier from conversations where turn % 3 < 2 and turn < 2)"""
+
+
+@query("best_record_per_role", CLAIM_SQL + """ select id, role, confidence, tier, name, url from (select c.*, coalesce(tier, 99) as tier, row_number() over (partition by c.id order by case role when 'director' then 0 else 1 end,
+    case confidence when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 9 end, coalesce(tier, 99), name, c.url, role, confidence) as rn from c left join t on t.id = c.id and t.url = c.url where role in ('director', 'deputy')) x where rn = 1""")
+def _(v):
+    k, turn = F.col("conv_id"), F.col("turn")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % 4 + 1).cast("int"))
+    url = F.concat(F.lit("u"), (turn % 3).cast("string")).alias("url")
+    claims = v.conversations.select(k.alias("id"), pick(["director", "deputy", "teacher", "other"], k + turn).alias("role"), pick(["high", "medium", "low", "odd"], F.length("text")).alias("confidence"), F.concat(F.lit("n"), F.md5("text")).alias("name"), url)
+    tiers = v.conversations.filter("turn % 3 < 2 and turn < 2").select(k.alias("id"), url, ((k + turn) % 3).cast("int").alias("tier")).distinct()
+    return best_record_per_role(claims, tiers, ["director", "deputy"])
+
+
+def office_rank(addr: Column, rules: AddressRules = RULES) -> list[Column]:
+    """The eight parts by which an entity's office address is chosen, smallest first: one person's mailbox; a number that isn't
+    the entity's; no place of the entity's; another's domain; the level (own, none, another's); not a central office's;
+    the tier for mail to many; not the registered one. Reads the columns name, level, registered, places, site."""
+    own = F.split(addr, "@")[0]
+    number = F.nullif(F.regexp_extract(F.lower("name"), r"\bnr\.?\s*(\d+)\b", 1), F.lit(""))
+    found = F.transform(F.regexp_extract_all(F.regexp_replace(F.lower(own), rf"({'|'.join(sorted(rules.complexes, key=len, reverse=True))})\s*\d+", ""), F.lit(r"\d+"), 0), lambda d: F.when(F.ltrim(d, F.lit("0")) == "", d).otherwise(F.ltrim(d, F.lit("0"))))
+    conflict = number.isNotNull() & (F.size(found) > 0) & ~F.array_contains(found, F.coalesce(number, F.lit("")))
+    plain = F.regexp_replace(F.translate(F.lower(own), "ąćęłńóśźż", "acelnoszz"), "[^a-z0-9]", "")
+    placed = F.exists(F.coalesce("places", F.array().cast("array<string>")), lambda p: F.contains(plain, p))
+    site = F.coalesce(registrable(F.lower(F.element_at(F.split(addr, "@"), -1))) == F.col("site"), F.lit(False))
+    hint = level_hint(addr, rules)
+    level = F.when(hint == F.col("level"), 0).when(hint.isNull(), 1).otherwise(2)
+    first = F.lower(F.split(own, "[._-]")[0])
+    central = first.isin(*rules.office, *rules.central) | F.lower(own).isin(*rules.office, *rules.central)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return [flag(one_person(addr, rules)), flag(conflict), flag(~placed), flag(~site), level, flag(~central), campaign_tier(addr, rules), flag(~F.coalesce(addr == F.col("registered"), F.lit(False)))]
+
+
+def best_office_address(candidates: DataFrame, rules: AddressRules = RULES, entity: str = "id") -> DataFrame:
+    """Each entity's office address: among those that can be written to, if there are any, the least by office_rank, then by
+    place. candidates: entity, addr, pos, name, level, registered, places (array), site (registrable domain)."""
+    d = candidates.filter("addr is not null and addr <> ''")
+    keys = [(~deliverable(F.col("addr"))).cast("int"), *office_rank(F.col("addr"), rules), F.col("pos"), F.col("addr")]
+    best = d.groupBy(entity).agg(F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).alias("b"))
+    return best.select(entity, F.col(f"b.k{len(keys) - 1}").alias("addr"))
+
+
+OFFICE_FORMS = ["sekretariat@", "sp3@", "lo7@", "j.nowak@", "zsp7.biuro@", "rekrutacja@", "wawer@", "broken", "centrum@", "iod@"]
+OFFICE_PLACES = {"0": "s1.example.com", "1": "other.example.org", "2": "s1.example.com", "3": "sub.librus.pl"}
+
+
+@query("best_office_address", rf"""with c as (select distinct c_custkey as id, [{", ".join(repr(f) for f in OFFICE_FORMS)}][o_orderkey % 10 + 1] as form, [{", ".join(repr(d) for d in OFFICE_PLACES.values())}][(o_orderkey // 10) % 4 + 1] as dom, o_orderkey as pos,
+      case when c_custkey % 3 = 0 then 'School nr ' || c_custkey % 9 else 'School' end as name, ['primary', 'liceum', 'technikum'][c_custkey % 3 + 1] as level, case when c_custkey % 2 = 0 then ['wawer'] else [] end as places, case when c_custkey % 4 < 3 then 'example.com' end as site from customer join orders on o_custkey = c_custkey),
+    a as (select *, case when ends_with(form, '@') then form || dom else form end as addr, case when id % 5 = 0 then 'lo7@s1.example.com' end as registered from c),
+    l as (select *, lower(split_part(addr, '@', 1)) as loc, lower(split_part(addr, '@', 2)) as dom2, nullif(regexp_extract(lower(name), '\bnr[.]?\s*(\d+)\b', 1), '') as num from (select * exclude dom, dom as dom0 from a) x),
+    k as (select *, dom2 as dom, regexp_extract_all(regexp_replace(loc, '({"|".join(sorted(RULES.complexes, key=len, reverse=True))})\s*[0-9]+', '', 'g'), '[0-9]+') as nums from l)
+    select id, addr from (select id, addr, row_number() over (partition by id order by regexp_matches(addr, '{DELIVERABLE}') desc, {PERSON_SQL.replace(repr(NAMES), "('')")}, num is not null and len(nums) > 0 and not list_contains(nums, coalesce(num, '')), not coalesce(len(list_filter(places, lambda p: contains(loc, p))) > 0, false),
+      not coalesce({registrable_sql("dom")} = site, false), case when {HINT_SQL} = level then 0 when {HINT_SQL} is null then 1 else 2 end,
+      not (regexp_split_to_array(loc, '[._-]')[1] in {RULES.office + RULES.central!r} or loc in {RULES.office + RULES.central!r}), {TIER_SQL}, not coalesce(addr = registered, false), pos, addr) as rn from k) t where rn = 1""")
 def _(v):
-    c = v.contact.filter("addr is not null").select("id", "addr", F.regexp_extract("addr", "^[a-z]+([0-9]+)@", 1).alias("num"), F.regexp_extract("addr", "@s([0-9]+)", 1).alias("dom"))
-    keys = [F.when(F.col("addr").startswith("office"), 0).otherwise(1), F.when(F.col("num") == F.col("dom"), 0).otherwise(1), F.when(F.length("num") > 2, 1).otherwise(0), F.col("addr")]
-    best = c.groupBy("id").agg(F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).alias("b"))
-    return best.select("id", F.col(f"b.k{len(keys) - 1}").alias("addr"))
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), n.cast("int"))
+    form = pick(OFFICE_FORMS, o % 10 + 1)
+    c = v.customer.join(v.orders, o_key(v)).select(
+        k.alias("id"), F.when(form.endswith("@"), F.concat(form, pick(list(OFFICE_PLACES.values()), F.floor(o / 10) % 4 + 1))).otherwise(form).alias("addr"), o.alias("pos"),
+        F.when(k % 3 == 0, F.concat(F.lit("School nr "), (k % 9).cast("string"))).otherwise("School").alias("name"), pick(["primary", "liceum", "technikum"], k % 3 + 1).alias("level"),
+        F.when(k % 5 == 0, "lo7@s1.example.com").alias("registered"), F.when(k % 2 == 0, F.array(F.lit("wawer"))).alias("places"), F.when(k % 4 < 3, "example.com").alias("site"),
+    )
+    return best_office_address(c)
+
+
+def o_key(v) -> Column:
+    return F.col("o_custkey") == F.col("c_custkey")
 
 
 @query("first_occurrence_dedupe", "select p_size as rnk, upper(p_name) as name, upper(p_type) as city, min(p_partkey) as pos from part group by 1, 2, 3")

@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.addresses import BLOCKED_SQL, RULES, AddressRules, blocked
 from ledgerline.functions.scoring import RUBRICS, SCORE_SQL, TOTAL_SQL, scorable, score
-from ledgerline.operators.joins import membership_split
+from ledgerline.operators.joins import STORED_SQL, membership_split, stored
 from ledgerline.plans.registry import query
 from ledgerline.plans.views import AS_OF
 
@@ -269,9 +270,14 @@ def _(v):
     return counts.select(F.concat(F.lit("count:"), "tbl").alias("part"), "removed", "kept", "cleared").union(reduce(DataFrame.union, left))
 
 
-@query("retire_blocked", "select id, addr from contact where addr is null or not starts_with(addr, 'office1')")
+def retire_blocked(contacts: DataFrame, rules: AddressRules = RULES) -> DataFrame:
+    """The contacts without those whose address reaches others than the entity; a contact without address stays."""
+    return contacts.filter(~F.coalesce(blocked(F.col("addr"), rules), F.lit(False)))
+
+
+@query("retire_blocked", f"""with {STORED_SQL}, l as (select id, addr, lower(split_part(addr, '@', 1)) as loc, lower(split_part(addr, '@', 2)) as dom from s) select id, addr from l where addr is null or not {BLOCKED_SQL}""")
 def _(v):
-    return v.contact.filter(F.col("addr").isNull() | ~F.col("addr").startswith("office1")).select("id", "addr")
+    return retire_blocked(stored(v))
 
 
 @query("hygiene_backfill", r"""with a as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+')) as old from documents), n as (select doc_id, old, case when regexp_matches(lower(old), '^[^@]+@[^@]+[.][a-z]{2,}$') then lower(old) end as new from a)
