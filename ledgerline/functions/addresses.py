@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -213,37 +212,3 @@ def _(v):
 @query("one_person_mailbox", ADDR_SQL + f" select addr, {PERSON_SQL} as personal from l")
 def _(v):
     return addresses(v).select("addr", one_person(F.col("addr"), AddressRules(forenames=NAMES)).alias("personal"))
-
-
-def recovered(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, addr, method): addresses that a page hides, one row each. xor: a hex attribute whose first byte is the key
-    of the rest; spelled: 'name (at) host [dot] tld' and the like; joined: string pieces of a script put together."""
-
-    def find(batches: Iterator) -> Iterator:
-        import re
-
-        import pyarrow as pa
-
-        xor, cloak = re.compile(r'data-cfemail="([0-9a-fA-F]+)"'), re.compile(r"""addr\w*\s*=\s*((?:'[^']*'\s*\+?\s*)+)""")
-        spelled = re.compile(r"([\w.+-]+)\s*(?:\(at\)|\[at\]| at )\s*([\w-]+)((?:\s*(?:\(dot\)|\[dot\]| dot )\s*[\w-]+)+)")
-        for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for m in xor.finditer(t or ""):
-                    raw = bytes.fromhex(m[1][: len(m[1]) // 2 * 2])
-                    rows.append((i, bytes(x ^ raw[0] for x in raw[1:]).decode("utf-8", "replace"), "xor")) if raw else None
-                for m in spelled.finditer(t or ""):
-                    rows.append((i, f"{m[1]}@{m[2]}" + "".join("." + x for x in re.findall(r"(?:dot[)\]]?)\s*([\w-]+)", m[3])), "spelled"))
-                for m in cloak.finditer(t or ""):
-                    joined = "".join(re.findall(r"'([^']*)'", m[1]))
-                    if "@" in joined:
-                        rows.append((i, joined, "joined"))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[page, "addr", "method"])
-
-    return pages.select(F.col(page).cast("long").alias(page), html).mapInArrow(find, f"{page} long, addr string, method string")
-
-
-@query("recover_hidden_addresses")
-def _(v):
-    return recovered(v.pages)

@@ -143,12 +143,12 @@ FORMS = ["/", "../", "./x/../", "//m.other.example.org/", "sub//", "?q=", "#", "
 PAGES_SQL = f"(select page_id, url, replace(html, 'href=\"/', 'href=\"' || [{', '.join(repr(f) for f in FORMS)}][page_id % 9 + 1]) as html from pages)"
 
 
-def anchors_sql() -> str:
+def anchors_sql(pages: str = PAGES_SQL) -> str:
     own = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
     quoted = lambda s: s.replace("'", "''")
     href = f"trim({unescaped_sql(f'''regexp_replace(regexp_extract(a, '{quoted(HREF)}', 1), '{quoted(r'''^["']|["']$''')}', '', 'g')''')})"
     label = SPACED_SQL.format(unescaped_sql("regexp_replace(a, '(?s)<[^>]*>', ' ', 'g')"))
-    return f"""x as (select page_id, url, unnest(regexp_extract_all({own}, '{ANCHOR}')) as a, generate_subscripts(regexp_extract_all({own}, '{ANCHOR}'), 1) as pos from {PAGES_SQL} p),
+    return f"""x as (select page_id, url, unnest(regexp_extract_all({own}, '{ANCHOR}')) as a, generate_subscripts(regexp_extract_all({own}, '{ANCHOR}'), 1) as pos from {pages} p),
         y as (select page_id, url, pos, {href} as href, {label} as label from x), l as (select *, {resolved_sql("url", "href")} as "full" from y)"""
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,34 +141,6 @@ def shell_page(html: Column, mount: str, least: int = 250, large: int = 20_000)
     return (n < least) & (F.contains(html, F.lit(mount)) | (F.length(html) > large))
 
 
-def plain_text(html: Column) -> Column:
-    """Table cells as 'a | b', items as '- x', breaks as line feeds, scripts and tags away, blank lines collapsed."""
-    for pattern, to in ((r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"</t[dh]>\s*<t[dh][^>]*>", " | "), (r"<li[^>]*>", "\n- "), (r"<(br|p|h[1-6]|tr|div|ul)[^>]*>", "\n"), (r"<[^>]*>", "")):
-        html = F.regexp_replace(html, pattern, to)
-    for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        html = F.replace(html, F.lit(entity), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(html, "[ \\t]+", " "), r"( ?\n ?)+", "\n"))
-
-
-PLAIN_SQL = "html"
-for _pattern, _to in ((r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"</t[dh]>\s*<t[dh][^>]*>", " | "), (r"<li[^>]*>", "\n- "), (r"<(br|p|h[1-6]|tr|div|ul)[^>]*>", "\n"), (r"<[^>]*>", "")):
-    PLAIN_SQL = f"regexp_replace({PLAIN_SQL}, '{_pattern}', '{_to}', 'g')"
-for _entity, _to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-    PLAIN_SQL = f"replace({PLAIN_SQL}, '{_entity}', '{_to}')"
-PLAIN_SQL = f"trim(regexp_replace(regexp_replace({PLAIN_SQL}, '[ \\t]+', ' ', 'g'), '( ?\\n ?)+', '\n', 'g'))"
-
-
-@query("page_to_text", f"select page_id, length({PLAIN_SQL}) as n, md5({PLAIN_SQL}) as h from pages")
-def _(v):
-    return v.pages.select("page_id", plain_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("h"))
-
-
-@query("page_entries", f"""select page_id, count(*) as n, sum(length(e)) as chars from (select page_id, unnest(string_split({PLAIN_SQL}, '\n')) as e from pages) t where trim(e) <> '' group by 1""")
-def _(v):
-    e = v.pages.select("page_id", F.explode(F.split(plain_text(F.col("html")), "\n")).alias("e")).filter("trim(e) <> ''")
-    return e.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("e")).alias("chars"))
-
-
 @query("site_verification", """with p as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, lower(substr(html, 1, 1500)) as head from pages)
     select page_id, case when contains(title, 'the') then true when contains(title, 'der') then false else contains(head, 'the') or contains(head, 'la') end as ok from p""")
 def _(v):
@@ -233,42 +203,3 @@ def _(v):
 def _(v):
     k = F.variant_get(F.parse_json("props"), "$.k", "long")
     return v.events.groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"))
-
-
-def role_windows(pages: DataFrame, words: list[str], key: str = "doc_id", text: str = "text", head: int = 6000, span: int = 500, most: int = 8000) -> DataFrame:
-    """(key, text): texts over `most` characters cut to their first `head` characters and windows of `span` around role
-    words, those that a capitalised word follows first, merged where they meet, until the budget is used."""
-
-    def cut(batches: Iterator) -> Iterator:
-        import re
-
-        import pyarrow as pa
-
-        role = re.compile("|".join(map(re.escape, words)))
-
-        def one(t: str | None) -> str | None:
-            if t is None or len(t) <= most:
-                return t
-            kept = [(0, head)]
-            marks = sorted((0 if re.match(r"\W{0,3}\w*\W{1,3}[A-Z]", t[m.end() : m.end() + 40]) else 1, m.start()) for m in role.finditer(t, head))
-            for _, at in marks:
-                spans = sorted([*kept, (max(0, at - span), min(len(t), at + span))])
-                merged = [spans[0]]
-                for a, z in spans[1:]:
-                    if a <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(merged[-1][1], z))
-                    else:
-                        merged.append((a, z))
-                if sum(z - a for a, z in merged) <= most:
-                    kept = merged
-            return "\n".join(t[a:z] for a, z in kept)
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in b.column(1).to_pylist()], pa.string())], names=[key, text])
-
-    return pages.select(F.col(key).cast("long").alias(key), text).mapInArrow(cut, f"{key} long, {text} string")
-
-
-@query("role_window_truncate", None)
-def _(v):
-    return role_windows(v.documents, ["License", "hahaha", "the the"]).select("doc_id", F.length("text").alias("n"))
