@@ -97,7 +97,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]  # one block at a time
                 ends = EliasFano.from_bytes(r["bounds"]).all()
                 starts = np.concatenate(([0], ends[:-1]))
                 ids = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4").astype("<u4")
@@ -107,7 +108,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     bases = written(bases, "shards")
     few = bases.count() <= BROADCAST_SHARDS
     one = files.join(F.broadcast(bases) if few else bases, files["shard"] == bases["s"]).drop("s")
-    return one.mapInArrow(lean(documents, keep=True), "doc_id long, start long, n_tokens long, ids binary")
+    # the vocabularies of the stage that wrote the files go
+    return one.mapInArrow(lean(documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def document_ids(spark: SparkSession, path: str, place: int, shard: int = 0, block: int = 0) -> list[int]:
