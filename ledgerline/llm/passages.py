@@ -7,7 +7,9 @@
    matched with the owner's only. So matches are as many as occurrences, however many documents share a passage. Keys
    travel packed, 40 bits and a place, to parts whose number follows from the corpus; a key of the wrong words that
    agrees in those bits comes to nothing in the alignment. A key that many documents of one step hold is matched within
-   the step, and one occurrence travels: no task gets all holders of a frequent passage.
+   the step, and only its smallest holder there travels: no task gets all holders of a frequent passage. Where that one
+   meets the key's owner, a row says so, and the step's matches are turned to the owner by a join. So the result doesn't
+   depend on how the table is cut into files and steps.
 3. Chains. The matches of a document with one owner are chained in order of both texts. A match adds its weight, a step
    costs in proportion to the words left out on either side; as that cost is linear, the best predecessor is a prefix
    maximum, which a Fenwick tree over the owner's places gives in logarithmic time.
@@ -40,6 +42,8 @@ PART_KEYS = 3_000_000
 #: Documents of one step (see common.steps) that hold a key before it is matched within the step.
 HOT = 8
 KEY_BITS = np.uint64((1 << 40) - 1)
+#: Set in the place of an occurrence that stands for its step's.
+STANDS = np.int64(1 << 31)
 
 
 @dataclass(frozen=True)
@@ -129,7 +133,9 @@ CELL = ["part", "keys", "at", "ids", "n"]
 
 
 def met(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """doc, owner, place, the owner's place, key of all occurrences in other documents than the key's owner."""
+    """doc, owner, place, the owner's place, key of all occurrences in other documents than the key's owner; and whether an
+    occurrence stands for others of its step."""
+    stands, at = at >= STANDS, at & (STANDS - 1)
     order = np.argsort(keys)
     s = keys[order]
     same = s[1:] == s[:-1]
@@ -139,29 +145,32 @@ def met(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     owner = np.repeat(first, np.diff(np.append(first, len(k))))
     other = d != d[owner]
-    return d[other], d[owner][other], p[other], p[owner][other], k[other]
+    return d[other], d[owner][other], p[other], p[owner][other], k[other], stands[order][other]
 
 
-def combined(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Which occurrences still have to travel, and the matches made here: a key that HOT documents of one step hold is
-    matched with the smallest of them at once, and only that one's occurrence goes on. So however many documents hold a
-    passage, a task gets few rows of each step of it; a later document's source is then an earlier one, not always the
-    earliest."""
+def combined(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Which occurrences still have to travel, which of these stand for others, and the matches made here: in a key that HOT
+    documents of one step hold, the other documents' occurrences are matched with the first of the smallest document, which
+    stands for them. So however many documents hold a passage, a task gets few rows of each step of it."""
     bucket = (keys >> np.uint64(20)).astype(np.int64)
     maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << 20)[bucket] >= HOT)
     k, d = keys[maybe], docs[maybe]
     order = maybe[np.lexsort((at[maybe], d, k))]
     k, d, x = keys[order], docs[order], at[order]
-    rest = np.ones(len(keys), bool)
+    rest, stands = np.ones(len(keys), bool), np.zeros(len(keys), bool)
     if not len(k):
-        return rest, (d, d, x, x, k)
+        return rest, stands, (d, d, x, x, k)
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     size = np.diff(np.append(first, len(k)))
     holders = np.add.reduceat(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))).astype(np.int64), first)
     owner, hot = np.repeat(first, size), np.repeat(holders >= HOT, size)
-    rest[order[hot & (np.arange(len(k)) != owner)]] = False
     other = hot & (d != d[owner])
-    return rest, (d[other], d[owner][other], x[other], x[owner][other], k[other])
+    rest[order[other]] = False
+    stands[order[first[holders >= HOT]]] = True
+    return rest, stands, (d[other], d[owner][other], x[other], x[owner][other], k[other])
+
+
+MATCH = ["doc_id", "owner", "at", "owner_at", "step"]
 
 
 def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
@@ -177,8 +186,8 @@ def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
         for b in steps(batches, "text"):
             h, row, at = seeds_of(*hashed_words(b.column(1)), r)
             ids = np.asarray(b.column(0)).astype(np.int64)
-            rest, local = combined(h & KEY_BITS, ids[row], at)
-            h, row, at = h[rest], row[rest], at[rest]
+            rest, stands, local = combined(h & KEY_BITS, ids[row], at)
+            h, row, at = h[rest], row[rest], (at + STANDS * stands)[rest]
             part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(row.astype(np.uint16) if len(ids) < 1 << 16 else row, kind="stable")
             order = order[np.argsort(part[order], kind="stable")]
@@ -199,15 +208,19 @@ def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
 
-        def rows_of(d: np.ndarray, o: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows_of(kind: int, d: np.ndarray, o: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
             step = np.where(k & np.uint64(1), r.long - r.k, r.k + 1)
             for i in range(0, len(d), 1 << 18):
                 cut = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(o[cut]), *(pa.array(v[cut].astype(np.int32)) for v in (x, y, step))], names=["doc_id", "owner", "at", "owner_at", "step"])
+                key = pa.array(k[cut].astype(np.int64)) if kind else pa.nulls(len(d[cut]), pa.int64())
+                cols = [pa.array(np.full(len(d[cut]), kind, np.int32)), pa.array(d[cut]), pa.array(o[cut]), *(pa.array(v[cut].astype(np.int32)) for v in (x, y, step)), key]
+                yield pa.RecordBatch.from_arrays(cols, names=["kind", "doc_id", "owner", "at", "owner_at", "step", "key"])
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                yield from rows_of(*met(*(np.concatenate(c) for c in zip(*held))))
+                *rows, stands = met(*(np.concatenate(c) for c in zip(*held)))
+                yield from rows_of(0, *rows)
+                yield from rows_of(2, *(c[stands] for c in rows))
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -216,7 +229,7 @@ def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
                     part, held = row[0], []
                 if not row[4]:  # matches made where the texts were read
                     k, at, ids = unplaned(row[1], 5), unplaned(row[2], 4).astype(np.int64), np.frombuffer(row[3], "<i8")
-                    yield from rows_of(ids[: len(k)], ids[len(k) :], at[: len(k)], at[len(k) :], k)
+                    yield from rows_of(1, ids[: len(k)], ids[len(k) :], at[: len(k)], at[len(k) :], k)
                     continue
                 ids = np.repeat(np.frombuffer(row[3], "<i8"), np.frombuffer(row[4], "<i4"))
                 held.append((unplaned(row[1], 5), ids, unplaned(row[2], 4).astype(np.int64)))
@@ -224,7 +237,13 @@ def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
 
     dealt = texts.mapInArrow(lean(deal), "part int, keys binary, at binary, ids binary, n binary")
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(lean(meet), "doc_id long, owner long, at int, owner_at int, step int"), parts
+    # 0: matches with owners, 1: matches made within a step, 2: whom the document that stands for a step has met
+    rows = written(dealt.mapInArrow(lean(meet), "kind int, doc_id long, owner long, at int, owner_at int, step int, key long"), "matches")
+    plain = rows.filter("kind = 0").select(*MATCH)
+    turned = rows.filter("kind = 2").select(F.col("key").alias("of"), F.col("doc_id").alias("stood"), F.col("owner").alias("real"), F.col("owner_at").alias("real_at"))
+    made = rows.filter("kind = 1").join(few(turned), (F.col("key") == F.col("of")) & (F.col("owner") == F.col("stood")), "left")
+    made = made.select("doc_id", F.coalesce("real", "owner").alias("owner"), "at", F.when(F.col("real").isNull(), F.col("owner_at")).otherwise(F.col("real_at")).alias("owner_at"), "step")
+    return plain.union(made), parts
 
 
 def thinned(group: np.ndarray, x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -425,7 +425,7 @@ def test_a_passage_of_many_documents_of_one_step(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: r for r in passages.passages(docs).collect()}
     assert set(found) == set(range(1, 400))
-    assert all(r["source_id"] < i and (r["begin"], r["end"]) == (10 + i % 7, 70 + i % 7) for i, r in found.items())
+    assert all(r["source_id"] == 0 and (r["begin"], r["end"]) == (10 + i % 7, 70 + i % 7) for i, r in found.items())
 
 
 def test_alignment_goes_on_as_far_as_the_texts_agree(spark):
@@ -437,3 +437,24 @@ def test_alignment_goes_on_as_far_as_the_texts_agree(spark):
     rows += [(1000, " ".join(whole)), (1001, " ".join(fresh(9) + whole))]
     found = [r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string"), passages.PassageRules(window=10**6, long=3000)).collect() if r["doc_id"] == 1001]
     assert [(r["source_id"], r["begin"], r["end"]) for r in found] == [(1000, 9, 3009)]
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    shared = [[word() for _ in range(60)] for _ in range(3)]
+    rows = []
+    for i in range(70):
+        own = [word() for _ in range(40)]
+        for s in shared:
+            if rng.random() < 0.7:
+                s = list(s)
+                for _ in range(rng.randint(0, 3)):
+                    s[rng.randrange(60)] = word()
+                own += s + [word() for _ in range(rng.randint(5, 30))]
+        rows.append((1000 - 7 * i, " ".join(own + own[:30])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, passages.passages(docs.repartition(n)).collect())) for n in (1, 4, 16)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    holders = [min(i for i, t in rows if s[20] in t and s[40] in t) for s in shared]
+    assert {f[3] for f in found[0]} <= {i for i, _ in rows} and all(h in {f[3] for f in found[0]} for h in holders)
