@@ -49,23 +49,6 @@ def _(v):
     return v.part.select("p_partkey", (stem_match(F.array(F.lit("ECONOMX")), tokens) | stem_match(F.array(F.lit("STANDARD")), tokens)).alias("hit"))
 
 
-@query("display_name", None)
-def _(v):
-    return display_names(v.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("city")))
-
-
-def display_names(rows: DataFrame) -> DataFrame:
-    """id, display, repeated: words in title case (short ones and numerals kept), the city put after a name that several
-    rows share, and whether even that doesn't tell them apart. Counts come by aggregation and are joined back."""
-    keep = F.array(*[F.lit(w) for w in ("I", "II", "III", "IV", "V", "VI")])
-    words = F.transform(F.split(F.trim("name"), " +"), lambda w: F.when(F.array_contains(keep, w), w).when(F.length(w) <= 2, F.lower(w)).otherwise(F.initcap(w)))
-    d = rows.withColumn("short", F.array_join(words, " "))
-    n = d.groupBy("short").agg(F.count("*").alias("n"))
-    d = d.join(n, "short").withColumn("display", F.when(F.col("n") > 1, F.concat("short", F.lit(", "), "city")).otherwise(F.col("short")))
-    m = d.groupBy("display").agg(F.count("*").alias("m"))
-    return d.join(m, "display").select("id", "display", (F.col("m") > 1).alias("repeated"))
-
-
 #: Dictionary forms, suffix rules (longest wins) and role phrases: small configuration tables.
 DICTIONARY = [("small", "smalle", "dictionary"), ("red", "rede", "dictionary")]
 SUFFIXES = [("ot", "ote"), ("t", "ta"), ("e", "ego")]

@@ -91,12 +91,6 @@ def _(v):
     return v.pages.select("page_id", h.rlike("^(m|shop|blog)[.][^.]+[.]").alias("coded"), F.when(h.rlike("^(m|shop|blog)[.]"), F.split(h, r"\.")[0]).alias("code"))
 
 
-@query("city_stem_check", """with t as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, url, html from pages) select page_id, case when length(title) < 4 then true else contains(lower(url), substr(title, 1, 3)) or contains(lower(html), substr(title, 1, 4)) end as ok from t""")
-def _(v):
-    title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    return v.pages.select("page_id", F.when(F.length(title) < 4, True).otherwise(F.contains(F.lower("url"), F.substring(title, 1, 3)) | F.contains(F.lower("html"), F.substring(title, 1, 4))).alias("ok"))
-
-
 MEDIA = r"[.](jpg|jpeg|png|gif|pdf|mp4|svg)$"
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ledgerline.functions.addresses import extract_addresses, personal
-from ledgerline.functions.names import display_names
 from ledgerline.functions.urls import sitemap_select
 from ledgerline.operators import state
 from ledgerline.operators.ranking import page_budget
@@ -81,11 +80,7 @@ def test_addresses_and_persons(spark):
     assert all(r["got"] == r["want"] for r in rows.select("want", personal(F.col("a"), F.lit("john"), F.lit("smith")).alias("got")).collect())
 
 
-def test_sitemap_and_display(spark):
+def test_sitemap(spark):
     xml = "<loc>https://a.example.com/x</loc><loc>https://a.example.com/staff</loc><loc>https://other.org/staff</loc>"
     got = sitemap_select(spark.createDataFrame([("a.example.com", xml)], "site string, xml string"), "staff").orderBy("rn").collect()
     assert [r["url"][-5:] for r in got] == ["staff", "com/x"]
-    names = spark.createDataFrame([(1, "SCHOOL NO II", "x"), (2, "SCHOOL NO II", "y"), (3, "OTHER", "x")], "id int, name string, city string")
-    assert {r["id"]: r["display"] for r in display_names(names).collect()} == {1: "School no II, x", 2: "School no II, y", 3: "Other"}
-
-
