@@ -47,29 +47,3 @@ def stem_match(words: Column, tokens: Column) -> Column:
 def _(v):
     tokens = F.array("p_type")
     return v.part.select("p_partkey", (stem_match(F.array(F.lit("ECONOMX")), tokens) | stem_match(F.array(F.lit("STANDARD")), tokens)).alias("hit"))
-
-
-#: Dictionary forms, suffix rules (longest wins) and role phrases: small configuration tables.
-DICTIONARY = [("small", "smalle", "dictionary"), ("red", "rede", "dictionary")]
-SUFFIXES = [("ot", "ote"), ("t", "ta"), ("e", "ego")]
-
-
-def inflected(names: DataFrame, dictionary: DataFrame, suffixes: DataFrame, role: Column) -> DataFrame:
-    """name, form, quality: the dictionary first, then the longest suffix rule, else the role's phrase; never a guess."""
-    d = F.broadcast(dictionary.toDF("d_name", "d_form"))
-    s = F.broadcast(suffixes.toDF("suffix", "ending"))
-    ruled = names.select("name").distinct().join(s, F.endswith("name", "suffix")).groupBy(F.col("name").alias("r_name")).agg(F.max_by(F.struct("suffix", "ending"), F.length("suffix")).alias("r"))
-    by_rule = F.concat(F.substring("name", F.lit(1), F.length("name") - F.length("r.suffix")), F.col("r.ending"))
-    j = names.join(d, F.col("name") == F.col("d_name"), "left").join(ruled, F.col("name") == F.col("r_name"), "left")
-    quality = F.when(F.col("d_form").isNotNull(), "dictionary").when(F.col("r").isNotNull(), "rule").otherwise("role")
-    return j.select(*names.columns, F.coalesce("d_form", by_rule, role).alias("form"), quality.alias("quality"))
-
-
-@query("morphology_export", """with w as (select p_partkey, split_part(p_name, ' ', 1) as name from part)
-    select p_partkey, name, case when name = 'small' then 'smalle' when name = 'red' then 'rede' when ends_with(name, 'ot') then left(name, length(name) - 2) || 'ote' when ends_with(name, 't') then left(name, length(name) - 1) || 'ta'
-      when ends_with(name, 'e') then left(name, length(name) - 1) || 'ego' else 'the head' end as form,
-      case when name in ('small', 'red') then 'dictionary' when ends_with(name, 't') or ends_with(name, 'e') then 'rule' else 'role' end as quality from w""")
-def _(v):
-    names = v.part.select("p_partkey", F.split("p_name", " ")[0].alias("name"))
-    dictionary = v.spark.createDataFrame([d[:2] for d in DICTIONARY], "name string, form string")
-    return inflected(names, dictionary, v.spark.createDataFrame(SUFFIXES, "suffix string, ending string"), F.lit("the head"))
