@@ -36,14 +36,3 @@ def _(v):
     w = F.split("p_name", " ")
     other = F.concat(w[1], F.lit(" "), F.upper(w[0]))
     return v.part.select(F.col("p_partkey").alias("k"), (sorted_words(F.col("p_name")) == sorted_words(other)).alias("same"), (sorted_words(F.col("p_name")) == sorted_words(F.lit("RING small"))).alias("ring"))
-
-
-def stem_match(words: Column, tokens: Column) -> Column:
-    """Every word shares all but its last letter with a token's beginning."""
-    return F.forall(words, lambda w: F.exists(tokens, lambda t: F.startswith(t, F.substring(w, F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))))))
-
-
-@query("patron_match", """select p_partkey, starts_with(p_type, 'ECONOM') or starts_with(p_type, 'STANDAR') as hit from part""")
-def _(v):
-    tokens = F.array("p_type")
-    return v.part.select("p_partkey", (stem_match(F.array(F.lit("ECONOMX")), tokens) | stem_match(F.array(F.lit("STANDARD")), tokens)).alias("hit"))

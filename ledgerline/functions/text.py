@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans.registry import query
 
+
 @query("normalize_whitespace", r"select doc_id, md5(trim(regexp_replace(text, '[\x09-\x0D\x20\x{00A0}]+', ' ', 'g'))) as h from documents")
 def _(v):
     return v.documents.select("doc_id", F.md5(F.trim(F.regexp_replace("text", "[\\x09-\\x0D\\x20\\u00A0]+", " "))).alias("h"))
@@ -28,11 +29,6 @@ def _(v):
     return v.part.select("p_partkey", specialised(F.col("p_name"), "red|small(?! bolt)").alias("specialised"))
 
 
-@query("extract_phone", r"select doc_id, nullif(regexp_extract(text, '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'), '') as phone from documents")
-def _(v):
-    return v.documents.select("doc_id", F.nullif(F.regexp_extract("text", r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", 0), F.lit("")).alias("phone"))
-
-
 @query("subtype_from_name", """select p_partkey, case when contains(p_name, 'red') then 'international' when contains(p_name, 'small') and not contains(p_name, 'bolt') then 'community' else 'public' end as subtype,
     contains(p_name, 'red') or (contains(p_name, 'small') and not contains(p_name, 'bolt')) as verified from part""")
 def _(v):
@@ -90,20 +86,6 @@ def _(v):
     return one(v.documents)
 
 
-@query("context_guard", """select doc_id, contains(substr(text, cast(greatest(strpos(text, 'License') - 160, 1) as bigint), cast(strpos(text, 'License') - greatest(strpos(text, 'License') - 160, 1) as bigint)), 'the')
-    or contains(substr(text, cast(strpos(text, 'License') + 7 as bigint), 60), 'the') as rejected from documents where contains(text, 'License')""")
-def _(v):
-    p = F.locate("License", F.col("text"))
-    start = F.greatest(p - 160, F.lit(1))
-    near = F.contains(F.substring(F.col("text"), start, p - start), F.lit("the")) | F.contains(F.substring(F.col("text"), p + 7, F.lit(60)), F.lit("the"))
-    return v.documents.filter("contains(text, 'License')").select("doc_id", near.alias("rejected"))
-
-
-@query("provable_pages", "select doc_id from documents where regexp_matches(text, '(License|hahaha|ononononon|schschsch)')")
-def _(v):
-    return v.documents.filter(F.col("text").rlike("(License|hahaha|ononononon|schschsch)")).select("doc_id")
-
-
 def keyword_windows(text: Column, keyword: str, name: str, widget: str | None = None, around: int = 230, most: int = 6) -> Column:
     """The first windows of so many characters round a keyword that bear a name (a pattern) and aren't a language widget."""
     wins = F.regexp_extract_all(text, F.lit(rf"[^\n]{{0,{around}}}{keyword}[^\n]{{0,{around}}}"), 0)
@@ -141,51 +123,6 @@ def shell_page(html: Column, mount: str, least: int = 250, large: int = 20_000)
     return (n < least) & (F.contains(html, F.lit(mount)) | (F.length(html) > large))
 
 
-@query("site_verification", """with p as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, lower(substr(html, 1, 1500)) as head from pages)
-    select page_id, case when contains(title, 'the') then true when contains(title, 'der') then false else contains(head, 'the') or contains(head, 'la') end as ok from p""")
-def _(v):
-    title, head = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lower(F.substring("html", 1, 1500))
-    ok = F.when(title.contains("the"), True).when(title.contains("der"), False).otherwise(head.contains("the") | head.contains("la"))
-    return v.pages.select("page_id", ok.alias("ok"))
-
-
-@query("page_entity_match", """with t as (select page_id, html, string_split(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.') as tokens from pages)
-    select page_id, cast(list_aggregate(list_transform(tokens, lambda x: case when contains(html, x) then 1 else 0 end), 'sum') as bigint) as hits from t""")
-def _(v):
-    tokens = F.split(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), r"\.")
-    d = v.pages.withColumn("tokens", tokens)
-    return d.select("page_id", F.size(F.filter("tokens", lambda x: F.contains(F.col("html"), x))).cast("long").alias("hits"))
-
-
-@query("issue_ladder", """select event_id, case when event_type = 'error' and value < 10 then 'site_unreachable' when event_type = 'error' then 'site_error' when event_type = 'view' and value < 5 then 'no_pages'
-    when event_type = 'click' then 'no_name' when event_type = 'signup' and value > 30 then 'no_address' end as issue from events""")
-def _(v):
-    sources = F.array(F.struct(F.when(F.col("event_type") == "error", F.when(F.col("value") < 10, "down").otherwise("failed")).otherwise("ok").alias("status")))
-    pages = F.when((F.col("event_type") == "view") & (F.col("value") < 5), 0).otherwise(3)
-    person = F.when(F.col("event_type") != "click", F.lit("x"))
-    addr = F.when((F.col("event_type") != "signup") | (F.col("value") <= 30), F.lit("a@b"))
-    return v.events.select("event_id", issue_ladder(sources, pages, person, addr).alias("issue"))
-
-
-def issue_ladder(sources: Column, pages: Column, person: Column, addr: Column) -> Column:
-    """The first thing that went wrong, or null where nothing is missing."""
-    has = lambda s: F.exists(sources, lambda x: x["status"] == s)
-    return F.when(has("down"), "site_unreachable").when(has("failed"), "site_error").when(pages == 0, "no_pages").when(person.isNull(), "no_name").when(addr.isNull(), "no_address")
-
-
-@query("need_second_pass", """with t as (select l.doc_id, l.quality, l.toxic, d.n_chars from labels l join documents d on d.doc_id = l.doc_id) select doc_id, quality = 0 and (toxic = 1 or n_chars > 3000) as again from t""")
-def _(v):
-    t = v.labels.join(v.documents.select("doc_id", "n_chars"), "doc_id")
-    return t.select("doc_id", ((F.col("quality") == 0) & ((F.col("toxic") == 1) | (F.col("n_chars") > 3000))).alias("again"))
-
-
-@query("stage_label", "select event_id, case when event_type = 'error' then 'discovery' when value > 80 then 'pass' when value > 20 then 'partial' else 'gap' end as stage from events")
-def _(v):
-    ok = F.array(F.struct(F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status")))
-    label = F.when(~F.exists(ok, lambda x: x["status"] == "ok"), "discovery").when(F.col("value") > 80, "pass").when(F.col("value") > 20, "partial").otherwise("gap")
-    return v.events.select("event_id", label.alias("stage"))
-
-
 @query("relative_time_text", """select event_id, cast(floor(date_diff('second', ts, timestamp '2024-02-10 00:00:00') / 86400) as bigint) as days,
     case when floor(date_diff('second', ts, timestamp '2024-02-10 00:00:00') / 86400) = 1 then '1 day ago' else cast(cast(floor(date_diff('second', ts, timestamp '2024-02-10 00:00:00') / 86400) as bigint) as varchar) || ' days ago' end as txt from events""")
 def _(v):

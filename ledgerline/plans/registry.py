@@ -15,7 +15,7 @@ _sql: dict[str, str] = {}
 
 MODULES = [
     "operators.segments", "operators.joins", "operators.matching", "operators.reports", "operators.ranking", "operators.state",
-    "functions.scoring", "functions.folding", "functions.text", "functions.addresses", "functions.urls", "functions.links", "functions.pages", "functions.grounding", "functions.names", "functions.display", "functions.morphology", "sources.register", "streaming.streams",
+    "functions.scoring", "functions.folding", "functions.text", "functions.addresses", "functions.urls", "functions.links", "functions.pages", "functions.grounding", "functions.names", "functions.display", "functions.morphology", "functions.checks", "sources.register", "streaming.streams",
 ]
 
 
