@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.ranking import best_address
 from ledgerline.operators.segments import in_range, target_population
 from ledgerline.plans.registry import query
+from ledgerline.plans.storage import new_path
 
 RAW = ["rspo_id", "name", "is_school", "type", "pupil_category", "specificity", "publicity", "structure", "region", "locality", "commune", "commune_type", "pupils", "website"]
 
@@ -114,15 +112,21 @@ def _(v):
 
 def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(path, sha) of the files whose content hash the manifest(sha) lacks."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha"))
     return files.join(manifest.select("sha").distinct(), "sha", "left_anti")
 
 
-@query("unchanged_file_skip", "select doc_id % 20 as file, count(*) as n from documents where md5(text) not in (select md5(text) from documents where doc_id < 100) group by 1")
+@query("unchanged_file_skip", "select c_mktsegment as part, count(*) as n from customer where c_mktsegment <> 'BUILDING' group by 1")
 def _(v):
-    d = v.documents.withColumn("sha", F.md5("text"))
-    known = d.filter("doc_id < 100").select("sha").distinct()
-    return d.join(known, "sha", "left_anti").groupBy((F.col("doc_id") % 20).alias("file")).agg(F.count("*").alias("n"))
+    # a file for each segment; the manifest has all files of an earlier delivery, in which one segment was another
+    rows = v.customer.select("c_mktsegment", "c_custkey", "c_name")
+    now, before = new_path(v.spark, "delivery"), new_path(v.spark, "delivery")
+    for path, d in ((now, rows), (before, rows.filter("c_mktsegment in ('BUILDING', 'MACHINERY') and (c_mktsegment <> 'MACHINERY' or c_custkey % 2 = 0)"))):
+        d.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").write.partitionBy("c_mktsegment").csv(path)
+    manifest = v.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(before).select(F.sha2("content", 256).alias("sha"))
+    new = changed_files(v.spark, now, manifest).select(F.regexp_extract("path", "c_mktsegment=([^/]+)/", 1).alias("part"))
+    # only what changed is read
+    return v.spark.read.schema("c_custkey long, c_name string, c_mktsegment string").csv(now).withColumnRenamed("c_mktsegment", "part").join(new.distinct(), "part", "left_semi").groupBy("part").agg(F.count("*").alias("n"))
 
 
 def flat(c: Column) -> Column:
@@ -139,11 +143,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, mode="overwrite", emptyValue="")
 
 
+def written_csv(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """An export as it is read back from its CSV files, unknown cells empty; with `by` a folder for each of its values."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).csv(path, header=True, emptyValue="", escape='"')
+    columns = [c for c in df.columns if c != by] + ([by] if by else [])
+    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=True, escape='"').fillna("").select(df.columns)
+
+
 @query("library_export", """select name, coalesce(city, '') as city, coalesce(cast(size_n as varchar), '') as size, case when is_private then 'yes' when not is_private then 'no' else '' end as private, coalesce(cast(total as varchar), '') as score
     from scored where is_active and not is_adult and specialty is null and size_n between 100 and 500""")
 def _(v):
     rows = v.scored.filter(target_population() & in_range("size_n", 100, 500, unknown=False))
-    return rows.select("name", flat(F.col("city")).alias("city"), flat(F.col("size_n")).alias("size"), yes_no(F.col("is_private")).alias("private"), flat(F.col("total")).alias("score"))
+    return written_csv(rows.select("name", flat(F.col("city")).alias("city"), flat(F.col("size_n")).alias("size"), yes_no(F.col("is_private")).alias("private"), flat(F.col("total")).alias("score")), "library")
 
 
 BEST_SQL = """b as (select id, addr, owner from (select id, addr, role as owner, row_number() over (partition by id order by case role when 'teacher' then 0 when 'director' then 1 else 2 end, addr) as rn from contact where addr is not null) t where rn = 1)"""
@@ -152,36 +164,22 @@ BEST_SQL = """b as (select id, addr, owner from (select id, addr, role as owner,
 @query("pipeline_export", f"with {BEST_SQL} select s.name, q.stage, coalesce(b.addr, '') as addr, coalesce(b.owner, '') as owner, case when b.owner in ('teacher', 'director') then 'yes' else 'no' end as direct from queue q join scored s on s.id = q.id left join b on b.id = q.id")
 def _(v):
     rows = v.queue.join(v.scored.select("id", "name"), "id").join(best_address(v.contact), "id", "left")
-    return rows.select("name", "stage", flat(F.col("addr")).alias("addr"), flat(F.col("owner")).alias("owner"), F.when(F.col("owner").isin("teacher", "director"), "yes").otherwise("no").alias("direct"))
+    return written_csv(rows.select("name", "stage", flat(F.col("addr")).alias("addr"), flat(F.col("owner")).alias("owner"), F.when(F.col("owner").isin("teacher", "director"), "yes").otherwise("no").alias("direct")), "pipeline")
 
 
-@query("campaign_export", f"with {BEST_SQL} select 'batch_' || m.batch_id || '.csv' as file, s.name, cast(cast(m.added_at as date) as varchar) as added, coalesce(b.addr, '') as addr from batch_member m join scored s on s.id = m.id left join b on b.id = m.id")
+@query("campaign_export", f"with {BEST_SQL} select 'batch_' || m.batch_id || '.csv' as file, s.name, coalesce(case m.id % 3 when 0 then 'responded' when 1 then 'won' end, '') as stage_when_moved, cast(cast(m.added_at as date) as varchar) as added, coalesce(b.addr, '') as addr from batch_member m join scored s on s.id = m.id left join b on b.id = m.id")
 def _(v):
     rows = v.batch_member.join(v.scored.select("id", "name"), "id").join(best_address(v.contact), "id", "left")
     name = F.concat(F.regexp_replace(F.concat(F.lit("batch "), F.col("batch_id").cast("string")), "[^A-Za-z0-9_-]", "_"), F.lit(".csv"))
-    return rows.select(name.alias("file"), "name", F.col("added_at").cast("date").cast("string").alias("added"), flat(F.col("addr")).alias("addr"))
-
-
-def last_rows(rows: DataFrame, key: str, place: str) -> DataFrame:
-    """In-file repeats: the last row of a key, by its place in the file."""
-    w = Window.partitionBy(key).orderBy(F.desc(place))
-    return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
-
-
-def spare_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    stage = F.expr("case m_id % 3 when 0 then 'responded' when 1 then 'won' end")
+    out = rows.withColumn("m_id", F.col("id")).select(name.alias("file"), "name", flat(stage).alias("stage_when_moved"), F.col("added_at").cast("date").cast("string").alias("added"), flat(F.col("addr")).alias("addr"))
+    return written_csv(out, "batches", by="file")
 
 
 @query("register_csv_scan", """select cast(c_custkey as varchar) as rspo_id, case when c_custkey % 6 = 0 then null else 'A "quoted", ' || c_name end as name, c_mktsegment as type, cast(c_nationkey as varchar) as region, cast(null as varchar) as website from customer""")
 def _(v):
     own = v.customer.select(F.col("c_custkey").cast("string").alias("rspo_id"), F.when(F.col("c_custkey") % 6 != 0, F.concat(F.lit('A "quoted", '), "c_name")).alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_nationkey").cast("string").alias("region"))
-    path = spare_path(v.spark, "register-csv")
+    path = new_path(v.spark, "register-csv")
     own.write.csv(path, header=True, quote='"', escape='"')
     return csv_scan(v.spark, path, ["rspo_id", "name", "type", "region", "website"])
 
@@ -193,6 +191,6 @@ def _(v):
     digit = F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit("3"), F.lit("8")), (F.col("c_nationkey") % 4 + 1).cast("int"))
     own = v.customer.select(F.concat(F.lit('="'), k, F.lit('"')).alias("Numer RSPO"), F.col("c_name").alias("Nazwa"), F.concat(F.lit("district "), "c_mktsegment").alias("Powiat"), F.concat(F.lit("commune "), F.col("c_nationkey").cast("string")).alias("Gmina"),
                             F.concat(F.lit("101201"), digit).alias("Kod terytorialny gmina"), F.col("c_mktsegment").alias("Województwo"), F.concat(F.lit("ł"), F.col("c_nationkey").cast("string")).alias("Miejscowość"), F.when(F.col("c_custkey") % 8 == 0, "2020-01-01").alias("Data likwidacji"))
-    path = spare_path(v.spark, "portal-csv")
+    path = new_path(v.spark, "portal-csv")
     own.write.csv(path, header=True, sep=";", quote='"', escape='"')
     return portal_adapter(csv_scan(v.spark, path, own.columns, sep=";")).select("rspo_id", "name", "commune_type", "commune", "region", "locality")

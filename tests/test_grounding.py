@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from ledgerline.functions.grounding import contained_quotes, grounded, picture_claims
 
 STAFF = "Staff\n Dyrektor:  Anna Nowak  (anna.nowak@s.example.com)\nWicedyrektor: Jan Lis\nJEZYK ANGIELSKI | EWA KOT\nKot Piotr - język angielski, kot@s.example.com. Office: office@s.example.com. Marian Patron, dyrektor"
