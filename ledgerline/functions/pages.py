@@ -77,14 +77,16 @@ def bracketed(text: Column) -> Column:
 
 def spelled_out(text: Column) -> Column:
     """Addresses that are spelled (at), [dot] or "user at host dot tld" written as addresses."""
-    text = bracketed(text)
-    return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(SPELLED), 0)), text, lambda t, m: F.replace(t, m, joined_up(m)))
+    plain = bracketed(text)
+    told = F.aggregate(F.array_distinct(F.regexp_extract_all(plain, F.lit(SPELLED), 0)), plain, lambda t, m: F.replace(t, m, joined_up(m)))
+    return F.when(text.rlike(r"(?i)[\s\[(](at|dot)[\s\])]"), told).otherwise(text)
 
 
 def put_back(html: Column) -> Column:
     """The page with hidden addresses in the places of what hides them."""
     swap = lambda found, page: F.aggregate(found, page, lambda t, x: F.replace(t, x["element"], x["addr"]))
-    return swap(ciphered(html), swap(cloaked(html), html))
+    hides = F.contains(html, F.lit("cloak")) | F.lower(html).contains("data-cfemail")
+    return F.when(hides, swap(ciphered(html), swap(cloaked(html), html))).otherwise(html)
 
 
 def recovered(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
@@ -205,7 +207,7 @@ def texts(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFr
 
 def media(pages: DataFrame) -> DataFrame:
     """page_id, media: "url (label)" of each link to a file, in order."""
-    a = anchors(pages).filter(is_file(F.col("full")))
+    a = anchors(pages).filter(is_file(F.col("href")))
     one = F.when(F.col("label") != "", F.concat("full", F.lit(" ("), "label", F.lit(")"))).otherwise(F.col("full"))
     return a.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("m")))).alias("s")).select("page_id", F.transform("s", lambda x: x["m"]).alias("media"))
 
@@ -237,7 +239,7 @@ TEXT_SQL = _text_sql()
 
 
 @query("page_to_text", f"""with t as (select page_id, {TEXT_SQL} as t from {FILED_SQL} p), {anchors_sql(FILED_SQL)},
-    m as (select page_id, string_agg("full" || case when label <> '' then ' (' || label || ')' else '' end, ' ' order by pos) as media from l where regexp_matches(split_part(lower("full"), '?', 1), '({whole(FILES)})$') group by 1)
+    m as (select page_id, string_agg("full" || case when label <> '' then ' (' || label || ')' else '' end, ' ' order by pos) as media from l where regexp_matches(split_part(lower(href), '?', 1), '({whole(FILES)})$') group by 1)
     select t.page_id, length(t) as n, md5(t) as h, coalesce(media, '') as media from t left join m on m.page_id = t.page_id""")
 def _(v):
     p = prepared(filed_pages(v))

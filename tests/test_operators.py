@@ -1,4 +1,4 @@
-"""Cases that the star tables don't hold, and streams against their batch forms."""
+"""Cases that the star tables don't hold."""
 
 from pyspark.sql import functions as F
 
