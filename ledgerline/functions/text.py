@@ -68,9 +68,23 @@ def _(v):
 
 def earliest(text: Column, words: list[str], guard: str, before: int = 30) -> Column:
     """(pos, word) of the earliest of each word's first valid match; a match is valid unless the guard word stands within so
-    many characters before it."""
-    lead = rf"(?s)(?<!\Q{guard}\E.{{0,{before - len(guard)}}})"
-    found = [F.struct(F.regexp_instr(text, F.lit(rf"{lead}\Q{w}\E")).alias("pos"), F.lit(w).alias("word")) for w in words]
+    many characters before it. The text is cut at the word and its pieces gone through once with the last characters before
+    each cut, all in code points."""
+    last = lambda t: F.substring(t, -before, before)
+
+    def first(word: str) -> Column:
+        def step(s: Column, piece: Column) -> Column:
+            at, lead = s["at"] + F.length(piece), last(F.concat(s["lead"], piece))
+            valid = ~F.contains(lead, F.lit(guard))
+            more = F.struct((at + len(word)).alias("at"), last(F.concat(lead, F.lit(word))).alias("lead"), F.when(valid, at).otherwise(0).alias("pos"))
+            return F.when(s["pos"] > 0, s).otherwise(more)
+
+        pieces = F.split(text, rf"\Q{word}\E")
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("lead"), F.lit(0).alias("pos"))
+        found = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda s: s["pos"])
+        return F.when(F.contains(text, F.lit(word)), found).otherwise(0)
+
+    found = [F.struct(first(w).alias("pos"), F.lit(w).alias("word")) for w in words]
     return F.array_min(F.filter(F.array(*found), lambda x: x["pos"] > 0))
 
 
