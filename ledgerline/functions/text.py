@@ -101,8 +101,30 @@ def _(v):
 
 
 def keyword_windows(text: Column, keyword: str, name: str, widget: str | None = None, around: int = 230, most: int = 6) -> Column:
-    """The first windows of so many characters round a keyword that bear a name (a pattern) and aren't a language widget."""
-    wins = F.regexp_extract_all(text, F.lit(rf"[^\n]{{0,{around}}}{keyword}[^\n]{{0,{around}}}"), 0)
+    """The first windows of so many characters round a keyword that bear a name (a pattern) and aren't a language widget. A
+    window ends with its line; keywords that begin within `around` characters of its beginning are in it, and the next one
+    begins behind it. Only lines with the keyword (a pattern whose matches don't overlap) are gone through, once each."""
+    none = F.array().cast("array<struct<a:int,z:int>>")
+
+    def windows(line: Column) -> Column:
+        between, found = F.split(line, keyword), F.regexp_extract_all(line, F.lit(keyword), 0)
+
+        # a, z: the open window's beginning and the end of its last keyword; at: the end of the piece before
+        def step(s: Column, x: Column) -> Column:
+            begin = s["at"] + x["b"]
+            end = begin + x["f"]
+            moved = lambda a, z, out: F.struct(end.alias("at"), a.alias("a"), z.alias("z"), out.alias("out"))
+            closed = F.when(s["z"] > 0, F.array_append(s["out"], F.struct(s["a"].alias("a"), (s["z"] + around).alias("z")))).otherwise(s["out"])
+            behind = F.greatest(F.when(s["z"] > 0, s["z"] + around).otherwise(0), begin - around)
+            return F.when((s["z"] > 0) & (begin <= s["a"] + around), moved(s["a"], end, s["out"])).when((s["z"] > 0) & (begin < s["z"] + around), moved(s["a"], s["z"], s["out"])).otherwise(moved(behind, end, closed))
+
+        pieces = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("b"), F.length(f).alias("f")))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("a"), F.lit(0).alias("z"), none.alias("out"))
+        spans = F.aggregate(pieces, start, step, lambda s: F.array_append(s["out"], F.struct(s["a"].alias("a"), (s["z"] + around).alias("z"))))
+        return F.transform(spans, lambda w: F.substring(line, w["a"] + 1, w["z"] - w["a"]))
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(keyword))
+    wins = F.when(text.rlike(keyword), F.flatten(F.transform(lines, windows))).otherwise(F.array().cast("array<string>"))
     return F.slice(F.filter(wins, lambda x: x.rlike(name) if widget is None else x.rlike(name) & ~x.rlike(widget)), 1, most)
 
 
