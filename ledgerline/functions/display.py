@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,46 +20,58 @@ KINDS = [("Szkoła Podstawowa", "SP"), ("Liceum Ogólnokształcące", "LO"), ("B
 CLAUSE = r"^(.*)\s+[Ww][Ee]?\s+(\p{L}[\p{L}-]*(?:\s+[\p{L}-]+)*)$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_word(c: Column) -> Column:
-    return F.lower(fold(F.element_at(F.split(F.trim(c), r"\s+"), 1)))
+    return once(F.element_at(F.split(F.trim(c), r"\s+"), 1), lambda w: F.lower(fold(w)))
 
 
 def names_city(word: Column, city: Column) -> Column:
     """Whether a word begins as the city does, by the first four letters: "Warszawie" and "Warszawa"."""
-    stem, own = first_word(word), first_word(city)
-    n = F.least(F.length(own), F.lit(4))
-    return F.coalesce((n > 0) & (F.substring(stem, F.lit(1), n) == F.substring(own, F.lit(1), n)), F.lit(False))
+
+    def same(x: Column) -> Column:
+        n = F.least(F.length(x["own"]), F.lit(4))
+        return F.coalesce((n > 0) & (F.substring(x["stem"], F.lit(1), n) == F.substring(x["own"], F.lit(1), n)), F.lit(False))
+
+    return once(F.struct(first_word(word).alias("stem"), first_word(city).alias("own")), same)
 
 
 def without_city(name: Column, city: Column) -> Column:
     """A name without its last clause, if that is where its city stands."""
-    return F.when(name.rlike(CLAUSE) & names_city(F.regexp_extract(name, CLAUSE, 2), city), F.trim(F.regexp_extract(name, CLAUSE, 1))).otherwise(name)
+    return once(F.regexp_extract(name, CLAUSE, 2), lambda last: F.when((last != "") & names_city(last, city), F.trim(F.regexp_extract(name, CLAUSE, 1))).otherwise(name))
 
 
 def display_case(text: Column) -> Column:
     """Each word begun with a capital, small words small, Roman numbers in capitals; a single I is a number at the beginning
     only."""
 
-    def word(w: Column, i: Column) -> Column:
-        bare = F.upper(F.regexp_replace(w, '[."]', ""))
-        number = (bare != "") & bare.rlike(ROMAN) & ~((bare == "I") & (i >= 2))
+    def parts(w: Column, i: Column) -> Column:
         low = F.lower(w)
-        before = F.regexp_extract(low, r"^[^\p{L}]*", 0)
-        n = F.length(before)
-        capital = F.concat(before, F.upper(F.substring(low, n + 1, F.lit(1))), F.substring(low, n + 2, F.lit(1 << 30)))
-        return F.when(number, F.upper(w)).when(low.isin(SMALL), low).otherwise(capital)
+        return F.struct(w.alias("w"), i.alias("i"), F.upper(F.regexp_replace(w, '[."]', "")).alias("bare"), low.alias("low"), F.regexp_extract(low, r"^[^\p{L}]*", 0).alias("before"))
 
-    return F.array_join(F.transform(F.split(text, " "), word), " ")
+    def word(x: Column) -> Column:
+        number = (x["bare"] != "") & x["bare"].rlike(ROMAN) & ~((x["bare"] == "I") & (x["i"] >= 2))
+        n = F.length(x["before"])
+        capital = F.concat(x["before"], F.upper(F.substring(x["low"], n + 1, F.lit(1))), F.substring(x["low"], n + 2, F.lit(1 << 30)))
+        return F.when(number, F.upper(x["w"])).when(x["low"].isin(SMALL), x["low"]).otherwise(capital)
+
+    return F.array_join(F.transform(F.transform(F.split(text, " "), parts), word), " ")
 
 
 def short_name(name: Column, city: Column) -> Column:
     """The name as it is shown if no other is like it: without its own city's clause, in title case, long kinds shortened,
     and the city behind it, unless it is there already."""
-    bare = without_city(name, city)
-    shown = reduce(lambda c, kv: F.regexp_replace(c, f"(?iu)^(.*?){kv[0]}", f"$1{kv[1]}"), KINDS, display_case(bare))
-    place = display_case(F.trim(city))
-    there = ((bare == name) & shown.rlike(CLAUSE)) | F.contains(F.lower(fold(shown)), F.lower(fold(place)))
-    return F.when(F.coalesce(F.trim(city), F.lit("")) == "", shown).when(there, shown).otherwise(F.concat(shown, F.lit(", "), place))
+    shorten = lambda bare: reduce(lambda c, kv: F.regexp_replace(c, f"(?iu)^(.*?){kv[0]}", f"$1{kv[1]}"), KINDS, display_case(bare))
+
+    def placed(x: Column) -> Column:
+        folded = lambda c: F.lower(fold(c))
+        there = ((x["bare"] == name) & x["shown"].rlike(CLAUSE)) | F.contains(folded(x["shown"]), folded(x["place"]))
+        return F.when(F.coalesce(F.trim(city), F.lit("")) == "", x["shown"]).when(there, x["shown"]).otherwise(F.concat(x["shown"], F.lit(", "), x["place"]))
+
+    return once(without_city(name, city), lambda bare: once(F.struct(bare.alias("bare"), shorten(bare).alias("shown"), display_case(F.trim(city)).alias("place")), placed))
 
 
 def display_names(rows: DataFrame, key: str = "id", name: str = "name", city: str = "city", parent: str = "parent") -> DataFrame:
@@ -66,6 +79,8 @@ def display_names(rows: DataFrame, key: str = "id", name: str = "name", city: st
     key; that is done again while any is left, and what even the keys don't tell apart (repeated keys) is marked. Repeats
     are counted by aggregation and joined back. A null name is shown as an empty one."""
     dash = F.lit(" — ")
+    # a compressed register is a single split for very many names: they are dealt over all cores before the work on them
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
     d = rows.select(F.col(key), F.coalesce(short_name(F.col(name), F.col(city)), F.lit("")).alias("short"), F.nullif(F.trim(F.col(parent)), F.lit("")).alias("parent"))
     d = written(d.withColumn("display", F.col("short")), "names")
 
@@ -74,12 +89,13 @@ def display_names(rows: DataFrame, key: str = "id", name: str = "name", city: st
         return df.join(times, column, "left")
 
     d = counted(d, "display", "n").withColumn("by_parent", F.when(F.col("n") > 1, F.concat("short", dash, "parent")))
-    d = counted(d, "by_parent", "m")
+    d = written(counted(d, "by_parent", "m"), "names")
     own = F.concat("short", dash, F.lit("RSPO "), F.col(key).cast("string"))
     d = d.withColumn("display", F.when(F.col("n") == 1, F.col("short")).when(F.col("m") == 1, F.col("by_parent")).otherwise(F.coalesce(own, "short"))).drop("n", "m", "by_parent")
     # a name made up so may be another's own
     d = counted(d, "display", "n")
     d = d.withColumn("display", F.when((F.col("n") > 1) & (F.col("display") != F.coalesce(own, F.lit(""))), F.coalesce(own, "display")).otherwise(F.col("display"))).drop("n")
+    d = written(d, "names")
     return counted(d, "display", "n").select(key, "display", (F.col("n") > 1).alias("repeated"))
 
 

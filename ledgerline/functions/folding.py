@@ -47,8 +47,8 @@ def fold(c: Column) -> Column:
     are looked up one by one, only in texts that have any."""
     apart = F.create_map(*[F.lit(x) for pair in several().items() for x in pair])
     long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(apart, x), x)), "")
-    c = F.when(F.translate(c, "".join(several()), "") != c, long).otherwise(c)
-    return F.regexp_replace(F.translate(c, *single()), "[^\\x00-\\x7F]", "")
+    other = F.when(F.translate(c, "".join(several()), "") != c, long).otherwise(c)
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.translate(other, *single()), "[^\\x00-\\x7F]", ""))
 
 
 def fold_sql(c: str) -> str:

@@ -24,3 +24,9 @@ def test_names_are_distinct_over_the_register(spark):
     assert len(got) == 10 and len(set(shown.values())) == 8 and not any(r["repeated"] for r in got if r["id"] != 9) and all(r["repeated"] for r in got if r["id"] == 9)
     assert shown[2] == "Sp nr 1, Łódź — Zespół A" and shown[3] == "Sp nr 1, Łódź — RSPO 3" and shown[5] == "Lo, Łódź" and shown[7] == " — RSPO 7"
     assert display_names(spark.createDataFrame([], "id long, name string, city string, parent string")).count() == 0
+
+
+def test_names_are_dealt_over_all_cores(spark):
+    rows = spark.range(4000).selectExpr("id", "'Szkoła ' || id as name", "'Łódź' as city", "null as parent").coalesce(1)
+    got = display_names(rows)
+    assert len(got.inputFiles()) > 1 and got.count() == 4000
