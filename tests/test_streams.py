@@ -141,6 +141,17 @@ def test_activity_stream_goes_on_after_a_failure(spark, monkeypatch):
     assert {r["id"]: (r["last_ts"], r["event_type"]) for r in streams.newest(got, "id").collect()} == {i: (w[0], w[2]) for i, w in want.items()}
 
 
+def test_activity_counts_late_events(spark):
+    day = lambda n: START + dt.timedelta(days=n)
+    rows = [(1, 1, "view", day(60), 0.0), (2, 1, "click", day(61), 0.0), (3, 1, "view", day(1), 0.0), (4, 2, "error", day(2), 0.0), (4, 2, "error", day(2), 0.0)]
+    path = new_path(spark, "log")
+    # in the order in which they arrive: the last two files are two months late
+    arrivals = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "event_id long, id long, event_type string, ts timestamp_ntz, value double, n int")
+    in_order(arrivals.withColumn("ts", F.col("ts").cast("timestamp")), ["n"], path, 5)
+    got = streams.drained(streams.activity_state(streams.log_stream(spark, path, files=1)), "update", new_path(spark, "activity"))
+    assert {(r["id"], r["event_type"], r["last_ts"]) for r in streams.newest(got, "id").collect()} == {(1, "click", day(61)), (2, "error", day(2))}
+
+
 def test_stale_timer_goes_on_after_a_failure(spark, monkeypatch):
     df, rows = log(spark, 300)
     path, out = streams.log_files(df, "log"), new_path(spark, "stale")
