@@ -19,6 +19,8 @@ from .common import ranges, strings
 #: Unicode's White_Space, which \s means in the pattern (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Characters that str.isspace takes for white.
+SPACES = pa.array([chr(c) for c in range(0x110000) if chr(c).isspace()], pa.large_string())
 
 #: Encodes different chunks: all ids, one after the other, and the number of each chunk.
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -33,13 +35,14 @@ def coded(texts: pa.Array, special: tuple[str, ...] = ()) -> tuple[list[str], np
     at = np.asarray(parts.offsets, dtype=np.int64)
     at = at - at[0]
     flat = parts.flatten().dictionary_encode()
-    words, code = flat.dictionary.to_pylist(), np.asarray(flat.indices, dtype=np.int64)
+    words, code = flat.dictionary, np.asarray(flat.indices, dtype=np.int64)
     first = np.zeros(len(code), bool)
     first[at[:-1][at[:-1] < at[1:]]] = True
-    bare = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+    none = np.asarray(pc.equal(pc.binary_length(words), 0))
+    bare = none | np.asarray(pc.is_in(pc.utf8_slice_codeunits(words, 0, 1), value_set=SPACES))
     odd_text = np.zeros(n, bool)
     odd_text[np.searchsorted(at, np.flatnonzero(bare[code] & ~first), side="right") - 1] = True
-    empty = first & (np.fromiter((not w for w in words), bool, len(words))[code])
+    empty = first & none[code]
     for s in special:
         odd_text |= np.asarray(pc.match_substring(texts, s))
     key = code * 2 + first
@@ -48,7 +51,9 @@ def coded(texts: pa.Array, special: tuple[str, ...] = ()) -> tuple[list[str], np
     there[key[plain]] = True
     used = np.flatnonzero(there)
     place = (np.cumsum(there) - 1)[key[plain]]
-    chunks = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in used.tolist()]
+    own = words.take(pa.array(used >> 1))
+    spaced = pc.binary_join_element_wise(pa.scalar(" ", own.type), own, pa.scalar("", own.type))
+    chunks = pc.if_else(pa.array((used & 1).astype(bool)), own, spaced).to_pylist()
     counts = np.bincount(np.repeat(np.arange(n), np.diff(at))[plain], minlength=n)
     if not odd_text.any():
         return chunks, place, np.concatenate(([0], np.cumsum(counts)))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from .common import kept, ranges
@@ -55,6 +58,7 @@ class Encoder:
 
     def fresh(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lens, parts = np.zeros(len(chunks), np.int64), []
+        size = np.asarray(pc.binary_length(pa.array(chunks, pa.large_string())), np.int64)
         joined = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace()]
         groups = [joined[i : i + self.join] for i in range(0, len(joined), self.join)]
         alone = np.ones(len(chunks), bool)
@@ -65,7 +69,7 @@ class Encoder:
         for k in range(0, len(texts), 256):
             for g, e in zip(groups[k : k + 256], self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)):
                 ids = np.array(e.ids, np.uint32)
-                ends = np.cumsum([len(chunks[i].encode()) for i in g])
+                ends = np.cumsum(size[g])
                 at = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="left") + (ends > 0)
                 lens[g] = np.diff(at, prepend=0)
                 parts.append(ids)
@@ -77,8 +81,7 @@ class Encoder:
         return flat[ranges(begins, lens)], lens
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        get = self.place.get
-        known = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        known = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(known < 0)
         ids, lens = self.fresh([chunks[i] for i in new.tolist()])
         had = len(self.lens)
