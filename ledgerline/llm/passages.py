@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import few, hashed_words, id_and_text, lean, ranges, rolled, ship, steps, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
-#: Keys that one task compares at a time, about.
+#: Keys that one task holds at a time, about, and the bits of a key that deal them into the shares it compares one by one.
 PART_KEYS = 3_000_000
+SHARE_BITS = 4
 #: Documents of one step (see common.steps) that hold a key before it is matched within the step.
 HOT = 8
 KEY_BITS = np.uint64((1 << 40) - 1)
@@ -142,6 +143,17 @@ def met(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return d[other], d[owner][other], p[other], p[owner][other], k[other]
 
 
+def met_in_shares(held: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """met over keys, docs and places that came in pieces (which are used up), a share of the keys at a time: what the
+    comparison makes on its way, several times the keys where most are held by many documents, is of one share only."""
+    keys, docs, at = (np.concatenate(held.pop(0)) for _ in range(3))
+    share = (keys >> np.uint64(40 - SHARE_BITS)).astype(np.uint8)
+    for i in range(1 << SHARE_BITS):
+        own = np.flatnonzero(share == i)
+        if len(own):
+            yield met(keys[own], docs[own], at[own])
+
+
 def combined(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Which occurrences still have to travel, and the matches made here: a key that HOT documents of one step hold is
     matched with the smallest of them at once, and only that one's occurrence goes on. So however many documents hold a
@@ -197,7 +209,8 @@ def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([turn % parts], pa.int32()), *(pa.array([x], pa.binary()) for x in (planes(local[4], 5), planes(np.concatenate(local[2:4]), 4), np.concatenate(local[:2]).astype("<i8").tobytes(), b""))], names=CELL)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
+        part: int | None = None
+        held: list[list[np.ndarray]] = [[], [], []]
 
         def rows_of(d: np.ndarray, o: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
             step = np.where(k & np.uint64(1), r.long - r.k, r.k + 1)
@@ -206,20 +219,22 @@ def matches_of(docs: DataFrame, r: PassageRules) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(o[cut]), *(pa.array(v[cut].astype(np.int32)) for v in (x, y, step))], names=["doc_id", "owner", "at", "owner_at", "step"])
 
         def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield from rows_of(*met(*(np.concatenate(c) for c in zip(*held))))
+            if held[0]:
+                for found in met_in_shares(held):
+                    yield from rows_of(*found)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != part:
                     yield from done()
-                    part, held = row[0], []
+                    part, held = row[0], [[], [], []]
                 if not row[4]:  # matches made where the texts were read
                     k, at, ids = unplaned(row[1], 5), unplaned(row[2], 4).astype(np.int64), np.frombuffer(row[3], "<i8")
                     yield from rows_of(ids[: len(k)], ids[len(k) :], at[: len(k)], at[len(k) :], k)
                     continue
                 ids = np.repeat(np.frombuffer(row[3], "<i8"), np.frombuffer(row[4], "<i4"))
-                held.append((unplaned(row[1], 5), ids, unplaned(row[2], 4).astype(np.int64)))
+                for c, v in zip(held, (unplaned(row[1], 5), ids, unplaned(row[2], 4).astype(np.int32))):
+                    c.append(v)
         yield from done()
 
     dealt = texts.mapInArrow(lean(deal), "part int, keys binary, at binary, ids binary, n binary")
