@@ -14,7 +14,9 @@ over the radius. Colliding pairs whose check words are near enough are candidate
 with all: its first member is paired with all that are near it, the nearest leave, each of the others is paired with the
 nearest of those that left, and so on with the next member until none is left. So whoever was near anybody of the group
 is in one component with them. A few candidates for each document (see certificate) are then verified by the exact share of
-common shingles on Spark.
+common shingles on Spark. They connect whatever any candidates connect; where verifying leaves such a whole in several
+parts, its other candidates between the parts are verified too, more in each round, until the parts have one link or none
+of their candidates is left (see settled).
 
 Defined results: see near_duplicates and first_of_each; texts of fewer words than a shingle are one shingle; rows with
 equal fingerprints are copies; an empty table gives no rows; other columns aren't read or stay as they are.
@@ -63,6 +65,8 @@ class SimHash:
     held: int = 400 << 20
     #: Variants made at a time within a slice.
     block: int = 1 << 20
+    #: Fingerprints of a side, about, that one task compares with as many others (see between).
+    side: int = 2048
 
     def for_nodes(self, n: int) -> SimHash:
         """With as many slices as n different fingerprints need."""
@@ -242,8 +246,8 @@ def paired(group: np.ndarray, member: np.ndarray, checks: np.ndarray, p: SimHash
 def certificate(x: np.ndarray, y: np.ndarray, far: np.ndarray, p: SimHash) -> np.ndarray:
     """Which of a slice's candidates go on to be verified, a few for each document however many copies it has: a least
     spanning forest of the sure ones; then, between its trees, `spare` edge-disjoint least forests of the others. If
-    candidates turn out not to be similar enough, two documents fall apart only where over `spare` candidates between their
-    parts did so here, and in every other slice and table that has them too."""
+    candidates turn out not to be similar enough, two documents can fall apart where over `spare` candidates between their
+    parts did so here, and in every other slice and table that has them too: the rest is for `settled`."""
     kept = [np.flatnonzero(far <= p.sure)]
     kept[0] = kept[0][spanning(x[kept[0]], y[kept[0]], far[kept[0]])]
     n = int(max(x.max(initial=-1), y.max(initial=-1))) + 1
@@ -331,6 +335,76 @@ def verified(pairs: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
     return both.filter(common >= F.lit(p.similarity) * (all_ - common) - 1e-9).select("a", "b").distinct()
 
 
+def between(rows: DataFrame, p: SimHash, most: int) -> DataFrame:
+    """a, b, more: candidates of different parts of a whole, from rows(node, fp, whole, part, main: whether it is the whole's
+    largest part, mains and others: how many rows of the whole are so and not). The rows of a whole are dealt into sides;
+    two of them meet in a group, except two of the largest part. Of two parts a group gives the `most` nearest candidates,
+    and `more` is true in a group that has others left."""
+    n_main, n_other = (F.ceil(F.col(c) / p.side).cast("int") for c in ("mains", "others"))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node", "fp"), F.when(F.col("main"), n_main).otherwise(n_other)).cast("int"))
+    turns = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cols = ["whole", "part", "node", "fp"]
+    at_main = dealt.filter("main").select(*cols, turns(n_other).alias("i"), F.col("own").alias("j"), F.lit(True).alias("main"), F.lit(1).alias("side"))
+    rest = dealt.filter("not main")
+    with_main = rest.select(*cols, F.col("own").alias("i"), turns(n_main).alias("j"), F.lit(True).alias("main"), F.lit(0).alias("side"))
+    turned = rest.select(*cols, "own", turns(n_other).alias("other"))
+    with_rest = turned.select(*cols, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(False).alias("main"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        fp = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").reshape(t.num_rows, -1).astype(np.uint64)
+        part, node, side = (np.asarray(t[c]) for c in ("part", "node", "side"))
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = t["i"][0] == t["j"][0] and not t["main"][0].as_py()  # a side with itself
+        x, y, far = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int16)]
+        for k, row in enumerate(one.tolist()):
+            to = one[k + 1 :] if alone else two
+            to = to[part[to] != part[row]]
+            d = distances(fp[row, p.tables :], fp[to, p.tables :])
+            to, d = to[d <= p.check], d[d <= p.check]
+            met = (np.bitwise_count(fp[row, : p.tables] ^ fp[to, : p.tables]) <= p.radius).any(axis=1)
+            x.append(np.full(int(met.sum()), row, np.int32))
+            y.append(to[met].astype(np.int32))
+            far.append(d[met].astype(np.int16))
+        x, y, far = np.concatenate(x), np.concatenate(y), np.concatenate(far)
+        a, b = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
+        order = np.lexsort((node[y], node[x], far, b, a))
+        a, b, x, y = a[order], b[order], x[order], y[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        keep = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < most
+        a, b = node[x[keep]], node[y[keep]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": np.full(len(a), not keep.all())})
+
+    return at_main.union(with_main).union(with_rest).groupBy("whole", "main", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+
+
+def settled(nodes: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
+    """node, component of the nodes(rep, fp) that candidates of the similarity connect. First the candidates of the
+    certificates are verified. What they connect is what all candidates connect (a whole); as long as one has several parts,
+    the nearest candidates between its parts are verified, eight times as many in each round, until none is left."""
+    tried = written(links(nodes, p.for_nodes(nodes.count())).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    similar = written(verified(tried, docs, p), "links")
+    wholes = components(tried).withColumnRenamed("component", "whole")
+    most = p.spare
+    while True:
+        parts = components(similar)
+        named = parts.select(F.col("node").alias("n"), F.col("component").alias("part"))
+        placed = written(wholes.join(named, wholes["node"] == named["n"], "left").select("node", "whole", F.coalesce("part", "node").alias("part")), "parts")
+        sizes = placed.groupBy("whole", "part").agg(F.count("*").alias("size"))
+        split = sizes.groupBy("whole").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others"))
+        split = written(split.filter("others > 0"), "wholes")
+        if split.isEmpty():
+            return parts
+        rows = placed.join(split, "whole").withColumn("main", F.col("part") == F.col("largest")).join(nodes.withColumnRenamed("rep", "node"), "node")
+        met = written(between(rows, p, most), "candidates")
+        new = written(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        if not new.isEmpty():
+            similar = written(similar.union(verified(new, docs, p)), "links")
+            tried = written(tried.union(new), "candidates")
+        if met.filter("more").isEmpty():
+            return components(similar)
+        most *= 8
+
+
 def near_duplicates(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest document id reachable over links, itself included.
 
@@ -338,8 +412,7 @@ def near_duplicates(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
     """
     prints = written(fingerprints(docs, p), "fingerprints")
     nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = links(nodes, p.for_nodes(nodes.count()))
-    found = components(verified(found, docs, p) if p.check_words else found)
+    found = settled(nodes, docs, p) if p.check_words else components(links(nodes, p.for_nodes(nodes.count())))
     classes = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
     classes = written(classes, "classes")
     return prints.join(classes, prints["fp"] == classes["f"], "left").select("doc_id", "fp", "component_id")

@@ -170,6 +170,26 @@ def test_families_of_edited_copies_stay_together(spark):
     assert {(r["doc_id"] // 1000, r["component_id"]) for r in found.collect()} == {(k, 1000 * k) for k in range(3)}
 
 
+def test_no_candidate_between_parts_is_left(spark):
+    rng = random.Random(23)
+    texts = []
+    for k in range(6):  # families in which most pairs are a little under 0.8
+        whole = [f"u{rng.randint(0, 10**7)}" for _ in range(150)]
+        for c in range(40):
+            w = list(whole)
+            for at in rng.sample(range(0, 150, 5), rng.choice((1, 2, 3, 3))):
+                w[at] = f"edit{rng.random()}"
+            texts.append((1000 * k + c, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for p in (simhash.NEAR, dataclasses.replace(simhash.NEAR, spare=1, sure=10, side=7)):
+        prints = {r["doc_id"]: np.frombuffer(r["fp"], ">u8").astype(np.uint64) for r in simhash.fingerprints(docs, p).collect()}
+        apart = {q: np.bitwise_count(prints[q[0]] ^ prints[q[1]]).astype(int) for q in similar_pairs(texts)}
+        linked = [q for q, d in apart.items() if d[: p.tables].min() <= p.radius and d[p.tables :].sum() <= p.check]
+        want = union(linked, [i for i, _ in texts])
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, p).collect()}
+        assert got == want and 6 < len(set(want.values())) < 230
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
