@@ -67,6 +67,8 @@ class SimHash:
     block: int = 1 << 20
     #: Fingerprints of a side, about, that one task compares with as many others (see between).
     side: int = 2048
+    #: Candidates between two parts that a group gives in the first round (see settled).
+    most: int = 192
 
     def for_nodes(self, n: int) -> SimHash:
         """With as many slices as n different fingerprints need."""
@@ -384,7 +386,7 @@ def settled(nodes: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
     tried = written(links(nodes, p.for_nodes(nodes.count())).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     similar = written(verified(tried, docs, p), "links")
     wholes = components(tried).withColumnRenamed("component", "whole")
-    most = p.spare
+    most = p.most
     while True:
         parts = components(similar)
         named = parts.select(F.col("node").alias("n"), F.col("component").alias("part"))

@@ -181,7 +181,7 @@ def test_no_candidate_between_parts_is_left(spark):
                 w[at] = f"edit{rng.random()}"
             texts.append((1000 * k + c, " ".join(w)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    for p in (simhash.NEAR, dataclasses.replace(simhash.NEAR, spare=1, sure=10, side=7)):
+    for p in (simhash.NEAR, dataclasses.replace(simhash.NEAR, spare=1, sure=10, side=7, most=1)):
         prints = {r["doc_id"]: np.frombuffer(r["fp"], ">u8").astype(np.uint64) for r in simhash.fingerprints(docs, p).collect()}
         apart = {q: np.bitwise_count(prints[q[0]] ^ prints[q[1]]).astype(int) for q in similar_pairs(texts)}
         linked = [q for q, d in apart.items() if d[: p.tables].min() <= p.radius and d[p.tables :].sum() <= p.check]
