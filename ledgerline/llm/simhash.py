@@ -15,8 +15,8 @@ with all: its first member is paired with all that are near it, the nearest leav
 nearest of those that left, and so on with the next member until none is left. So whoever was near anybody of the group
 is in one component with them. A few candidates for each document (see certificate) are then verified by the exact share of
 common shingles on Spark. They connect whatever any candidates connect; where verifying leaves such a whole in several
-parts, its other candidates between the parts are verified too, more in each round, until the parts have one link or none
-of their candidates is left (see settled).
+parts, its documents meet in tasks, two bounded sides at a time with their shingles, and each task verifies all candidates
+between parts that it finds no link for, and gives only the links that join parts (see between).
 
 Defined results: see near_duplicates and first_of_each; texts of fewer words than a shingle are one shingle; rows with
 equal fingerprints are copies; an empty table gives no rows; other columns aren't read or stay as they are.
@@ -31,11 +31,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, few, hashed_words, id_and_text, lean, rolled, ship, steps, written
+from .common import ODD, few, give_back, hashed_words, id_and_text, lean, ranges, rolled, ship, steps, written
 from .graph import components, forest, spanning
 
 
@@ -65,9 +66,10 @@ class SimHash:
     held: int = 400 << 20
     #: Variants made at a time within a slice.
     block: int = 1 << 20
-    #: Fingerprints of a side, about, that one task compares with as many others (see between).
+    #: Documents of a side, about, that one task compares with as many others, and their shingles (see between).
     side: int = 2048
-    #: Candidates between two parts that a group gives in the first round (see settled).
+    side_shingles: int = 1 << 20
+    #: Candidates of a document that a task verifies at a time, the nearest first (see between).
     most: int = 192
 
     def for_nodes(self, n: int) -> SimHash:
@@ -265,8 +267,8 @@ def certificate(x: np.ndarray, y: np.ndarray, far: np.ndarray, p: SimHash) -> np
 
 
 def links(nodes: DataFrame, p: SimHash) -> DataFrame:
-    """Edges (a, b) between nodes(rep, fp): without check words a forest from each slice that joins all that link, else the
-    candidates of each slice."""
+    """Edges (a, b, tree) between nodes(rep, fp): from each slice a forest that joins all that link or are candidates (tree),
+    and with check words also the slice's certificate (not tree)."""
     ship(nodes.sparkSession)
     total, words = p.tables * p.slices, 2 + p.check_words
     reach = p.reach()
@@ -296,12 +298,12 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
                 held.clear()
                 reps = rows[:, 0].astype("<i8").view("<i8")
                 x, y = collisions(rows[:, 1], rows[:, 2:], now % p.slices, p)
+                a, z = forest(reps[x], reps[y])
+                trees = len(a)
                 if p.check_words:
                     own = certificate(x, y, distances(rows[x, 2:], rows[y, 2:]), p)
-                    a, z = reps[x[own]], reps[y[own]]
-                else:
-                    a, z = forest(reps[x], reps[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+                    a, z = np.concatenate((a, reps[x[own]])), np.concatenate((z, reps[y[own]]))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z), pa.array(np.arange(len(a)) < trees)], names=["a", "b", "tree"])
 
         for b in batches:  # a slice's rows stand together
             for s, rows in zip(b.column("slice").to_pylist(), b.column("rows").to_pylist()):
@@ -312,99 +314,132 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
         yield from done()
 
     dealt = nodes.select("rep", "fp").mapInArrow(lean(deal), "slice int, rows binary")
-    return dealt.repartition(total, "slice").sortWithinPartitions("slice").mapInArrow(lean(meet), "a long, b long")
+    return dealt.repartition(total, "slice").sortWithinPartitions("slice").mapInArrow(lean(meet), "a long, b long, tree boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
-    """The pairs(a, b) of document ids whose sets of shingles have the similarity. Each pair is compared once; the sets are
-    made of the concerned documents only. Of rows with the same document id any may be the one that is similar."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "concerned")
-    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(few(ids), "id", "left_semi")
+def shingled(nodes: DataFrame, ids: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
+    """id, fp, n, shingles: the different shingles, n of them, of each different text of those nodes(rep, fp) whose rep is
+    among the ids. Texts of other fingerprints that repeat a document id belong to other nodes."""
+    own = nodes.join(few(ids), nodes["rep"] == ids["id"], "left_semi").select(F.col("rep").alias("id"), F.xxhash64("fp").alias("print"))
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "id").join(few(ids), "id", "left_semi").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             own = shingle_sets(b.column(1), p.words)
-            flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-            at = np.concatenate(([0], np.cumsum([len(s) for s in own]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "shingles"])
+            n = np.array([len(s) for s in own], np.int32)
+            fp = pa.array([near_fingerprint(s, p).astype(">u8").tobytes() for s in own], pa.binary())
+            at = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(own).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array(n), lists], names=["id", "fp", "n", "shingles"])
 
-    shingled = written(texts.mapInArrow(lean(sets), "id long, shingles array<long>"), "shingles")
+    made = texts.mapInArrow(lean(sets), "id long, fp binary, n int, shingles array<long>").withColumn("print", F.xxhash64("fp"))
+    return made.join(few(written(own, "concerned")), ["id", "print"], "left_semi").drop("print")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, p: SimHash) -> DataFrame:
+    """The different pairs(a, b) of ids whose sets of shingles in texts(id, shingles) have the similarity. Of texts with the
+    same id any may be the one that is similar."""
     # first the later documents, of which each has few pairs; then the first ones, where a hot one can be split
-    one = pairs.join(shingled.toDF("b", "y"), "b")
-    both = one.join(shingled.toDF("a", "x"), "a")
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = one.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     common, all_ = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     return both.filter(common >= F.lit(p.similarity) * (all_ - common) - 1e-9).select("a", "b").distinct()
 
 
-def between(rows: DataFrame, p: SimHash, most: int) -> DataFrame:
-    """a, b, more: candidates of different parts of a whole, from rows(node, fp, whole, part, main: whether it is the whole's
-    largest part, mains and others: how many rows of the whole are so and not). The rows of a whole are dealt into sides;
-    two of them meet in a group, except two of the largest part. Of two parts a group gives the `most` nearest candidates,
-    and `more` is true in a group that has others left."""
-    n_main, n_other = (F.ceil(F.col(c) / p.side).cast("int") for c in ("mains", "others"))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node", "fp"), F.when(F.col("main"), n_main).otherwise(n_other)).cast("int"))
-    turns = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["whole", "part", "node", "fp"]
-    at_main = dealt.filter("main").select(*cols, turns(n_other).alias("i"), F.col("own").alias("j"), F.lit(True).alias("main"), F.lit(1).alias("side"))
+def joined(t: pa.Table, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
+    """Links between parts, one for each time that two become one: from rows(whole, part, side, fp, shingles) the candidates
+    of the similarity between rows of side 0 and side 1, or where there is no side 1, between all rows of a whole."""
+    t = t.take(pc.sort_indices(t["whole"]))
+    fp = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").reshape(t.num_rows, -1).astype(np.uint64)
+    side = np.asarray(t["side"])
+    parts, label = np.unique(np.asarray(t["part"]), return_inverse=True)
+    lists = t["shingles"].combine_chunks()
+    n = np.asarray(pc.list_value_length(lists), np.int64)
+    ends = np.cumsum(n)
+    kinds, at = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    own = np.zeros(len(kinds), bool)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    last = np.searchsorted(np.asarray(t["whole"]), np.asarray(t["whole"]), side="right")
+    left, right = [], []
+    for row in one.tolist():
+        to = two if len(two) else np.arange(row + 1, last[row])
+        to = to[label[to] != label[row]]
+        to = to[np.minimum(n[to], n[row]) >= p.similarity * np.maximum(n[to], n[row]) - 1e-9]  # else too few can be common
+        far = distances(fp[row, p.tables :], fp[to, p.tables :])
+        to, far = to[far <= p.check], far[far <= p.check]
+        met = (np.bitwise_count(fp[row, : p.tables] ^ fp[to, : p.tables]) <= p.radius).any(axis=1)
+        to = to[met][np.argsort(far[met], kind="stable")]
+        mine = at[ends[row] - n[row] : ends[row]]
+        own[mine] = True
+        while len(to):
+            now, to = to[: p.most], to[p.most :]
+            hits = np.concatenate(([0], np.cumsum(own[at[ranges(ends[now] - n[now], n[now])]])))
+            z = np.cumsum(n[now])
+            common = hits[z] - hits[z - n[now]]
+            similar = common >= p.similarity * (n[row] + n[now] - common) - 1e-9
+            for other in np.unique(label[now[similar]]).tolist():
+                left.append(label[row])
+                right.append(other)
+                label[label == other] = label[row]
+            to = to[label[to] != label[row]]
+        own[mine] = False
+    return parts[np.array(left, np.int64)], parts[np.array(right, np.int64)]
+
+
+def between(rows: DataFrame, p: SimHash) -> DataFrame:
+    """a, b: links that join the parts of each whole, from rows(whole, part, fp, shingles, main: whether it is the whole's
+    largest part, mains and others: how many sides the whole's rows that are so and not are dealt into). Two sides meet in a
+    task, except two of the largest part; wholes of one side in all meet as a whole, about `side` rows of them in a task.
+    Every two rows of different parts of a whole so meet once, and a task gives fewer links than it has parts."""
+    rows = written(rows.withColumn("small", F.col("mains") + F.col("others") <= 1), "rows")
+    cols = ["whole", "part", "fp", "shingles"]
+    tasks = F.lit(-(-rows.filter("small").count() // p.side) or 1)
+    small = rows.filter("small").select(F.pmod(F.xxhash64("whole"), tasks).alias("task"), *cols, F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("main"), F.lit(0).alias("side"))
+    dealt = rows.filter("not small").withColumn("own", F.pmod(F.xxhash64("fp", "part"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    turns = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = [F.col("whole").alias("task"), *cols]
+    at_main = dealt.filter("main").select(*key, turns("others").alias("i"), F.col("own").alias("j"), F.lit(True).alias("main"), F.lit(1).alias("side"))
     rest = dealt.filter("not main")
-    with_main = rest.select(*cols, F.col("own").alias("i"), turns(n_main).alias("j"), F.lit(True).alias("main"), F.lit(0).alias("side"))
-    turned = rest.select(*cols, "own", turns(n_other).alias("other"))
-    with_rest = turned.select(*cols, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(False).alias("main"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    with_main = rest.select(*key, F.col("own").alias("i"), turns("mains").alias("j"), F.lit(True).alias("main"), F.lit(0).alias("side"))
+    turned = rest.select(*key, "own", turns("others").alias("other"))
+    with_rest = turned.select("task", *cols, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(False).alias("main"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
     def compare(t: pa.Table) -> pa.Table:
-        fp = np.frombuffer(b"".join(t["fp"].to_pylist()), ">u8").reshape(t.num_rows, -1).astype(np.uint64)
-        part, node, side = (np.asarray(t[c]) for c in ("part", "node", "side"))
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = t["i"][0] == t["j"][0] and not t["main"][0].as_py()  # a side with itself
-        x, y, far = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int16)]
-        for k, row in enumerate(one.tolist()):
-            to = one[k + 1 :] if alone else two
-            to = to[part[to] != part[row]]
-            d = distances(fp[row, p.tables :], fp[to, p.tables :])
-            to, d = to[d <= p.check], d[d <= p.check]
-            met = (np.bitwise_count(fp[row, : p.tables] ^ fp[to, : p.tables]) <= p.radius).any(axis=1)
-            x.append(np.full(int(met.sum()), row, np.int32))
-            y.append(to[met].astype(np.int32))
-            far.append(d[met].astype(np.int16))
-        x, y, far = np.concatenate(x), np.concatenate(y), np.concatenate(far)
-        a, b = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
-        order = np.lexsort((node[y], node[x], far, b, a))
-        a, b, x, y = a[order], b[order], x[order], y[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
-        keep = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < most
-        a, b = node[x[keep]], node[y[keep]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": np.full(len(a), not keep.all())})
-
-    return at_main.union(with_main).union(with_rest).groupBy("whole", "main", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+        two_sides = t["main"][0].as_py() or t["i"][0] != t["j"][0]
+        if two_sides and len(pc.unique(t["side"])) == 1:  # the other one turned out empty
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = joined(t, p)
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return small.union(at_main).union(with_main).union(with_rest).groupBy("task", "main", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def settled(nodes: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
     """node, component of the nodes(rep, fp) that candidates of the similarity connect. First the candidates of the
-    certificates are verified. What they connect is what all candidates connect (a whole); as long as one has several parts,
-    the nearest candidates between its parts are verified, eight times as many in each round, until none is left."""
-    tried = written(links(nodes, p.for_nodes(nodes.count())).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    similar = written(verified(tried, docs, p), "links")
-    wholes = components(tried).withColumnRenamed("component", "whole")
-    most = p.most
-    while True:
-        parts = components(similar)
-        named = parts.select(F.col("node").alias("n"), F.col("component").alias("part"))
-        placed = written(wholes.join(named, wholes["node"] == named["n"], "left").select("node", "whole", F.coalesce("part", "node").alias("part")), "parts")
-        sizes = placed.groupBy("whole", "part").agg(F.count("*").alias("size"))
-        split = sizes.groupBy("whole").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.max("size").alias("mains"), (F.sum("size") - F.max("size")).alias("others"))
-        split = written(split.filter("others > 0"), "wholes")
-        if split.isEmpty():
-            return parts
-        rows = placed.join(split, "whole").withColumn("main", F.col("part") == F.col("largest")).join(nodes.withColumnRenamed("rep", "node"), "node")
-        met = written(between(rows, p, most), "candidates")
-        new = written(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-        if not new.isEmpty():
-            similar = written(similar.union(verified(new, docs, p)), "links")
-            tried = written(tried.union(new), "candidates")
-        if met.filter("more").isEmpty():
-            return components(similar)
-        most *= 8
+    certificates are verified. The trees connect what all candidates connect (a whole); where one has several parts, all
+    candidates between its parts are verified where they meet."""
+    met = links(nodes, p.for_nodes(nodes.count())).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree")
+    met = written(met.distinct(), "candidates")
+    wholes = components(met.filter("tree")).withColumnRenamed("component", "whole")
+    texts = written(shingled(nodes, wholes.select(F.col("node").alias("id")), docs, p), "shingles")
+    parts = components(written(verified(met.filter("not tree").select("a", "b"), texts, p), "links"))
+    named = parts.select(F.col("node").alias("n"), F.col("component").alias("part"))
+    placed = written(wholes.join(named, wholes["node"] == named["n"], "left").select("node", "whole", F.coalesce("part", "node").alias("part")), "parts")
+    # of each whole the largest part; sides by rows and by shingles
+    sized = placed.join(texts.select("id", "n"), placed["node"] == texts["id"]).groupBy("whole", "part").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    split = sized.groupBy("whole").agg(F.max(F.struct("size", "n", "part")).alias("top"), F.sum("size").alias("size"), F.sum("n").alias("n")).filter("size > top.size")
+    sides = lambda size, n: F.ceil(F.greatest(size / p.side, n / p.side_shingles)).cast("int")
+    fits = (F.col("size") <= p.side) & (F.col("n") <= p.side_shingles)
+    mains = F.when(fits, 0).otherwise(sides(F.col("top.size"), F.col("top.n"))).alias("mains")
+    others = F.when(fits, 1).otherwise(sides(F.col("size") - F.col("top.size"), F.col("n") - F.col("top.n"))).alias("others")
+    split = written(split.select("whole", F.col("top.part").alias("largest"), mains, others), "wholes")
+    if split.isEmpty():
+        return placed.select("node", F.col("part").alias("component"))
+    rows = placed.join(split, "whole").withColumn("main", F.col("part") == F.col("largest"))
+    rows = rows.join(texts.drop("n"), rows["node"] == texts["id"]).select("whole", "part", "fp", "shingles", "main", "mains", "others")
+    merged = components(written(between(rows, p), "links"))
+    return placed.join(merged.toDF("joined", "component"), F.col("part") == F.col("joined"), "left").select("node", F.coalesce("component", "part").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:

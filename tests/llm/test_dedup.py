@@ -190,6 +190,53 @@ def test_no_candidate_between_parts_is_left(spark):
         assert got == want and 6 < len(set(want.values())) < 230
 
 
+def test_edges_grow_with_the_documents_of_a_group(spark, monkeypatch):
+    rng = random.Random(24)
+    whole = [f"u{rng.randint(0, 10**7)}" for _ in range(600)]
+    texts = []
+    for c in range(200):  # nearly all pairs are candidates of a similarity under 0.8
+        w = list(whole)
+        for at in rng.sample(range(0, 600, 5), 9):
+            w[at] = f"edit{rng.random()}"
+        texts.append((c, " ".join(w)))
+    texts += [(1000, texts[7][1] + " more words"), (1001, texts[9][1].replace("edit", "other", 1))]
+    seen = []
+    monkeypatch.setattr(simhash, "components", lambda edges: seen.append(edges.count()) or components(edges))
+    found = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert got == union(similar_pairs(texts), [i for i, _ in texts])
+    assert max(seen) <= 10 * len(texts)
+
+
+def test_links_that_join_parts(spark):
+    rng = random.Random(25)
+    rows, kinds = [], []
+    for k in range(3):
+        whole = [f"u{rng.randint(0, 10**7)}" for _ in range(150)]
+        for c in range(30):
+            w = list(whole)
+            for at in rng.sample(range(0, 150, 5), rng.choice((1, 2, 3))):
+                w[at] = f"edit{rng.random()}"
+            rows.append(" ".join(w).encode())
+            kinds.append(k)
+    sets = simhash.shingle_sets(pa.array([r.decode() for r in rows]), 5)
+    prints = [simhash.near_fingerprint(s, simhash.NEAR).astype(">u8") for s in sets]
+    near = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).astype(int)
+    want = []
+    for a in range(90):
+        for b in range(a):
+            d, n = near(a, b), len(np.intersect1d(sets[a], sets[b]))
+            if kinds[a] == kinds[b] and d[:24].min() <= 4 and d[24:].sum() <= 58 and n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+                want.append((a, b))
+    for most in (1, 192):
+        for side, pairs in (([0] * 90, want), ([i % 2 for i in range(90)], [(a, b) for a, b in want if (a - b) % 2])):
+            some = [i for i in range(90) if len(set(side)) == 1 or kinds[i] == 1]  # two sides are of one whole
+            t = pa.table({"whole": [kinds[i] for i in some], "part": pa.array(some, pa.int64()), "side": [side[i] for i in some], "fp": [prints[i].tobytes() for i in some], "shingles": [sets[i].view(np.int64).tolist() for i in some]})
+            a, b = simhash.joined(t, dataclasses.replace(simhash.NEAR, most=most))
+            assert union(zip(a.tolist(), b.tolist()), some) == union([q for q in pairs if q[0] in some], some)
+            assert 0 < len(a) < len(some)
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
